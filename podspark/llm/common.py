@@ -34,18 +34,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def with_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder for checkpoints; set a folder only where none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for checkpoints; a new local one only where none is set."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Store a DataFrame in the shared checkpoint folder and go on from there."""
-    with_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
