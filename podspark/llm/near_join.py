@@ -13,6 +13,9 @@ compared in rounds with a centre per signature, the class that shares most signa
 links join components; what is left is compared only between members of different components, so a
 large group of near copies costs about one comparison per member, and no link between components is lost.
 
+Before texts are compared, sketches are: the parities of the shingles' hash counts.  Sets that differ in d
+shingles differ in at most d parities, so a pair beyond the bound is none; the others are verified exactly.
+
 Defined results: null, empty and wordless texts have size 0, no links and their own component;
 fewer words than a shingle has make one shingle; repeated rows share a class; rows with the same key
 share a component; a row with a null key may link others but its component is named after it by null only if alone;
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from podspark.llm.arrow_text import LOWER, SpanHash, byte_codes, mix64, slices, text_bytes, word_bounds
-from podspark.llm.common import broadcast_if_small, cut
+from podspark.llm.common import broadcast_if_small, stored
 
 WORDS = 4
 PERCENT = 85
@@ -137,16 +140,37 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"), F.col(text).alias("text"))
 
 
+def sketches(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A bit for each of at least four hash values per shingle: the parity of the shingles that have it."""
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        bits = max(64, 1 << (4 * (b - a) - 1).bit_length()) if b > a else 64
+        odd = np.bincount((sets[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(bool)).tobytes())
+    return out
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """Parities in which two sketches differ; the longer one is folded to the length of the other."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def classes(rows: DataFrame, words: int = WORDS) -> DataFrame:
-    """Per row: ``key``, ``hash`` of the text, ``n_shingles``, ``node`` (its class of equal sets; null for an empty set)."""
+    """Per row: ``key``, ``hash`` of the text, ``n_shingles``, ``node`` (its class of equal sets; null for an empty set), ``sketch``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 4 << 20):
             sets, at = shingles(*text_bytes(part.column("text")), words)
             size = np.diff(at)
-            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("hash"), pa.array(size), pa.array(_names(sets, at), mask=size == 0)], ["key", "hash", "n_shingles", "node"])
+            columns = [part.column("key"), part.column("hash"), pa.array(size), pa.array(_names(sets, at), mask=size == 0), pa.array(sketches(sets, at), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "hash", "n_shingles", "node", "sketch"])
 
-    return rows.mapInArrow(run, "key bigint, hash bigint, n_shingles bigint, node bigint")
+    return rows.mapInArrow(run, "key bigint, hash bigint, n_shingles bigint, node bigint, sketch binary")
 
 
 def members(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -171,8 +195,27 @@ def members(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     return shared.withColumn("m", F.count("*").over(by_sig))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "s_a", "s_b")), strict=True):
+                small, large = sorted((n, m))
+                keep.append(100 * small >= percent * large and (100 + percent) * sketch_distance(x, y) <= (100 - percent) * (n + m))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold, by exact counts over whole texts."""
+    pairs = stored(possible(pairs, nodes, percent))
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted, _ = broadcast_if_small(asked.join(nodes, "node").select("node", "rep.key", "rep.hash"), BROADCAST_KEYS)
+    texts = rows.join(wanted, ["key", "hash"]).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, np.empty(0, np.uint64)
@@ -183,29 +226,26 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: in
                 for k in range(part.num_rows):
                     if a[k] != last:
                         last, (mine, _) = a[k], shingles(*text_bytes(part.column("text_a").slice(k, 1)), words)
-                    theirs = sets[at[k] : at[k + 1]]
-                    # The size bound saves the intersection where it cannot be enough.
-                    small, large = sorted((len(mine), len(theirs)))
-                    both = len(np.intersect1d(mine, theirs, assume_unique=True)) if 100 * small >= percent * large else 0
-                    ok.append(both > 0 and 100 * both >= percent * (len(mine) + len(theirs) - both))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
+                    both = len(np.intersect1d(mine, sets[at[k] : at[k + 1]], assume_unique=True))
+                    ok.append(both > 0 and 100 * both >= percent * (len(mine) + int(at[k + 1] - at[k]) - both))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     # A centre's text is read once for all its partners: those come together, sorted.
-    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_b")
-    both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").sortWithinPartitions("a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, linked boolean").filter("linked").select("a", "b")
+    with_b = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b").select("a", "b", "text_b")
+    both = with_b.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").sortWithinPartitions("a")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the least node reachable) for every node with a link."""
-    edges = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    edges = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    roots = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
         near = edges.join(roots, edges.b == roots.node).groupBy("a").agg(F.min("root").alias("near"))
         hooked = roots.join(near, roots.node == near.a).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         # Follow the root's own root, which halves the way that is left.
         jump = hooked.select(F.col("node").alias("at"), F.col("root").alias("next"))
-        new = cut(hooked.join(jump, hooked.root == jump["at"], "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root")))
+        new = stored(hooked.join(jump, hooked.root == jump["at"], "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root")))
         roots = new.select("node", "root")
         if new.filter("old <> root").isEmpty():
             return roots
@@ -213,12 +253,10 @@ def components(links: DataFrame) -> DataFrame:
 
 def links(rows: DataFrame, nodes: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Enough links (a, b) between classes to join all classes that similarity joins."""
-    groups = cut(members(rows, words, percent))
-    wanted, _ = broadcast_if_small(groups.select("node").distinct().join(nodes, "node").select("node", "rep.key", "rep.hash"), BROADCAST_KEYS)
-    texts = cut(rows.join(wanted, ["key", "hash"]).select("node", "text").dropDuplicates(["node"]))
+    groups = stored(members(rows, words, percent))
     # How much a class shares overall decides who is the centre of a signature.
     weight = groups.groupBy("node").agg(F.sum(F.col("m") - 1).alias("weight"))
-    open_ = cut(groups.join(weight, "node").select("sig", "node", "weight", F.col("node").alias("root")))
+    open_ = stored(groups.join(weight, "node").select("sig", "node", "weight", F.col("node").alias("root")))
     found: DataFrame | None = None
     done: DataFrame | None = None
     by_sig = Window.partitionBy("sig")
@@ -229,16 +267,16 @@ def links(rows: DataFrame, nodes: DataFrame, words: int = WORDS, percent: int =
         else:
             x, y = open_.select("sig", F.col("node").alias("a"), F.col("root").alias("ra")), open_.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"))
             pairs = x.join(y, "sig").filter("a < b and ra <> rb").select("a", "b").distinct()
-        pairs = cut(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        new = verified(pairs, texts, words, percent)
-        found = cut(new if found is None else found.union(new))
+        pairs = stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+        new = verified(pairs, rows, nodes, words, percent)
+        found = stored(new if found is None else found.union(new))
         done = pairs if done is None else done.union(pairs)
         if turn == ROUNDS:
             break
         # Centres have met all others; a signature whose other members are in one component is settled.
         roots = components(found)
         left = met.filter(F.col("centre.node") != F.col("node")).select("sig", "node", "weight").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = cut(left.withColumn("lo", F.min("root").over(by_sig)).withColumn("hi", F.max("root").over(by_sig)).filter("lo <> hi").select("sig", "node", "weight", "root"))
+        open_ = stored(left.withColumn("lo", F.min("root").over(by_sig)).withColumn("hi", F.max("root").over(by_sig)).filter("lo <> hi").select("sig", "node", "weight", "root"))
         if open_.isEmpty():
             break
     return found
@@ -247,9 +285,11 @@ def links(rows: DataFrame, nodes: DataFrame, words: int = WORDS, percent: int =
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row: key, n_shingles, component_id (the least key reachable)."""
     rows = _keyed(docs, key, text)
-    own = cut(classes(rows, words))
+    own = stored(classes(rows, words))
     name = lambda c: F.nullif(c, F.lit(NULL_KEY))
-    nodes = own.filter("node is not null").groupBy("node").agg(F.min(F.struct("key", "hash")).alias("rep"), F.min(name(F.col("key"))).alias("least"))
+    # Rows of one key with one text stand for each other: a class has one representative.
+    nodes = own.filter("node is not null").groupBy("node").agg(F.min(F.struct("key", "hash", "sketch")).alias("rep"), F.min(name(F.col("key"))).alias("least"), F.first("n_shingles").alias("n"))
+    nodes = stored(nodes.withColumn("sketch", F.col("rep.sketch")))
     roots = components(links(rows, nodes, words, percent))
     named = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
