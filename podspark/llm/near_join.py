@@ -12,6 +12,8 @@ Sets are classes of equal shingle sets, so copies never meet.  Classes that shar
 compared in rounds with a centre per signature, the class that shares most signatures overall;
 links join components; what is left is compared only between members of different components, so a
 large group of near copies costs about one comparison per member, and no link between components is lost.
+The rest of a signature is compared by sketches in blocks of bounded size, and only pairs that the sketches
+allow leave a block.
 
 Before texts are compared, sketches are: the parities of the shingles' hash counts.  Sets that differ in d
 shingles differ in at most d parities, so a pair beyond the bound is none; the others are verified exactly.
@@ -38,8 +40,9 @@ WORDS = 4
 PERCENT = 85
 #: Bands of set sizes: each reaches to this multiple of its start.
 RATIO = 1.4
-#: Rounds with one centre per signature before the rest is compared.
+#: Rounds with one centre per signature before the rest is compared, and members in a block of the rest.
 ROUNDS = 3
+BLOCK = 256
 #: Texts that have to be compared are picked by a broadcast of their keys only up to this number.
 BROADCAST_KEYS = 500_000
 NULL_KEY = -(1 << 63)
@@ -152,19 +155,15 @@ def sketches(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
 
 def sketch_distance(x: bytes, y: bytes) -> int:
     """Parities in which two sketches differ; the longer one is folded to the length of the other."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum())
 
 
 def classes(rows: DataFrame, words: int = WORDS) -> DataFrame:
     """Per row: ``key``, ``hash`` of the text, ``n_shingles``, ``node`` (its class of equal sets; null for an empty set), ``sketch``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text", 2 << 20):
             sets, at = shingles(*text_bytes(part.column("text")), words)
             size = np.diff(at)
             columns = [part.column("key"), part.column("hash"), pa.array(size), pa.array(_names(sets, at), mask=size == 0), pa.array(sketches(sets, at), pa.binary())]
@@ -177,7 +176,7 @@ def members(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     """Classes that share a signature with others: ``sig``, ``node``, ``m`` (classes with that signature)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text", 2 << 20):
             sets, at = shingles(*text_bytes(part.column("text")), words)
             # Of equal sets in a task one signs.
             names = _names(sets, at)
@@ -210,6 +209,46 @@ def possible(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> Data
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def fold(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch folded to ``size`` bytes."""
+    x = np.frombuffer(sketch, np.uint8)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def possible_in_blocks(open_: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) within a signature and between components that sizes and sketches allow.
+
+    The members of a signature are numbered and cut into blocks; two blocks meet in one group of at
+    most twice ``BLOCK`` rows, so a group fits into a task whatever the size of the signature.
+    """
+    by_sig = Window.partitionBy("sig")
+    numbered = open_.withColumn("block", F.floor((F.row_number().over(by_sig.orderBy("node")) - 1) / BLOCK).cast("int")).withColumn("last", F.max("block").over(by_sig))
+    others = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
+    met = numbered.select("sig", "node", "root", "block", others).select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "root", "block")
+    rows = met.join(nodes.select("node", "n", "sketch"), "node").select("sig", "x", "y", "block", "node", "root", "n", "sketch")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, root, n, block = (table.column(c).to_numpy() for c in ("node", "root", "n", "block"))
+        raw = table.column("sketch").to_pylist()
+        least = min(map(len, raw))
+        bits = np.stack([fold(x, least) for x in raw]).view(np.uint64)
+        a, b = [], []
+        same = len(set(block.tolist())) == 1
+        for k in range(len(node)):
+            # In a meeting of two blocks, pairs within one block are left to that block's own group.
+            rest = np.arange(k + 1, len(node)) if same else np.flatnonzero(block > block[k])
+            rest = rest[(root[rest] != root[k]) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]))]
+            far = np.bitwise_count(bits[rest] ^ bits[k]).sum(1, dtype=np.int64)
+            rest = rest[(100 + percent) * far <= (100 - percent) * (n[rest] + n[k])]
+            a.append(np.minimum(node[rest], node[k]))
+            b.append(np.maximum(node[rest], node[k]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return rows.groupBy("sig", "x", "y").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold, by exact counts over whole texts."""
     pairs = stored(possible(pairs, nodes, percent))
@@ -265,8 +304,7 @@ def links(rows: DataFrame, nodes: DataFrame, words: int = WORDS, percent: int =
         if turn < ROUNDS:
             pairs = met.filter(F.col("centre.root") != F.col("root")).select(F.least("centre.node", "node").alias("a"), F.greatest("centre.node", "node").alias("b")).distinct()
         else:
-            x, y = open_.select("sig", F.col("node").alias("a"), F.col("root").alias("ra")), open_.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"))
-            pairs = x.join(y, "sig").filter("a < b and ra <> rb").select("a", "b").distinct()
+            pairs = possible_in_blocks(open_, nodes, percent)
         pairs = stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
         new = verified(pairs, rows, nodes, words, percent)
         found = stored(new if found is None else found.union(new))

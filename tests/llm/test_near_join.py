@@ -64,6 +64,16 @@ def test_equals_all_pairs(spark):
         assert got == brute(docs)
 
 
+def test_blocks_alone_find_the_same(spark, monkeypatch):
+    docs = made(3)
+    df = spark.createDataFrame([(i, t, 1, "k", "h", 2) for i, t in docs], SCHEMA).repartition(3)
+    want = brute(docs)
+    for rounds, block in ((0, 3), (1, 2), (0, 256)):
+        monkeypatch.setattr(near_join, "ROUNDS", rounds)
+        monkeypatch.setattr(near_join, "BLOCK", block)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_join.join(df).collect()) == want
+
+
 def test_repeated_rows_and_empty_table(spark):
     text = "w1 w2 w3 w4 w5 w6 w7 w8"
     df = spark.createDataFrame([(5, text, 1, "", "", 1), (5, text, 1, "", "", 1), (4, text.upper(), 1, "", "", 1), (None, text, 1, "", "", 1)], SCHEMA)
