@@ -18,6 +18,7 @@ from podspark.operators import merge
 from podspark.operators.chunks import chunks
 from podspark.operators.transcripts import parse_responses, segments_of, transcriptions_of
 from podspark.sources import listings as L
+from podspark.sources.tables import stored
 
 
 class Tables(NamedTuple):
@@ -65,6 +66,7 @@ def process(tables: Tables, responses: DataFrame, templates: dict[str, Column],
     """Responses (video_id, podcast, response) of many videos at once; also the number of insights per video.
 
     A video whose text is empty stays in the backlog: nothing of it is written but the video itself.
+    Every model step runs once: its answers are stored in the shared folder before they are used.
     """
     touch = responses.select("video_id", F.lit("").alias("title"), F.lit(None).cast("int").alias("duration_seconds"), F.lit(None).cast("string").alias("channel_id"), "podcast", F.lit(None).cast("timestamp").alias("published_at"), F.lit(0).alias("seq"))
     videos = merge.upsert_videos(tables.videos, touch, now)
@@ -73,11 +75,11 @@ def process(tables: Tables, responses: DataFrame, templates: dict[str, Column],
 
     pieces = chunks(parsed, "raw_text", ["video_id"])
     first = I.insight_requests(pieces, templates["extract_insights_system"])
-    found = I.insights_of(first, I.ask(first, answer), pieces)
+    found = stored(I.insights_of(first, stored(I.ask(first, answer)), pieces))
     titles = I.title_requests(found, templates["title_generation"])
-    titled = I.with_titles(found, titles, I.ask(titles, answer))
+    titled = stored(I.with_titles(found, titles, stored(I.ask(titles, answer))))
     more = I.timestamp_requests(titled, parsed, templates["timestamp_extraction"]).unionByName(I.framework_requests(titled, templates["make_framework_content"]))
-    done = I.completed(titled, more, I.ask(more, answer), responses.select("video_id", "podcast").distinct(), now)
+    done = I.completed(titled, more, stored(I.ask(more, answer)), responses.select("video_id", "podcast").distinct(), now)
     insights = merge.replace_insights(tables.insights, done, parsed)
     return Tables(videos, transcriptions, segments, insights, tables.seed_links), I.insights_per_video(parsed, done)
 

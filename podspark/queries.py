@@ -66,15 +66,15 @@ def _timed(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "events").select("event_id", "user_id", "event_type", F.expr(_SECONDS).alias("s")).withColumn("clock", F.expr(_clock("string")))
 
 
-@_query(f"SELECT event_id, CAST(CASE WHEN event_id % 5 < 3 THEN s WHEN event_id % 5 = 4 THEN {_CLOCK['m']} END AS BIGINT) AS seconds, CAST(CASE WHEN event_id % 5 < 3 THEN s WHEN event_id % 5 = 4 THEN {_CLOCK['m']} END AS DOUBLE) AS time FROM (SELECT event_id, {_SECONDS} AS s FROM events)")
+@_query(f"SELECT event_id, CAST(CASE WHEN event_id % 5 < 3 THEN s WHEN event_id % 5 = 4 THEN {_CLOCK['m']} END AS DOUBLE) AS seconds, CAST(CASE WHEN event_id % 5 < 3 THEN s WHEN event_id % 5 = 4 THEN {_CLOCK['m']} END AS DOUBLE) AS time FROM (SELECT event_id, {_SECONDS} AS s FROM events)")
 def f1_f3_clock_times(spark: SparkSession, d: str) -> DataFrame:
-    return _timed(spark, d).select("event_id", T.parse_duration(F.col("clock")).cast("bigint").alias("seconds"), T.parse_time(F.col("clock")).alias("time"))
+    return _timed(spark, d).select("event_id", T.parse_duration(F.col("clock")).cast("double").alias("seconds"), T.parse_time(F.col("clock")).alias("time"))
 
 
-@_query(f"""SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN s WHEN 1 THEN {_CLOCK["m"]} * 60 WHEN 2 THEN 0 END AS BIGINT) AS seconds FROM (SELECT event_id, {_SECONDS} AS s FROM events)""")
+@_query(f"""SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN s WHEN 1 THEN {_CLOCK["m"]} * 60 WHEN 2 THEN 0 END AS DOUBLE) AS seconds FROM (SELECT event_id, {_SECONDS} AS s FROM events)""")
 def f2_iso_durations(spark: SparkSession, d: str) -> DataFrame:
     iso = f"CASE event_id % 4 WHEN 0 THEN concat('PT', {_CLOCK['h']}, 'H', {_CLOCK['m']}, 'M', {_CLOCK['c']}, 's') WHEN 1 THEN concat('PT', {_CLOCK['m']}, 'm') WHEN 2 THEN 'PT' ELSE concat('P1DT', {_CLOCK['h']}, 'H') END"
-    return _timed(spark, d).select("event_id", T.parse_iso8601_duration(F.expr(iso)).cast("bigint").alias("seconds"))
+    return _timed(spark, d).select("event_id", T.parse_iso8601_duration(F.expr(iso)).cast("double").alias("seconds"))
 
 
 _URL = "CASE event_id % 6 WHEN 0 THEN concat('https://www.youtube.com/watch?v=', k) WHEN 1 THEN concat('https://youtu.be/', k, 'xyz') WHEN 2 THEN concat(' https://www.youtube.com/embed/', k) WHEN 3 THEN concat('https://www.youtube.com/shorts/', k) WHEN 4 THEN substr(concat('https://youtu.be/', k), 1, 25) ELSE NULL END"
@@ -143,7 +143,7 @@ l AS (SELECT event_id AS line_no, CAST(event_id % 3 AS INT) AS file_rank, CASE W
 f AS (SELECT *, row_number() OVER (PARTITION BY video_id, file_rank ORDER BY line_no) AS n FROM l WHERE video_id IS NOT NULL),
 k AS (SELECT * FROM f WHERE n = 1 AND (dur IS NULL OR dur >= 300)),
 g AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY file_rank, line_no) AS r FROM k)
-SELECT video_id, ['9operators', 'marketing_operator', 'finance_operators'][file_rank + 1] AS podcast, CAST(dur AS BIGINT) AS seconds, 'T' || line_no AS title, 'https://youtu.be/' || video_id AS url FROM g WHERE r = 1"""
+SELECT video_id, ['9operators', 'marketing_operator', 'finance_operators'][file_rank + 1] AS podcast, CAST(dur AS DOUBLE) AS seconds, 'T' || line_no AS title, 'https://youtu.be/' || video_id AS url FROM g WHERE r = 1"""
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +156,7 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _links_out(links: DataFrame) -> DataFrame:
-    return links.select("video_id", "podcast", F.col("duration_seconds").cast("bigint").alias("seconds"), "title", "url")
+    return links.select("video_id", "podcast", F.col("duration_seconds").cast("double").alias("seconds"), "title", "url")
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:
@@ -185,7 +185,7 @@ _NEW_LINKS = "SELECT 'v' || user_id AS video_id, event_type AS podcast, CASE WHE
 _M1 = f"""WITH o AS ({_OLD_LINKS}), n AS ({_NEW_LINKS}),
 a AS (SELECT video_id, podcast, title, duration_seconds, url, id, -1 AS seq, true AS is_old FROM o UNION ALL SELECT video_id, podcast, title, duration_seconds, coalesce(url, ''), NULL, seq, false FROM n)
 SELECT video_id, podcast, coalesce(arg_max(title, seq) FILTER (WHERE title <> '' AND NOT is_old), CASE WHEN bool_or(is_old) THEN max(title) FILTER (WHERE is_old) ELSE '' END) AS title,
-  CAST(arg_max(duration_seconds, seq) FILTER (WHERE duration_seconds IS NOT NULL) AS BIGINT) AS seconds,
+  CAST(arg_max(duration_seconds, seq) FILTER (WHERE duration_seconds IS NOT NULL) AS DOUBLE) AS seconds,
   coalesce(arg_max(url, seq) FILTER (WHERE url <> '' AND NOT is_old), CASE WHEN bool_or(is_old) THEN max(url) FILTER (WHERE is_old) ELSE '' END) AS url,
   coalesce(max(id), sha256(video_id || '|' || podcast)) AS id, CASE WHEN bool_or(is_old) THEN '2023' ELSE '2024' END AS created, CASE WHEN bool_and(is_old) THEN '2023' ELSE '2024' END AS updated FROM a GROUP BY video_id, podcast"""
 
@@ -207,7 +207,7 @@ def _seed_links(spark: SparkSession, d: str) -> DataFrame:
 @_query(_M1)
 def m1_k2_upsert_seed_links(spark: SparkSession, d: str) -> DataFrame:
     merged = merge.upsert_seed_links(_seed_links(spark, d), _sql(spark, d, _NEW_LINKS), F.expr(NOW))
-    return merged.select("video_id", "podcast", "title", F.col("duration_seconds").cast("bigint").alias("seconds"), "url", "id", _year("created_at", "created"), _year("updated_at", "updated"))
+    return merged.select("video_id", "podcast", "title", F.col("duration_seconds").cast("double").alias("seconds"), "url", "id", _year("created_at", "created"), _year("updated_at", "updated"))
 
 
 @_query(_M1)
@@ -220,7 +220,7 @@ def s3_link_batches(spark: SparkSession, d: str) -> DataFrame:
     one.write.text(folder)
     links = seeds.links_of(spark.read.schema(schemas.LINK_BATCH).json(folder))
     merged = merge.upsert_seed_links(_seed_links(spark, d), links, F.expr(NOW))
-    return merged.select("video_id", "podcast", "title", F.col("duration_seconds").cast("bigint").alias("seconds"), "url", "id", _year("created_at", "created"), _year("updated_at", "updated"))
+    return merged.select("video_id", "podcast", "title", F.col("duration_seconds").cast("double").alias("seconds"), "url", "id", _year("created_at", "created"), _year("updated_at", "updated"))
 
 
 @_query("""SELECT CAST(count(*) AS BIGINT) AS accepted, count(DISTINCT v) AS videos FROM (SELECT CASE event_id % 4 WHEN 0 THEN '' ELSE 'v' || user_id END AS v, CASE event_id % 6 WHEN 1 THEN '' ELSE event_type END AS p FROM events) WHERE v <> '' AND p <> ''""")
@@ -238,14 +238,14 @@ def _videos(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _videos_out(v: DataFrame) -> DataFrame:
-    return v.select("video_id", "podcast", "title", F.col("duration_seconds").cast("bigint").alias("seconds"), "channel_id", F.unix_seconds("published_at").alias("published"), "id", _year("created_at", "created"), _year("updated_at", "updated"))
+    return v.select("video_id", "podcast", "title", F.col("duration_seconds").cast("double").alias("seconds"), "channel_id", F.unix_seconds(F.col("published_at").cast("timestamp")).cast("double").alias("published"), "id", _year("created_at", "created"), _year("updated_at", "updated"))
 
 
 @_query(f"""WITH o AS ({_OLD_VIDEOS}), n AS ({_NEW_VIDEOS}),
 a AS (SELECT video_id, podcast, title, duration_seconds, channel_id, published_at, id, -1 AS seq, true AS is_old FROM o UNION ALL SELECT video_id, podcast, title, duration_seconds, channel_id, published_at, NULL, seq, false FROM n)
 SELECT video_id, arg_max(podcast, seq) AS podcast, coalesce(arg_max(title, seq) FILTER (WHERE title <> '' AND NOT is_old), CASE WHEN bool_or(is_old) THEN max(title) FILTER (WHERE is_old) ELSE '' END) AS title,
-  CAST(arg_max(duration_seconds, seq) FILTER (WHERE duration_seconds IS NOT NULL) AS BIGINT) AS seconds, arg_max(channel_id, seq) FILTER (WHERE channel_id IS NOT NULL) AS channel_id,
-  CAST(floor(epoch(arg_max(published_at, seq) FILTER (WHERE published_at IS NOT NULL))) AS BIGINT) AS published, coalesce(max(id), sha256(video_id)) AS id,
+  CAST(arg_max(duration_seconds, seq) FILTER (WHERE duration_seconds IS NOT NULL) AS DOUBLE) AS seconds, arg_max(channel_id, seq) FILTER (WHERE channel_id IS NOT NULL) AS channel_id,
+  CAST(floor(epoch(arg_max(published_at, seq) FILTER (WHERE published_at IS NOT NULL))) AS DOUBLE) AS published, coalesce(max(id), sha256(video_id)) AS id,
   CASE WHEN bool_or(is_old) THEN '2023' ELSE '2024' END AS created, CASE WHEN bool_and(is_old) THEN '2023' ELSE '2024' END AS updated FROM a GROUP BY video_id""")
 def m2_upsert_videos(spark: SparkSession, d: str) -> DataFrame:
     return _videos_out(merge.upsert_videos(_videos(spark, d), _sql(spark, d, _NEW_VIDEOS), F.expr(NOW)))
@@ -253,22 +253,20 @@ def m2_upsert_videos(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"""WITH o AS ({_OLD_VIDEOS}), n AS ({_OLD_LINKS.replace("event_id % 3 = 0", "event_id % 3 = 1")}),
 f AS (SELECT video_id, max(podcast) AS podcast, coalesce(arg_max(title, podcast) FILTER (WHERE title <> ''), '') AS title, arg_max(duration_seconds, podcast) FILTER (WHERE duration_seconds IS NOT NULL) AS duration_seconds FROM n GROUP BY video_id)
-SELECT coalesce(f.video_id, o.video_id) AS video_id, coalesce(f.podcast, o.podcast) AS podcast, coalesce(nullif(f.title, ''), o.title, '') AS title, CAST(coalesce(f.duration_seconds, o.duration_seconds) AS BIGINT) AS seconds, o.channel_id,
-  CAST(floor(epoch(o.published_at)) AS BIGINT) AS published, coalesce(o.id, sha256(f.video_id)) AS id, CASE WHEN o.id IS NULL THEN '2024' ELSE '2023' END AS created, CASE WHEN f.video_id IS NULL THEN '2023' ELSE '2024' END AS updated FROM f FULL JOIN o USING (video_id)""")
+SELECT coalesce(f.video_id, o.video_id) AS video_id, coalesce(f.podcast, o.podcast) AS podcast, coalesce(nullif(f.title, ''), o.title, '') AS title, CAST(coalesce(f.duration_seconds, o.duration_seconds) AS DOUBLE) AS seconds, o.channel_id,
+  CAST(floor(epoch(o.published_at)) AS DOUBLE) AS published, coalesce(o.id, sha256(f.video_id)) AS id, CASE WHEN o.id IS NULL THEN '2024' ELSE '2023' END AS created, CASE WHEN f.video_id IS NULL THEN '2023' ELSE '2024' END AS updated FROM f FULL JOIN o USING (video_id)""")
 def m3_k3_videos_from_links(spark: SparkSession, d: str) -> DataFrame:
     links = _sql(spark, d, _OLD_LINKS.replace("event_id % 3 = 0", "event_id % 3 = 1"))
     return _videos_out(merge.videos_from_links(_videos(spark, d), links, F.expr(NOW)))
 
 
-@_query("""SELECT 'd' || doc_id AS video_id, source AS podcast, CAST(row_number() OVER (ORDER BY CASE WHEN doc_id % 5 > 0 THEN n_chars END DESC NULLS LAST, doc_id % 97 DESC, 'd' || doc_id) AS BIGINT) AS place FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)""")
+@_query("""SELECT 'd' || doc_id AS video_id, source AS podcast, CAST(CASE WHEN doc_id % 5 > 0 THEN n_chars END AS DOUBLE) AS published, doc_id % 97 AS created FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)""")
 def k5_j1_o1_backlog(spark: SparkSession, d: str) -> DataFrame:
-    """Documents without a label as videos without a transcription, with each one's place in the order."""
+    """Documents without a label as videos without a transcription, newest first."""
     docs = _table(spark, d, "documents")
-    moment = lambda c: F.timestamp_seconds(c)
-    videos = docs.select(F.concat(F.lit("d"), "doc_id").alias("video_id"), F.col("source").alias("podcast"), F.lit("").alias("title"), F.when(F.col("doc_id") % 5 > 0, moment(F.col("n_chars"))).alias("published_at"), moment(F.col("doc_id") % 97).alias("created_at"))
+    videos = docs.select(F.concat(F.lit("d"), "doc_id").alias("video_id"), F.col("source").alias("podcast"), F.lit("").alias("title"), F.when(F.col("doc_id") % 5 > 0, F.timestamp_seconds("n_chars")).alias("published_at"), F.timestamp_seconds(F.col("doc_id") % 97).alias("created_at"))
     open_ = jobs.backlog(videos, _table(spark, d, "labels").select(F.concat(F.lit("d"), "doc_id").alias("video_id")))
-    # zipWithIndex counts per partition of the sorted rows, so that no task sees them all.
-    return open_.select("video_id", "podcast").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1] + 1)).toDF("video_id string, podcast string, place bigint")
+    return open_.select("video_id", "podcast", F.unix_seconds("published_at").cast("double").alias("published"), F.unix_seconds("created_at").alias("created"))
 
 
 @_query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, CAST(o_orderkey AS VARCHAR)) AS n FROM orders) WHERE n <= 5")
@@ -290,13 +288,13 @@ def _landed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     return from_text(listing, schemas.LISTING), from_text(details, schemas.DETAILS), channels
 
 
-_LISTED = "SELECT CAST(o_orderkey AS VARCHAR) AS video_id, coalesce(CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority END, '') AS title, CAST(o_orderkey % 12 * 60 AS BIGINT) AS seconds, 'c' || o_custkey AS channel_id, 'p' || c_nationkey AS podcast, o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 9 > 0 AND o_orderkey % 5 > 0"
+_LISTED = "SELECT CAST(o_orderkey AS VARCHAR) AS video_id, coalesce(CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority END, '') AS title, CAST(o_orderkey % 12 * 60 AS DOUBLE) AS seconds, 'c' || o_custkey AS channel_id, 'p' || c_nationkey AS podcast, o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 9 > 0 AND o_orderkey % 5 > 0"
 
 
-@_query(f"SELECT video_id, title, seconds, channel_id, podcast, CAST(epoch(o_orderdate) AS BIGINT) AS published FROM ({_LISTED})")
+@_query(f"SELECT video_id, title, seconds, channel_id, podcast, CAST(floor(epoch(o_orderdate)) AS DOUBLE) AS published FROM ({_LISTED})")
 def s4_j2_channel_listings(spark: SparkSession, d: str) -> DataFrame:
     listing, details, _ = _landed(spark, d)
-    return listings.videos_of(listing, details).select("video_id", "title", F.col("duration_seconds").cast("bigint").alias("seconds"), "channel_id", "podcast", F.unix_seconds("published_at").alias("published"))
+    return listings.videos_of(listing, details).select("video_id", "title", F.col("duration_seconds").cast("double").alias("seconds"), "channel_id", "podcast", F.unix_seconds(F.col("published_at").cast("timestamp")).cast("double").alias("published"))
 
 
 _FETCHED = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY o_orderdate DESC NULLS LAST, video_id) AS n FROM ({_LISTED}) WHERE podcast <> 'p3') WHERE n <= 4"
@@ -312,7 +310,7 @@ def a2_k4_fetch_summary(spark: SparkSession, d: str) -> DataFrame:
 def k4_fetch_new(spark: SparkSession, d: str) -> DataFrame:
     listing, details, channels = _landed(spark, d)
     tables, _ = jobs.fetch_new(_empty(spark), listing, details, channels, F.expr(NOW), n=4)
-    return tables.videos.select("video_id", "title", F.col("duration_seconds").cast("bigint").alias("seconds"), "channel_id", "podcast")
+    return tables.videos.select("video_id", "title", F.col("duration_seconds").cast("double").alias("seconds"), "channel_id", "podcast")
 
 
 @_query("""SELECT 'p' || n_nationkey AS podcast, 'ch' || n_nationkey AS channel_id FROM nation WHERE n_nationkey % 5 <> 3""")
@@ -498,7 +496,7 @@ def m5_replace_insights(spark: SparkSession, d: str) -> DataFrame:
     full = lambda df: df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.dtypes])
     old = full(docs.select("video_id", F.explode(F.array(F.lit("1"), F.lit("2"), F.lit("3"))).alias("id")))
     labels = _table(spark, d, "labels").select(F.concat(F.lit("d"), "doc_id").alias("video_id"), "quality")
-    new = full(labels.filter("quality > 0").select("video_id", F.explode(F.sequence(F.lit(1), "quality")).cast("string").alias("id")))
+    new = full(labels.filter("quality > 0").select("video_id", F.explode(F.transform(F.sequence(F.lit(1), "quality"), lambda k: k.cast("string"))).alias("id")))
     return merge.replace_insights(old, new, labels).groupBy("video_id").agg(F.count("*").alias("insights"))
 
 
@@ -539,7 +537,7 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _counts(asked: str) -> str:
-    return ", ".join(f"len(list_filter(t{k}, x -> list_contains({asked}, x))) AS n{k}" for k in range(3))
+    return ", ".join(f"len([x FOR x IN t{k} IF list_contains({asked}, x)]) AS n{k}" for k in range(3))
 
 
 _RANK = "CASE WHEN n0 > 0 THEN 0 WHEN n1 > 0 THEN 1 WHEN n2 > 0 THEN 2 ELSE 0 END"

@@ -50,9 +50,10 @@ def read_seed_csvs(spark: SparkSession, paths: Mapping[str, str], least: int = s
 
 def links_of(batches: DataFrame) -> DataFrame:
     """Rows of JSON batches already read with the batch schema, with defaults and ``seq``."""
-    rows = batches.select(F.monotonically_increasing_id().alias("_batch"), F.posexplode("links").alias("_pos", "l"))
+    rows = batches.select(F.explode("links").alias("l"))
     text = lambda c: F.coalesce(F.col(f"l.{c}"), F.lit("")).alias(c)
-    return rows.select("l.video_id", "l.podcast", text("title"), "l.duration_seconds", text("url"), (F.col("_batch") * 1_000_000 + F.col("_pos")).alias("seq"))
+    # Numbered after the explosion, so the numbers grow within each batch.
+    return rows.select("l.video_id", "l.podcast", text("title"), "l.duration_seconds", text("url"), F.monotonically_increasing_id().alias("seq"))
 
 
 def read_link_batches(spark: SparkSession, path: str) -> DataFrame:

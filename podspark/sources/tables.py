@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-
 BUCKETS = 256
 
 
@@ -47,9 +46,6 @@ def write_documents(documents: DataFrame, path: str) -> None:
     documents.write.mode("overwrite").json(path)
 
 
-
-
-
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder; a local one only where none is set."""
     context = spark.sparkContext
@@ -58,3 +54,10 @@ def shared_folder(spark: SparkSession) -> str:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
         known = context._jsc.sc().getCheckpointDir()
     return f"{known.get()}/{uuid.uuid4()}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written as a table into the shared folder and read from there: what is costly is computed once."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
