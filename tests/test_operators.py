@@ -15,7 +15,9 @@ from podspark.operators.transcripts import parse_responses, segments_of
 from podspark.sources import listings, prompts, seeds
 from podspark.sources import tables as S
 
-NOW = F.expr("timestamp'2024-01-01 00:00:00'")
+
+def now():
+    return F.expr("timestamp'2024-01-01 00:00:00'")
 
 
 def test_seed_files(spark, tmp_path):
@@ -34,7 +36,7 @@ def test_seed_files(spark, tmp_path):
 def test_link_batches(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"links": [{"video_id": " v1 ", "podcast": "p"}, {"video_id": "", "podcast": "p"}, {"video_id": "v1", "podcast": "p", "title": "T", "duration_seconds": 5}]}')
     links = seeds.read_link_batches(spark, str(tmp_path))
-    merged = merge.upsert_seed_links(spark.createDataFrame([], schemas.SEED_LINKS), links, NOW).collect()
+    merged = merge.upsert_seed_links(spark.createDataFrame([], schemas.SEED_LINKS), links, now()).collect()
     assert [(r.video_id, r.podcast, r.title, r.duration_seconds, r.url) for r in merged] == [("v1", "p", "T", 5, "")]
 
 
@@ -56,16 +58,16 @@ def test_upserts_fold_in_order_and_are_idempotent(spark):
     stamp = "timestamp'2023-01-01 00:00:00'"
     table = spark.createDataFrame(old, "video_id string, podcast string, title string, duration_seconds int, url string").select(F.concat("video_id", "podcast").alias("id"), "video_id", "podcast", "title", "duration_seconds", "url", F.expr(stamp).alias("created_at"), F.expr(stamp).alias("updated_at"))
     rows = spark.createDataFrame([(*r, k) for k, r in enumerate(new)], "video_id string, podcast string, title string, duration_seconds int, url string, seq long").repartition(5)
-    once = merge.upsert_seed_links(table, rows, NOW)
+    once = merge.upsert_seed_links(table, rows, now())
     key = lambda df: sorted((r.video_id, r.podcast, r.title, r.duration_seconds, r.url) for r in df.collect())
     assert key(once) == [tuple(r) for r in fold(old, new)]
-    assert key(merge.upsert_seed_links(once, rows, NOW)) == key(once)
+    assert key(merge.upsert_seed_links(once, rows, now())) == key(once)
 
 
 def test_null_titles_stay_and_last_podcast_wins(spark):
     old = spark.createDataFrame([("i", "v", None, None, None, "p", None, None, None)], schemas.VIDEOS)
     new = spark.createDataFrame([("v", "", None, None, "q", None, 1), ("v", "", 5, "c", None, None, 2), ("w", None, None, None, "r", None, 1)], "video_id string, title string, duration_seconds int, channel_id string, podcast string, published_at timestamp, seq long")
-    got = {r.video_id: r for r in merge.upsert_videos(old, new, NOW).collect()}
+    got = {r.video_id: r for r in merge.upsert_videos(old, new, now()).collect()}
     assert got["v"].title is None and got["v"].duration_seconds == 5 and got["v"].id == "i" and got["w"].title == "" and got["w"].podcast == "r"
 
 
@@ -78,7 +80,7 @@ def test_responses_and_segments(spark):
     parsed = parse_responses(spark.createDataFrame(cases, "video_id string, response string"))
     got = {r.video_id: (r.raw_text, r.timestamped) for r in parsed.collect()}
     assert got == {"a": ("hello", "00:00:01 Speaker: x\n00:00:01 1: y"), "b": ("", ""), "c": ("", ""), "d": ("only text", "only text"), "e": ("t", ""), "f": ("", "")}
-    segments = [(float(r.start_time_sec), float(r.end_time_sec), r.text, r.speaker_label) for r in segments_of(parsed, NOW).collect()]
+    segments = [(float(r.start_time_sec), float(r.end_time_sec), r.text, r.speaker_label) for r in segments_of(parsed, now()).collect()]
     assert sorted(segments) == [(1.5, 2.0, "x", ""), (4.0, 5.0, "", "")]
 
 
