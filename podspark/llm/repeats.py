@@ -22,13 +22,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from podspark.llm.arrow_text import SpanHash, mix64, slices, text_bytes
 from podspark.llm.common import cut
 
 PART = 4 << 20
+#: Window starts that are worked on at a time; a longer run of elements is cut, which only cuts spans.
+SEGMENT = 1 << 24
 NULL_KEY = -(1 << 63)
 #: bytes and offsets of texts -> one 64-bit code per element, and offsets in elements
 Encode = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -38,12 +40,18 @@ def spans_of(codes: np.ndarray, at: np.ndarray, width: int, gram: int) -> tuple[
     """First and last window start (absolute), gram hash and content hash of every span."""
     n = len(codes)
     none = np.empty(0, np.int64)
+    if n - width >= SEGMENT:
+        parts = []
+        for s in range(0, n - width + 1, SEGMENT):
+            part = codes[s : s + SEGMENT + width - 1]
+            lo, hi, grams, content = spans_of(part, np.unique(np.clip(at - s, 0, len(part))), width, gram)
+            parts.append((lo + s, hi + s, grams, content))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     if n < width:
         return none, none, none.view(np.uint64), none.view(np.uint64)
     hashes = SpanHash(codes)
     place = np.arange(n - gram + 1)
     low = np.uint64((1 << 26) - 1)
-    assert n <= 1 << 26, "a task works on fewer elements at a time"
     least = (hashes.of(place, place + gram) & ~low) | place.astype(np.uint64)
     choices, have = width - gram + 1, 1
     while have * 2 <= choices:
@@ -119,9 +127,7 @@ def _marks(rows: DataFrame, encode: Encode, width: int, gram: int) -> DataFrame:
             if len(owner):
                 yield pa.RecordBatch.from_arrays([pa.array(mix64(owner.astype(np.uint64)).view(np.int64)), pa.nulls(len(owner), pa.int64()), pa.array(owner), pa.array(start), pa.array(end)], names)
 
-    # A third of all rows under one gram is at most one row per task, gram and surrounding here.
-    from pyspark.sql import Window
-
+    # Equal spans of a task are one row here, so a passage in a third of all documents is a row per task.
     spans = rows.mapInArrow(run, "gram bigint, content bigint, key bigint, lo bigint, hi bigint").repartition("gram")
     least = F.min(F.struct("key", "lo")).over(Window.partitionBy("gram", "content"))
     by_gram = Window.partitionBy("gram")

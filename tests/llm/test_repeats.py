@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from podspark.llm import substring_dedup, suffix_dedup
+from podspark.llm import repeats, substring_dedup, suffix_dedup
 from podspark.llm.suffix_dedup import common_prefixes, suffix_array
 
 SCHEMA = "doc_id bigint, text string, key string, content string, gram int, lo int"
@@ -111,6 +111,20 @@ def test_suffix_array_and_common_prefixes():
             assert lcp[k] == min(n, 100)
 
 
+def test_long_runs_are_cut_without_losing_windows(monkeypatch):
+    rng = np.random.default_rng(5)
+    codes = rng.integers(1, 4, 3000).astype(np.uint64)
+    at = np.array([0, 700, 700, 705, 1900, 3000])
+    starts = lambda spans: sorted(p for lo, hi, *_ in zip(*spans, strict=True) for p in range(lo, hi + 1))
+    whole = repeats.spans_of(codes, at, 20, 8)
+    monkeypatch.setattr(repeats, "SEGMENT", 64)
+    cut = repeats.spans_of(codes, at, 20, 8)
+    want = [p for a, b in zip(at[:-1], at[1:], strict=True) for p in range(a, b - 19)]
+    assert starts(whole) == starts(cut) == want
+    gram = lambda spans: {p: g for lo, hi, g, _ in zip(*spans, strict=True) for p in range(lo, hi + 1)}
+    assert gram(whole) == gram(cut)
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert suffix_dedup.dedup(none).collect() == [] and substring_dedup.dedup(none).collect() == []
