@@ -65,7 +65,8 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
         at = body.select("*", F.size("words").alias("n_words"), F.posexplode("words").alias("pos", "word")).join(prefix, "word").filter(fits)
     else:
         at = body.select(key, "text_hash", F.size("words").alias("n_words"), F.posexplode("words").alias("pos", "word")).join(prefix, "word").filter(fits)
-        at = at.select(key, "text_hash", "pos", "offset", "window", "items").join(body.dropDuplicates([key, "text_hash"]), [key, "text_hash"])
+        # By the text alone: a null key equals nothing in a join.
+        at = at.select(key, "text_hash", "pos", "offset", "window", "items").join(body.select("text_hash", "words").dropDuplicates(["text_hash"]), "text_hash")
     return at.filter(F.slice("words", start + 1, F.size("window")) == F.col("window")).select(key, "text_hash", start.alias("start"), F.size("window").alias("length"), "items")
 
 

@@ -71,6 +71,17 @@ def test_decontamination_on_odd_rows(spark):
     assert decontaminate.decontaminate(docs.limit(0), items).collect() == []
 
 
+def test_decontamination_finds_hits_without_an_id(spark, monkeypatch):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    items = spark.createDataFrame([(1, item)], "item_id int, text string")
+    docs = spark.createDataFrame([(None, f"x {item}"), (None, f"{item} y"), (None, "clean"), (None, None), (1, f"x {item}"), (2, "clean")], "doc_id int, text string")
+    for most in (50_000, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
+        got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.contaminated) for r in decontaminate.decontaminate(docs, items).collect())
+        assert got == [(0, 0, 0, False), (0, 1, 0, False), (0, 13, 12, True), (0, 13, 12, True), (1, 13, 12, True), (2, 1, 0, False)]
+        assert decontaminate.matches(docs, items).filter("doc_id is null").select("text_hash").distinct().count() == 2
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/x">X</a></li></ul></nav><!-- ad <p>no</p> --><div class="ad">Buy</div>
 <article><header><h1>Caf&eacute; &amp;  more</h1></header><p><b>One <i>two</i><br>three.<br><p>Four&nbsp;five<p>Six <script>no()</script>seven</p>
