@@ -134,6 +134,42 @@ def plain_hits(docs, items):
     return {i for i, t in docs for w in (words(t),) for n in sizes if any(tuple(w[k : k + n]) in windows for k in range(len(w) - n + 1))}
 
 
+def plain_groups(docs, width=5, percent=80):
+    """Groups of row numbers joined by Jaccard similarity of their shingles, by all pairs; texts without words are alone."""
+    sets = []
+    for t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set())
+    group = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            if group[a] != group[b] and sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    return group
+
+
+def test_near_copies_go_at_five_words_and_80_percent(spark):
+    words = lambda k: [f"w{k}x{n}" for n in range(100)]
+
+    def changed(k, *places):
+        return " ".join("new" if n in places else w for n, w in enumerate(words(k)))
+
+    # 86/106 = 0.811 (0.848 in shingles of four words), 81/111 = 0.730, and a chain.
+    texts = [changed(0), changed(0, 30, 60), changed(1), changed(1, 20, 45, 70), changed(2), changed(2, 30), changed(2, 30, 60), changed(2, 30, 60, 80)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    want = {min(i for i, h in enumerate(g) if h == x) for g in [plain_groups(texts)] for x in g}
+    assert want == {0, 2, 3, 4}
+    assert {r.doc_id for r in corpus_pipeline.join_near_copies(spark, docs, DATA).collect()} == want
+
+
+def test_near_copies_of_the_tables_equal_all_pairs(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    group = plain_groups([t for _, t in rows])
+    want = {min(i for (i, _), h in zip(rows, group, strict=True) if h == g) for g in set(group)}
+    assert {r.doc_id for r in corpus_pipeline.join_near_copies(spark, docs, DATA).collect()} == want
+
+
 def test_pipeline_stages_equal_plain_versions(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     odd = spark.createDataFrame([(9001, None, None, None, None), (9002, "", "en", "s", 0), (9003, "12 34", "en", "s", 5)], docs.schema)
