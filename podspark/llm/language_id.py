@@ -12,6 +12,11 @@ language is null teach nothing; with no labelled row at all every text is ``und`
 language every text with a letter gets it with score 1; repeated rows are predicted alike; an
 empty table gives an empty result; other input columns are dropped.  Texts of any length are
 read whole.
+
+Every text with a letter gets the nearest language that was learnt.  Whether it is in that language
+at all is another question, which ``profile`` and ``in_language`` answer: the letter trigrams of all
+labelled rows are counted by language, and a text's mean log-probability under its language's counts
+must come nearer to that of the language's own texts than to that of the other languages' texts.
 """
 
 from __future__ import annotations
@@ -40,6 +45,15 @@ FAMILIES = {
 PER_LANGUAGE = 400
 BITS = 12
 UNKNOWN = "und"
+#: Bits of a profile's trigram hash, and what an unseen trigram counts.
+PROFILE_BITS = 14
+UNSEEN = 0.1
+#: How far on the way from its language's own mean to the other languages' mean a text may lie, and
+#: the standard errors by which a short text may lie farther.
+FAR = 0.8
+ERRORS = 2.0
+#: Part of a language's mean share of letters that a text must have.
+LETTERS = 1 / 3
 
 
 def family(lang: str) -> str:
@@ -212,3 +226,93 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str | Column], tex
 
     schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(run, schema)
+
+
+class Profile(NamedTuple):
+    """By language: log-probabilities of trigrams, least mean of a text, spread of one trigram, least share of letters."""
+
+    langs: list[str]
+    logs: np.ndarray
+    least: np.ndarray
+    spread: np.ndarray
+    letters: np.ndarray
+
+
+def letter_trigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed trigrams ending at a letter, the text each belongs to, and letters and other visible bytes per text."""
+    n = len(at) - 1
+    c = _CLASS[LOWER[data]]
+    starts = at[:-1][at[1:] > at[:-1]]
+    before, earlier = np.zeros_like(c), np.zeros_like(c)
+    before[1:] = c[:-1]
+    before[starts] = 0
+    earlier[1:] = before[:-1]
+    earlier[starts] = 0
+    hashed = ((c + before * np.uint32(160) + earlier * np.uint32(25600)) * np.uint32(2654435761)) >> np.uint32(32 - PROFILE_BITS)
+    of = np.repeat(np.arange(n), np.diff(at))
+    letter = c > 0
+    return hashed[letter], of[letter], np.bincount(of[letter], minlength=n), np.bincount(of[~letter & (data > 0x20)], minlength=n)
+
+
+def profile(docs: DataFrame, text: str = "text", lang: str = "lang") -> Profile | None:
+    """Trigram profiles of all labelled rows, and the bounds that they give."""
+    size = 1 << PROFILE_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 4 << 20):
+            names, label = np.unique(np.array(part.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
+            grams_, of, _, others = letter_trigrams(*text_bytes(part.column("text")))
+            # The last place counts what is visible and no letter.
+            counts = np.zeros((len(names), size + 1), np.int64)
+            for k in range(len(names)):
+                counts[k, :size] = np.bincount(grams_[label[of] == k], minlength=size)
+                counts[k, size] = others[label == k].sum()
+            row, gram = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(names[row].tolist(), pa.string()), pa.array(gram), pa.array(counts[row, gram])], ["lang", "gram", "n"])
+
+    labelled = docs.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    got = labelled.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    langs, row = np.unique(np.array(got.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
+    if not len(langs):
+        return None
+    counts = np.zeros((len(langs), size + 1))
+    counts[row, got.column("gram").to_numpy()] = got.column("n").to_numpy()
+    counts, others = counts[:, :size], counts[:, size]
+    total = counts.sum(1)
+    room = np.log(total + UNSEEN * size)[:, None]
+    logs = np.log(counts + UNSEEN) - room
+    # A language's own occurrences are each judged by the counts without it.
+    own = np.log(np.maximum(counts - 1, 0) + UNSEEN) - room
+    each = np.maximum(total, 1)
+    mean = (counts * own).sum(1) / each
+    spread = np.sqrt((counts * (own - mean[:, None]) ** 2).sum(1) / each)
+    # How the other languages' texts look here, languages weighed alike; with no other one, letters at random.
+    shares = counts[total > 0] / total[total > 0, None]
+    under = logs @ shares.T
+    others_mean = logs.mean(1)
+    for k in range(len(langs)):
+        rest = under[k][np.flatnonzero(total > 0) != k]
+        if len(rest):
+            others_mean[k] = rest.mean()
+    return Profile(langs.tolist(), logs.astype(np.float32), mean + FAR * (others_mean - mean), spread, LETTERS * total / np.maximum(total + others, 1))
+
+
+def in_language(found: DataFrame, known: Profile | None, text: str = "text") -> DataFrame:
+    """The rows whose text is in the language ``lang_pred``."""
+    if known is None:
+        return found.limit(0)
+    shared = found.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared.value
+        place = {name: k for k, name in enumerate(p.langs)}
+        for part in slices(batches, text, 1 << 20):
+            lang = np.array([place.get(x, -1) for x in part.column("lang_pred").to_pylist()], np.int64)
+            grams_, of, letters, others = letter_trigrams(*text_bytes(part.column(text)))
+            mean = np.bincount(of, p.logs[lang[of], grams_], len(lang)) / np.maximum(letters, 1)
+            fits = (lang >= 0) & (letters > 0)
+            fits &= mean >= p.least[lang] - ERRORS * p.spread[lang] / np.sqrt(np.maximum(letters, 1))
+            fits &= letters >= p.letters[lang] * (letters + others)
+            yield part.filter(pa.array(fits))
+
+    return found.mapInArrow(run, found.schema)

@@ -134,6 +134,41 @@ def plain_hits(docs, items):
     return {i for i, t in docs for w in (words(t),) for n in sizes if any(tuple(w[k : k + n]) in windows for k in range(len(w) - n + 1))}
 
 
+FOREIGN = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    "人人生而自由在尊严和权利上一律平等他们赋有理性和良心",
+    "qzx vkjw pqrt zzxk bvnm wqpl kjhg xcvz mnbq wert plok qaz wsx edc rfv",
+    "aGVsbG8gd29ybGQgdGhpcyBpcyBhIHRlc3Qgb2YgYmFzZTY0IGVuY29kaW5nIGFuZCBzbyBvbg",
+    "### 12 34 56 $$$ 78 90 the 1234 5678 &&& %%% 9999",
+]
+FAMILIAR = [
+    "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience.",
+    "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt.",
+    "the",
+    "Tel. 0170 555: the cat and the dog went to the house",
+]
+
+
+def test_language_stage_rejects_what_is_in_no_labelled_language(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    added = [(9100 + k, t, None, "s", len(t)) for k, t in enumerate(FOREIGN)] + [(9200 + k, t, None, "s", len(t)) for k, t in enumerate(FAMILIAR)]
+    got = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.unionByName(spark.createDataFrame(added, docs.schema)), DATA).collect()}
+    assert not {i for i in got if 9100 <= i < 9200}
+    assert {r.doc_id for r in docs.collect()} <= got and {9200 + k for k in range(len(FAMILIAR))} <= got
+
+
+def test_language_stage_with_one_language_and_with_none(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").filter("lang = 'en'")
+    junk = spark.createDataFrame([(9100 + k, FOREIGN[k], None, "s", 1) for k in (4, 5, 6, 7)], docs.schema)
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.unionByName(junk), DATA).collect()} == {r.doc_id for r in docs.collect()}
+    assert corpus_pipeline.identify_language(spark, junk, DATA).collect() == []
+    assert corpus_pipeline.identify_language(spark, docs.limit(0), DATA).collect() == []
+
+
 def plain_groups(docs, width=5, percent=80):
     """Groups of row numbers joined by Jaccard similarity of their shingles, by all pairs; texts without words are alone."""
     sets = []
