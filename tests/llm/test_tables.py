@@ -205,6 +205,38 @@ def test_near_copies_of_the_tables_equal_all_pairs(spark):
     assert {r.doc_id for r in corpus_pipeline.join_near_copies(spark, docs, DATA).collect()} == want
 
 
+def test_one_row_of_each_group_stays(spark, monkeypatch):
+    text = lambda k, *places: " ".join("new" if n in places else f"w{k}x{n}" for n in range(100))
+    rows = [(1, text(0)), (1, text(0)), (1, text(0)), (2, text(0, 50)), (None, text(0)), (None, text(1)), (None, text(1)), (None, text(1, 50)), (None, text(2))]
+    # An id with two texts, one of them a copy; ids that are missing come last; texts without words stay.
+    rows += [(3, text(3)), (4, text(3)), (4, text(4)), (None, text(5)), (9, text(5, 50)), (7, None), (7, None), (8, ""), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    for most in (500_000, 0):
+        monkeypatch.setattr(corpus_pipeline, "BROADCAST_KEYS", most)
+        got = [(r.doc_id, r.text) for r in corpus_pipeline.join_near_copies(spark, docs, DATA).collect()]
+        worded = Counter((i, t.split("x")[0]) for i, t in got if t and t.strip())
+        assert worded == Counter([(1, "w0"), (None, "w1"), (None, "w2"), (3, "w3"), (4, "w4"), (9, "w5")])
+        assert Counter(i for i, t in got if not (t and t.strip())) == Counter({7: 2, 8: 1, None: 1})
+        assert (9, text(5, 50)) in got and len(got) == 10
+    assert corpus_pipeline.join_near_copies(spark, docs.limit(0), DATA).collect() == []
+
+
+def test_each_row_is_mixed_by_itself(spark, monkeypatch):
+    # Two sources of equal rows: the targets fall between whole copies of a source.
+    rows = [(1, "a b c d", "x")] * 40 + [(None, f"n{k} b c d", "y") for k in range(41)] + [(2, "p q r s", "y"), (2, "t u v w", "y"), (3, None, "x"), (3, None, "x")]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    goals = {r.source: r.target for r in mixing.mix(docs).collect()}
+    for most in (500_000, 0):
+        monkeypatch.setattr(corpus_pipeline, "BROADCAST_KEYS", most)
+        got = corpus_pipeline.mix_sources(spark, docs, DATA).collect()
+        taken = Counter()
+        for r in got:
+            assert r.taken == 4 * r.copies and r.copies > 0
+            taken[r.source] += r.taken
+        assert all(abs(taken[s] - goal) <= 4 / 2 + 1 for s, goal in goals.items())
+        assert len(got) <= len(rows) and all(n == 1 for (i, t), n in Counter((r.doc_id, r.text) for r in got).items() if i is None)
+
+
 def test_pipeline_stages_equal_plain_versions(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     odd = spark.createDataFrame([(9001, None, None, None, None), (9002, "", "en", "s", 0), (9003, "12 34", "en", "s", 5)], docs.schema)
