@@ -2,31 +2,37 @@
 
 Two sets of a and b shingles reach the threshold t only if they differ in at most
 (1 - t) / (1 + t) * (a + b) shingles.  Sizes are cut into bands; for the larger set's band that
-bound is a number k.  The shingle domain is hashed into n >= (k + 1) / 2 partitions, so in at least
-one of them two similar sets differ in one shingle at the most; each partition is hashed into
-three parts, and for each two of the three a signature is taken: the two sets share one.  A set signs for
-its own band, and for the next one if a partner there can be similar.  Two more partitions than
-needed let every set leave out one partition in which it has an empty signature.
+bound is a number k.  The shingle domain is hashed into n partitions of m parts each; two similar sets
+differ in few enough shingles that in at least one partition at most j parts differ, so for every choice
+of m - j parts of a partition there is a signature, and the two sets share one.  A set signs for its own band, and
+for the next one if a partner there can be similar.  For each band (n, m, j) is the cheapest choice with which
+hardly any set has a signature of no shingles; where n is large, two more partitions than needed let
+every set leave out one partition in which it has such a signature.
 
 Sets are classes of equal shingle sets, so copies never meet.  Classes that share a signature are
-compared in rounds with a centre per signature, the class that shares most signatures overall;
-links join components; what is left is compared only between members of different components, so a
-large group of near copies costs about one comparison per member, and no link between components is lost.
-The rest of a signature is compared by sketches in blocks of bounded size, and only pairs that the sketches
-allow leave a block.
+compared in rounds with a centre per signature, the class that shares most signatures overall; links
+join components, and only members of different components go on, so a large group of near copies
+costs about one comparison per member.  What is left of a signature is compared in one task if it has at most
+``BLOCK`` members.  The classes of larger ones sign again, with the domain hashed in another way: two similar
+classes share a signature then as well, while those that had met by chance are dealt out anew.  Only what
+is still too large after ``LEVELS`` such turns is compared block by block.
 
 Before texts are compared, sketches are: the parities of the shingles' hash counts.  Sets that differ in d
 shingles differ in at most d parities, so a pair beyond the bound is none; the others are verified exactly.
 
-Defined results: null, empty and wordless texts have size 0, no links and their own component;
-fewer words than a shingle has make one shingle; repeated rows share a class; rows with the same key
-share a component; a row with a null key may link others but its component is named after it by null only if alone;
-an empty table gives an empty result; texts of any length are read whole; other columns are dropped.
+Defined results: null, empty and wordless texts have size 0, no links and their own component; fewer words
+than a shingle has make one shingle; every row counts by its own text, so rows with the same key and different
+texts link as their texts do; a component is named after its least key that is not null, one of null keys alone
+by null; keys may be of any type that can be ordered; an empty table gives an empty result; texts of any length
+are read whole; other columns are dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +46,20 @@ WORDS = 4
 PERCENT = 85
 #: Bands of set sizes: each reaches to this multiple of its start.
 RATIO = 1.4
-#: Rounds with one centre per signature before the rest is compared, and members in a block of the rest.
+#: Signatures that a set of a low band may have, and how many of them may hold no shingle, on average.
+MOST_SIGNATURES = 64
+MOST_EMPTY = 0.01
+#: Rounds with one centre per signature, members of a signature compared in one task, and turns of new signatures.
 ROUNDS = 3
 BLOCK = 256
+LEVELS = 4
 #: Texts that have to be compared are picked by a broadcast of their keys only up to this number.
 BROADCAST_KEYS = 500_000
-NULL_KEY = -(1 << 63)
-_SUBS = 3
+#: Partners of one class that are compared with it in one task.
+PARTNERS = 512
+#: Bytes of text that a task works on at a time, and of a sketch at most.
+PART = 1 << 20
+SKETCH = 2048
 
 
 def shingles(data: np.ndarray, at: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +82,8 @@ def shingles(data: np.ndarray, at: np.ndarray, words: int = WORDS) -> tuple[np.n
     return every[new], np.searchsorted(text[new], np.arange(len(count) + 1))
 
 
-def bands(percent: int = PERCENT, ratio: float = RATIO, upto: int = 1 << 40) -> np.ndarray:
+@lru_cache(maxsize=8)
+def bands(ratio: float = RATIO, upto: int = 1 << 40) -> np.ndarray:
     """Starts of the size bands."""
     out = [1]
     while out[-1] < upto:
@@ -77,56 +91,83 @@ def bands(percent: int = PERCENT, ratio: float = RATIO, upto: int = 1 << 40) ->
     return np.array(out)
 
 
-def partitions(start: np.ndarray, percent: int = PERCENT, spare: int = 2) -> np.ndarray:
-    """Number of partitions in each band but the last; 0 if only equal sets can be similar."""
-    top = start[1:] - 1
-    most = 2 * top * (100 - percent) // (100 + percent)
-    need = (most + 2) // 2
-    return np.where(most == 0, 0, np.where(need >= 6, need + spare, need))
+@lru_cache(maxsize=8)
+def plans(percent: int = PERCENT, ratio: float = RATIO) -> tuple[tuple[int, int, int, int], ...]:
+    """For each band (but the last) the partitions, parts, parts left out, and partitions a set may leave out.
 
-
-def signatures(sets: np.ndarray, at: np.ndarray, percent: int = PERCENT, ratio: float = RATIO) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of every set, and the number of the set each belongs to."""
+    No partitions where only equal sets can be similar.
+    """
+    start = bands(ratio)
+    out = []
+    for low, high in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+        most = 2 * (high - 1) * (100 - percent) // (100 + percent)
+        least = -(-low * percent // 100)  # the smallest set that signs for this band
+        if not most:
+            out.append((0, 3, 1, 0))
+            continue
+        need = (most + 2) // 2
+        if need >= 6:
+            out.append((need + 2, 3, 1, 1))
+            continue
+        ways = []
+        for j in range(5):
+            n = -(-(most + 1) // (j + 1))
+            for m in range(j + 1, j + 6):
+                empty = (1 - (m - j) / (n * m)) ** least
+                if n * comb(m, j) <= MOST_SIGNATURES:
+                    many = n * comb(m, j) * empty > MOST_EMPTY
+                    ways.append((many, empty if many else 0.0, n * comb(m, j), n, m, j))
+        out.append((*min(ways)[3:], 0))
+    return tuple(out)
+
+
+def _signatures_of(plan: tuple[int, int, int, int], salt: np.ndarray, items: np.ndarray, of: np.ndarray, n_sets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets (``items``, each in set ``of``) under one plan."""
+    n, m, j, may_leave = plan
+    place = mix64(items ^ salt)
+    part = ((place >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
+    cell = (of * n + part) * m + ((place & np.uint64(0xFFFFF)) % np.uint64(m)).astype(np.int64)
+    order = np.argsort(cell, kind="stable")
+    edge = np.flatnonzero(np.r_[True, np.diff(cell[order]) != 0])
+    total, full = np.zeros(n_sets * n * m, np.uint64), np.zeros(n_sets * n * m, bool)
+    total[cell[order][edge]] = np.add.reduceat(mix64(place + np.uint64(1))[order], edge)
+    full[cell] = True
+    total, full = total.reshape(-1, m), full.reshape(-1, m)
+    row_set, row_part = np.repeat(np.arange(n_sets), n), np.tile(np.arange(n), n_sets)
+    choices = list(combinations(range(m), m - j))
+    keep = np.ones(len(row_set), bool)
+    if may_leave:
+        # The first partition with an empty signature is left out.
+        empty = np.zeros(len(row_set), bool)
+        for c in choices:
+            empty |= ~full[:, c].any(1)
+        e = np.flatnonzero(empty)
+        if len(e):
+            keep[e[np.r_[True, np.diff(row_set[e]) != 0]]] = False
+    name = mix64(salt + row_part.astype(np.uint64) * np.uint64(1000))
+    sigs = [mix64(total[keep][:, c].sum(1, dtype=np.uint64) ^ mix64(name[keep] + np.uint64(x))) for x, c in enumerate(choices)]
+    return np.concatenate(sigs), np.tile(row_set[keep], len(choices))
+
+
+def signatures(sets: np.ndarray, at: np.ndarray, percent: int = PERCENT, ratio: float = RATIO, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of every set, and the number of the set each belongs to; another ``level`` hashes the domain in another way."""
     size = np.diff(at)
-    start = bands(percent, ratio)
-    count = partitions(start, percent)
+    start, plan = bands(ratio), plans(percent, ratio)
     own = np.searchsorted(start, size, "right") - 1
     out_sig, out_set = [], []
     for following in (0, 1):
         band = own + following
         # A larger partner in the next band has at most size * 100 / percent shingles.
-        uses = (size > 0) & (count[band] > 0) & (size * 100 >= start[band] * percent if following else True)
-        who = np.flatnonzero(uses)
-        if not len(who):
-            continue
-        n = count[band[who]]
-        items = np.concatenate([sets[a:b] for a, b in zip(at[who], at[who + 1], strict=True)])
-        of = np.repeat(np.arange(len(who)), size[who])
-        salt = mix64(band[who].astype(np.uint64) + np.uint64(77))
-        place = mix64(items ^ np.repeat(salt, size[who]))
-        part = (place >> np.uint64(20)) % n[of].astype(np.uint64)
-        cell_at = np.r_[0, np.cumsum(n * _SUBS)]
-        cell = cell_at[of] + part.astype(np.int64) * _SUBS + (place & np.uint64(0xFFFF)).astype(np.int64) % _SUBS
-        total = np.zeros(cell_at[-1], np.uint64)
-        np.add.at(total, cell, mix64(place + np.uint64(1)))
-        full = np.bincount(cell, minlength=cell_at[-1]).reshape(-1, _SUBS)
-        total = total.reshape(-1, _SUBS)
-        row_set = np.repeat(np.arange(len(who)), n)
-        row_part = np.arange(len(row_set)) - np.repeat(cell_at[:-1] // _SUBS, n)
-        left = full.sum(1)[:, None] - full  # items of the two parts other than the one left out
-        # One partition with an empty signature may be left out where there are spare ones.
-        empty = (left == 0).any(1)
-        may = (n >= 8)[row_set]
-        first_empty = np.zeros(len(row_set), bool)
-        e = np.flatnonzero(empty & may)
-        first_empty[e[np.r_[True, row_set[e][1:] != row_set[e][:-1]]] if len(e) else e] = True
-        base = total.sum(1)
-        name = mix64(np.repeat(salt, n) + row_part.astype(np.uint64) * np.uint64(3))
-        for x in range(_SUBS):
-            sig = mix64((base - total[:, x]) ^ (name + np.uint64(x)))
-            keep = ~first_empty
-            out_sig.append(sig[keep])
-            out_set.append(who[row_set[keep]])
+        uses = (size > 0) & (size * 100 >= start[band] * percent if following else True)
+        for b in np.unique(band[uses]).tolist():
+            if not plan[b][0]:
+                continue
+            who = np.flatnonzero(uses & (band == b))
+            items = np.concatenate([sets[x:y] for x, y in zip(at[who], at[who + 1], strict=True)])
+            salt = mix64(np.array([b + 77 + 1_000_003 * level], np.uint64))
+            sig, of = _signatures_of(plan[b], salt, items, np.repeat(np.arange(len(who)), size[who]), len(who))
+            out_sig.append(sig)
+            out_set.append(who[of])
     if not out_sig:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     return np.concatenate(out_sig), np.concatenate(out_set)
@@ -140,19 +181,27 @@ def _names(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"), F.col(text).alias("text"))
+    return docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"), F.col(text).alias("text"))
 
 
 def sketches(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """A bit for each of at least four hash values per shingle: the parity of the shingles that have it."""
+    """A bit for each of about four hash values per shingle: the parity of the shingles that have it."""
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        bits = max(64, 1 << (4 * (b - a) - 1).bit_length()) if b > a else 64
+        bits = min(8 * SKETCH, max(64, 1 << (4 * (b - a) - 1).bit_length())) if b > a else 64
         odd = np.bincount((sets[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
         out.append(np.packbits(odd.astype(bool)).tobytes())
     return out
 
 
+def fold(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch folded to ``size`` bytes."""
+    x = np.frombuffer(sketch, np.uint8)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def sketch_distance(x: bytes, y: bytes) -> int:
     """Parities in which two sketches differ; the longer one is folded to the length of the other."""
     size = min(len(x), len(y))
@@ -163,20 +212,21 @@ def classes(rows: DataFrame, words: int = WORDS) -> DataFrame:
     """Per row: ``key``, ``hash`` of the text, ``n_shingles``, ``node`` (its class of equal sets; null for an empty set), ``sketch``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(batches, "text", PART):
             sets, at = shingles(*text_bytes(part.column("text")), words)
             size = np.diff(at)
             columns = [part.column("key"), part.column("hash"), pa.array(size), pa.array(_names(sets, at), mask=size == 0), pa.array(sketches(sets, at), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "hash", "n_shingles", "node", "sketch"])
 
-    return rows.mapInArrow(run, "key bigint, hash bigint, n_shingles bigint, node bigint, sketch binary")
+    schema = rows.select("key", "hash").schema.add("n_shingles", "long").add("node", "long").add("sketch", "binary")
+    return rows.mapInArrow(run, schema)
 
 
-def members(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Classes that share a signature with others: ``sig``, ``node``, ``m`` (classes with that signature)."""
+def members(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, level: int = 0) -> DataFrame:
+    """Classes that share a signature with others: ``sig``, ``node``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(batches, "text", PART):
             sets, at = shingles(*text_bytes(part.column("text")), words)
             # Of equal sets in a task one signs.
             names = _names(sets, at)
@@ -184,14 +234,25 @@ def members(rows: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
             size = np.zeros(len(names), np.int64)
             size[first] = np.diff(at)[first]
             keep = np.repeat(size > 0, np.diff(at))
-            sig, of = signatures(sets[keep], np.r_[0, np.cumsum(size)], percent)
+            sig, of = signatures(sets[keep], np.r_[0, np.cumsum(size)], percent, level=level)
+            if not len(sig):
+                continue
+            # Of the classes here that share a signature, the first asks whether others have it; the rest are known to share it.
+            order = np.argsort(sig, kind="stable")
+            sig, node = sig[order].view(np.int64), names[of[order]]
+            new = np.r_[True, np.diff(sig) != 0]
+            several = ~new
+            several[:-1] |= ~new[1:]
+            kind = np.where(new, several.astype(np.int8), np.int8(2))
             for lo in range(0, len(sig), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(sig[lo : lo + 200_000].view(np.int64)), pa.array(names[of[lo : lo + 200_000]])], ["sig", "node"])
+                cut = slice(lo, lo + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(sig[cut]), pa.array(node[cut]), pa.array(kind[cut])], ["sig", "node", "kind"])
 
-    signed = rows.select("text").mapInArrow(run, "sig bigint, node bigint").repartition("sig")
-    by_sig = Window.partitionBy("sig")
-    shared = signed.withColumn("a", F.min("node").over(by_sig)).withColumn("b", F.max("node").over(by_sig)).filter("a <> b").select("sig", "node").dropDuplicates(["sig", "node"])
-    return shared.withColumn("m", F.count("*").over(by_sig))
+    # A hot signature sends one row per part of a task to the place where it is asked about; its other rows are spread.
+    signed = texts.select("text").mapInArrow(run, "sig bigint, node bigint, kind tinyint").withColumn("salt", F.when(F.col("kind") == 2, F.col("node")).otherwise(F.lit(0)))
+    together = Window.partitionBy("sig", "salt")
+    asked = signed.repartition("sig", "salt").withColumns({"lo": F.min("node").over(together), "hi": F.max("node").over(together), "known": F.max("kind").over(together)})
+    return asked.filter("lo <> hi or known > 0").select("sig", "node").dropDuplicates()
 
 
 def possible(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -201,33 +262,16 @@ def possible(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> Data
         for batch in batches:
             keep = []
             for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "s_a", "s_b")), strict=True):
-                small, large = sorted((n, m))
-                keep.append(100 * small >= percent * large and (100 + percent) * sketch_distance(x, y) <= (100 - percent) * (n + m))
+                keep.append((100 + percent) * sketch_distance(x, y) <= (100 - percent) * (n + m))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
-
-
-def fold(sketch: bytes, size: int) -> np.ndarray:
-    """A sketch folded to ``size`` bytes."""
-    x = np.frombuffer(sketch, np.uint8)
-    while len(x) > size:
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return x
+    sized = pairs.join(side("b"), "b").join(side("a"), "a").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return sized.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def possible_in_blocks(open_: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) within a signature and between components that sizes and sketches allow.
-
-    The members of a signature are numbered and cut into blocks; two blocks meet in one group of at
-    most twice ``BLOCK`` rows, so a group fits into a task whatever the size of the signature.
-    """
-    by_sig = Window.partitionBy("sig")
-    numbered = open_.withColumn("block", F.floor((F.row_number().over(by_sig.orderBy("node")) - 1) / BLOCK).cast("int")).withColumn("last", F.max("block").over(by_sig))
-    others = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
-    met = numbered.select("sig", "node", "root", "block", others).select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "root", "block")
-    rows = met.join(nodes.select("node", "n", "sketch"), "node").select("sig", "x", "y", "block", "node", "root", "n", "sketch")
+def _compare(percent: int):
+    """Pairs of one group that sketches allow, between different roots; of two blocks only pairs across them."""
 
     def compare(table: pa.Table) -> pa.Table:
         node, root, n, block = (table.column(c).to_numpy() for c in ("node", "root", "n", "block"))
@@ -237,7 +281,6 @@ def possible_in_blocks(open_: DataFrame, nodes: DataFrame, percent: int = PERCEN
         a, b = [], []
         same = len(set(block.tolist())) == 1
         for k in range(len(node)):
-            # In a meeting of two blocks, pairs within one block are left to that block's own group.
             rest = np.arange(k + 1, len(node)) if same else np.flatnonzero(block > block[k])
             rest = rest[(root[rest] != root[k]) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]))]
             far = np.bitwise_count(bits[rest] ^ bits[k]).sum(1, dtype=np.int64)
@@ -246,33 +289,61 @@ def possible_in_blocks(open_: DataFrame, nodes: DataFrame, percent: int = PERCEN
             b.append(np.maximum(node[rest], node[k]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return rows.groupBy("sig", "x", "y").applyInArrow(compare, "a bigint, b bigint").distinct()
+    return compare
+
+
+def possible_in_groups(open_: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) within signatures of at most ``BLOCK`` members and between components that sketches allow."""
+    rows = open_.join(nodes.select("node", "n", "sketch"), "node").select("sig", "node", "root", "n", "sketch", F.lit(0).alias("block"))
+    return rows.groupBy("sig").applyInArrow(_compare(percent), "a bigint, b bigint").distinct()
+
+
+def possible_in_blocks(open_: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The same for signatures of any size: members are cut into blocks, and two blocks meet in one group of at most twice ``BLOCK``."""
+    by_sig = Window.partitionBy("sig")
+    numbered = open_.withColumn("block", F.floor((F.row_number().over(by_sig.orderBy("node")) - 1) / BLOCK).cast("int")).withColumn("last", F.max("block").over(by_sig))
+    others = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
+    met = numbered.select("sig", "node", "root", "block", others).select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "root", "block")
+    rows = met.join(nodes.select("node", "n", "sketch"), "node").select("sig", "x", "y", "block", "node", "root", "n", "sketch")
+    return rows.groupBy("sig", "x", "y").applyInArrow(_compare(percent), "a bigint, b bigint").distinct()
+
+
+def texts_of(wanted: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node`` and the text of its representative, once, for the nodes in ``wanted``."""
+    keys, _ = broadcast_if_small(stored(wanted.join(nodes, "node").select("node", F.col("rep.key").alias("_key"), F.col("rep.hash").alias("hash"))), BROADCAST_KEYS)
+    found = rows.join(keys, "hash").filter(F.col("key").eqNullSafe(F.col("_key"))).select("node", "text")
+    return found.groupBy("node").agg(F.first("text").alias("text"))
 
 
 def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, by exact counts over whole texts."""
+    """The pairs (a, b) whose sets reach the threshold, by exact counts over whole texts.
+
+    A class and its partners come together in one stream, first the class itself; the partners of a class
+    that has very many are dealt out to several such streams.
+    """
     pairs = stored(possible(pairs, nodes, percent))
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted, _ = broadcast_if_small(asked.join(nodes, "node").select("node", "rep.key", "rep.hash"), BROADCAST_KEYS)
-    texts = rows.join(wanted, ["key", "hash"]).select("node", "text")
+    texts = stored(texts_of(asked, rows, nodes))
+    streams = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("streams"))
+    dealt = pairs.join(streams, "a").withColumn("part", F.pmod(F.col("b"), F.col("streams")))
+    heads = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("bigint").alias("b"), "text")
+    both = heads.unionByName(dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, np.empty(0, np.uint64)
-        for batch in batches:
-            for part in slices(iter([batch]), "text_b", 1 << 20):
-                sets, at = shingles(*text_bytes(part.column("text_b")), words)
-                a, ok = part.column("a").to_pylist(), []
-                for k in range(part.num_rows):
-                    if a[k] != last:
-                        last, (mine, _) = a[k], shingles(*text_bytes(part.column("text_a").slice(k, 1)), words)
-                    both = len(np.intersect1d(mine, sets[at[k] : at[k + 1]], assume_unique=True))
-                    ok.append(both > 0 and 100 * both >= percent * (len(mine) + int(at[k + 1] - at[k]) - both))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    # A centre's text is read once for all its partners: those come together, sorted.
-    with_b = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b").select("a", "b", "text_b")
-    both = with_b.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").sortWithinPartitions("a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+        mine = np.empty(0, np.uint64)
+        for part in slices(batches, "text", PART):
+            sets, at = shingles(*text_bytes(part.column("text")), words)
+            ok = []
+            for k, b in enumerate(part.column("b").to_pylist()):
+                if b is None:
+                    mine = sets[at[k] : at[k + 1]].copy()
+                    ok.append(False)
+                    continue
+                both = len(np.intersect1d(mine, sets[at[k] : at[k + 1]], assume_unique=True))
+                ok.append(both > 0 and 100 * both >= percent * (len(mine) + int(at[k + 1] - at[k]) - both))
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).select("a", "b", "text").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -290,45 +361,87 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def links(rows: DataFrame, nodes: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Enough links (a, b) between classes to join all classes that similarity joins."""
-    groups = stored(members(rows, words, percent))
-    # How much a class shares overall decides who is the centre of a signature.
-    weight = groups.groupBy("node").agg(F.sum(F.col("m") - 1).alias("weight"))
-    open_ = stored(groups.join(weight, "node").select("sig", "node", "weight", F.col("node").alias("root")))
-    found: DataFrame | None = None
-    done: DataFrame | None = None
-    by_sig = Window.partitionBy("sig")
-    for turn in range(ROUNDS + 1):
-        met = open_.withColumn("centre", F.max(F.struct("weight", "node", "root")).over(by_sig))
-        if turn < ROUNDS:
-            pairs = met.filter(F.col("centre.root") != F.col("root")).select(F.least("centre.node", "node").alias("a"), F.greatest("centre.node", "node").alias("b")).distinct()
-        else:
-            pairs = possible_in_blocks(open_, nodes, percent)
-        pairs = stored(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        new = verified(pairs, rows, nodes, words, percent)
-        found = stored(new if found is None else found.union(new))
-        done = pairs if done is None else done.union(pairs)
-        if turn == ROUNDS:
-            break
-        # Centres have met all others; a signature whose other members are in one component is settled.
-        roots = components(found)
-        left = met.filter(F.col("centre.node") != F.col("node")).select("sig", "node", "weight").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_ = stored(left.withColumn("lo", F.min("root").over(by_sig)).withColumn("hi", F.max("root").over(by_sig)).filter("lo <> hi").select("sig", "node", "weight", "root"))
-        if open_.isEmpty():
-            break
-    return found
+def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components after more links: only what the links join is worked on, by the roots known so far."""
+    if roots is None:
+        return components(links)
+    root_of = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias("_root")), c, "left").withColumn(c, F.coalesce("_root", c)).drop("_root")
+    moved = components(root_of(root_of(links, "a"), "b").filter("a <> b"))
+    lifted = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    return stored(lifted.unionByName(moved.join(roots, "node", "left_anti")))
+
+
+class _State:
+    """Components so far, and the pairs that have been compared."""
+
+    def __init__(self, rows: DataFrame, nodes: DataFrame, words: int, percent: int):
+        self.rows, self.nodes, self.words, self.percent = rows, nodes, words, percent
+        self.roots: DataFrame | None = None
+        self.done: DataFrame | None = None
+
+    def rooted(self, members_: DataFrame) -> DataFrame:
+        """``sig``, ``node`` and the current ``root``."""
+        plain = members_.drop("root")
+        if self.roots is None:
+            return plain.withColumn("root", F.col("node"))
+        return plain.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def compare(self, pairs: DataFrame) -> None:
+        pairs = stored(pairs if self.done is None else pairs.join(self.done, ["a", "b"], "left_anti"))
+        new = stored(verified(pairs, self.rows, self.nodes, self.words, self.percent))
+        self.done = pairs if self.done is None else self.done.union(pairs)
+        if not new.isEmpty():
+            self.roots = joined(self.roots, new)
+
+
+def _unsettled(open_: DataFrame, *more) -> DataFrame:
+    """Signatures whose members are in different components, with further aggregates."""
+    return open_.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *more).filter("lo <> hi").drop("lo", "hi")
+
+
+def similar_classes(rows: DataFrame, nodes: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame | None:
+    """``node`` and ``root`` of every class that is joined with another; None if there is none."""
+    state = _State(rows, nodes, words, percent)
+    texts, count = rows, None
+    for level in range(LEVELS):
+        groups = stored(members(texts, words, percent, level))
+        # How much a class shares overall decides who is the centre of a signature.
+        shared = groups.join(groups.groupBy("sig").agg(F.count("*").alias("m")), "sig").groupBy("node").agg(F.sum(F.col("m") - 1).alias("weight"))
+        open_ = stored(state.rooted(groups.join(shared, "node")))
+        for _ in range(ROUNDS):
+            centre = _unsettled(open_, F.max(F.struct("weight", "node", "root")).alias("centre"))
+            met = stored(open_.join(centre, "sig"))
+            if met.isEmpty():
+                return state.roots
+            state.compare(met.filter("centre.root <> root").select(F.least("centre.node", "node").alias("a"), F.greatest("centre.node", "node").alias("b")).distinct())
+            # A centre has met all others of its signature.
+            open_ = stored(state.rooted(met.filter("centre.node <> node").select("sig", "node", "weight")))
+        left = stored(open_.join(_unsettled(open_, F.count("*").alias("m")), "sig").select("sig", "node", "root", "m"))
+        state.compare(possible_in_groups(left.filter(F.col("m") <= BLOCK), nodes, percent))
+        hot = left.filter(F.col("m") > BLOCK).select("sig", "node")
+        again = stored(hot.select("node").distinct())
+        before, count = count, again.count()
+        if not count:
+            return state.roots
+        if level == LEVELS - 1 or before is not None and count > 0.8 * before:
+            state.compare(possible_in_blocks(state.rooted(hot), nodes, percent))
+            return state.roots
+        texts = stored(texts_of(again, rows, nodes))
+    return state.roots
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row: key, n_shingles, component_id (the least key reachable)."""
     rows = _keyed(docs, key, text)
     own = stored(classes(rows, words))
-    name = lambda c: F.nullif(c, F.lit(NULL_KEY))
-    # Rows of one key with one text stand for each other: a class has one representative.
-    nodes = own.filter("node is not null").groupBy("node").agg(F.min(F.struct("key", "hash", "sketch")).alias("rep"), F.min(name(F.col("key"))).alias("least"), F.first("n_shingles").alias("n"))
-    nodes = stored(nodes.withColumn("sketch", F.col("rep.sketch")))
-    roots = components(links(rows, nodes, words, percent))
-    named = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return own.join(ids, "node", "left").select(name(F.col("key")).alias(key), "n_shingles", F.coalesce("component_id", name(F.col("key"))).alias("component_id"))
+    # A class has one representative.
+    nodes = own.filter("node is not null").groupBy("node").agg(F.min(F.struct("key", "hash", "sketch")).alias("rep"), F.min("key").alias("least"), F.first("n_shingles").alias("n"))
+    nodes = stored(nodes.select("node", F.struct("rep.key", "rep.hash").alias("rep"), "least", "n", F.col("rep.sketch").alias("sketch")))
+    ids = nodes.select("node", F.col("least").alias("component_id"))
+    roots = similar_classes(rows, nodes, words, percent)
+    if roots is not None:
+        least = roots.join(ids, "node").groupBy("root").agg(F.min("component_id").alias("_least"))
+        linked = roots.join(least, "root").select("node", F.lit(True).alias("_linked"), "_least")
+        ids = ids.join(linked, "node", "left").select("node", F.when(F.col("_linked"), F.col("_least")).otherwise(F.col("component_id")).alias("component_id"))
+    found = own.select("key", "n_shingles", "node").join(ids, "node", "left")
+    return found.select(F.col("key").alias(key), "n_shingles", F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"))

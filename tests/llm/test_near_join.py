@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 from podspark.llm import near_join
 
 SCHEMA = "doc_id bigint, text string, node bigint, key string, hash string, sig int"
@@ -64,30 +66,32 @@ def test_equals_all_pairs(spark):
         assert got == brute(docs)
 
 
-def test_blocks_alone_find_the_same(spark, monkeypatch):
+def test_any_way_of_comparing_finds_the_same(spark, monkeypatch):
     docs = made(3)
     df = spark.createDataFrame([(i, t, 1, "k", "h", 2) for i, t in docs], SCHEMA).repartition(3)
     want = brute(docs)
-    for rounds, block in ((0, 3), (1, 256)):
-        monkeypatch.setattr(near_join, "ROUNDS", rounds)
-        monkeypatch.setattr(near_join, "BLOCK", block)
+    # Groups alone; blocks alone; new signatures, then blocks; streams of one partner.
+    for rounds, block, levels, partners in ((0, 256, 4, 512), (0, 3, 1, 512), (1, 2, 3, 1)):
+        for name, value in (("ROUNDS", rounds), ("BLOCK", block), ("LEVELS", levels), ("PARTNERS", partners)):
+            monkeypatch.setattr(near_join, name, value)
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_join.join(df).collect()) == want
 
 
-def test_repeated_rows_and_empty_table(spark):
+def test_repeated_rows_other_keys_and_empty_table(spark):
     text = "w1 w2 w3 w4 w5 w6 w7 w8"
-    df = spark.createDataFrame([(5, text, 1, "", "", 1), (5, text, 1, "", "", 1), (4, text.upper(), 1, "", "", 1), (None, text, 1, "", "", 1)], SCHEMA)
-    assert sorted(((r.doc_id, r.component_id) for r in near_join.join(df).collect()), key=str) == [(4, 4), (5, 4), (5, 4), (None, 4)]
+    df = spark.createDataFrame([(5, text, 1, "", "", 1), (5, text, 1, "", "", 1), (4, text.upper(), 1, "", "", 1), (None, text, 1, "", "", 1), (5, "other words", 1, "", "", 1), (None, "only null keys", 1, "", "", 1), (None, None, 1, "", "", 1)], SCHEMA)
+    want = [(4, 5, 4), (5, 1, 5), (5, 5, 4), (5, 5, 4), (None, 0, None), (None, 1, None), (None, 5, 4)]
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_join.join(df).collect()), key=str) == want
+    named = near_join.join(df.selectExpr("concat('d', doc_id) AS id", "text AS body"), key="id", text="body").collect()
+    assert sorted(((r.id, r.component_id) for r in named), key=str)[:3] == [("d4", "d4"), ("d5", "d4"), ("d5", "d4")]
     assert near_join.join(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
 def test_similar_sets_share_a_signature():
-    """Down to the exact threshold, at every size."""
-    import numpy as np
-
+    """Down to the exact threshold, at every size and level."""
     rng = np.random.default_rng(3)
     for size in [*range(7, 60), 100, 333, 1000, 4000]:
-        for _ in range(6):
+        for turn in range(6):
             a = rng.integers(1, 1 << 62, size, dtype=np.uint64)
             drop = int(rng.integers(0, size // 6 + 1))
             b = a[drop:]
@@ -97,5 +101,16 @@ def test_similar_sets_share_a_signature():
             if 100 * both < 85 * (size + len(b) - both):
                 continue
             a, b = np.sort(a), np.sort(b)
-            sig, of = near_join.signatures(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]))
+            sig, of = near_join.signatures(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]), level=turn % 3)
             assert set(sig[of == 0]) & set(sig[of == 1]), (size, drop, len(b))
+
+
+def test_sets_at_the_threshold_share_a_signature_for_80_percent():
+    rng = np.random.default_rng(4)
+    for size in [*range(5, 60), 200, 900]:
+        for _ in range(6):
+            a = rng.integers(1, 1 << 62, size, dtype=np.uint64)
+            drop = size // 9  # as many go as come: (s - d) / (s + d) >= 0.8
+            b = np.r_[a[drop:], rng.integers(1, 1 << 62, drop, dtype=np.uint64)]
+            sig, of = near_join.signatures(np.r_[np.sort(a), np.sort(b)], np.array([0, size, 2 * size]), percent=80)
+            assert size // 9 == 0 or set(sig[of == 0]) & set(sig[of == 1])
