@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 BLANK = r"[\s\x1c-\x1f]"
 #: Everything that ends a line.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-VIDEO_ID = r"(?:v=|youtu\.be/|/embed/)([A-Za-z0-9_-]{11})"
+# Where an id of eleven characters stands in a link, and the link of a video.
+VIDEO_ID = r"(?:v=|youtu\.be/|/embed/)([a-zA-Z0-9_-]{11})"
 WATCH = "https://www.youtube.com/watch?v="
 
 
@@ -106,6 +107,7 @@ def _tag(raw: Column, pattern: str) -> Column:
 
 
 def title_of(raw: Column) -> Column:
+    # The tags that answers are asked to use, here and below.
     return F.coalesce(strip(_tag(raw, "<title>([^<]*)</title>")), F.substring(strip(raw), 1, 120))
 
 

@@ -46,7 +46,7 @@ def title_requests(insights: DataFrame, template: Column) -> DataFrame:
 
 
 def timestamp_requests(insights: DataFrame, parsed: DataFrame, template: Column) -> DataFrame:
-    """Each insight with the whole timestamped transcript of its video; rendered just before the model step."""
+    """Each insight with the whole timestamped transcript of its video, which meets its insights once and is put into the prompts there."""
     told = insights.join(parsed.select("video_id", "timestamped"), "video_id")
     prompt = T.render(template, {"transcript": F.col("timestamped"), "insight": _described(F.col("description"), F.col("title"))})
     return told.filter(template != "").select(*_request("timestamps", prompt, "chunk_no", "pos"))
@@ -59,13 +59,16 @@ def framework_requests(insights: DataFrame, template: Column) -> DataFrame:
 
 
 def ask(requests: DataFrame, answer: Callable[[str, str], str]) -> DataFrame:
-    """Runs a function (kind, prompt) -> text over all requests, in batches, spread by request."""
+    """Runs a function (kind, prompt) -> text over all requests, in batches.
+
+    Prompts are rendered in the stage that asks: nothing is shuffled after a template has been filled.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"request_id": frame["request_id"], "raw": [answer(k, p) for k, p in zip(frame["kind"], frame["prompt"], strict=True)]})
 
-    return requests.select("request_id", "kind", "prompt").repartition("request_id").mapInPandas(run, "request_id string, raw string")
+    return requests.select("request_id", "kind", "prompt").mapInPandas(run, "request_id string, raw string")
 
 
 def answered(requests: DataFrame, answers: DataFrame) -> DataFrame:

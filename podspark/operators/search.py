@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from podspark.sources.tables import stored
+
 ATTRIBUTES = ("title", "description", "framework_markdown")
 FILTERS = ("podcast", "category", "video_id")
 SORTABLE = ("start_time_sec", "title", "category")
@@ -57,9 +59,9 @@ def matching(documents: DataFrame, q: str) -> DataFrame:
 
 
 def search(documents: DataFrame, q: str = "", filters: dict[str, str | None] | None = None, sort: str | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """The hits in order, with ``total`` (hits before the limit) on each."""
+    """The hits in order, with ``total`` (hits before the limit) on each; the documents are searched once."""
     order = sort_columns(sort)
-    hits = matching(filtered(documents, filters or {}), q)
+    hits = stored(matching(filtered(documents, filters or {}), q))
     total = hits.agg(F.count("*").alias("total"))
     ranked = hits.orderBy(*order, "attribute", F.col("occurrences").desc(), "id").limit(checked_limit(limit))
     return ranked.crossJoin(F.broadcast(total)).orderBy(*order, "attribute", F.col("occurrences").desc(), "id")
@@ -71,7 +73,7 @@ def batch_search(documents: DataFrame, queries: DataFrame, k: int = DEFAULT_LIMI
     Postings hold each term of a document once; a query meets a document by its rarest term and the
     other terms are compared there, so frequent words are never joined on.
     """
-    post = documents.select("id", *[terms(F.col(a)).alias(f"t{k}") for k, a in enumerate(ATTRIBUTES)])
+    post = stored(documents.select("id", *[terms(F.col(a)).alias(f"t{k}") for k, a in enumerate(ATTRIBUTES)]))
     every = F.concat(*[F.col(f"t{k}") for k in range(len(ATTRIBUTES))])
     asked = queries.select("query_id", F.array_distinct(terms(F.col("q"))).alias("asked")).filter(F.size("asked") > 0)
     words = asked.select(F.explode("asked").alias("term")).distinct()

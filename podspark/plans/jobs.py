@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podspark import schemas
@@ -18,7 +18,11 @@ from podspark.operators import merge
 from podspark.operators.chunks import chunks
 from podspark.operators.transcripts import parse_responses, segments_of, transcriptions_of
 from podspark.sources import listings as L
-from podspark.sources.tables import stored
+from podspark.sources import seeds as S
+from podspark.sources.tables import broadcast_if_small, stored
+
+#: Shows with a channel are broadcast only up to this number.
+BROADCAST_CHANNELS = 100_000
 
 
 class Tables(NamedTuple):
@@ -39,9 +43,15 @@ def seed_csvs(tables: Tables, links: DataFrame, now: Column) -> Tables:
     return tables._replace(videos=merge.upsert_videos(tables.videos, _as_videos(links), now))
 
 
-def seed_links(tables: Tables, links: DataFrame, now: Column) -> Tables:
-    """Link rows with ``seq`` into seed_links."""
-    return tables._replace(seed_links=merge.upsert_seed_links(tables.seed_links, links, now))
+def seed_links(tables: Tables, links: DataFrame, now: Column) -> tuple[Tables, DataFrame]:
+    """Link rows with ``seq`` into seed_links; also one row with the number of rows ``accepted``."""
+    accepted = merge.acceptable_links(links).agg(F.count("*").alias("accepted"))
+    return tables._replace(seed_links=merge.upsert_seed_links(tables.seed_links, links, now)), accepted
+
+
+def seed_csvs_to_links(tables: Tables, links: DataFrame, now: Column) -> tuple[Tables, DataFrame]:
+    """Deduplicated CSV links into seed_links."""
+    return seed_links(tables, links.withColumn("seq", F.lit(0).cast("bigint")), now)
 
 
 def seed_from_links(tables: Tables, now: Column) -> Tables:
@@ -49,9 +59,9 @@ def seed_from_links(tables: Tables, now: Column) -> Tables:
 
 
 def fetch_new(tables: Tables, listings: DataFrame, details: DataFrame, channels: DataFrame, now: Column, least: int = schemas.MIN_DURATION, n: int = schemas.LATEST) -> tuple[Tables, DataFrame]:
-    """The newest videos of each show's channel into videos; also the summary per show."""
-    wanted = listings.drop("podcast").join(F.broadcast(channels.select("podcast", "channel_id")), "channel_id")
-    latest = L.fetched(wanted, details, n)
+    """The newest videos of each show's channel into videos; also the summary per show and over all (``podcast`` null)."""
+    known, _ = broadcast_if_small(channels.select("podcast", "channel_id"), BROADCAST_CHANNELS)
+    latest = stored(L.fetched(listings.drop("podcast").join(known, "channel_id"), details, n))
     new = latest.filter(T.long_enough(F.col("duration_seconds"), least)).withColumn("seq", F.lit(0).cast("bigint"))
     return tables._replace(videos=merge.upsert_videos(tables.videos, new, now)), L.fetch_summary(latest, least)
 
@@ -70,10 +80,11 @@ def process(tables: Tables, responses: DataFrame, templates: dict[str, Column],
     """
     touch = responses.select("video_id", F.lit("").alias("title"), F.lit(None).cast("int").alias("duration_seconds"), F.lit(None).cast("string").alias("channel_id"), "podcast", F.lit(None).cast("timestamp").alias("published_at"), F.lit(0).alias("seq"))
     videos = merge.upsert_videos(tables.videos, touch, now)
-    parsed = parse_responses(responses).filter(F.length("raw_text") > 0)
+    parsed = stored(parse_responses(responses).filter(F.length("raw_text") > 0).select("video_id", "podcast", "raw_text", "utterances", "timestamped"))
     transcriptions, segments = merge.replace_transcripts(tables.transcriptions, tables.segments, transcriptions_of(parsed, now), segments_of(parsed, now))
 
     pieces = chunks(parsed, "raw_text", ["video_id"])
+    # The answers are written before they are read by several steps.
     first = I.insight_requests(pieces, templates["extract_insights_system"])
     found = stored(I.insights_of(first, stored(I.ask(first, answer)), pieces))
     titles = I.title_requests(found, templates["title_generation"])
@@ -84,20 +95,49 @@ def process(tables: Tables, responses: DataFrame, templates: dict[str, Column],
     return Tables(videos, transcriptions, segments, insights, tables.seed_links), I.insights_per_video(parsed, done)
 
 
-def backfill(tables: Tables, now: Column, links: DataFrame | None = None, csv_links: DataFrame | None = None) -> tuple[Tables, DataFrame]:
-    """Seeds videos (from given links, from the stored ones, or from CSV links) and returns the backlog.
+def process_new(tables: Tables, landed: DataFrame, templates: dict[str, Column], answer: Callable[[str, str], str], now: Column) -> tuple[Tables, DataFrame]:
+    """Processes the backlog as far as responses (video_id, response) have landed; also the insights per processed video."""
+    open_ = backlog(tables.videos, tables.transcriptions, ordered=False).select("video_id", "podcast")
+    # Of several responses for a video one is taken, the same one however often this is computed.
+    one = landed.groupBy("video_id").agg(F.min("response").alias("response"))
+    return process(tables, open_.join(one, "video_id"), templates, answer, now)
 
-    An empty table of links seeds nothing new.
+
+def seed(tables: Tables, now: Column, links: DataFrame | None = None, csv_links: DataFrame | None = None) -> tuple[Tables, DataFrame]:
+    """Seeds videos from given links, from CSV links, or else from the stored links; also one row ``seeded``.
+
+    An empty table of links seeds nothing new of its own; what is stored is seeded with it.
     """
     if links is not None:
-        tables = seed_from_links(seed_links(tables, links, now), now)
+        tables = seed_from_links(seed_links(tables, links, now)[0], now)
     elif csv_links is not None:
-        tables = seed_csvs(tables, csv_links, now)
+        return seed_csvs(tables, csv_links, now), csv_links.agg(F.count("*").alias("seeded"))
     else:
         tables = seed_from_links(tables, now)
-    return tables, backlog(tables.videos, tables.transcriptions)
+    return tables, tables.seed_links.agg(F.count("*").alias("seeded"))
+
+
+def backfill(
+    tables: Tables, landed: DataFrame, templates: dict[str, Column], answer: Callable[[str, str], str], now: Column, links: DataFrame | None = None, csv_links: DataFrame | None = None
+) -> tuple[Tables, DataFrame, DataFrame]:
+    """Seed, then process the backlog; also the insights per processed video and the summary of the run."""
+    tables, seeded = seed(tables, now, links, csv_links)
+    tables, per_video = process_new(tables._replace(videos=stored(tables.videos)), landed, templates, answer, now)
+    return tables, per_video, run_summary(seeded, per_video)
+
+
+def backfill_default_csvs(spark: SparkSession, tables: Tables, landed: DataFrame, templates: dict[str, Column], answer: Callable[[str, str], str], now: Column) -> tuple[Tables, DataFrame, DataFrame]:
+    """Backfill from the CSV files at their default places."""
+    return backfill(tables, landed, templates, answer, now, csv_links=S.read_seed_csvs(spark))
+
+
+def sync(tables: Tables, listings: DataFrame, details: DataFrame, channels: DataFrame, landed: DataFrame, templates: dict[str, Column], answer: Callable[[str, str], str], now: Column) -> tuple[Tables, DataFrame, DataFrame]:
+    """Fetch, then process the backlog; also the fetch summary and the insights per processed video."""
+    tables, fetched = fetch_new(tables, listings, details, channels, now)
+    tables, per_video = process_new(tables._replace(videos=stored(tables.videos)), landed, templates, answer, now)
+    return tables, fetched, per_video
 
 
 def run_summary(seeded: DataFrame, per_video: DataFrame) -> DataFrame:
-    """One row: seeded links, processed videos, insights; the video ids stay in ``per_video``."""
-    return seeded.agg(F.count("*").alias("seeded")).crossJoin(per_video.agg(F.count("*").alias("processed"), F.coalesce(F.sum("insights"), F.lit(0)).alias("insights")))
+    """One row: ``seeded`` links (one row), processed videos, insights; the video ids stay in ``per_video``."""
+    return seeded.crossJoin(per_video.agg(F.count("*").alias("processed"), F.coalesce(F.sum("insights"), F.lit(0)).alias("insights")))

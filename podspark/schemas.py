@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 VIDEOS = "id string, video_id string, title string, duration_seconds int, channel_id string, podcast string, published_at timestamp, created_at timestamp, updated_at timestamp"
 TRANSCRIPTIONS = "id string, video_id string, raw_text string, language string, created_at timestamp"
 SEGMENTS = "id string, transcription_id string, start_time_sec decimal(10,2), end_time_sec decimal(10,2), text string, speaker_label string, created_at timestamp"
@@ -16,6 +18,13 @@ SPEECH = "results struct<channels: array<struct<alternatives: array<struct<trans
 
 # The three shows and their default channel handles, the six categories asked for.
 PODCASTS = ("9operators", "marketing_operator", "finance_operators")
+# Where each show's list of links is looked for if no place is given.
+DEFAULT_FOLDER = os.path.join(os.environ.get("USERPROFILE", ""), "Downloads")
+DEFAULT_CSVS = {
+    "9operators": os.path.join(DEFAULT_FOLDER, "Operators Podcast Video Youtube Links.csv"),
+    "marketing_operator": os.path.join(DEFAULT_FOLDER, "Marketing Operators Podcast Video Youtube Links.csv"),
+    "finance_operators": os.path.join(DEFAULT_FOLDER, "Finance Operators Podcast Video Youtube Links.csv"),
+}
 MIN_DURATION = 300
 LATEST = 50
 CHUNK_SIZE, CHUNK_OVERLAP = 6000, 500

@@ -36,5 +36,5 @@ def fetched(listings: DataFrame, details: DataFrame, n: int = schemas.LATEST) ->
 
 
 def fetch_summary(latest: DataFrame, least: int = schemas.MIN_DURATION) -> DataFrame:
-    """Per show: videos fetched, and those long enough to be stored."""
-    return latest.groupBy("podcast").agg(F.count("*").alias("fetched"), F.count_if(T.long_enough(F.col("duration_seconds"), least)).alias("upserted"))
+    """Per show, and with a null show over all: videos fetched, and those long enough to be stored."""
+    return latest.rollup("podcast").agg(F.count("*").alias("fetched"), F.count_if(T.long_enough(F.col("duration_seconds"), least)).alias("upserted"))

@@ -37,7 +37,7 @@ def read_tables(spark: SparkSession, root: str) -> jobs.Tables:
 def process_batch(spark: SparkSession, root: str, landed: DataFrame, templates: dict[str, Column], answer: Callable[[str, str], str], now: Column, buckets: int = S.BUCKETS) -> None:
     """One micro-batch; of every table only the buckets that the batch touches are read and written."""
     # Of several responses for a video one is taken, the same one however often this is computed.
-    one = landed.filter("video_id is not null").groupBy("video_id").agg(F.min(F.struct("podcast", "response")).alias("r")).select("video_id", "r.podcast", "r.response")
+    one = S.stored(landed.filter("video_id is not null").groupBy("video_id").agg(F.min(F.struct("podcast", "response")).alias("r")).select("video_id", "r.podcast", "r.response"))
     keys = {"video_id": one.select("video_id"), "transcription_id": one.select(T.deterministic_id(F.lit("transcription"), F.col("video_id")).alias("transcription_id"))}
     parts, numbers = {}, {}
     for name in _WRITTEN:

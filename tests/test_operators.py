@@ -12,8 +12,10 @@ from podspark.operators import integrity, merge, search
 from podspark.operators.chunks import chunks
 from podspark.operators.parse import parse_insights
 from podspark.operators.transcripts import parse_responses, segments_of
+from podspark.plans import jobs
 from podspark.sources import listings, prompts, seeds
 from podspark.sources import tables as S
+from podspark.streaming import sync
 
 
 def now():
@@ -195,3 +197,100 @@ def test_bucketed_table(spark, tmp_path):
     old, numbers = S.touched(spark, path, schema, new, "k", 8)
     S.overwrite_buckets(merge.replace_by_key(old, new, new, "k"), path, "k", numbers, 8)
     assert len(numbers) <= 2 and {r.k: r.x for r in S.read_table(spark, path, schema).collect()} == {**{str(k): k for k in range(50)}, "3": -3, "99": 99}
+
+
+def test_emptied_buckets_stay_empty(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k string, x int"
+    S.write_table(spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], schema), path, "k", 4096)
+    gone, none = spark.createDataFrame([("a",)], "k string"), spark.createDataFrame([], schema)
+    for _ in range(2):  # the same once more changes nothing
+        old, numbers = S.touched(spark, path, schema, gone, "k", 4096)
+        S.overwrite_buckets(merge.replace_by_key(old, none, gone, "k"), path, "k", numbers, 4096)
+        assert {r.k for r in S.read_table(spark, path, schema).collect()} == {"b", "c"}
+    every = spark.createDataFrame([("b",), ("c",)], "k string")
+    old, numbers = S.touched(spark, path, schema, every, "k", 4096)
+    S.overwrite_buckets(merge.replace_by_key(old, none, every, "k"), path, "k", numbers, 4096)
+    assert S.read_table(spark, path, schema).collect() == []
+
+
+def test_new_set_without_insights_empties_the_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    old = spark.createDataFrame([("i", v, *[None] * 9) for v in ("v1", "v2")], schemas.INSIGHTS)
+    S.write_table(old, path, "video_id", 512)
+    processed = spark.createDataFrame([("v1",)], "video_id string")
+    rows, numbers = S.touched(spark, path, schemas.INSIGHTS, processed, "video_id", 512)
+    S.overwrite_buckets(merge.replace_insights(rows, spark.createDataFrame([], schemas.INSIGHTS), processed), path, "video_id", numbers, 512)
+    assert [r.video_id for r in S.read_table(spark, path, schemas.INSIGHTS).collect()] == ["v2"]
+
+
+SAID = '{"results": {"channels": [{"alternatives": [{"transcript": "said"}]}]}, "utterances": [{"start": 1, "end": 2, "transcript": "said", "speaker": 1}]}'
+
+
+def test_sync_again_after_a_crash(spark, tmp_path, monkeypatch):
+    root, templates = str(tmp_path / "tables"), {k: F.lit("{transcript}{insight}") for k in prompts.NAMES}
+    sync.create_tables(spark, root, 16)
+    landed = spark.createDataFrame([("v1", "p", SAID), ("v2", "p", SAID), ("v1", "q", SAID)], sync.LANDED)
+
+    def run(said):
+        sync.process_batch(spark, root, landed, templates, lambda kind, prompt: said if kind == "insights" else "", now(), 16)
+
+    write = S.overwrite_buckets
+
+    def breaks(df, path, *more):
+        if path.endswith("videos"):
+            raise RuntimeError("lost")
+        write(df, path, *more)
+
+    monkeypatch.setattr(S, "overwrite_buckets", breaks)
+    with pytest.raises(RuntimeError):
+        run("X:\n* one: a\n* two: b\n* three: c")
+    assert sync.read_tables(spark, root).insights.count() == 6
+    # What is asked again may be answered by nothing: the rows of the run that broke off must go.
+    monkeypatch.setattr(S, "overwrite_buckets", write)
+    run("")
+    run("X:\n* one: a")
+    t = sync.read_tables(spark, root)
+    assert (t.insights.count(), t.transcriptions.count(), t.segments.count(), sorted(r.video_id for r in t.videos.collect())) == (0, 2, 2, ["v1", "v2"])
+
+
+def test_link_batches_in_the_order_of_their_files(spark, tmp_path):
+    for name, title in (("b2", "second"), ("a1", "first"), ("c3", "third")):
+        (tmp_path / f"{name}.json").write_text('{"links": [{"video_id": "v", "podcast": "p", "title": "x"}, {"video_id": "v", "podcast": "p", "title": "%s"}]}' % title)
+    links = seeds.read_link_batches(spark, str(tmp_path))
+    assert [r.title for r in links.orderBy("seq").collect()] == ["x", "first", "x", "second", "x", "third"]
+    assert merge.upsert_seed_links(spark.createDataFrame([], schemas.SEED_LINKS), links, now()).first().title == "third"
+
+
+def test_default_places_of_seed_files(spark, tmp_path, monkeypatch):
+    path = tmp_path / "links.csv"
+    path.write_text("https://youtu.be/aaaaaaaaaaa,x,45:00,A\n")
+    monkeypatch.setattr(schemas, "DEFAULT_CSVS", {"p": str(path), "q": str(tmp_path / "none.csv")})
+    for none in (None, {}):
+        assert [(r.video_id, r.podcast) for r in seeds.read_seed_csvs(spark, none).collect()] == [("aaaaaaaaaaa", "p")]
+    empty = jobs.Tables(*(spark.createDataFrame([], s) for s in (schemas.VIDEOS, schemas.TRANSCRIPTIONS, schemas.SEGMENTS, schemas.INSIGHTS, schemas.SEED_LINKS)))
+    heard = spark.createDataFrame([("aaaaaaaaaaa", SAID), ("unknown", SAID)], "video_id string, response string")
+    templates = {k: F.lit("{transcript}") for k in prompts.NAMES}
+    tables, per_video, summary = jobs.backfill_default_csvs(spark, empty, heard, templates, lambda kind, prompt: "X:\n* some title: b", now())
+    assert summary.first().asDict() == {"seeded": 1, "processed": 1, "insights": 1} and per_video.count() == tables.insights.count() == tables.transcriptions.count() == 1
+
+
+def test_no_local_folder_on_a_cluster():
+    class Unset:
+        def __getattr__(self, name):
+            return {"master": "spark://host:7077", "isDefined": lambda: False, "get": lambda name, default: default}.get(name, self)
+
+        def __call__(self):
+            return self
+
+    with pytest.raises(ValueError):
+        S.checkpoint_root(Unset())
+
+
+def test_prompts_are_not_shuffled(spark):
+    found = spark.createDataFrame([("v", 0, 0, "c", "t", "d", "chunk")], "video_id string, chunk_no int, pos int, category string, title string, description string, chunk string")
+    told = spark.createDataFrame([("v", "long text")], "video_id string, timestamped string")
+    asked = I.ask(I.timestamp_requests(found, told, F.lit("{transcript}")), lambda kind, prompt: "")
+    plan = asked._jdf.queryExecution().executedPlan().toString().splitlines()
+    ask = next(k for k, line in enumerate(plan) if "MapInPandas" in line)
+    first = next(k for k, line in enumerate(plan) if "Exchange" in line)
+    assert ask < first and any("replace(" in line for line in plan[ask:first])
