@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from podspark.sources.tables import broadcast_if_small, checkpoint_root, shared_folder, stored
+
+__all__ = ["SPACES", "UPPER", "WORD", "ascii_lower", "broadcast_if_small", "cut", "fresh", "let", "shared_folder", "stored", "stored_small", "table", "words_of"]
+
 #: Words are maximal runs of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The same white space as plain characters, for translate().
@@ -35,30 +37,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for checkpoints; a new local one only where none is set."""
-    context = spark.sparkContext
-    known = context._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Store a DataFrame in the shared checkpoint folder and go on from there."""
-    shared_folder(df.sparkSession)
+    checkpoint_root(df.sparkSession)
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write a DataFrame as a compressed table into the shared folder and go on from there."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """The DataFrame written down once, then marked for broadcast if it has at most ``max_rows`` rows."""
+    return broadcast_if_small(stored(df), max_rows)[0]
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Mark ``df`` for broadcast only after counting that it has at most ``max_rows`` rows."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return (F.broadcast(df) if small else df), small
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of ``df`` has, whatever its letter case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -13,9 +13,9 @@ per source in which the target is met is ordered.  The per-document table carrie
 stored once in the shared checkpoint folder.
 
 Defined results: null or empty texts have size 0 and are never taken; a null source is a source
-of its own, in last place; equal sources with no words get target 0; repeated rows count as
-documents of their own, and as their ranks are equal the ones at a cut are interchangeable; an
-empty table gives an empty result; other input columns are dropped.
+of its own, in last place; sources with no words get target 0; a document without an id draws its
+random number by its text; repeated rows count as documents of their own, and as their ranks are equal
+the ones at a cut are interchangeable; an empty table gives an empty result; other input columns are dropped.
 """
 
 from __future__ import annotations
@@ -23,11 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from podspark.llm.common import WORD, cut
+from podspark.llm.common import WORD, broadcast_if_small, stored
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BINS = 1 << 16
+#: Tables of one row per source are broadcast only up to this number.
+BROADCAST_SOURCES = 200_000
 
 
 def unit_hash(key: Column) -> Column:
@@ -60,19 +62,24 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """One row per document: key, source, size, source_size, target, copies, taken."""
-    sizes = cut(
+    sizes = stored(
         docs.select(
             F.col(key).alias("doc_id"),
             F.col(source).alias("source"),
             F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+            unit_hash(F.coalesce(F.col(key).cast("string"), F.col(text))).alias("u"),
         )
     )
-    goal = cut(
+    goal = stored(
         targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
         .withColumn("whole", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)))
         .withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
     )
-    known = lambda df, other: df.join(other.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+    def known(df: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
+        """``df`` with what is known of its source; a table of sources is counted before it is broadcast."""
+        named, _ = broadcast_if_small(other.withColumnRenamed("source", "_source"), BROADCAST_SOURCES)
+        return df.join(named, F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
 
     # pi = min(1, rate * size): the largest sizes are certain as long as their rate would pass 1.
     by_size = Window.partitionBy("source").orderBy(F.col("size").desc())
@@ -86,9 +93,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         .agg(F.max(F.struct("size", "rate"))["rate"].alias("rate"))
     )
     pi = F.least(F.lit(1.0), F.coalesce(F.col("rate"), F.lit(1.0)) * F.col("size"))
-    u = unit_hash(F.col("doc_id"))
+    u = F.col("u")
     rank = F.when(pi > 0, u / (1 - u) * (1 - pi) / pi)
-    goal = goal.join(rates.withColumnRenamed("source", "_rs"), F.col("source").eqNullSafe(F.col("_rs")), "left").drop("_rs")
+    goal = stored(known(goal, stored(rates), "left"))
     ranked = known(sizes, goal).withColumn("rank", rank).withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS))
 
     # Only documents that can still be drawn are summed; the bin in which the target is met is then ordered.
@@ -100,7 +107,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         .filter((F.col("before") < F.col("missing")) & (F.col("before") + F.col("words") >= F.col("missing")))
         .select("source", F.col("bin").alias("last_bin"), F.col("before").alias("last_before"))
     )
-    placed = ranked.join(last.withColumnRenamed("source", "_ls"), F.col("source").eqNullSafe(F.col("_ls")), "left").drop("_ls")
+    placed = known(ranked, stored(last), "left")
     in_order = Window.partitionBy("source", "bin").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     at_cut = drawn & (F.col("bin") == F.col("last_bin"))
     start = F.col("last_before") + F.coalesce(F.sum("size").over(in_order), F.lit(0))

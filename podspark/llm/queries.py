@@ -124,7 +124,7 @@ FROM b
 """
 
 _OP7 = rf"""
-WITH docs AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+WITH docs AS (SELECT doc_id, text, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
 weighed AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM sums),
 fill AS (SELECT *, source_size * 3 / weight AS full_at FROM weighed),
@@ -140,7 +140,7 @@ rated AS (SELECT s.source, size, (missing - coalesce(sum(size * n) OVER (PARTITI
   FROM steps s JOIN need ON s.source IS NOT DISTINCT FROM need.source),
 rates AS (SELECT source, arg_max(rate, size) AS rate FROM rated WHERE rate * size <= 1 GROUP BY source),
 chances AS (SELECT d.*, source_size, target, whole, missing, least(1.0, coalesce(rate, 1.0) * size) AS pi,
-  (CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656 AS u
+  (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text)), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656 AS u
   FROM docs d JOIN need ON d.source IS NOT DISTINCT FROM need.source LEFT JOIN rates ON d.source IS NOT DISTINCT FROM rates.source),
 ranks AS (SELECT *, u / (1 - u) * (1 - pi) / pi AS rank FROM chances WHERE size > 0 AND missing > 0 AND pi > 0),
 running AS (SELECT doc_id, missing, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ranks),

@@ -51,6 +51,11 @@ def test_mix_on_odd_rows(spark):
     got = mixing.mix(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()
     assert len(got) == 7 and all(r.taken == 0 for r in got if r.size == 0)
     assert mixing.mix(spark.createDataFrame([], "doc_id int, text string, source string")).collect() == []
+    # Half of a source without ids is drawn like any other.
+    rows = [(None, f"w{k} b c d", "a") for k in range(50)] + [(k, "x y z v", "a") for k in range(50)] + [(k, "p q r s t", "b") for k in range(100, 150)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()
+    taken = {s: sum(r.taken for r in got if r.source == s) for s in "ab"}
+    assert all(abs(taken[r.source] - r.target) <= 5 for r in got) and any(r.copies for r in got if r.doc_id is None)
     alone = mixing.mix(spark.createDataFrame([(1, "a b", "s"), (2, "c", "s")], "doc_id int, text string, source string")).collect()
     assert sum(r.taken for r in alone) == 3
 
@@ -79,7 +84,7 @@ def test_decontamination_finds_hits_without_an_id(spark, monkeypatch):
         monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
         got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.contaminated) for r in decontaminate.decontaminate(docs, items).collect())
         assert got == [(0, 0, 0, False), (0, 1, 0, False), (0, 13, 12, True), (0, 13, 12, True), (1, 13, 12, True), (2, 1, 0, False)]
-        assert decontaminate.matches(docs, items).filter("doc_id is null").select("text_hash").distinct().count() == 2
+        assert decontaminate.matches(docs, decontaminate.windows_of(items)).filter("doc_id is null").select("text_hash").distinct().count() == 2
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no";</script></head><body>
@@ -221,6 +226,15 @@ def test_one_row_of_each_group_stays(spark, monkeypatch):
     assert corpus_pipeline.join_near_copies(spark, docs.limit(0), DATA).collect() == []
 
 
+def test_stages_keep_columns_with_clashing_names(spark):
+    rows = [(1, "the cat and the dog and the house of a friend", "en", "s", 9, 5, "x", 7, 1, 2), (2, "der Hund und die Katze und das Haus", "de", "s", 9, 6, "y", 8, 1, 2), (2, "der Hund und die Katze und das Haus", "de", "s", 9, 6, "y", 8, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, _hash int, _first string, _n int, _row int, `_Copies` int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, DATA)
+        assert got.columns == docs.columns and {(r.doc_id, r._hash, r._first, r._n) for r in got.collect()} == {(1, 5, "x", 7), (2, 6, "y", 8)}
+    assert corpus_pipeline.mix_sources(spark, docs, DATA).columns[: len(docs.columns)] == docs.columns
+
+
 def test_each_row_is_mixed_by_itself(spark, monkeypatch):
     # Two sources of equal rows: the targets fall between whole copies of a source.
     rows = [(1, "a b c d", "x")] * 40 + [(None, f"n{k} b c d", "y") for k in range(41)] + [(2, "p q r s", "y"), (2, "t u v w", "y"), (3, None, "x"), (3, None, "x")]
