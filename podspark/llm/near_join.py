@@ -9,10 +9,10 @@ for the next one if a partner there can be similar.  For each band (n, m, j) is
 hardly any set has a signature of no shingles; where n is large, two more partitions than needed let
 every set leave out one partition in which it has such a signature.
 
-Sets are classes of equal shingle sets, so copies never meet.  Classes that share a signature are
-compared in rounds with a centre per signature, the class that shares most signatures overall; links
-join components, and only members of different components go on, so a large group of near copies
-costs about one comparison per member.  What is left of a signature is compared in one task if it has at most
+Sets are classes of equal shingle sets, so copies never meet, and of the signatures that just the same classes
+share one stays.  Classes that share a signature are compared with its centre, the class that shares most
+signatures overall; links join components, and only members of different components go on, so a large group
+of near copies costs about one comparison per member.  What is left of a signature is compared in one task if it has at most
 ``BLOCK`` members.  The classes of larger ones sign again, with the domain hashed in another way: two similar
 classes share a signature then as well, while those that had met by chance are dealt out anew.  Only what
 is still too large after ``LEVELS`` such turns is compared block by block.
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from podspark.llm.arrow_text import LOWER, SpanHash, byte_codes, mix64, slices, text_bytes, word_bounds
-from podspark.llm.common import broadcast_if_small, stored
+from podspark.llm.common import stored, stored_small
 
 WORDS = 4
 PERCENT = 85
@@ -49,10 +49,10 @@ RATIO = 1.4
 #: Signatures that a set of a low band may have, and how many of them may hold no shingle, on average.
 MOST_SIGNATURES = 64
 MOST_EMPTY = 0.01
-#: Rounds with one centre per signature, members of a signature compared in one task, and turns of new signatures.
-ROUNDS = 3
+#: Rounds with one centre per signature in a turn, members of a signature compared in one task, and turns of new signatures.
+ROUNDS = 1
 BLOCK = 256
-LEVELS = 4
+LEVELS = 6
 #: Texts that have to be compared are picked by a broadcast of their keys only up to this number.
 BROADCAST_KEYS = 500_000
 #: Partners of one class that are compared with it in one task.
@@ -255,6 +255,16 @@ def members(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, level:
     return asked.filter("lo <> hi or known > 0").select("sig", "node").dropDuplicates()
 
 
+def groups_of(shared: DataFrame) -> DataFrame:
+    """Each set of classes that share a signature once: ``sig``, ``node``, ``times`` (signatures with just these classes), ``m`` (classes).
+
+    Near copies share most of their signatures, so this is a small part of the rows of ``shared``.
+    """
+    sets = shared.groupBy("sig").agg(F.count("*").alias("m"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 7))").alias("y"))
+    kept = sets.groupBy("m", "x", "y").agg(F.min("sig").alias("sig"), F.count("*").alias("times"))
+    return shared.join(kept.select("sig", "times", "m"), "sig")
+
+
 def possible(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) that sizes and sketches allow."""
 
@@ -310,7 +320,7 @@ def possible_in_blocks(open_: DataFrame, nodes: DataFrame, percent: int = PERCEN
 
 def texts_of(wanted: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node`` and the text of its representative, once, for the nodes in ``wanted``."""
-    keys, _ = broadcast_if_small(stored(wanted.join(nodes, "node").select("node", F.col("rep.key").alias("_key"), F.col("rep.hash").alias("hash"))), BROADCAST_KEYS)
+    keys = stored_small(wanted.join(nodes, "node").select("node", F.col("rep.key").alias("_key"), F.col("rep.hash").alias("hash")), BROADCAST_KEYS)
     found = rows.join(keys, "hash").filter(F.col("key").eqNullSafe(F.col("_key"))).select("node", "text")
     return found.groupBy("node").agg(F.first("text").alias("text"))
 
@@ -321,13 +331,11 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int = W
     A class and its partners come together in one stream, first the class itself; the partners of a class
     that has very many are dealt out to several such streams.
     """
-    pairs = stored(possible(pairs, nodes, percent))
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = stored(texts_of(asked, rows, nodes))
-    streams = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("streams"))
-    dealt = pairs.join(streams, "a").withColumn("part", F.pmod(F.col("b"), F.col("streams")))
-    heads = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("bigint").alias("b"), "text")
-    both = heads.unionByName(dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "text"))
+    many = stored_small(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("streams")).filter("streams > 1"), BROADCAST_KEYS)
+    dealt = pairs.join(many, "a", "left").select("a", "b", F.coalesce(F.pmod(F.col("b"), F.col("streams")), F.lit(0)).alias("part"))
+    heads = dealt.select("a", "part").distinct().select(F.col("a").alias("node"), "a", "part", F.lit(None).cast("bigint").alias("b"))
+    both = heads.unionByName(dealt.select(F.col("b").alias("node"), "a", "part", "b")).join(texts_of(asked, rows, nodes), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.empty(0, np.uint64)
@@ -371,27 +379,11 @@ def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(lifted.unionByName(moved.join(roots, "node", "left_anti")))
 
 
-class _State:
-    """Components so far, and the pairs that have been compared."""
-
-    def __init__(self, rows: DataFrame, nodes: DataFrame, words: int, percent: int):
-        self.rows, self.nodes, self.words, self.percent = rows, nodes, words, percent
-        self.roots: DataFrame | None = None
-        self.done: DataFrame | None = None
-
-    def rooted(self, members_: DataFrame) -> DataFrame:
-        """``sig``, ``node`` and the current ``root``."""
-        plain = members_.drop("root")
-        if self.roots is None:
-            return plain.withColumn("root", F.col("node"))
-        return plain.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    def compare(self, pairs: DataFrame) -> None:
-        pairs = stored(pairs if self.done is None else pairs.join(self.done, ["a", "b"], "left_anti"))
-        new = stored(verified(pairs, self.rows, self.nodes, self.words, self.percent))
-        self.done = pairs if self.done is None else self.done.union(pairs)
-        if not new.isEmpty():
-            self.roots = joined(self.roots, new)
+def _rooted(members_: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The members with their current ``root``."""
+    if roots is None:
+        return members_.withColumn("root", F.col("node"))
+    return members_.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _unsettled(open_: DataFrame, *more) -> DataFrame:
@@ -401,33 +393,40 @@ def _unsettled(open_: DataFrame, *more) -> DataFrame:
 
 def similar_classes(rows: DataFrame, nodes: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame | None:
     """``node`` and ``root`` of every class that is joined with another; None if there is none."""
-    state = _State(rows, nodes, words, percent)
+    roots: DataFrame | None = None
+
+    def compare(pairs: DataFrame) -> None:
+        nonlocal roots
+        new = stored(verified(stored(pairs), rows, nodes, words, percent))
+        if not new.isEmpty():
+            roots = joined(roots, new)
+
     texts, count = rows, None
     for level in range(LEVELS):
-        groups = stored(members(texts, words, percent, level))
+        groups = stored(groups_of(stored(members(texts, words, percent, level))))
         # How much a class shares overall decides who is the centre of a signature.
-        shared = groups.join(groups.groupBy("sig").agg(F.count("*").alias("m")), "sig").groupBy("node").agg(F.sum(F.col("m") - 1).alias("weight"))
-        open_ = stored(state.rooted(groups.join(shared, "node")))
+        weight = groups.groupBy("node").agg(F.sum(F.col("times") * (F.col("m") - 1)).alias("weight"))
+        open_ = _rooted(groups.select("sig", "node").join(weight, "node"), roots)
         for _ in range(ROUNDS):
-            centre = _unsettled(open_, F.max(F.struct("weight", "node", "root")).alias("centre"))
-            met = stored(open_.join(centre, "sig"))
-            if met.isEmpty():
-                return state.roots
-            state.compare(met.filter("centre.root <> root").select(F.least("centre.node", "node").alias("a"), F.greatest("centre.node", "node").alias("b")).distinct())
+            open_ = stored(open_)
+            met = stored(open_.join(_unsettled(open_, F.max(F.struct("weight", "node", "root")).alias("centre")), "sig"))
+            pairs = met.filter("centre.root <> root").select(F.least("centre.node", "node").alias("a"), F.greatest("centre.node", "node").alias("b")).distinct()
+            compare(possible(pairs, nodes, percent))
             # A centre has met all others of its signature.
-            open_ = stored(state.rooted(met.filter("centre.node <> node").select("sig", "node", "weight")))
+            open_ = _rooted(met.filter("centre.node <> node").select("sig", "node", "weight"), roots)
+        open_ = stored(open_)
         left = stored(open_.join(_unsettled(open_, F.count("*").alias("m")), "sig").select("sig", "node", "root", "m"))
-        state.compare(possible_in_groups(left.filter(F.col("m") <= BLOCK), nodes, percent))
+        compare(possible_in_groups(left.filter(F.col("m") <= BLOCK), nodes, percent))
         hot = left.filter(F.col("m") > BLOCK).select("sig", "node")
         again = stored(hot.select("node").distinct())
         before, count = count, again.count()
         if not count:
-            return state.roots
+            break
         if level == LEVELS - 1 or before is not None and count > 0.8 * before:
-            state.compare(possible_in_blocks(state.rooted(hot), nodes, percent))
-            return state.roots
+            compare(possible_in_blocks(_rooted(hot, roots), nodes, percent))
+            break
         texts = stored(texts_of(again, rows, nodes))
-    return state.roots
+    return roots
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
