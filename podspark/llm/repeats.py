@@ -5,15 +5,19 @@ the least hash among its grams of ``gram`` elements, the leftmost of equal ones,
 pick the same gram at the same place.  Consecutive windows that pick the same gram form a span.
 A window can only repeat if its gram repeats, and then the two spans meet under that gram's hash:
 
-1. spans are made per task; of equal spans in a task the first stays, the others are repeats;
-2. one shuffle on the gram hash: equal spans everywhere but the first are repeats, spans whose gram
-   nobody else has are done;
-3. first spans whose gram occurs with another surrounding are compared by content, window by
-   window (``settle``); they are read from the texts by key;
-4. the repeats of each document are joined to its text.
-
-The order of occurrences is (key, start).  Rows that share a key count as one document: what is
-marked in one is marked in all, as far as they are long enough.  A null key orders first.
+1. spans are made per task; of spans with equal hashes there the first two stand for the others;
+2. one shuffle on the gram hash: of spans with equal hashes everywhere the first two stand for the
+   others, and spans whose gram nobody else has are done;
+3. what is left is compared by content, window by window (``settle``); it is read from the texts by document.
+   A gram with more than ``HOT`` different surroundings is split: its windows are dealt out by the gram and half of what
+   is free beside it, left or right, whichever is the longer side of a window; so equal windows stay
+   together.  A part that is still too large is split again, until nothing of a window is free;
+4. spans whose hash equals that of two compared ones are repeats if all windows of the second one were found to be;
+5. the repeats of each document are joined to its text.
+
+The order of occurrences is (key, start).  A document is a row: rows with the same key and text are one
+document, rows with the same key and different texts are different ones, ordered by a hash of the
+text.  A null key orders first; keys may be of any type that can be ordered.
 """
 
 from __future__ import annotations
@@ -22,33 +26,39 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from podspark.llm.arrow_text import SpanHash, mix64, slices, text_bytes
-from podspark.llm.common import cut
+from podspark.llm.common import stored, stored_small
 
 PART = 4 << 20
 #: Window starts that are worked on at a time; a longer run of elements is cut, which only cuts spans.
 SEGMENT = 1 << 24
+#: Different surroundings of a gram, from which on it is split.
+HOT = 4096
+#: Rows that are broadcast at most: hot grams, and spans of which two have been found equal.
+BROADCAST_GRAMS = 500_000
 NULL_KEY = -(1 << 63)
 #: bytes and offsets of texts -> one 64-bit code per element, and offsets in elements
 Encode = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def spans_of(codes: np.ndarray, at: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window start (absolute), gram hash and content hash of every span."""
+def spans_of(codes: np.ndarray, at: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window start and the gram's place (absolute), gram hash and content hash of every span."""
     n = len(codes)
     none = np.empty(0, np.int64)
     if n - width >= SEGMENT:
         parts = []
         for s in range(0, n - width + 1, SEGMENT):
             part = codes[s : s + SEGMENT + width - 1]
-            lo, hi, grams, content = spans_of(part, np.unique(np.clip(at - s, 0, len(part))), width, gram)
-            parts.append((lo + s, hi + s, grams, content))
+            lo, hi, place, grams, content = spans_of(part, np.unique(np.clip(at - s, 0, len(part))), width, gram)
+            parts.append((lo + s, hi + s, place + s, grams, content))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     if n < width:
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64)
     hashes = SpanHash(codes)
     place = np.arange(n - gram + 1)
     low = np.uint64((1 << 26) - 1)
@@ -65,12 +75,12 @@ def spans_of(codes: np.ndarray, at: np.ndarray, width: int, gram: int) -> tuple[
     np.add.at(inside, at[1:][length >= width] - width + 1, -1)
     start = np.flatnonzero(np.cumsum(inside[:count]) > 0)
     if not len(start):
-        return none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64)
     chosen = chosen[start]
     edge = np.flatnonzero(np.r_[True, (chosen[1:] != chosen[:-1]) | (start[1:] != start[:-1] + 1)])
     lo, hi, at_gram = start[edge], start[np.r_[edge[1:], len(start)] - 1], chosen[edge]
     content = hashes.of(lo, hi + width) ^ mix64((at_gram - lo).astype(np.uint64) + (hi - lo).astype(np.uint64) * np.uint64(1 << 20))
-    return lo, hi, hashes.of(at_gram, at_gram + gram), content
+    return lo, hi, at_gram, hashes.of(at_gram, at_gram + gram), content
 
 
 def merge(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,73 +114,160 @@ def first_of(groups: list[np.ndarray], key: np.ndarray, start: np.ndarray) -> np
     return out
 
 
-def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("key"), F.col(text).alias("text"))
+def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``doc`` (a number that orders the documents), ``key`` and ``text`` of every row.
+
+    A whole number that names one text only is its own number; else documents are sorted and counted.
+    """
+    hashed = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
+    if isinstance(docs.schema[key].dataType, IntegralType):
+        names = hashed.groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b"))
+        if names.filter("a <> b").isEmpty():
+            return hashed.select(F.coalesce(F.col("key").cast("long"), F.lit(NULL_KEY)).alias("doc"), "key", "text")
+    order = hashed.select("key", "hash").distinct().orderBy(F.col("key").asc_nulls_first(), "hash")
+    order = stored(order.select("key", "hash", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
+    # One row per task says how many documents the tasks before it have.
+    sizes = {r.part: r.n for r in order.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    before, total = {}, 0
+    for part in sorted(sizes):
+        before[part], total = total, total + sizes[part]
+    starts = docs.sparkSession.createDataFrame(list(before.items()), "part int, start bigint")
+    numbers = order.join(F.broadcast(starts), "part").select(F.col("key").alias("_key"), F.col("hash").alias("_hash"), (F.col("start") + F.col("at")).alias("doc"))
+    return hashed.join(numbers, F.col("key").eqNullSafe(F.col("_key")) & (F.col("hash") == F.col("_hash"))).select("doc", "key", "text")
 
 
-def _marks(rows: DataFrame, encode: Encode, width: int, gram: int) -> DataFrame:
-    """``key``, ``lo``, ``hi``: a repeat [lo, hi), or with ``gram`` a span (window starts lo..hi) to be settled."""
-    names = ["gram", "content", "key", "lo", "hi"]
+def _spans(rows: DataFrame, encode: Encode, width: int, gram: int) -> DataFrame:
+    """``gram``, ``content``, ``doc``, ``lo``, ``shape`` (windows but one, and the gram's place), ``kind``: 0 or 1 where the span is the first or second of its kind in a task, else 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", PART):
             codes, at = encode(*text_bytes(part.column("text")))
-            lo, hi, grams, content = spans_of(codes, at, width, gram)
+            lo, hi, place, grams, content = spans_of(codes, at, width, gram)
             if not len(lo):
                 continue
             of = np.searchsorted(at, lo, "right") - 1
-            key = part.column("key").to_numpy()[of]
-            lo, hi = lo - at[of], hi - at[of]
-            first = first_of([content, grams], key, lo)
-            owner, start, end = merge(key[~first], lo[~first], hi[~first] + width)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (grams[first].view(np.int64), content[first].view(np.int64), key[first], lo[first], hi[first])], names)
-            if len(owner):
-                yield pa.RecordBatch.from_arrays([pa.array(mix64(owner.astype(np.uint64)).view(np.int64)), pa.nulls(len(owner), pa.int64()), pa.array(owner), pa.array(start), pa.array(end)], names)
-
-    # Equal spans of a task are one row here, so a passage in a third of all documents is a row per task.
-    spans = rows.mapInArrow(run, "gram bigint, content bigint, key bigint, lo bigint, hi bigint").repartition("gram")
-    least = F.min(F.struct("key", "lo")).over(Window.partitionBy("gram", "content"))
-    by_gram = Window.partitionBy("gram")
-    seen = spans.select("*", least.alias("least"), F.min("content").over(by_gram).alias("a"), F.max("content").over(by_gram).alias("b"))
-    known = F.col("content").isNull()
-    later = F.struct("key", "lo") > F.col("least")
-    return cut(
-        seen.filter(known | later | (F.col("a") != F.col("b"))).select(
-            F.when(~known & ~later, F.col("gram")).alias("gram"), "key", "lo", F.when(~known & later, F.col("hi") + width).otherwise(F.col("hi")).alias("hi")
-        )
-    )
-
-
-def repeats(docs: DataFrame, key: str, text: str, width: int, gram: int, encode: Encode, pick: Callable[[np.ndarray, np.ndarray, np.ndarray], list[bytes]], settle: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """Every document once more, with what repeats in it: ``key``, ``text``, ``spans`` (array of lo, hi; null if none).
+            doc = part.column("doc").to_numpy()[of]
+            shape = (hi - lo) << 20 | (place - lo)
+            order = np.lexsort((lo, doc, content, grams))
+            new = np.r_[True, (grams[order][1:] != grams[order][:-1]) | (content[order][1:] != content[order][:-1])]
+            turn = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+            columns = (grams.view(np.int64), content.view(np.int64), doc, lo - at[of], shape)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[order]) for c in columns), pa.array(np.minimum(turn, 2).astype(np.int8))], ["gram", "content", "doc", "lo", "shape", "kind"])
 
-    ``pick`` cuts the content of spans (first and last element) out of one text; ``settle`` gets rows
-    (gram, key, lo, hi, content) in the order of gram, key and lo, all of a gram in one stream, and
-    returns the repeats among them (key, lo, hi).
-    """
-    rows = keyed(docs, key, text)
-    marks = _marks(rows, encode, width, gram)
-    texts = rows.repartition("key")
-    asked = marks.filter("gram is not null").groupBy("key").agg(F.collect_list(F.struct("gram", "lo", "hi")).alias("asked"))
+    return rows.select("doc", "text").mapInArrow(run, "gram bigint, content bigint, doc bigint, lo bigint, shape bigint, kind tinyint")
+
+
+def _marks(spans: DataFrame) -> DataFrame:
+    """The spans that may repeat, with ``turn``: 1 and 2 are compared by content, 3 stands for spans equal by hash to these."""
+    # A passage in a third of all documents sends two rows per part of a task to its gram's place; the others are spread.
+    dealt = spans.withColumn("salt", F.when(F.col("kind") == 2, F.col("doc")).otherwise(F.lit(0))).repartition("gram", "salt")
+    alike, by_gram = Window.partitionBy("gram", "salt", "content"), Window.partitionBy("gram", "salt")
+    seen = dealt.select("*", F.row_number().over(alike.orderBy("doc", "lo")).alias("n"), F.count("*").over(alike).alias("same"), F.min("content").over(by_gram).alias("a"), F.max("content").over(by_gram).alias("b"))
+    turn = F.when(F.col("kind") == 2, 3).otherwise(F.least("n", F.lit(3)))
+    return stored(seen.withColumn("turn", turn).filter("turn > 1 or same > 1 or a <> b").select("gram", "content", "doc", "lo", "shape", "turn"))
+
+
+CONTENTS = "gram bigint, gram0 bigint, content0 bigint, second boolean, doc bigint, lo bigint, hi bigint, place bigint, left int, right int, content binary"
 
-    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "key", "lo", "hi", "content"]
+
+def _contents(texts: DataFrame, asked: DataFrame, width: int, pick) -> DataFrame:
+    """The spans to be compared, with their content: of an element a fixed number of bytes in ``content``."""
+    by_doc = asked.groupBy("doc").agg(F.collect_list(F.struct("gram", "content", "lo", "shape", "turn")).alias("asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", PART):
-            out: list[list] = [[] for _ in names]
-            keys, lists = part.column("key").to_pylist(), part.column("asked")
+            docs, lists = part.column("doc").to_pylist(), part.column("asked")
             data, at = text_bytes(part.column("text"))
             for k in range(part.num_rows):
                 struct = lists[k].values
-                g, lo, hi = (struct.field(c).to_numpy() for c in ("gram", "lo", "hi"))
-                cut_out = pick(data[at[k] : at[k + 1]], lo, hi + width)
-                for col, values in zip(out, (g.tolist(), [keys[k]] * len(g), lo.tolist(), hi.tolist(), cut_out), strict=True):
-                    col += values
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], names)
-
-    content = texts.join(asked, "key").select("key", "text", "asked").mapInArrow(contents, "gram bigint, key bigint, lo bigint, hi bigint, content binary")
-    settled = content.repartition("gram").sortWithinPartitions("gram", "key", "lo").mapInArrow(settle, "key bigint, lo bigint, hi bigint")
-    found = marks.filter("gram is null").select("key", "lo", "hi").unionByName(settled).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return texts.join(found, "key", "left").select("key", "text", "spans")
+                g, c, lo, shape, turn = (struct.field(x).to_numpy() for x in ("gram", "content", "lo", "shape", "turn"))
+                hi, place = lo + (shape >> 20), lo + (shape & ((1 << 20) - 1))
+                none = np.zeros(len(g), np.int32)
+                columns = (g, g, c, turn == 2, np.full(len(g), docs[k]), lo, hi, place, none, none)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(pick(data[at[k] : at[k + 1]], lo, hi + width), pa.binary())], pa.schema(_ARROW).names)
+
+    return texts.join(by_doc, "doc").select("doc", "text", "asked").mapInArrow(run, CONTENTS)
+
+
+_ARROW = [(c.split()[0], pa.null()) for c in CONTENTS.split(", ")]
+
+
+def halves(rows: list[dict], width: int, gram: int, unit: int) -> list[dict]:
+    """Spans of one split gram cut in two: windows with more to the left of what is fixed, and the others.
+
+    ``left`` and ``right`` say how far beyond the gram all windows under a hash are known to agree.
+    """
+    out = []
+    for r in rows:
+        free = width - gram - r["left"] - r["right"]
+        if not free:
+            out.append(r)
+            continue
+        half = (free + 1) // 2
+        begin, end = r["place"] - r["left"], r["place"] + gram + r["right"]
+        for side, lo, hi, a, b in (("left", r["lo"], min(r["hi"], begin - half), begin - half, begin), ("right", max(r["lo"], begin - half + 1), r["hi"], end, end + half)):
+            if lo > hi:
+                continue
+            beside = r["content"][(a - r["lo"]) * unit : (b - r["lo"]) * unit]
+            name = xxhash.xxh64_intdigest(f"{r['gram']} {side} ".encode() + beside) - (1 << 63)
+            out.append({**r, "gram": name, "lo": lo, "hi": hi, side: r[side] + half, "content": r["content"][(lo - r["lo"]) * unit : (hi + width - r["lo"]) * unit]})
+    return out
+
+
+def _split(contents: DataFrame, width: int, gram: int, unit: int) -> DataFrame:
+    """The contents, with grams that have more than ``HOT`` surroundings split as far as needed."""
+    free = F.col("left") + F.col("right") < width - gram
+    done = None
+    while True:
+        hot = contents.filter(free & ~F.col("second")).groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("gram")
+        hot = stored_small(hot, BROADCAST_GRAMS)
+        if hot.isEmpty():
+            return contents if done is None else done.unionByName(contents)
+        calm = contents.join(hot, "gram", "left_anti")
+        done = calm if done is None else done.unionByName(calm)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 5000):
+                    yield pa.RecordBatch.from_pylist(halves(batch.slice(lo, 5000).to_pylist(), width, gram, unit), batch.schema)
+
+        contents = stored(contents.join(hot, "gram", "left_semi").select(*(c.split()[0] for c in CONTENTS.split(", "))).mapInArrow(run, CONTENTS))
+
+
+#: What ``settle`` returns: repeats (doc, lo, hi), and per second of two equal spans how many of its windows repeat (doc null).
+SETTLED = "doc bigint, lo bigint, hi bigint, gram0 bigint, content0 bigint, windows bigint"
+
+
+def settled_batch(owner: np.ndarray, start: np.ndarray, end: np.ndarray, confirmed: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    n, m = len(owner), len(confirmed)
+    g, c, w = (list(x) for x in zip(*confirmed, strict=True)) if m else ([], [], [])
+    first = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(m, pa.int64())]) for x in (owner, start, end)]
+    last = [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x, pa.int64())]) for x in (g, c, w)]
+    return pa.RecordBatch.from_arrays([*first, *last], ["doc", "lo", "hi", "gram0", "content0", "windows"])
+
+
+def repeats(docs: DataFrame, key: str, text: str, width: int, gram: int, unit: int, encode: Encode, pick: Callable[[np.ndarray, np.ndarray, np.ndarray], list[bytes]], settle: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Every document once more, with what repeats in it: ``key``, ``text``, ``spans`` (array of lo, hi; null if none).
+
+    ``pick`` cuts the content of spans (first and last element) out of one text, ``unit`` bytes for an
+    element; ``settle`` gets rows of ``CONTENTS`` in the order of gram, doc and lo, all of a gram in one
+    stream, and returns ``SETTLED``.
+    """
+    rows = numbered(docs, key, text)
+    marks = _marks(_spans(rows, encode, width, gram))
+    texts = rows.repartition("doc")
+    contents = _contents(texts, marks.filter("turn < 3"), width, pick)
+    # Only a gram with many spans can be hot; most tables have none, and then contents are made once.
+    counts = marks.filter("turn = 1").groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > HOT)
+    if not counts.isEmpty():
+        contents = _split(stored(contents), width, gram, unit)
+    settled = stored(contents.repartition("gram").sortWithinPartitions("gram", "doc", "lo").mapInArrow(settle, SETTLED))
+    equal = settled.filter("doc is null").groupBy("gram0", "content0").agg(F.sum("windows").alias("windows"))
+    equal = stored_small(equal.select(F.col("gram0").alias("gram"), F.col("content0").alias("content"), "windows"), BROADCAST_GRAMS)
+    last = F.col("lo") + F.shiftright("shape", 20)
+    alike = marks.filter("turn = 3").join(equal, ["gram", "content"]).filter(F.col("windows") == F.shiftright("shape", 20) + 1).select("doc", "lo", (last + width).alias("hi"))
+    found = alike.unionByName(settled.filter("doc is not null").select("doc", "lo", "hi")).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return texts.join(found, "doc", "left").select("key", "text", "spans")
 
 
 def removed(spans: pa.Scalar, length: int) -> tuple[np.ndarray, np.ndarray]:

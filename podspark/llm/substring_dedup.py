@@ -8,7 +8,8 @@ every match is followed as far as it goes, and what is marked are its maximal re
 ``width`` words.
 
 Defined results: a null or empty text has no words; texts of fewer than ``width`` words are kept;
-rows with the same key count as one document; an empty table gives an empty result; texts of any
+repeated rows are one document, rows with one key and different texts are several (see ``repeats``); words
+are compared by 64-bit hashes; an empty table gives an empty result; texts of any
 length are judged whole; other input columns are dropped.
 """
 
@@ -21,14 +22,13 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from podspark.llm.arrow_text import SpanHash, mix64, slices, word_hashes
-from podspark.llm.repeats import NULL_KEY, first_of, merge, removed, repeats
+from podspark.llm.arrow_text import slices, word_hashes
+from podspark.llm.repeats import first_of, merge, removed, repeats, settled_batch
 
 WIDTH = 20
 GRAM = 8
-#: Words of content that are extended together; the occurrences of one gram always are.
+#: Words of content that are extended together.
 SHARD = 1 << 18
 
 
@@ -43,74 +43,71 @@ def _classes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return out
 
 
-def extend(gram: np.ndarray, key: np.ndarray, lo: np.ndarray, hi: np.ndarray, words: np.ndarray, at: np.ndarray, width: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Repeats (key, start, end) among occurrences whose words stand in ``words`` from ``at`` on.
+def extend(group: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray, words: np.ndarray, at: np.ndarray, width: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows that repeat among occurrences whose words stand in ``words`` from ``at`` on: the occurrence each is of, and its start.
 
-    The anchor of an occurrence is where its gram stands; ``lo`` and ``hi`` are the starts of the
-    first and last window that chose it.
+    The gram of an occurrence stands ``anchor`` words behind its first word; ``lo`` and ``hi`` are the
+    starts of the first and last window that chose it.
     """
-    n = len(gram)
-    length = np.diff(at)
-    # The anchor's place: the one gram of the span whose hash is the gram's.
-    hashes = SpanHash(words)
-    place = np.concatenate([np.arange(a, b - size + 1) for a, b in zip(at[:-1], at[1:], strict=True)])
-    of = np.repeat(np.arange(n), length - size + 1)
-    hit = hashes.of(place, place + size) == gram[of].view(np.uint64)
-    anchor = np.full(n, -1)
-    # The first and last windows hold the chosen gram, so it lies at hi - lo at least and width - size at most.
-    ok = hit & (place - at[of] >= (hi - lo)[of]) & (place - at[of] <= width - size)
-    anchor[of[ok][::-1]] = place[ok][::-1]
-    before, most = anchor - at[:-1], width - size
+    n, most = len(group), width - size
     none = np.uint64(0)
 
-    def word(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """The word at place i of occurrence j, or a mark of its own where the occurrence ends."""
-        there = (i >= at[:-1][j]) & (i < at[1:][j])
+    def word(i: np.ndarray) -> np.ndarray:
+        """The word at a place of each occurrence, or a mark of its own where the occurrence ends."""
+        there = (i >= at[:-1]) & (i < at[1:])
         return np.where(there, words[np.clip(i, 0, len(words) - 1)], none)
 
-    every = np.arange(n)
-    left = [_classes(np.zeros(n, np.int64), gram.view(np.uint64))]
-    right = [left[0]]
+    # The gram's own words first: their hash alone has brought them together.
+    first = group.view(np.uint64)
+    middle = _classes(np.zeros(n, np.int64), first)
+    for step in range(size):
+        middle = _classes(middle, word(at[:-1] + anchor + step))
+    left, right = [middle], [middle]
     for step in range(1, most + 1):
-        left.append(_classes(left[-1], word(anchor - step, every)))
-        right.append(_classes(right[-1], word(anchor + size - 1 + step, every)))
-    out_key, out_start = [], []
+        left.append(_classes(left[-1], word(at[:-1] + anchor - step)))
+        right.append(_classes(right[-1], word(at[:-1] + anchor + size - 1 + step)))
+    out_of, out_start = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for o in range(most + 1):
-        # The window with o words before the anchor starts at lo + before - o.
-        start = lo + before - o
+        # The window with o words before the gram starts at lo + anchor - o.
+        start = lo + anchor - o
         rows = np.flatnonzero((start >= lo) & (start <= hi))
         if len(rows):
-            again = ~first_of([left[o][rows], right[most - o][rows]], key[rows], start[rows])
-            out_key.append(key[rows][again])
+            again = ~first_of([left[o][rows], right[most - o][rows]], doc[rows], start[rows])
+            out_of.append(rows[again])
             out_start.append(start[rows][again])
-    k = np.concatenate([np.empty(0, np.int64), *out_key])
-    s = np.concatenate([np.empty(0, np.int64), *out_start])
-    return merge(k, s, s + width)
+    return np.concatenate(out_of), np.concatenate(out_start)
 
 
 def settle(batches: Iterator[pa.RecordBatch], width: int = WIDTH, size: int = GRAM, shard: int = SHARD) -> Iterator[pa.RecordBatch]:
-    held: list[pa.RecordBatch] = []
+    """Repeats among spans that come in the order of gram, document and start.
 
-    def close(table: pa.Table) -> pa.RecordBatch:
-        gram, key, lo, hi = (table.column(c).to_numpy() for c in ("gram", "key", "lo", "hi"))
-        content = table.column("content").to_pylist()
+    If a gram goes on in the next shard, its occurrences that hold a window seen for the first time go along.
+    """
+    names = ("gram", "doc", "lo", "hi", "place", "content", "second", "gram0", "content0")
+    rows: list[tuple] = []
+    carried = weight = 0
+
+    def close() -> tuple[pa.RecordBatch, list[tuple]]:
+        gram, doc, lo, hi, place, content, second, gram0, content0 = (list(x) for x in zip(*rows, strict=True))
         words = np.frombuffer(b"".join(content), np.uint64)
         at = np.cumsum([0, *(len(c) // 8 for c in content)])
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in extend(gram, key, lo, hi, words, at, width, size)], ["key", "lo", "hi"])
+        doc, lo, hi = np.array(doc), np.array(lo), np.array(hi)
+        of, start = extend(np.array(gram), doc, lo, hi, np.array(place) - lo, words, at, width, size)
+        repeated = np.bincount(of, minlength=len(rows))
+        new = of >= carried
+        batch = settled_batch(*merge(doc[of[new]], start[new], start[new] + width), [(gram0[k], content0[k], int(repeated[k])) for k in range(carried, len(rows)) if second[k]])
+        return batch, [rows[k] for k in np.flatnonzero((repeated < hi - lo + 1) & (np.array(gram) == gram[-1])).tolist()]
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        if sum(b.nbytes for b in held) >= 8 * shard:
-            table = pa.Table.from_batches(held).combine_chunks()
-            gram = table.column("gram").to_numpy()
-            upto = int(np.searchsorted(gram, gram[-1]))  # the last gram may go on
-            if upto:
-                yield close(table.slice(0, upto))
-                held = table.slice(upto).to_batches()
-    if held:
-        yield close(pa.Table.from_batches(held).combine_chunks())
+        for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            rows.append(row)
+            weight += len(row[5]) // 8
+            if weight >= shard:
+                out, rows = close()
+                carried, weight = len(rows), 0
+                yield out
+    if len(rows) > carried:
+        yield close()[0]
 
 
 def _encode(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +121,7 @@ def _pick(data: np.ndarray, lo: np.ndarray, end: np.ndarray) -> list[bytes]:
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, kept_text: bool = False) -> DataFrame:
     """Per document: key, n_words, n_removed, kept_sha256, and with ``kept_text`` the words that are left."""
-    found = repeats(docs, key, text, width, gram, _encode, _pick, partial(settle, width=width, size=gram))
+    found = repeats(docs, key, text, width, gram, 8, _encode, _pick, partial(settle, width=width, size=gram))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 4 << 20):
@@ -139,6 +136,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
             types = (pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("key"), *map(pa.array, out, types)], ["key", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    rows = found.mapInArrow(run, "key bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept binary")
-    rows = rows.select(F.nullif("key", F.lit(NULL_KEY)).alias(key), *rows.columns[1:])
+    schema = found.select("key").schema
+    for name, kind in (("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string"), ("kept", "binary")):
+        schema = schema.add(name, kind)
+    rows = found.mapInArrow(run, schema).withColumnRenamed("key", key)
     return rows if kept_text else rows.drop("kept")

@@ -8,8 +8,8 @@ suffixes that share ``width`` bytes give the repeats.  If the spans of one gram
 later shards are merged with the earlier ones by binary search over their sorted windows.
 
 Defined results: a null or empty text has no bytes and nothing removed; texts shorter than
-``width`` are kept whole; rows with the same key count as one document (see ``repeats``); an
-empty table gives an empty result; texts of any length are judged whole; other input columns are
+``width`` are kept whole; repeated rows are one document, rows with one key and different texts are several
+(see ``repeats``); an empty table gives an empty result; texts of any length are judged whole; other input columns are
 dropped.
 """
 
@@ -22,10 +22,9 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from podspark.llm.arrow_text import byte_codes, slices
-from podspark.llm.repeats import NULL_KEY, first_of, merge, removed, repeats
+from podspark.llm.repeats import first_of, merge, removed, repeats, settled_batch
 
 WIDTH = 100
 GRAM = 32
@@ -119,14 +118,15 @@ def _windows(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
 
 
 def settle(batches: Iterator[pa.RecordBatch], width: int = WIDTH, shard: int = SHARD) -> Iterator[pa.RecordBatch]:
-    """Repeats among spans that come in the order of gram, key and start."""
-    rows: list[tuple[int, int, int, int, bytes]] = []
+    """Repeats among spans that come in the order of gram, document and start."""
+    names = ("gram", "doc", "lo", "hi", "content", "second", "gram0", "content0")
+    rows: list[tuple] = []
     size = 0
     earlier: tuple[int, list[np.ndarray]] = (0, [])
 
     def close() -> pa.RecordBatch:
         nonlocal earlier
-        grams, keys, lo, hi, content = (list(x) for x in zip(*rows, strict=True))
+        grams, docs, lo, hi, content, second, gram0, content0 = (list(x) for x in zip(*rows, strict=True))
         data = np.frombuffer(b"".join(content), np.uint8)
         count = np.array(hi) - np.array(lo) + 1
         base = np.cumsum([0, *map(len, content)])[:-1]
@@ -136,9 +136,11 @@ def settle(batches: Iterator[pa.RecordBatch], width: int = WIDTH, shard: int = S
         # The places where windows start, each with its document and start.
         inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         place = np.repeat(base, count) + inner
-        gram, key, start = np.repeat(np.array(grams), count), np.repeat(np.array(keys), count), np.repeat(np.array(lo), count) + inner
+        of = np.repeat(np.arange(len(rows)), count)
+        gram, doc, start = np.array(grams)[of], np.array(docs)[of], np.array(lo)[of] + inner
         group = run[rank[place]]
-        first = first_of([group], key, start)
+        # A shard may hold several grams; a window and its repeats have the same one.
+        first = first_of([group], doc, start)
         if earlier[1]:
             # Merging with earlier shards of the same gram: what they have starts earlier.
             mine = np.flatnonzero(first & (gram == earlier[0]))
@@ -152,12 +154,17 @@ def settle(batches: Iterator[pa.RecordBatch], width: int = WIDTH, shard: int = S
         last = grams[-1]
         ours = first & (gram == last)
         kept = earlier[1] if earlier[0] == last else []
-        earlier = (last, [*kept, np.sort(_windows(data, place[ours], width))] if ours.any() else kept)
-        owner, begin, end = merge(key[~first], start[~first], start[~first] + width)
-        return pa.RecordBatch.from_arrays([pa.array(owner), pa.array(begin), pa.array(end)], ["key", "lo", "hi"])
+        if ours.any():
+            kept = [*kept, np.sort(_windows(data, place[ours], width))]
+            if len(kept) > 16:
+                kept = [np.sort(np.concatenate(kept))]
+        earlier = (last, kept)
+        owner, begin, end = merge(doc[~first], start[~first], start[~first] + width)
+        repeated = np.bincount(of[~first], minlength=len(rows)).tolist()
+        return settled_batch(owner, begin, end, [(gram0[k], content0[k], repeated[k]) for k in range(len(rows)) if second[k]])
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "key", "lo", "hi", "content")), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
             rows.append(row)
             size += len(row[4])
             if size >= shard:
@@ -178,7 +185,7 @@ def _encode(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, kept_text: bool = False) -> DataFrame:
     """Per document: key, n_bytes, n_removed, n_spans, kept_sha256, and with ``kept_text`` the bytes that are left."""
-    found = repeats(docs, key, text, width, gram, _encode, _pick, partial(settle, width=width))
+    found = repeats(docs, key, text, width, gram, 1, _encode, _pick, partial(settle, width=width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 4 << 20):
@@ -192,6 +199,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("key"), *map(pa.array, out, types)], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    rows = found.mapInArrow(run, "key bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    rows = rows.select(F.nullif("key", F.lit(NULL_KEY)).alias(key), *rows.columns[1:])
+    schema = found.select("key").schema
+    for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept", "binary")):
+        schema = schema.add(name, kind)
+    rows = found.mapInArrow(run, schema).withColumnRenamed("key", key)
     return rows if kept_text else rows.drop("kept")

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from podspark.llm import repeats, substring_dedup, suffix_dedup
@@ -13,29 +14,19 @@ SCHEMA = "doc_id bigint, text string, key string, content string, gram int, lo i
 
 
 def brute(docs, width, split, join):
-    """What the contract says, window by window; rows with one id count as one document."""
-    items = {k: [split(t or "") for i, t in docs if i == k] for k in {i for i, _ in docs}}
+    """What the contract says, window by window; ``docs`` are (id, text, hash of the text), and rows equal in all three are one document."""
+    order = sorted(set(docs), key=lambda d: (d[0] is not None, d[0] or 0, d[2]))
     first = {}
-    order = sorted(items, key=lambda k: (k is not None, k or 0))
-    for at, k in enumerate(order):
-        for seq in items[k]:
-            for s in range(len(seq) - width + 1):
-                w = seq[s : s + width] if isinstance(seq, bytes) else tuple(seq[s : s + width])
-                first[w] = min(first.get(w, (at, s)), (at, s))
+    windows = lambda seq: [seq[s : s + width] if isinstance(seq, bytes) else tuple(seq[s : s + width]) for s in range(len(seq) - width + 1)]
+    for at, (_, t, _) in enumerate(order):
+        for s, w in enumerate(windows(split(t or ""))):
+            first.setdefault(w, (at, s))
     out = []
-    for i, t in docs:
-        at = order.index(i)
-        cover = set()
-        for seq in items[i]:
-            for s in range(len(seq) - width + 1):
-                w = seq[s : s + width] if isinstance(seq, bytes) else tuple(seq[s : s + width])
-                if first[w] < (at, s):
-                    cover.update(range(s, s + width))
-        seq = split(t or "")
-        cover = {p for p in cover if p < len(seq)}
+    for d in docs:
+        at, seq = order.index(d), split(d[1] or "")
+        cover = {p for s, w in enumerate(windows(seq)) if first[w] < (at, s) for p in range(s, s + width)}
         kept = join([seq[p : p + 1] if isinstance(seq, bytes) else seq[p] for p in range(len(seq)) if p not in cover])
-        runs = sum(1 for p in cover if p - 1 not in cover)
-        out.append((i, len(seq), len(cover), runs, hashlib.sha256(kept).hexdigest()))
+        out.append((d[0], len(seq), len(cover), sum(1 for p in cover if p - 1 not in cover), hashlib.sha256(kept).hexdigest()))
     return sorted(out, key=str)
 
 
@@ -53,6 +44,8 @@ def made(seed):
             t += rng.choice([" ", "\n"]) + " ".join(parts[a:b]) + " " + text(rng.randint(0, 10))
         docs.append((k, t))
     docs += [(100, docs[3][1]), (101, docs[5][1]), (102, None), (103, ""), (104, "a" * 700), (105, "ab" * 400), (106, "x y " * 90), (107, "\x00" * 150 + "q" + "\x00" * 150), (100, docs[3][1]), (None, shared[0])]
+    if seed == 2:  # other texts under keys that are there already
+        docs += [(5, shared[1] + " " + text(60)), (5, text(60)), (None, shared[2] + " " + text(50)), (None, None)]
     return docs
 
 
@@ -60,41 +53,71 @@ def frame(spark, docs):
     return spark.createDataFrame([(i, t, "k", "c", 1, 2) for i, t in docs], SCHEMA).repartition(3)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_bytes_equal_brute_force(spark, seed):
-    docs = made(seed)
-    got = suffix_dedup.dedup(frame(spark, docs)).collect()
-    want = brute(docs, 100, lambda t: t.encode(), b"".join)
+def hashed(df):
+    return [(r.doc_id, r.text, r.h) for r in df.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) AS h").collect()]
+
+
+@pytest.mark.parametrize(("seed", "hot"), [(1, 4096), (2, 4096), (2, 1)])
+def test_bytes_equal_brute_force(spark, seed, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    df = frame(spark, made(seed))
+    got = suffix_dedup.dedup(df).collect()
+    want = brute(hashed(df), 100, lambda t: t.encode(), b"".join)
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], key=str) == want
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_words_equal_brute_force(spark, seed):
-    docs = made(seed)
-    got = substring_dedup.dedup(frame(spark, docs)).collect()
-    want = [(i, n, r, h) for i, n, r, _, h in brute(docs, 20, lambda t: t.encode().split(), b" ".join)]
+@pytest.mark.parametrize(("seed", "hot"), [(1, 4096), (2, 4096), (2, 1)])
+def test_words_equal_brute_force(spark, seed, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    df = frame(spark, made(seed))
+    got = substring_dedup.dedup(df).collect()
+    want = [(i, n, r, h) for i, n, r, _, h in brute(hashed(df), 20, lambda t: t.encode().split(), b" ".join)]
     assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got], key=str) == sorted(want, key=str)
 
 
-def test_small_shards_are_merged():
-    """One gram over many shards gives the same repeats as one shard."""
-    import pyarrow as pa
+def test_keys_of_other_types_and_texts_under_one_key(spark):
+    one, two, three = "first unit " + "x1 y2 z3 " * 30, "another text " + " ".join(f"v{k}" for k in range(60)), " ".join(f"u{k}" for k in range(60))
+    rows = [("b", one), ("a", two), ("b", three), ("c", f"{two} end"), (None, three)]
+    df = spark.createDataFrame(rows, "id string, body string")
+    for got in (suffix_dedup.dedup(df, key="id", text="body").collect(), substring_dedup.dedup(df, key="id", text="body").collect()):
+        removed = sorted((r.id or "", r.n_removed > 0) for r in got)
+        assert [r for r in removed if r[0] in ("", "a", "c")] == [("", False), ("a", False), ("c", True)]
+    # Of one key the text that stands nowhere else stays whole, whatever the other one loses.
+    alone = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([(5, f"{two} {alone}"), (5, alone[:-3] + "q"), (1, two), (5, "p " * 5)], "doc_id int, text string")
+    want = brute(hashed(df), 20, lambda t: t.encode().split(), b" ".join)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(df).collect()), key=str) == sorted(((i, n, r, h) for i, n, r, _, h in want), key=str)
+
 
+def spans_under_one_gram():
+    """Forty spans around one gram, as ``settle`` gets them."""
     rng = random.Random(4)
-    base = bytes(rng.choice(b"abc") for _ in range(130))
     rows = []
     for k in range(40):
-        cut = rng.randint(0, 20)
-        rows.append((5, k, 0, 130 - 100, base[:cut] + bytes([rng.choice(b"abc")]) + base[cut + 1 :]))
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in map(list, zip(*rows, strict=True))], ["gram", "key", "lo", "hi", "content"])
-    sets = []
-    for shard in (1, 300, 1 << 20):
-        marked = set()
-        for out in suffix_dedup.settle(iter([batch]), shard=shard):
-            for k, lo, hi in zip(*(out.column(c).to_pylist() for c in ("key", "lo", "hi")), strict=True):
-                marked.update((k, p) for p in range(lo, hi))
-        sets.append(marked)
-    assert sets[0] == sets[1] == sets[2] and sets[0]
+        left = [rng.choice("ab") for _ in range(4)]
+        words = [*left, *"cdefghij", *(rng.choice("xy") for _ in range(4))]
+        rows.append((k, words))
+    return rows
+
+
+def test_small_shards_are_merged():
+    """One gram over many shards gives the same repeats as one shard, and the seconds' windows are counted."""
+    names = ["gram", "gram0", "content0", "second", "doc", "lo", "hi", "place", "content"]
+    results = []
+    for module, unit, shards in ((suffix_dedup, 1, (1, 60, 1 << 20)), (substring_dedup, 8, (1, 60, 1 << 20))):
+        rows = [(5, 5, k % 7, k % 3 == 0, k, 0, 4, 4, b"".join(w.encode() if unit == 1 else np.array([ord(w)], np.uint64).tobytes() for w in words)) for k, words in spans_under_one_gram()]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in map(list, zip(*rows, strict=True))], names)
+        for shard in shards:
+            extra = {} if unit == 1 else {"size": 8}
+            marked, confirmed = set(), []
+            for out in module.settle(iter([batch]), width=12, shard=shard, **extra):
+                for d, lo, hi, g, c, w in zip(*(out.column(c).to_pylist() for c in out.schema.names), strict=True):
+                    if d is None:
+                        confirmed.append((g, c, w))
+                    else:
+                        marked.update((d, p) for p in range(lo, hi))
+            results.append((marked, confirmed))
+    assert all(r == results[0] for r in results) and results[0][0] and len(results[0][1]) == 14
 
 
 def test_suffix_array_and_common_prefixes():
@@ -121,7 +144,7 @@ def test_long_runs_are_cut_without_losing_windows(monkeypatch):
     cut = repeats.spans_of(codes, at, 20, 8)
     want = [p for a, b in zip(at[:-1], at[1:], strict=True) for p in range(a, b - 19)]
     assert starts(whole) == starts(cut) == want
-    gram = lambda spans: {p: g for lo, hi, g, _ in zip(*spans, strict=True) for p in range(lo, hi + 1)}
+    gram = lambda spans: {p: g for lo, hi, _, g, _ in zip(*spans, strict=True) for p in range(lo, hi + 1)}
     assert gram(whole) == gram(cut)
 
 
