@@ -1,17 +1,21 @@
 """Main text of web pages by site template removal.
 
-Pass 1 hashes the element subtrees of every page (tag, class, id, text and children, bottom up)
-outside its article.  Spark counts, per host, on how many different pages a subtree stands.
-Pass 2 reads every page again and deletes the subtrees that recur on many pages of its host,
-together with elements whose tag, role, class or id says that they are no content: menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments.
-
-A page that marks its article (``article`` or ``main``) keeps what stands inside; copies of one page
-count once, so a copied article is never taken for a template.
+Pass 1 hashes the element subtrees of every page (tag, class, id, text and children, bottom up), in its
+article if it marks one, else everywhere.  Spark counts, per host, in how many different articles or pages
+a subtree stands.  Pass 2 reads every page again and deletes the subtrees that recur on many pages of
+their host: containers outside an article from ``MIN_SHARE`` of the pages on; what holds running text
+(paragraphs, headings, list items) and everything in an article from ``TEXT_SHARE`` on, since articles
+may be copied, wholly or nearly, and quote each other.  Copies of one article or page count once.
+An article itself is never a template.
+
+After the counts, elements go whose tag, role, class or id says that they are no content: menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments; and of a page
+that marks its article (``article`` or ``main``) what stands outside.
 
 Defined results: null or empty html gives an empty text; broken markup is read as far as it goes
 (open elements end with the page); repeated pages get the same text; pages without a host share
-one; an empty table gives an empty result; other input columns are dropped; nothing is capped.
+one; an empty table gives an empty result; other input columns are dropped; nothing is capped, and a
+page is read in time in proportion to its length however deep its elements are nested.
 """
 
 from __future__ import annotations
@@ -19,17 +23,21 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from podspark.llm.common import cut
+from podspark.llm.arrow_text import slices
+from podspark.llm.common import fresh, stored
 
-#: A subtree is a template from this number of different pages of a host on, and from this share of them.
+#: A subtree is a template from this number of different pages or articles of a host on, and from this share of them.
 MIN_PAGES = 5
 MIN_SHARE = 0.02
+#: The share for running text and in articles: more than any group of near copies is taken to have.
+TEXT_SHARE = 0.4
 #: Recurring subtrees are sent to all executors only up to this number (about 100 bytes each).
 BROADCAST_SUBTREES = 100_000
 
@@ -49,7 +57,13 @@ DROPPED_NAMES = frozenset(
 )
 #: In an article a header holds its title, and these names say nothing about it.
 IN_ARTICLE = frozenset("header masthead banner".split())
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption".split())
+_BOUNDS = frozenset("ul ol dl table select div article section".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+HIDDEN = frozenset("head script style noscript template title".split())
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+#: Tells hashes of running text from those of containers.
+_OF_TEXT = 0x5BD1E9955BD1E995
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
@@ -69,35 +83,63 @@ def _dropped(tag: str, found: dict[str, str], source: str, inside: bool) -> bool
 
 
 class _Element:
-    __slots__ = ("content", "digest", "dropped", "from_piece", "inside", "tag")
+    __slots__ = ("block", "blocks", "bound", "content", "digest", "dropped", "from_hash", "from_piece", "inside", "tag", "under")
+
+    def __init__(self, tag: str, dropped: bool, from_piece: int, from_hash: int, parent: _Element | None, place: int, marks: bool, digest):
+        self.tag, self.dropped, self.from_piece, self.from_hash, self.digest = tag, dropped, from_piece, from_hash, digest
+        self.content = marks and tag in CONTENT  # or holds such an element
+        self.inside = parent is not None and (parent.inside or marks and parent.tag in CONTENT)
+        self.under = parent is not None and (parent.under or parent.dropped)
+        # Of the stack up to here: elements that are not inline, the last of them, and the last that bounds a list or table.
+        inline = tag in INLINE
+        self.blocks = (parent.blocks if parent else 0) + (not inline)
+        self.block = (parent.block if parent else -1) if inline else place
+        self.bound = place if tag in _BOUNDS else parent.bound if parent else -1
+
 
-    def __init__(self, tag: str, dropped: bool, from_piece: int, inside: bool, digest):
-        self.tag, self.dropped, self.from_piece, self.inside, self.digest = tag, dropped, from_piece, inside, digest
-        self.content = tag in CONTENT  # or holds such an element
+class Subtrees(NamedTuple):
+    """Hashes of the subtrees of one article, or of one page without an article: ``containers``, and ``texts`` that need the higher share."""
 
+    unit: int
+    containers: list[int]
+    texts: list[int]
 
-def read_page(page: str, doomed: frozenset[int] = frozenset()) -> tuple[list[int], str]:
-    """Hashes of the subtrees outside the article, and the text that is left without ``doomed`` subtrees.
+
+def read_page(page: str, doomed: frozenset[int] = frozenset(), marks: bool = True) -> tuple[list[Subtrees], str]:
+    """The subtrees by which templates are found, and the text that is left without ``doomed`` subtrees.
 
     Pieces of text pile up as elements open; an element that is dropped or doomed takes its own
-    pieces with it when it closes, so one pass does both.
+    pieces with it when it closes, so one pass does both.  Without ``marks`` no tag, role or name
+    decides anything: of a page only what the counts doom is deleted (and what is never shown).
     """
     pieces: list[str | None] = []  # None ends a block
     article: list[str | None] = []
     has_article = False
     stack: list[_Element] = []
-    hashes: list[int] = []
+    places: dict[str, list[int]] = {}
+    hashes: list[tuple[int, bool]] = []
+    articles: list[Subtrees] = []
+
+    def listed(unit: int, found: list[tuple[int, bool]]) -> Subtrees:
+        return Subtrees(unit, [v for v, t in found if not t], [v for v, t in found if t])
 
     def close() -> None:
         nonlocal has_article
         e = stack.pop()
-        if e.content and stack:
-            stack[-1].content = True
-        if not e.inside and not e.content and e.tag not in ("html", "body"):
-            value = e.digest.intdigest() - (1 << 63)
-            hashes.append(value)
-            if stack:
-                stack[-1].digest.update(value.to_bytes(8, "big", signed=True))
+        places[e.tag].pop()
+        parent = stack[-1] if stack else None
+        if e.content and parent:
+            parent.content = True
+        value = e.digest.intdigest()
+        if parent:
+            parent.digest.update(value.to_bytes(8, "big"))
+        value -= 1 << 63
+        container = marks and e.tag in CONTENT and not e.inside
+        if not e.content and e.tag not in ("html", "body"):
+            of_text = e.inside or e.tag in TEXT or e.tag in INLINE
+            if of_text:
+                value ^= _OF_TEXT
+            hashes.append((value, of_text))
             e.dropped |= value in doomed
         if e.tag not in INLINE:
             pieces.append(None)
@@ -105,14 +147,15 @@ def read_page(page: str, doomed: frozenset[int] = frozenset()) -> tuple[list[int
             del pieces[e.from_piece :]
             if e.tag not in INLINE:
                 pieces.append(None)
-        elif e.tag in CONTENT and not e.inside and not any(x.dropped for x in stack):
+        elif container and not e.under:
             has_article = True
             article.extend(pieces[e.from_piece :])
+            articles.append(listed(value, hashes[e.from_hash :]))
 
     def text(raw: str) -> None:
         if raw:
             pieces.append(entities.unescape(raw))
-            if stack and not stack[-1].inside:
+            if stack:
                 stack[-1].digest.update(" ".join(raw.split()).encode("utf-8", "surrogatepass"))
 
     at, n = 0, len(page)
@@ -131,9 +174,9 @@ def read_page(page: str, doomed: frozenset[int] = frozenset()) -> tuple[list[int
         if m[2]:
             if tag == "br":
                 pieces.append(" ")
-            elif any(e.tag == tag for e in stack):
+            elif places.get(tag):
                 # An inline end tag does not end the blocks around it.
-                if tag in INLINE and any(e.tag not in INLINE for e in stack[max(k for k, e in enumerate(stack) if e.tag == tag) :]):
+                if tag in INLINE and stack[-1].blocks > stack[places[tag][-1]].blocks:
                     continue
                 while stack[-1].tag != tag:
                     close()
@@ -142,30 +185,23 @@ def read_page(page: str, doomed: frozenset[int] = frozenset()) -> tuple[list[int
         if tag in VOID:
             pieces.append(" " if tag == "br" else None if tag == "hr" else "")
             continue
-        if tag in _CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == "p":
-                    while len(stack) > k:
-                        close()
-                    break
-                if stack[k].tag not in INLINE:
-                    break
+        if tag in _CLOSES_P and stack and stack[-1].block >= 0 and stack[stack[-1].block].tag == "p":
+            for _ in range(len(stack) - stack[-1].block):
+                close()
         for other in _SAME.get(tag, ()):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == other:
-                    while len(stack) > k:
-                        close()
-                    break
-                if stack[k].tag in ("ul", "ol", "dl", "table", "select", "div", "article", "section"):
-                    break
-        inside = any(e.tag in CONTENT for e in stack)
+            if stack and places.get(other) and places[other][-1] > stack[-1].bound:
+                for _ in range(len(stack) - places[other][-1]):
+                    close()
         found = _attributes(m[4])
-        digest = None if inside else xxhash.xxh64(f"{tag}|{found.get('class', '')}|{found.get('id', '')}")
         if tag not in INLINE:
             pieces.append(None)
-        stack.append(_Element(tag, _dropped(tag, found, m[4], inside), len(pieces), inside, digest))
+        parent = stack[-1] if stack else None
+        e = _Element(tag, False, len(pieces), len(hashes), parent, len(stack), marks, xxhash.xxh64(f"{tag}|{found.get('class', '')}|{found.get('id', '')}"))
+        e.dropped = _dropped(tag, found, m[4], e.inside) if marks else tag in HIDDEN
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(e)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            end = _RAW_END[tag].search(page, at)
             text(page[at : end.start() if end else n])
             at = end.end() if end else n
             close()
@@ -183,40 +219,43 @@ def read_page(page: str, doomed: frozenset[int] = frozenset()) -> tuple[list[int
             if line:
                 blocks.append(line)
             block = []
-    return hashes, "\n".join(blocks)
+    return articles if has_article else [listed(xxhash.xxh64_intdigest(page) - (1 << 63), hashes)], "\n".join(blocks)
 
 
 def _host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
 
 
-def recurring(pages: DataFrame, html: str = "html", url: str = "url", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def recurring(pages: DataFrame, html: str = "html", url: str = "url", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, text_share: float = TEXT_SHARE, marks: bool = True) -> DataFrame:
     """Subtrees that stand on many different pages of a host: ``host``, ``subtree``."""
     rows = pages.select(_host(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                hosts, of, page = [], [], []
-                for host, source in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                    found = sorted(set(read_page(source)[0]))
-                    hosts += [host] * (len(found) + 1)
-                    of += [None, *found]  # a row without a subtree counts the page itself
-                    page += [xxhash.xxh64_intdigest(source) - (1 << 63)] * (len(found) + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(of, pa.int64()), pa.array(page, pa.int64())], ["host", "subtree", "page"])
-
-    # The number of different pages by distinct rows first, so a hot host is spread over all tasks.
-    seen = rows.mapInArrow(subtrees, "host string, subtree bigint, page bigint").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    seen = cut(seen.filter((F.col("n") >= min_pages) | F.col("subtree").isNull()))
-    totals = seen.filter("subtree is null").select("host", F.col("n").alias("total"))
-    return seen.filter("subtree is not null").join(totals, "host").filter(F.col("n") >= F.col("total") * min_share).select("host", "subtree")
-
-
-def extract(pages: DataFrame, keep: list[str], html: str = "html", url: str = "url", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+        for part in slices(batches, "html", 4 << 20):
+            out: list[tuple] = []
+            for host, source in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+                for unit, *kinds in read_page(source, marks=marks)[0]:
+                    for kind, found in enumerate(kinds):
+                        out.append((host, None, kind == 1, unit))  # a row without a subtree counts the page or article itself
+                        out += [(host, value, kind == 1, unit) for value in set(found)]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], ["host", "subtree", "text", "unit"])
+
+    # The number of different units by distinct rows first, so a hot host is spread over all tasks.
+    seen = rows.mapInArrow(subtrees, "host string, subtree bigint, text boolean, unit bigint").distinct().groupBy("host", "text", "subtree").agg(F.count("*").alias("n"))
+    seen = stored(seen.filter((F.col("n") >= min_pages) | F.col("subtree").isNull()))
+    totals = seen.filter("subtree is null").select("host", "text", F.col("n").alias("total"))
+    share = F.when(F.col("text"), text_share).otherwise(min_share)
+    return seen.filter("subtree is not null").join(totals, ["host", "text"]).filter(F.col("n") >= F.col("total") * share).select("host", "subtree")
+
+
+def extract(
+    pages: DataFrame, keep: list[str], html: str = "html", url: str = "url", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, text_share: float = TEXT_SHARE, marks: bool = True
+) -> DataFrame:
     """The columns ``keep`` of every page with its main ``text``."""
-    templates = cut(recurring(pages, html, url, min_pages, min_share))
-    rows = pages.select(*keep, _host(F.col(url)).alias("_host"), F.coalesce(F.col(html), F.lit("")).alias("_html"))
+    host, source, doomed = fresh(pages, "_host", "_html", "_doomed")
+    templates = stored(recurring(pages, html, url, min_pages, min_share, text_share, marks))
+    rows = pages.select(*keep, _host(F.col(url)).alias(host), F.coalesce(F.col(html), F.lit("")).alias(source))
     few = templates.limit(BROADCAST_SUBTREES + 1).count() <= BROADCAST_SUBTREES
     shared = None
     if few:
@@ -224,18 +263,16 @@ def extract(pages: DataFrame, keep: list[str], html: str = "html", url: str = "u
         for r in templates.collect():
             by_host.setdefault(r.host, set()).add(r.subtree)
         shared = pages.sparkSession.sparkContext.broadcast({k: frozenset(v) for k, v in by_host.items()})
-        rows = rows.withColumn("_doomed", F.lit(None).cast("array<bigint>"))
+        rows = rows.withColumn(doomed, F.lit(None).cast("array<bigint>"))
     else:
-        rows = rows.join(templates.groupBy(F.col("host").alias("_host")).agg(F.collect_set("subtree").alias("_doomed")), "_host", "left")
-    rows = rows.select(*keep, "_host", "_html", "_doomed")
+        rows = rows.join(templates.groupBy(F.col("host").alias(host)).agg(F.collect_set("subtree").alias(doomed)), host, "left")
+    rows = rows.select(*keep, host, source, doomed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                texts = []
-                for host, source, doomed in zip(*(part.column(c).to_pylist() for c in ("_host", "_html", "_doomed")), strict=True):
-                    texts.append(read_page(source, shared.value.get(host, frozenset()) if shared else frozenset(doomed or ()))[1])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
+        for part in slices(batches, source, 4 << 20):
+            texts = []
+            for of, page, gone in zip(*(part.column(c).to_pylist() for c in (host, source, doomed)), strict=True):
+                texts.append(read_page(page, shared.value.get(of, frozenset()) if shared else frozenset(gone or ()), marks)[1])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
 
     return rows.mapInArrow(run, rows.select(*keep).schema.add("text", "string"))
