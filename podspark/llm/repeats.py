@@ -8,11 +8,14 @@ A window can only repeat if its gram repeats, and then the two spans meet under
 1. spans are made per task; of spans with equal hashes there the first two stand for the others;
 2. one shuffle on the gram hash: of spans with equal hashes everywhere the first two stand for the
    others, and spans whose gram nobody else has are done;
-3. what is left is compared by content, window by window (``settle``); it is read from the texts by document.
+3. what is left is compared by content (``settle``), which is read from the texts by document: under a gram
+   that has several surroundings the first span of each, window by window; and the second of equal
+   spans with the first one, where neighbours that meet the same document at the same distance make one pair of
+   stretches, of at most ``STRETCH`` windows.
    A gram with more than ``HOT`` different surroundings is split: its windows are dealt out by the gram and half of what
    is free beside it, left or right, whichever is the longer side of a window; so equal windows stay
    together.  A part that is still too large is split again, until nothing of a window is free;
-4. spans whose hash equals that of two compared ones are repeats if all windows of the second one were found to be;
+4. spans whose hash equals that of a second one are repeats if all windows of that one's stretch were found to be;
 5. the repeats of each document are joined to its text.
 
 The order of occurrences is (key, start).  A document is a row: rows with the same key and text are one
@@ -39,8 +42,10 @@ PART = 4 << 20
 SEGMENT = 1 << 24
 #: Different surroundings of a gram, from which on it is split.
 HOT = 4096
+#: Windows of a pair of stretches.
+STRETCH = 1 << 16
 #: Rows that are broadcast at most: hot grams, and spans of which two have been found equal.
-BROADCAST_GRAMS = 500_000
+BROADCAST_GRAMS = 200_000
 NULL_KEY = -(1 << 63)
 #: bytes and offsets of texts -> one 64-bit code per element, and offsets in elements
 Encode = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -158,21 +163,35 @@ def _spans(rows: DataFrame, encode: Encode, width: int, gram: int) -> DataFrame:
 
 
 def _marks(spans: DataFrame) -> DataFrame:
-    """The spans that may repeat, with ``turn``: 1 and 2 are compared by content, 3 stands for spans equal by hash to these."""
+    """The spans that may repeat, with ``turn``: 1 is the first of its kind under a gram with several kinds, 2 the second of its kind with the first one's ``doc0`` and ``lo0``, 3 a later one."""
     # A passage in a third of all documents sends two rows per part of a task to its gram's place; the others are spread.
     dealt = spans.withColumn("salt", F.when(F.col("kind") == 2, F.col("doc")).otherwise(F.lit(0))).repartition("gram", "salt")
-    alike, by_gram = Window.partitionBy("gram", "salt", "content"), Window.partitionBy("gram", "salt")
-    seen = dealt.select("*", F.row_number().over(alike.orderBy("doc", "lo")).alias("n"), F.count("*").over(alike).alias("same"), F.min("content").over(by_gram).alias("a"), F.max("content").over(by_gram).alias("b"))
+    alike, by_gram = Window.partitionBy("gram", "salt", "content").orderBy("doc", "lo"), Window.partitionBy("gram", "salt")
+    seen = dealt.select(
+        "*", F.row_number().over(alike).alias("n"), F.first("doc").over(alike).alias("doc0"), F.first("lo").over(alike).alias("lo0"),
+        F.min("content").over(by_gram).alias("a"), F.max("content").over(by_gram).alias("b"),
+    )
     turn = F.when(F.col("kind") == 2, 3).otherwise(F.least("n", F.lit(3)))
-    return stored(seen.withColumn("turn", turn).filter("turn > 1 or same > 1 or a <> b").select("gram", "content", "doc", "lo", "shape", "turn"))
+    return stored(seen.withColumn("turn", turn).filter("turn > 1 or a <> b").select("gram", "content", "doc", "lo", "shape", "turn", "doc0", "lo0"))
 
 
-CONTENTS = "gram bigint, gram0 bigint, content0 bigint, second boolean, doc bigint, lo bigint, hi bigint, place bigint, left int, right int, content binary"
+def _stretches(marks: DataFrame) -> DataFrame:
+    """Seconds of their kind with the ``start`` of the stretch they belong to: ``gram``, ``content``, ``doc``, ``start``, ``hi``, ``doc0``, ``off`` (start here less start there)."""
+    by_doc = Window.partitionBy("doc").orderBy("lo")
+    rows = marks.filter("turn = 2").select("gram", "content", "doc", "lo", (F.col("lo") + F.shiftright("shape", 20)).alias("hi"), "doc0", (F.col("lo") - F.col("lo0")).alias("off"))
+    here = lambda c: F.lag(c).over(by_doc)
+    on = (here("hi") + 1 == F.col("lo")) & (here("doc0") == F.col("doc0")) & (here("off") == F.col("off")) & (F.floor(here("lo") / STRETCH) == F.floor(F.col("lo") / STRETCH))
+    begins = rows.withColumn("start", F.when(~F.coalesce(on, F.lit(False)), F.col("lo")))
+    return stored(begins.withColumn("start", F.max("start").over(by_doc)).drop("lo"))
+
+
+CONTENTS = "gram bigint, pair boolean, second boolean, doc bigint, lo bigint, hi bigint, place bigint, left int, right int, content binary"
+_NAMES = [c.split()[0] for c in CONTENTS.split(", ")]
 
 
 def _contents(texts: DataFrame, asked: DataFrame, width: int, pick) -> DataFrame:
     """The spans to be compared, with their content: of an element a fixed number of bytes in ``content``."""
-    by_doc = asked.groupBy("doc").agg(F.collect_list(F.struct("gram", "content", "lo", "shape", "turn")).alias("asked"))
+    by_doc = asked.groupBy("doc").agg(F.collect_list(F.struct("gram", "pair", "second", "lo", "hi", "place")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", PART):
@@ -180,18 +199,14 @@ def _contents(texts: DataFrame, asked: DataFrame, width: int, pick) -> DataFrame
             data, at = text_bytes(part.column("text"))
             for k in range(part.num_rows):
                 struct = lists[k].values
-                g, c, lo, shape, turn = (struct.field(x).to_numpy() for x in ("gram", "content", "lo", "shape", "turn"))
-                hi, place = lo + (shape >> 20), lo + (shape & ((1 << 20) - 1))
-                none = np.zeros(len(g), np.int32)
-                columns = (g, g, c, turn == 2, np.full(len(g), docs[k]), lo, hi, place, none, none)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(pick(data[at[k] : at[k + 1]], lo, hi + width), pa.binary())], pa.schema(_ARROW).names)
+                g, pair, second, lo, hi, place = (struct.field(x) for x in ("gram", "pair", "second", "lo", "hi", "place"))
+                none = pa.array(np.zeros(len(g), np.int32))
+                content = pa.array(pick(data[at[k] : at[k + 1]], lo.to_numpy(), hi.to_numpy() + width), pa.binary())
+                yield pa.RecordBatch.from_arrays([g, pair, second, pa.array(np.full(len(g), docs[k])), lo, hi, place, none, none, content], _NAMES)
 
     return texts.join(by_doc, "doc").select("doc", "text", "asked").mapInArrow(run, CONTENTS)
 
 
-_ARROW = [(c.split()[0], pa.null()) for c in CONTENTS.split(", ")]
-
-
 def halves(rows: list[dict], width: int, gram: int, unit: int) -> list[dict]:
     """Spans of one split gram cut in two: windows with more to the left of what is fixed, and the others.
 
@@ -216,10 +231,10 @@ def halves(rows: list[dict], width: int, gram: int, unit: int) -> list[dict]:
 
 def _split(contents: DataFrame, width: int, gram: int, unit: int) -> DataFrame:
     """The contents, with grams that have more than ``HOT`` surroundings split as far as needed."""
-    free = F.col("left") + F.col("right") < width - gram
+    free = ~F.col("pair") & (F.col("left") + F.col("right") < width - gram)
     done = None
     while True:
-        hot = contents.filter(free & ~F.col("second")).groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("gram")
+        hot = contents.filter(free).groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("gram")
         hot = stored_small(hot, BROADCAST_GRAMS)
         if hot.isEmpty():
             return contents if done is None else done.unionByName(contents)
@@ -228,22 +243,22 @@ def _split(contents: DataFrame, width: int, gram: int, unit: int) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for lo in range(0, batch.num_rows, 5000):
-                    yield pa.RecordBatch.from_pylist(halves(batch.slice(lo, 5000).to_pylist(), width, gram, unit), batch.schema)
+                for lo in range(0, batch.num_rows, 2000):
+                    yield pa.RecordBatch.from_pylist(halves(batch.slice(lo, 2000).to_pylist(), width, gram, unit), batch.schema)
 
-        contents = stored(contents.join(hot, "gram", "left_semi").select(*(c.split()[0] for c in CONTENTS.split(", "))).mapInArrow(run, CONTENTS))
+        contents = stored(contents.join(hot, "gram", "left_semi").select(*_NAMES).mapInArrow(run, CONTENTS))
 
 
-#: What ``settle`` returns: repeats (doc, lo, hi), and per second of two equal spans how many of its windows repeat (doc null).
-SETTLED = "doc bigint, lo bigint, hi bigint, gram0 bigint, content0 bigint, windows bigint"
+#: What ``settle`` returns: repeats (doc, lo, hi), and per pair of stretches that agree the place of the second one (doc0, lo0; doc null).
+SETTLED = "doc bigint, lo bigint, hi bigint, doc0 bigint, lo0 bigint"
 
 
-def settled_batch(owner: np.ndarray, start: np.ndarray, end: np.ndarray, confirmed: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    n, m = len(owner), len(confirmed)
-    g, c, w = (list(x) for x in zip(*confirmed, strict=True)) if m else ([], [], [])
+def settled_batch(owner: np.ndarray, start: np.ndarray, end: np.ndarray, agreed: list[tuple[int, int]]) -> pa.RecordBatch:
+    n, m = len(owner), len(agreed)
+    d, s = (list(x) for x in zip(*agreed, strict=True)) if m else ([], [])
     first = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(m, pa.int64())]) for x in (owner, start, end)]
-    last = [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x, pa.int64())]) for x in (g, c, w)]
-    return pa.RecordBatch.from_arrays([*first, *last], ["doc", "lo", "hi", "gram0", "content0", "windows"])
+    last = [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x, pa.int64())]) for x in (d, s)]
+    return pa.RecordBatch.from_arrays([*first, *last], ["doc", "lo", "hi", "doc0", "lo0"])
 
 
 def repeats(docs: DataFrame, key: str, text: str, width: int, gram: int, unit: int, encode: Encode, pick: Callable[[np.ndarray, np.ndarray, np.ndarray], list[bytes]], settle: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
@@ -251,22 +266,27 @@ def repeats(docs: DataFrame, key: str, text: str, width: int, gram: int, unit: i
 
     ``pick`` cuts the content of spans (first and last element) out of one text, ``unit`` bytes for an
     element; ``settle`` gets rows of ``CONTENTS`` in the order of gram, doc and lo, all of a gram in one
-    stream, and returns ``SETTLED``.
+    stream (a pair of stretches has a gram of its own), and returns ``SETTLED``.
     """
     rows = numbered(docs, key, text)
     marks = _marks(_spans(rows, encode, width, gram))
     texts = rows.repartition("doc")
-    contents = _contents(texts, marks.filter("turn < 3"), width, pick)
+    seconds = _stretches(marks)
+    firsts = marks.filter("turn = 1").select("gram", F.lit(False).alias("pair"), F.lit(False).alias("second"), "doc", "lo", (F.col("lo") + F.shiftright("shape", 20)).alias("hi"), (F.col("lo") + F.col("shape").bitwiseAND(F.lit((1 << 20) - 1))).alias("place"))
+    pairs = seconds.groupBy("doc", "start").agg(F.max("hi").alias("hi"), F.first("doc0").alias("doc0"), F.first("off").alias("off"))
+    name, back = F.xxhash64("doc", "start").alias("gram"), lambda c: F.col(c) - F.col("off")
+    here = pairs.select(name, F.lit(True).alias("pair"), F.lit(True).alias("second"), "doc", F.col("start").alias("lo"), "hi", F.col("start").alias("place"))
+    there = pairs.select(name, F.lit(True).alias("pair"), F.lit(False).alias("second"), F.col("doc0").alias("doc"), back("start").alias("lo"), back("hi").alias("hi"), back("start").alias("place"))
+    contents = _contents(texts, firsts.unionByName(here).unionByName(there), width, pick)
     # Only a gram with many spans can be hot; most tables have none, and then contents are made once.
     counts = marks.filter("turn = 1").groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > HOT)
     if not counts.isEmpty():
         contents = _split(stored(contents), width, gram, unit)
     settled = stored(contents.repartition("gram").sortWithinPartitions("gram", "doc", "lo").mapInArrow(settle, SETTLED))
-    equal = settled.filter("doc is null").groupBy("gram0", "content0").agg(F.sum("windows").alias("windows"))
-    equal = stored_small(equal.select(F.col("gram0").alias("gram"), F.col("content0").alias("content"), "windows"), BROADCAST_GRAMS)
-    last = F.col("lo") + F.shiftright("shape", 20)
-    alike = marks.filter("turn = 3").join(equal, ["gram", "content"]).filter(F.col("windows") == F.shiftright("shape", 20) + 1).select("doc", "lo", (last + width).alias("hi"))
-    found = alike.unionByName(settled.filter("doc is not null").select("doc", "lo", "hi")).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    agreed = settled.filter("doc is null").select(F.col("doc0").alias("doc"), F.col("lo0").alias("start"))
+    equal = stored_small(seconds.join(agreed, ["doc", "start"]).select("gram", "content"), BROADCAST_GRAMS)
+    later = marks.filter("turn = 3").join(equal, ["gram", "content"]).select("doc", "lo", (F.col("lo") + F.shiftright("shape", 20) + width).alias("hi"))
+    found = later.unionByName(settled.filter("doc is not null").select("doc", "lo", "hi")).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     return texts.join(found, "doc", "left").select("key", "text", "spans")
 
 

@@ -78,25 +78,54 @@ def extend(group: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, a
     return np.concatenate(out_of), np.concatenate(out_start)
 
 
+def along(first: bytes, second: bytes, width: int) -> tuple[np.ndarray, bool]:
+    """Two stretches extended along each other: the windows of the second one that agree with the first one's, and whether all do."""
+    x, y = np.frombuffer(first, np.uint64), np.frombuffer(second, np.uint64)
+    # Places since the last difference, the place itself included.
+    place = np.arange(1, len(y) + 1)
+    run = place - np.maximum.accumulate(np.where(x == y, 0, place))
+    start = np.flatnonzero(run >= width) - (width - 1)
+    return start, len(start) == len(y) - width + 1
+
+
 def settle(batches: Iterator[pa.RecordBatch], width: int = WIDTH, size: int = GRAM, shard: int = SHARD) -> Iterator[pa.RecordBatch]:
     """Repeats among spans that come in the order of gram, document and start.
 
     If a gram goes on in the next shard, its occurrences that hold a window seen for the first time go along.
     """
-    names = ("gram", "doc", "lo", "hi", "place", "content", "second", "gram0", "content0")
+    names = ("gram", "doc", "lo", "hi", "place", "content", "pair", "second")
     rows: list[tuple] = []
     carried = weight = 0
 
     def close() -> tuple[pa.RecordBatch, list[tuple]]:
-        gram, doc, lo, hi, place, content, second, gram0, content0 = (list(x) for x in zip(*rows, strict=True))
-        words = np.frombuffer(b"".join(content), np.uint64)
-        at = np.cumsum([0, *(len(c) // 8 for c in content)])
-        doc, lo, hi = np.array(doc), np.array(lo), np.array(hi)
-        of, start = extend(np.array(gram), doc, lo, hi, np.array(place) - lo, words, at, width, size)
-        repeated = np.bincount(of, minlength=len(rows))
-        new = of >= carried
-        batch = settled_batch(*merge(doc[of[new]], start[new], start[new] + width), [(gram0[k], content0[k], int(repeated[k])) for k in range(carried, len(rows)) if second[k]])
-        return batch, [rows[k] for k in np.flatnonzero((repeated < hi - lo + 1) & (np.array(gram) == gram[-1])).tolist()]
+        spans = [r for r in rows if not r[6]]
+        owner, begin, agreed, kept = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [], []
+        if spans:
+            gram, doc, lo, hi, place, content, _, _ = (list(x) for x in zip(*spans, strict=True))
+            words = np.frombuffer(b"".join(content), np.uint64)
+            at = np.cumsum([0, *(len(c) // 8 for c in content)])
+            doc, lo, hi = np.array(doc), np.array(lo), np.array(hi)
+            of, start = extend(np.array(gram), doc, lo, hi, np.array(place) - lo, words, at, width, size)
+            repeated = np.bincount(of, minlength=len(spans))
+            new = of >= carried
+            owner.append(doc[of[new]])
+            begin.append(start[new])
+            kept = [spans[k] for k in np.flatnonzero((repeated < hi - lo + 1) & (np.array(gram) == gram[-1])).tolist()]
+        # The two stretches of a pair follow one another; if the shard ends between them, the first one waits.
+        waits = None
+        for r in (r for r in rows if r[6]):
+            if waits is None or waits[0] != r[0]:
+                waits = r
+                continue
+            a, b = (waits, r) if r[7] else (r, waits)
+            start, whole = along(a[5], b[5], width)
+            owner.append(np.full(len(start), b[1]))
+            begin.append(b[2] + start)
+            if whole:
+                agreed.append((b[1], b[2]))
+            waits = None
+        key, at_ = np.concatenate(owner), np.concatenate(begin)
+        return settled_batch(*merge(key, at_, at_ + width), agreed), kept + ([waits] if waits else [])
 
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
@@ -104,9 +133,9 @@ def settle(batches: Iterator[pa.RecordBatch], width: int = WIDTH, size: int = GR
             weight += len(row[5]) // 8
             if weight >= shard:
                 out, rows = close()
-                carried, weight = len(rows), 0
+                carried, weight = sum(not r[6] for r in rows), 0
                 yield out
-    if len(rows) > carried:
+    if rows:
         yield close()[0]
 
 

@@ -119,14 +119,14 @@ def _windows(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
 
 def settle(batches: Iterator[pa.RecordBatch], width: int = WIDTH, shard: int = SHARD) -> Iterator[pa.RecordBatch]:
     """Repeats among spans that come in the order of gram, document and start."""
-    names = ("gram", "doc", "lo", "hi", "content", "second", "gram0", "content0")
+    names = ("gram", "doc", "lo", "hi", "content", "second")
     rows: list[tuple] = []
     size = 0
     earlier: tuple[int, list[np.ndarray]] = (0, [])
 
     def close() -> pa.RecordBatch:
         nonlocal earlier
-        grams, docs, lo, hi, content, second, gram0, content0 = (list(x) for x in zip(*rows, strict=True))
+        grams, docs, lo, hi, content, second = (list(x) for x in zip(*rows, strict=True))
         data = np.frombuffer(b"".join(content), np.uint8)
         count = np.array(hi) - np.array(lo) + 1
         base = np.cumsum([0, *map(len, content)])[:-1]
@@ -160,8 +160,8 @@ def settle(batches: Iterator[pa.RecordBatch], width: int = WIDTH, shard: int = S
                 kept = [np.sort(np.concatenate(kept))]
         earlier = (last, kept)
         owner, begin, end = merge(doc[~first], start[~first], start[~first] + width)
-        repeated = np.bincount(of[~first], minlength=len(rows)).tolist()
-        return settled_batch(owner, begin, end, [(gram0[k], content0[k], repeated[k]) for k in range(len(rows)) if second[k]])
+        whole = (np.bincount(of[~first], minlength=len(rows)) == count).tolist()
+        return settled_batch(owner, begin, end, [(docs[k], lo[k]) for k in range(len(rows)) if second[k] and whole[k]])
 
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):

@@ -101,23 +101,27 @@ def spans_under_one_gram():
 
 
 def test_small_shards_are_merged():
-    """One gram over many shards gives the same repeats as one shard, and the seconds' windows are counted."""
-    names = ["gram", "gram0", "content0", "second", "doc", "lo", "hi", "place", "content"]
+    """One gram over many shards gives the same repeats as one shard, and pairs of stretches are told to agree or not."""
+    names = ["gram", "pair", "second", "doc", "lo", "hi", "place", "content"]
     results = []
-    for module, unit, shards in ((suffix_dedup, 1, (1, 60, 1 << 20)), (substring_dedup, 8, (1, 60, 1 << 20))):
-        rows = [(5, 5, k % 7, k % 3 == 0, k, 0, 4, 4, b"".join(w.encode() if unit == 1 else np.array([ord(w)], np.uint64).tobytes() for w in words)) for k, words in spans_under_one_gram()]
+    for module, unit in ((suffix_dedup, 1), (substring_dedup, 8)):
+        raw = lambda words: b"".join(w.encode() if unit == 1 else np.array([ord(w)], np.uint64).tobytes() for w in words)  # noqa: B023, E731
+        rows = [(5, False, False, k, 0, 4, 4, raw(words)) for k, words in spans_under_one_gram()]
+        one, other = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklm?opqrstuvwxyz"
+        rows += [(7, True, False, 90, 0, 14, 0, raw(one)), (7, True, True, 91, 3, 17, 3, raw(one)), (8, True, False, 90, 0, 14, 0, raw(one)), (8, True, True, 92, 5, 19, 5, raw(other))]
         batch = pa.RecordBatch.from_arrays([pa.array(c) for c in map(list, zip(*rows, strict=True))], names)
-        for shard in shards:
+        for shard in (1, 60, 1 << 20):
             extra = {} if unit == 1 else {"size": 8}
-            marked, confirmed = set(), []
+            marked, agreed = set(), []
             for out in module.settle(iter([batch]), width=12, shard=shard, **extra):
-                for d, lo, hi, g, c, w in zip(*(out.column(c).to_pylist() for c in out.schema.names), strict=True):
+                for d, lo, hi, d0, lo0 in zip(*(out.column(c).to_pylist() for c in out.schema.names), strict=True):
                     if d is None:
-                        confirmed.append((g, c, w))
+                        agreed.append((d0, lo0))
                     else:
                         marked.update((d, p) for p in range(lo, hi))
-            results.append((marked, confirmed))
-    assert all(r == results[0] for r in results) and results[0][0] and len(results[0][1]) == 14
+            results.append((marked, agreed))
+    assert all(r == results[0] for r in results) and results[0][1] == [(91, 3)]
+    assert {p for d, p in results[0][0] if d == 92} == {*range(5, 18), *range(19, 31)} and any(d < 40 for d, _ in results[0][0])
 
 
 def test_suffix_array_and_common_prefixes():
