@@ -1,6 +1,8 @@
 """Language ID, language-model scores and personal data."""
 
+import itertools
 import math
+import random
 import re
 from collections import Counter
 from zlib import crc32
@@ -45,22 +47,37 @@ def test_base_scores_with_and_without_rare_join(spark, monkeypatch):
     docs = docs.unionByName(spark.createDataFrame([(9001, None), (9002, ""), (9003, "the\x0bof  THE")], "doc_id bigint, text string"))
     want = plain_base([(r.doc_id, r.text) for r in docs.collect()])
     marked = docs.withColumn("train", F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
-    for most in (1 << 20, 500, 0):
+    runs = []
+    for most, size in ((1 << 20, 50_000), (500, 50_000), (0, 100)):
         monkeypatch.setattr(lm_score, "BROADCAST_TOKENS", most)
+        monkeypatch.setattr(lm_score, "RUN", size)
         got = lm_score.score(marked).collect()
+        runs.append(got)
         assert len(got) == len(want)
         for r in got:
             n, known, total, base = want[r.doc_id]
             assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total) and abs(r.base_score - base) < 1e-6 * max(1, -base)
-    assert all(r.score <= 0 for r in got) and next(r.score for r in got if r.doc_id == 9001) == 0
-    unseen = [r for r in got if not r.train and r.n_bytes]
-    assert sum(-r.score for r in unseen) / math.log10(2) / sum(r.n_bytes for r in unseen) < 3.5  # bits per byte
-    # The base score spends the same on every unknown word, however it is spelled, so it is no measure for
-    # the model; a code by byte counts of the training texts is.
-    seen = Counter(b for r in docs.collect() if crc32(str(r.doc_id).encode()) % 5 != 1 for b in (r.text or "").encode())
-    held = Counter(b for r in docs.collect() if crc32(str(r.doc_id).encode()) % 5 == 1 for b in (r.text or "").encode())
-    plain = sum(n * math.log10((seen[b] + 0.5) / (sum(seen.values()) + 128)) for b, n in held.items())
-    assert sum(r.score for r in unseen) > 0.75 * plain
+    assert len({tuple(sorted((r.doc_id, round(r.score, 6)) for r in got)) for got in runs}) == 1  # the same by broadcast and by join
+    assert all(r.score < 0 for r in got) and next(r.score for r in got if r.doc_id == 9001) == next(r.score for r in got if r.doc_id == 9002) > -12
+
+
+def test_model_is_below_the_word_counts(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DATA}/../sf0.01/documents.parquet").withColumn("train", F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
+    got = lm_score.score(docs).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    # Where every word is known, the word counts are a code for texts up to white space.
+    taught = [r for r in got if r.train]
+    assert all(r.n_known == r.n_tokens for r in taught) and sum(r.score for r in taught) > sum(r.base_score for r in taught)
+    # On held-out texts the base spends the same on every unknown word, however it is spelled: spell it by a code of byte counts.
+    seen = Counter(b for r in taught for b in texts[r.doc_id].lower().encode())
+    total = sum(seen.values())
+    known = {w for r in taught for w in texts[r.doc_id].lower().split()}
+    held = [r for r in got if not r.train]
+    spelled = sum(math.log10((seen[b] + 0.5) / (total + 128)) for r in held for w in texts[r.doc_id].lower().split() if w not in known for b in f"{w} ".encode())
+    assert sum(r.score for r in held) > 0.9 * (sum(r.base_score for r in held) + spelled)
+    assert sum(-r.score for r in held) / math.log10(2) / sum(r.n_bytes for r in held) < 2.3  # bits per byte
 
 
 def test_no_training_rows_and_no_rows(spark):
@@ -70,18 +87,111 @@ def test_no_training_rows_and_no_rows(spark):
     assert lm_score.score(docs.limit(0)).collect() == []
 
 
+def in_words(code, words):
+    return lm_score.words_of(code, np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)]))
+
+
+def little_code(words, m):
+    counts = np.zeros(257)
+    for w, k in zip(words, m, strict=True):
+        for b in w:
+            counts[b] += k
+    counts[[0x20, 0x0A, 256]] = sum(m), 20, 10
+    return lm_score.code_tree(counts), counts
+
+
+def test_codes_of_words_equal_counts_of_all_words():
+    rng = random.Random(1)
+    words = sorted({bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 6))) for _ in range(150)} | {b"", b"abcabcabcabcabc"})
+    m = np.array([rng.randint(0, 5) for _ in words])
+    code, _ = little_code(words, m.tolist())
+    zeros, ones, at = [], [], [0]
+    for w in words:
+        for d in range(len(w) + 1):
+            symbol = w[d] if d < len(w) else 0x20
+            here = [(0 if d == len(v) else int(code.cls[v[d]]), k) for v, k in zip(words, m.tolist(), strict=True) if v[:d] == w[:d] and len(v) >= d]
+            for s in range(code.start[symbol], code.start[symbol] + code.inner[symbol]):
+                zeros.append(sum(k for c, k in here if code.low[s] <= c < code.mid[s]))
+                ones.append(sum(k for c, k in here if code.mid[s] <= c < code.high[s]))
+        at.append(len(zeros))
+    want = lm_score.quantized(np.array(zeros, float), np.array(ones, float), np.array(at))
+    for size in (1, 7, 50, 1000):
+        runs = [(words[k : k + size], m[k : k + size]) for k in range(0, len(words), size)]
+        sums: dict = {}
+        for r, (part, counts) in enumerate(runs):
+            for h, d, c, s in zip(*(x[0] if x.ndim > 1 else x for x in lm_score.edges(in_words(code, part), counts[None])), strict=True):
+                found, where = sums.setdefault((int(h), int(d)), (Counter(), set()))
+                found[int(c)] += s
+                where.add(r)
+        spanning = {k: (np.array(sorted(f)), np.array([f[c] for c in sorted(f)], float)) for k, (f, where) in sums.items() if len(where) > 1}
+        got = np.concatenate([lm_score.word_codes(code, in_words(code, part), counts, spanning)[0] for part, counts in runs])
+        assert (got == want).all(), size
+
+
+def little_model(texts):
+    t = lm_score.tokens_of(pa.array(texts))
+    words = sorted((bytes(t.data[a:b]), int(n)) for a, b, n in zip(t.data_at[:-1], t.data_at[1:], t.names.view(np.int64), strict=True))
+    times = dict(zip(t.names.view(np.int64).tolist(), np.bincount(t.word).tolist(), strict=True))
+    m = np.array([times[n] for _, n in words])
+    code, counts = little_code([w for w, _ in words], m.tolist())
+    codes, at = lm_score.word_codes(code, in_words(code, [w for w, _ in words]), m, {})
+    raw = codes.tobytes()
+    known = lm_score.Known.of(np.array([n for _, n in words]), m, pa.array([raw[2 * a : 2 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()))
+    rng = np.random.default_rng(1)
+    odds = rng.normal(0, 1, (len(lm_score.ORDERS), 1 << 12)).astype(np.float32)
+    first = lm_score.first_odds(code, rng.integers(0, 4, (2 << lm_score.FIRST_BITS, 256)).astype(float))
+    weights = rng.normal(0.3, 0.1, (lm_score.GATES, lm_score.INPUTS)).astype(np.float32)
+    return lm_score.Model(code, 12, odds, lm_score.end_odds(code, counts), first, weights), known
+
+
+def events(m, known, texts):
+    t = lm_score.tokens_of(pa.array(texts))
+    _, codes, at, words = lm_score._gathered(t, m.code, [known])
+    return lm_score.events_of(m, t, words, codes, at), t.at
+
+
+TEXTS = ["the quick brown fox jumps over the lazy dog " * 40, "abc", "", "Äußerst schöne  Töne\n\n" * 30]
+
+
 def test_a_prediction_depends_on_the_past_only():
-    texts = ["the quick brown fox jumps over the lazy dog " * 40, "abc", "", "Äußerst schöne Töne " * 30]
-    column = pa.array([*texts, texts[0][:900], texts[0][:900] + "zzzz" * 200])
-    data, at = lm_score.text_bytes(column)
-    code = lm_score.code_tree(np.bincount(data, minlength=256))
-    odds = np.random.default_rng(1).normal(0, 1, (lm_score.PREDICTORS, 1 << 12)).astype(np.float32)
-    m = lm_score.Model(code, 12, odds, np.full((lm_score.GATES, lm_score.PREDICTORS), 0.3, np.float32))
-    together, _ = lm_score.bits_of(m, data, at)
-    alone = [lm_score.bits_of(m, *lm_score.text_bytes(pa.array([t])))[0][0] for t in column.to_pylist()]
+    m, known = little_model(TEXTS)
+    more = [*TEXTS, TEXTS[0][:900], TEXTS[0][:900] + "zzzz" * 200]
+    together = lm_score.bits_of(m, *events(m, known, more))
+    alone = [lm_score.bits_of(m, *events(m, known, [t]))[0] for t in more]
     assert np.allclose(together, alone, rtol=1e-4)
-    short, longer = (lm_score.bits_of(m, *lm_score.text_bytes(pa.array([texts[0][:768] + x])))[0][0] for x in ("", "zzzz"))
-    assert short < longer < short + 13 / math.log(2) * 4 * 13
+    # The events of a beginning do not change with what follows a word.
+    a, at = events(m, known, ["the quick brown "])
+    b, _ = events(m, known, ["the quick brown zebra"])
+    n = int(a.per_symbol[:-1].sum())
+    assert (a.inputs[:, :n] == b.inputs[:, :n]).all() and (a.gate[:n] == b.gate[:n]).all() and (a.bit[:n] == b.bit[:n]).all()
+
+
+def test_bits_equal_a_plain_mixer():
+    m, known = little_model(TEXTS)
+    e, at = events(m, known, TEXTS)
+    got = lm_score.bits_of(m, e, at)
+    first = np.r_[0, np.cumsum(e.per_symbol)]
+    for k in range(len(TEXTS)):
+        weights, scale, shift, bits = m.weights.astype(float), 1.0, 0.0, 0.0
+        for block in range(at[k], at[k + 1], lm_score.BLOCK):
+            slopes, counts, on_scale, on_shift, seen = np.zeros_like(weights), np.full(lm_score.GATES, 8.0), 0.0, 0.0, 64.0
+            for j in range(first[block], first[min(block + lm_score.BLOCK, at[k + 1])]):
+                x, g = e.inputs[:, j].astype(float), int(e.gate[j])
+                z = weights[g] @ x
+                p = 1 / (1 + math.exp(-max(-13, min(13, scale * z + shift))))
+                bits -= math.log2(p if e.bit[j] else 1 - p)
+                error = p - e.bit[j]
+                slopes[g] += error * scale * x
+                counts[g] += 1
+                on_scale, on_shift, seen = on_scale + error * z, on_shift + error, seen + 1
+            weights -= lm_score.RATE * slopes / counts[:, None] / 4
+            scale, shift = scale - lm_score.TAIL_RATE * on_scale / seen / 4, shift - lm_score.TAIL_RATE * on_shift / seen
+        assert abs(bits - got[k]) < 1e-3 * max(1, bits)
+
+
+def test_the_tree_is_a_code():
+    code, _ = little_code([b"ab", b"b"], [3, 1])
+    assert abs(sum(0.5 ** int(n) for n in code.length) - 1) < 1e-12
 
 
 def plain_spans(text):
@@ -111,8 +221,100 @@ def test_tagger_finds_what_it_was_taught():
     found = pii.find(m, [t for t, _ in lines])
     gold = {(k, s) for k, (_, spans) in enumerate(lines) for s in spans}
     got = {(k, s) for k, (_, spans) in enumerate(found) for s in spans}
-    assert len(gold & got) >= 0.9 * len(gold) and len(gold & got) >= 0.93 * len(got)
-    assert any("(" in lines[k][0][s[1] : s[2]] for k, s in got - {(k, s) for k, (b, _) in enumerate(found) for s in b})
+    assert len(gold & got) >= 0.85 * len(gold) and len(gold & got) >= 0.9 * len(got)
+
+
+def other_lines():
+    """Sentences made in another way than the training lines, each with one span that the patterns miss, or with none."""
+    rng = random.Random(12)
+    d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    h = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    names = ["maria.keller", "jdoe", "peter_w", "info", "anna-lena"]
+    hosts = ["mail.example", "uni-bonn", "post", "company"]
+
+    def card():
+        body = "4" + d(14)
+        body += next(x for x in "0123456789" if pii.luhn(body + x))
+        return ".".join(body[k : k + 4] for k in range(0, 16, 4))
+
+    spans = [
+        ("secret", lambda: h(32), ["The config says token = \"{}\" and nothing else.", "login with password={} please", "export API_KEY={} before the run"]),
+        ("secret", lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), ["we found {} in the log file", "use the key {} for the bucket", "{}"]),
+        ("email", lambda: f"{rng.choice(names)} (at) {rng.choice(hosts)}.org", ["Please write to {} for more.", "contact: {}"]),
+        ("phone", lambda: f"({d(3)}) {d(3)}-{d(4)}", ["Call {} after six.", "Telephone {} or come by"]),
+        ("phone", lambda: f"0{d(3)} {d(3)} {d(4)}", ["Ruf mich an unter {} heute", "Tel. {}"]),
+        ("ip", lambda: f"{rng.randint(1, 255)}[.]{rng.randint(0, 255)}[.]{rng.randint(0, 255)}[.]{rng.randint(0, 255)}", ["traffic to {} was blocked", "host {} is down"]),
+        ("card", card, ["paid with {} yesterday", "my card {} was lost"]),
+    ]
+    out = []
+    for _ in range(40):
+        for kind, make, frames in spans:
+            value, frame = make(), rng.choice(frames)
+            at = frame.index("{}")
+            out.append((frame.format(value), [(kind, at, at + len(value))]))
+        out += [(f"In {rng.randint(1900, 2030)} the {rng.randint(2, 99)} members met at {d(2)}:{d(2)} in room {d(3)}.", []), (f"Version {d(1)}.{d(1)} costs {d(2)}.{d(2)} euros, see page {d(3)}.", []), (f"commit {h(40)} fixes it", [])]
+    return out
+
+
+def test_tagger_adds_what_the_patterns_miss_on_other_lines():
+    """Only the tagger's own spans are counted, on lines it has not been trained on."""
+    lines = other_lines()
+    found = pii.find(pii.production_tagger(), [t for t, _ in lines])
+    gold = {(k, s) for k, (_, spans) in enumerate(lines) for s in spans}
+    own = {(k, s) for k, (base, spans) in enumerate(found) for s in spans if s not in base}
+    gold -= {(k, s) for k, (base, _) in enumerate(found) for s in base}
+    assert len(gold & own) >= 0.75 * len(gold) and len(gold & own) >= 0.85 * len(own), (len(gold), len(own), len(gold & own))
+    assert sum(bool(found[k][1]) for k, (_, spans) in enumerate(lines) if not spans) <= 12
+
+
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(1)
+    m = pii.Tagger(*(w.astype(np.float64) + rng.normal(0, 0.1, w.shape) for w in pii.blank_tagger(3, 1)))
+    codes, gold = rng.integers(0, pii.CODES, (2, 7)), rng.integers(0, pii.TAGS, (2, 7))
+    _, grads = pii.gradients(m, codes, gold)
+    for j, w in enumerate(m):
+        spots = [tuple(rng.integers(0, n) for n in w.shape) for _ in range(25)] if j else [(way, codes[0, 3], k) for way in (0, 1) for k in range(12)]
+        for spot in spots:
+            sides = []
+            for step in (1e-3, -1e-3):
+                moved = [x.copy() for x in m]
+                moved[j][spot] += step
+                sides.append(pii.gradients(pii.Tagger(*moved), codes, gold)[0])
+            assert abs((sides[0] - sides[1]) / 2e-3 - grads[j][spot]) < 2e-3 * max(1, abs(grads[j][spot])), (j, spot)
+
+
+def test_best_path_equals_all_paths():
+    rng = np.random.default_rng(3)
+    scores, moves = rng.normal(0, 1, (4, 3, 5)), rng.normal(0, 1, (5, 5))
+    got = pii.best_path(scores, moves)
+    for row in range(3):
+        value = lambda p: sum(scores[t, row, p[t]] for t in range(4)) + sum(moves[a, b] for a, b in itertools.pairwise(p))  # noqa: B023, E731
+        assert tuple(got[row]) == max(itertools.product(range(5), repeat=4), key=value)
+
+
+def test_many_spans_are_reconciled_in_time():
+    import time
+
+    took = []
+    for n in (1000, 4000):
+        text = "call (030) 555-0199 " * n
+        start = time.process_time()
+        pii.tag(pii.production_tagger(), [text])
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 0.5
+
+
+def test_trained_weights_are_kept(spark, monkeypatch):
+    m = pii.production_tagger()
+    made = []
+    monkeypatch.setattr(pii, "train", lambda *a: made.append(1) or m)
+    monkeypatch.setattr(pii.train, "__defaults__", None, raising=False)
+    for _ in range(2):
+        pii.production_tagger.cache_clear()
+        got = pii.production_tagger(spark)
+        assert all(np.array_equal(a, b) for a, b in zip(got, m, strict=True))
+    assert len(made) <= 1
+    pii.production_tagger.cache_clear()
 
 
 def test_spans_do_not_depend_on_the_place_in_a_long_text(spark):
