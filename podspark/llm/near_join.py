@@ -57,6 +57,8 @@ LEVELS = 6
 BROADCAST_KEYS = 500_000
 #: Partners of one class that are compared with it in one task.
 PARTNERS = 512
+#: Rows of the small tables (members, pairs, components) that a task writes.
+ROWS = 50_000
 #: Bytes of text that a task works on at a time, and of a sketch at most.
 PART = 1 << 20
 SKETCH = 2048
@@ -354,16 +356,22 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int = W
     return both.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).select("a", "b", "text").mapInArrow(run, "a bigint, b bigint")
 
 
+def written(df: DataFrame, rows: int) -> DataFrame:
+    """Stored by as many tasks as its rows, ``rows`` at the most, are worth."""
+    return stored(df.coalesce(max(1, -(-rows // ROWS))))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the least node reachable) for every node with a link."""
-    edges = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    roots = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    count = 2 * links.count()
+    edges = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), count)
+    roots = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), count)
     while True:
         near = edges.join(roots, edges.b == roots.node).groupBy("a").agg(F.min("root").alias("near"))
         hooked = roots.join(near, roots.node == near.a).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         # Follow the root's own root, which halves the way that is left.
         jump = hooked.select(F.col("node").alias("at"), F.col("root").alias("next"))
-        new = stored(hooked.join(jump, hooked.root == jump["at"], "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root")))
+        new = written(hooked.join(jump, hooked.root == jump["at"], "left").select("node", "old", F.least("root", F.coalesce("next", "root")).alias("root")), count)
         roots = new.select("node", "root")
         if new.filter("old <> root").isEmpty():
             return roots
@@ -374,9 +382,9 @@ def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     if roots is None:
         return components(links)
     root_of = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias("_root")), c, "left").withColumn(c, F.coalesce("_root", c)).drop("_root")
-    moved = components(root_of(root_of(links, "a"), "b").filter("a <> b"))
+    moved = components(written(root_of(root_of(links, "a"), "b").filter("a <> b").select("a", "b"), links.count()))
     lifted = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
-    return stored(lifted.unionByName(moved.join(roots, "node", "left_anti")))
+    return written(lifted.unionByName(moved.join(roots, "node", "left_anti")), roots.count() + moved.count())
 
 
 def _rooted(members_: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -395,35 +403,36 @@ def similar_classes(rows: DataFrame, nodes: DataFrame, words: int = WORDS, perce
     """``node`` and ``root`` of every class that is joined with another; None if there is none."""
     roots: DataFrame | None = None
 
-    def compare(pairs: DataFrame) -> None:
+    def compare(pairs: DataFrame, count: int) -> None:
         nonlocal roots
-        new = stored(verified(stored(pairs), rows, nodes, words, percent))
+        new = stored(verified(written(pairs, count), rows, nodes, words, percent))
         if not new.isEmpty():
             roots = joined(roots, new)
 
     texts, count = rows, None
     for level in range(LEVELS):
         groups = stored(groups_of(stored(members(texts, words, percent, level))))
+        most = groups.count()
         # How much a class shares overall decides who is the centre of a signature.
         weight = groups.groupBy("node").agg(F.sum(F.col("times") * (F.col("m") - 1)).alias("weight"))
         open_ = _rooted(groups.select("sig", "node").join(weight, "node"), roots)
         for _ in range(ROUNDS):
-            open_ = stored(open_)
-            met = stored(open_.join(_unsettled(open_, F.max(F.struct("weight", "node", "root")).alias("centre")), "sig"))
+            open_ = written(open_, most)
+            met = written(open_.join(_unsettled(open_, F.max(F.struct("weight", "node", "root")).alias("centre")), "sig"), most)
             pairs = met.filter("centre.root <> root").select(F.least("centre.node", "node").alias("a"), F.greatest("centre.node", "node").alias("b")).distinct()
-            compare(possible(pairs, nodes, percent))
+            compare(possible(written(pairs, most), nodes, percent), most)
             # A centre has met all others of its signature.
             open_ = _rooted(met.filter("centre.node <> node").select("sig", "node", "weight"), roots)
-        open_ = stored(open_)
-        left = stored(open_.join(_unsettled(open_, F.count("*").alias("m")), "sig").select("sig", "node", "root", "m"))
-        compare(possible_in_groups(left.filter(F.col("m") <= BLOCK), nodes, percent))
+        open_ = written(open_, most)
+        left = written(open_.join(_unsettled(open_, F.count("*").alias("m")), "sig").select("sig", "node", "root", "m"), most)
+        compare(possible_in_groups(left.filter(F.col("m") <= BLOCK), nodes, percent), most)
         hot = left.filter(F.col("m") > BLOCK).select("sig", "node")
-        again = stored(hot.select("node").distinct())
+        again = written(hot.select("node").distinct(), most)
         before, count = count, again.count()
         if not count:
             break
         if level == LEVELS - 1 or before is not None and count > 0.8 * before:
-            compare(possible_in_blocks(_rooted(hot, roots), nodes, percent))
+            compare(possible_in_blocks(_rooted(hot, roots), nodes, percent), most * BLOCK)
             break
         texts = stored(texts_of(again, rows, nodes))
     return roots
