@@ -4,8 +4,9 @@ Texts become relative frequencies of hashed letter bigrams and trigrams (ASCII l
 case, everything that is no letter as one gap, bytes outside ASCII as they are).  Families are
 told apart by one-versus-one machines too; a family of one language needs none.
 
-The machines are fitted on a bounded sample: at most ``PER_LANGUAGE`` labelled rows of each
-language, those with the lowest hash of their key, whole texts.  Prediction covers every row.
+The machines are fitted on a bounded sample: at most ``PER_LANGUAGE`` labelled rows of each of the
+``LANGUAGES`` languages that have most labelled rows, those with the lowest hash of their key, whole
+texts.  Prediction covers every row.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; rows whose
 language is null teach nothing; with no labelled row at all every text is ``und``; with a single
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from podspark.llm.arrow_text import LOWER, slices, text_bytes
+from podspark.llm.common import fresh
 
 #: Families by language code. A code that is not listed is a family of its own.
 FAMILIES = {
@@ -43,6 +45,7 @@ FAMILIES = {
     "semitic": "ar he am mt".split(),
 }
 PER_LANGUAGE = 400
+LANGUAGES = 100
 BITS = 12
 UNKNOWN = "und"
 #: Bits of a profile's trigram hash, and what an unseen trigram counts.
@@ -186,12 +189,14 @@ def predict(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
     return out.tolist(), score
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
-    """Fits the machines on at most ``per_language`` rows of each language with the lowest hash of their key."""
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(F.col(key).cast("string")), key)
-    labelled = docs.select(key, lang).filter(F.col(lang).isNotNull() & F.col(key).isNotNull())
-    chosen = labelled.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language).select(key).distinct()
-    sample = docs.select(key, text, lang).join(chosen, key, "left_semi").filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> Model | None:
+    """Fits the machines on at most ``per_language`` rows, with the lowest hash of their key, of the ``languages`` most frequent languages."""
+    marked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and key is not null")
+    frequent = marked.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages).select("lang")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("key").cast("string")), "key")
+    labelled = marked.select("key", "lang").join(F.broadcast(frequent), "lang")
+    chosen = labelled.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("key", "lang").distinct()
+    sample = marked.join(chosen, ["key", "lang"], "left_semi").select("lang", "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 21):
@@ -207,24 +212,25 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 def identify(docs: DataFrame, model: Model | None, keep: list[str | Column], text: str = "text") -> DataFrame:
     """The columns ``keep`` of every row, with ``lang_pred`` and ``score``."""
     body = F.when(F.col(text).rlike(r"\p{L}"), F.col(text))
-    rows = docs.select(*keep, body.alias("_text"))
+    (name,) = fresh(docs, "_text")
+    rows = docs.select(*keep, body.alias(name))
     if model is None:
         return rows.select(*rows.columns[:-1], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text", 1 << 20):
-            column = part.column("_text")
+        for part in slices(batches, name, 1 << 20):
+            column = part.column(name)
             langs, score = predict(shared.value, column)
             known = np.asarray(column.is_valid())
             langs = [x if ok else UNKNOWN for x, ok in zip(langs, known, strict=True)]
-            columns = [part.column(c) for c in part.schema.names if c != "_text"]
+            columns = [part.column(c) for c in part.schema.names if c != name]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(langs, pa.string()), pa.array(np.where(known, score, 0.0), pa.float64())],
-                [*(c for c in part.schema.names if c != "_text"), "lang_pred", "score"],
+                [*(c for c in part.schema.names if c != name), "lang_pred", "score"],
             )
 
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    schema = rows.drop(name).schema.add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(run, schema)
 
 

@@ -6,7 +6,11 @@ boolean expression, ``apply_rules`` does both.
 Defined results: a null or empty text has no words, so every count is 0 and it fails the base
 rule; repeated rows are judged one by one; an empty table gives an empty result; columns of the
 input other than the key and the text are dropped, so clashing names cannot arise.  Very long
-texts stay within one row; the only per-row sort is over 64-bit window hashes.
+texts stay within one row, as several arrays of their words, so a text has to fit into a task's memory
+several times over; the only per-row sort is over 64-bit window hashes.
+
+The rule on stop words knows the four languages listed below: it drops texts of 40 words or more in any
+other language.  For a corpus with others, give ``apply_rules`` rules without it.
 """
 
 from __future__ import annotations

@@ -28,6 +28,8 @@ def test_language_of_odd_rows(spark):
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs.drop("_text"), language_id.train(docs), ["doc_id"]).collect()}
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] == "en" and got[5][0] == "de" and got[6][0] in ("en", "de") and got[7][0] != "und"
     assert language_id.train(docs.filter("lang is null")) is None
+    few = language_id.train(docs, languages=1)
+    assert list(few.families.values()) == [["en"]]
     assert language_id.identify(docs, None, ["doc_id"]).filter("lang_pred <> 'und'").isEmpty()
     assert language_id.identify(docs.limit(0), language_id.train(docs), ["doc_id"]).collect() == []
 
