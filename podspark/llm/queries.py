@@ -148,4 +148,51 @@ drawn AS (SELECT doc_id, 1 AS extra FROM running WHERE before < missing AND befo
 SELECT doc_id, size, source_size, target, CAST((whole + coalesce(extra, 0)) * size AS BIGINT) AS taken FROM chances LEFT JOIN drawn USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": _OP4, "op6_quality_rules": _OP6, "op7_mixing": _OP7}
+_OP1 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+wins AS (SELECT doc_id, h, unnest(range(1, len(h) // 2 - 98)) AS i FROM d WHERE len(h) >= 200),
+named AS (SELECT doc_id, i, md5_number(substr(h, 2 * i - 1, 200)) AS x FROM wins),
+again AS (SELECT doc_id, i FROM named QUALIFY row_number() OVER (PARTITION BY x ORDER BY doc_id, i) > 1),
+begun AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 100, true) AS fresh FROM again),
+numbered AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM begun),
+runs AS (SELECT doc_id, min(i) AS s, max(i) + 99 AS e FROM numbered GROUP BY doc_id, k),
+before AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS upto FROM runs),
+cut AS (SELECT doc_id, any_value(h) AS h, count(*) AS n, sum(e - s + 1) AS gone, string_agg(substr(h, 2 * upto + 1, 2 * (s - upto - 1)), '' ORDER BY s) AS kept, max(e) AS last
+  FROM before JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN d.h ELSE kept || substr(d.h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+_OP5 = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+wins AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+again AS (SELECT doc_id, i FROM wins QUALIFY row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM again),
+placed AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+_OP9 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)] END) AS sh FROM d),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id AS node, doc_id AS root FROM s UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node WHERE r.root < l.b)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c.root AS component_id FROM s JOIN (SELECT node, min(root) AS root FROM r GROUP BY node) c ON c.node = s.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": _OP1,
+    "op4_decontamination": _OP4,
+    "op5_substring_dedup": _OP5,
+    "op6_quality_rules": _OP6,
+    "op7_mixing": _OP7,
+    "op9_near_join": _OP9,
+}
