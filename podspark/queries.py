@@ -66,12 +66,16 @@ def _timed(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "events").select("event_id", "user_id", "event_type", F.expr(_SECONDS).alias("s")).withColumn("clock", F.expr(_clock("string")))
 
 
-@_query(f"SELECT event_id, CAST(CASE WHEN event_id % 5 < 3 THEN s WHEN event_id % 5 = 4 THEN {_CLOCK['m']} END AS DOUBLE) AS seconds, CAST(CASE WHEN event_id % 5 < 3 THEN s WHEN event_id % 5 = 4 THEN {_CLOCK['m']} END AS DOUBLE) AS time FROM (SELECT event_id, {_SECONDS} AS s FROM events)")
+@_query(f"""SELECT event_id, CAST(CASE WHEN event_id % 5 < 3 THEN s WHEN event_id % 5 = 4 THEN {_CLOCK['m']} END AS DOUBLE) AS seconds,
+  CAST(CASE WHEN event_id % 5 < 3 THEN s WHEN event_id % 5 = 4 THEN {_CLOCK['m']} END AS DOUBLE) AS time FROM (SELECT event_id,
+  {_SECONDS} AS s FROM events)""")
 def f1_f3_clock_times(spark: SparkSession, d: str) -> DataFrame:
     return _timed(spark, d).select("event_id", T.parse_duration(F.col("clock")).cast("double").alias("seconds"), T.parse_time(F.col("clock")).alias("time"))
 
 
-@_query(f"""SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN s WHEN 1 THEN {_CLOCK["m"]} * 60 WHEN 2 THEN 0 END AS DOUBLE) AS seconds FROM (SELECT event_id, {_SECONDS} AS s FROM events)""")
+@_query(f"""SELECT event_id,
+  CAST(CASE event_id % 4 WHEN 0 THEN s WHEN 1 THEN {_CLOCK["m"]} * 60 WHEN 2 THEN 0 END AS DOUBLE) AS seconds FROM (SELECT event_id,
+  {_SECONDS} AS s FROM events)""")
 def f2_iso_durations(spark: SparkSession, d: str) -> DataFrame:
     iso = f"CASE event_id % 4 WHEN 0 THEN concat('PT', {_CLOCK['h']}, 'H', {_CLOCK['m']}, 'M', {_CLOCK['c']}, 's') WHEN 1 THEN concat('PT', {_CLOCK['m']}, 'm') WHEN 2 THEN 'PT' ELSE concat('P1DT', {_CLOCK['h']}, 'H') END"
     return _timed(spark, d).select("event_id", T.parse_iso8601_duration(F.expr(iso)).cast("double").alias("seconds"))
@@ -82,7 +86,8 @@ _URL = "CASE event_id % 6 WHEN 0 THEN concat('https://www.youtube.com/watch?v=',
 
 @_query(f"""WITH e AS (SELECT event_id, substr(md5(CAST(user_id AS VARCHAR)), 1, 11) AS k FROM events), u AS (SELECT event_id, k, {_URL} AS url FROM e)
 SELECT event_id, CASE WHEN event_id % 6 < 3 THEN k END AS video_id, CASE WHEN event_id % 6 < 3 THEN 'https://www.youtube.com/watch?v=' || k END AS link FROM u
-UNION ALL SELECT -1 - page_id, nullif(regexp_extract(url, '(?:v=|youtu\\.be/|/embed/)([A-Za-z0-9_-]{{11}})', 1), ''), 'https://www.youtube.com/watch?v=' || nullif(regexp_extract(url, '(?:v=|youtu\\.be/|/embed/)([A-Za-z0-9_-]{{11}})', 1), '') FROM pages""")
+UNION ALL SELECT -1 - page_id, nullif(regexp_extract(url, '(?:v=|youtu\\.be/|/embed/)([A-Za-z0-9_-]{{11}})', 1), ''),
+  'https://www.youtube.com/watch?v=' || nullif(regexp_extract(url, '(?:v=|youtu\\.be/|/embed/)([A-Za-z0-9_-]{{11}})', 1), '') FROM pages""")
 def f4_f13_video_ids(spark: SparkSession, d: str) -> DataFrame:
     made = _table(spark, d, "events").select("event_id", F.expr("substr(md5(cast(user_id as string)), 1, 11)").alias("k")).select("event_id", F.expr(_URL).alias("url"))
     rows = made.unionByName(_table(spark, d, "pages").select((-1 - F.col("page_id")).alias("event_id"), "url"))
@@ -93,7 +98,9 @@ def f4_f13_video_ids(spark: SparkSession, d: str) -> DataFrame:
 _PATH = "concat(url, CASE page_id % 5 WHEN 0 THEN '/Marketing_Operators.csv' WHEN 1 THEN '/FINANCE-operators.csv' WHEN 2 THEN '/marketing.csv' ELSE '/x.csv' END)"
 
 
-@_query(f"SELECT page_id, CASE WHEN lower(p) LIKE '%marketing%' AND lower(p) LIKE '%operators%' THEN 'marketing_operator' WHEN lower(p) LIKE '%finance%' AND lower(p) LIKE '%operators%' THEN 'finance_operators' ELSE '9operators' END AS podcast FROM (SELECT page_id, {_PATH} AS p FROM pages)")
+@_query(f"""SELECT page_id,
+  CASE WHEN lower(p) LIKE '%marketing%' AND lower(p) LIKE '%operators%' THEN 'marketing_operator' WHEN lower(p) LIKE '%finance%' AND lower(p) LIKE '%operators%' THEN 'finance_operators' ELSE '9operators' END AS podcast FROM (SELECT page_id,
+  {_PATH} AS p FROM pages)""")
 def f5_podcast_of_path(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "pages").select("page_id", T.infer_podcast(F.expr(_PATH)).alias("podcast"))
 
@@ -101,7 +108,8 @@ def f5_podcast_of_path(spark: SparkSession, d: str) -> DataFrame:
 _HMS_SQL = "CASE WHEN {s} < 360000 THEN lpad(CAST({s} // 3600 AS VARCHAR), 2, '0') ELSE CAST({s} // 3600 AS VARCHAR) END || ':' || lpad(CAST(({s} % 3600) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({s} % 60 AS VARCHAR), 2, '0')"
 
 
-@_query(f"""SELECT event_id, {_HMS_SQL.format(s="s")} AS hms, {_HMS_SQL.format(s="s")} || ' ' || CASE WHEN event_id % 4 < 2 OR event_id % 4 = 3 AND event_type = '' THEN 'Speaker' ELSE sp END || ': ' || event_type AS line,
+@_query(f"""SELECT event_id, {_HMS_SQL.format(s="s")} AS hms,
+  {_HMS_SQL.format(s="s")} || ' ' || CASE WHEN event_id % 4 < 2 OR event_id % 4 = 3 AND event_type = '' THEN 'Speaker' ELSE sp END || ': ' || event_type AS line,
   CASE WHEN event_id % 4 < 2 THEN '' ELSE sp END AS label, CAST(CAST(s + 0.25 AS DECIMAL(10, 2)) AS DOUBLE) AS seconds
 FROM (SELECT event_id, event_type, event_id * 37 AS s, CASE event_id % 4 WHEN 1 THEN '0' WHEN 2 THEN '1' WHEN 3 THEN event_type END AS sp FROM events)""")
 def f6_f7_f8_f15_utterance_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +131,8 @@ def f9_answer_tags(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", T.title_of(raw).alias("title"), T.start_time_of(raw).alias("start_time"), T.end_time_of(raw).alias("end_time"), T.framework_of(raw).alias("framework"))
 
 
-@_query("""SELECT doc_id, md5('Say: ' || replace(t, '{insight}', lang) || ' / ' || lang) AS prompt, substr(t, 1, 2048) AS cut, CAST(length(t) AS BIGINT) AS n FROM (SELECT doc_id, lang, text || CASE WHEN doc_id % 2 = 0 THEN '{insight}' ELSE '' END AS t FROM documents)""")
+@_query("""SELECT doc_id, md5('Say: ' || replace(t, '{insight}', lang) || ' / ' || lang) AS prompt, substr(t, 1, 2048) AS cut,
+  CAST(length(t) AS BIGINT) AS n FROM (SELECT doc_id, lang, text || CASE WHEN doc_id % 2 = 0 THEN '{insight}' ELSE '' END AS t FROM documents)""")
 def f10_f11_templates(spark: SparkSession, d: str) -> DataFrame:
     rows = _table(spark, d, "documents").select("doc_id", "lang", F.expr("concat(text, CASE WHEN doc_id % 2 = 0 THEN '{insight}' ELSE '' END)").alias("t"))
     prompt = T.render(F.lit("Say: {transcript} / {insight}"), {"transcript": F.col("t"), "insight": F.col("lang")})
@@ -139,11 +148,13 @@ def f14_strip(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- links, catalogue, backlog
 
 _LINK_SQL = f"""WITH e AS (SELECT event_id, {_SECONDS} AS s, substr(md5(CAST(user_id AS VARCHAR)), 1, 11) AS k FROM events),
-l AS (SELECT event_id AS line_no, CAST(event_id % 3 AS INT) AS file_rank, CASE WHEN event_id % 7 > 0 THEN k END AS video_id, CASE WHEN event_id % 5 < 3 THEN s % 700 WHEN event_id % 5 = 4 THEN CAST(floor(s % 700 / 60) AS BIGINT) END AS dur FROM e),
+l AS (SELECT event_id AS line_no, CAST(event_id % 3 AS INT) AS file_rank, CASE WHEN event_id % 7 > 0 THEN k END AS video_id,
+  CASE WHEN event_id % 5 < 3 THEN s % 700 WHEN event_id % 5 = 4 THEN CAST(floor(s % 700 / 60) AS BIGINT) END AS dur FROM e),
 f AS (SELECT *, row_number() OVER (PARTITION BY video_id, file_rank ORDER BY line_no) AS n FROM l WHERE video_id IS NOT NULL),
 k AS (SELECT * FROM f WHERE n = 1 AND (dur IS NULL OR dur >= 300)),
 g AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY file_rank, line_no) AS r FROM k)
-SELECT video_id, ['9operators', 'marketing_operator', 'finance_operators'][file_rank + 1] AS podcast, CAST(dur AS DOUBLE) AS seconds, 'T' || line_no AS title, 'https://youtu.be/' || video_id AS url FROM g WHERE r = 1"""
+SELECT video_id, ['9operators', 'marketing_operator', 'finance_operators'][file_rank + 1] AS podcast, CAST(dur AS DOUBLE) AS seconds,
+  'T' || line_no AS title, 'https://youtu.be/' || video_id AS url FROM g WHERE r = 1"""
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -180,14 +191,21 @@ def s1_s2_k1_seed_csvs(spark: SparkSession, d: str) -> DataFrame:
     return _links_out(seeds.read_seed_csvs(spark, {p: f"{folder}/{p}" for p in schemas.PODCASTS}))
 
 
-_OLD_LINKS = f"SELECT 'v' || user_id AS video_id, event_type AS podcast, CASE WHEN min(event_id) % 7 = 0 THEN NULL ELSE 'old' || min(event_id) END AS title, CAST(CASE WHEN min(event_id) % 2 = 0 THEN min(event_id) % 500 END AS INT) AS duration_seconds, 'o' || min(event_id) AS url, 'id' || min(event_id) AS id, {THEN} AS created_at, {THEN} AS updated_at FROM events WHERE event_id % 3 = 0 GROUP BY user_id, event_type"
-_NEW_LINKS = "SELECT 'v' || user_id AS video_id, event_type AS podcast, CASE WHEN event_id % 5 = 0 THEN '' ELSE 't' || event_id END AS title, CAST(CASE WHEN event_id % 4 = 0 THEN event_id % 1000 END AS INT) AS duration_seconds, CASE WHEN event_id % 2 = 0 THEN NULL ELSE 'u' || event_id END AS url, event_id AS seq FROM events WHERE event_id % 3 > 0 AND event_type <> ''"
+_OLD_LINKS = f"""SELECT 'v' || user_id AS video_id, event_type AS podcast, CASE WHEN min(event_id) % 7 = 0 THEN NULL ELSE 'old' || min(event_id) END AS title,
+  CAST(CASE WHEN min(event_id) % 2 = 0 THEN min(event_id) % 500 END AS INT) AS duration_seconds, 'o' || min(event_id) AS url,
+  'id' || min(event_id) AS id, {THEN} AS created_at, {THEN} AS updated_at FROM events WHERE event_id % 3 = 0 GROUP BY user_id, event_type"""
+_NEW_LINKS = """SELECT 'v' || user_id AS video_id, event_type AS podcast, CASE WHEN event_id % 5 = 0 THEN '' ELSE 't' || event_id END AS title,
+  CAST(CASE WHEN event_id % 4 = 0 THEN event_id % 1000 END AS INT) AS duration_seconds,
+  CASE WHEN event_id % 2 = 0 THEN NULL ELSE 'u' || event_id END AS url, event_id AS seq FROM events WHERE event_id % 3 > 0 AND event_type <> ''"""
 _M1 = f"""WITH o AS ({_OLD_LINKS}), n AS ({_NEW_LINKS}),
-a AS (SELECT video_id, podcast, title, duration_seconds, url, id, -1 AS seq, true AS is_old FROM o UNION ALL SELECT video_id, podcast, title, duration_seconds, coalesce(url, ''), NULL, seq, false FROM n)
-SELECT video_id, podcast, coalesce(arg_max(title, seq) FILTER (WHERE title <> '' AND NOT is_old), CASE WHEN bool_or(is_old) THEN max(title) FILTER (WHERE is_old) ELSE '' END) AS title,
+a AS (SELECT video_id, podcast, title, duration_seconds, url, id, -1 AS seq, true AS is_old FROM o UNION ALL SELECT video_id, podcast, title,
+  duration_seconds, coalesce(url, ''), NULL, seq, false FROM n)
+SELECT video_id, podcast, coalesce(arg_max(title, seq) FILTER (WHERE title <> '' AND NOT is_old),
+  CASE WHEN bool_or(is_old) THEN max(title) FILTER (WHERE is_old) ELSE '' END) AS title,
   CAST(arg_max(duration_seconds, seq) FILTER (WHERE duration_seconds IS NOT NULL) AS DOUBLE) AS seconds,
   coalesce(arg_max(url, seq) FILTER (WHERE url <> '' AND NOT is_old), CASE WHEN bool_or(is_old) THEN max(url) FILTER (WHERE is_old) ELSE '' END) AS url,
-  coalesce(max(id), sha256(video_id || '|' || podcast)) AS id, CASE WHEN bool_or(is_old) THEN '2023' ELSE '2024' END AS created, CASE WHEN bool_and(is_old) THEN '2023' ELSE '2024' END AS updated FROM a GROUP BY video_id, podcast"""
+  coalesce(max(id), sha256(video_id || '|' || podcast)) AS id, CASE WHEN bool_or(is_old) THEN '2023' ELSE '2024' END AS created,
+  CASE WHEN bool_and(is_old) THEN '2023' ELSE '2024' END AS updated FROM a GROUP BY video_id, podcast"""
 
 
 def _year(c: str, name: str):
@@ -237,14 +255,22 @@ def k2_k3_seed_links_jobs(spark: SparkSession, d: str) -> DataFrame:
     return accepted
 
 
-@_query("""SELECT CAST(count(*) AS BIGINT) AS accepted, count(DISTINCT v) AS videos FROM (SELECT CASE event_id % 4 WHEN 0 THEN '' ELSE 'v' || user_id END AS v, CASE event_id % 6 WHEN 1 THEN '' ELSE event_type END AS p FROM events) WHERE v <> '' AND p <> ''""")
+@_query("""SELECT CAST(count(*) AS BIGINT) AS accepted,
+  count(DISTINCT v) AS videos FROM (SELECT CASE event_id % 4 WHEN 0 THEN '' ELSE 'v' || user_id END AS v,
+  CASE event_id % 6 WHEN 1 THEN '' ELSE event_type END AS p FROM events) WHERE v <> '' AND p <> ''""")
 def p2_accepted_links(spark: SparkSession, d: str) -> DataFrame:
     rows = _table(spark, d, "events").select(F.expr("CASE event_id % 4 WHEN 0 THEN '\t  ' ELSE concat(' v', user_id, '\n') END").alias("video_id"), F.expr("CASE event_id % 6 WHEN 1 THEN NULL ELSE event_type END").alias("podcast"))
     return merge.acceptable_links(rows).agg(F.count("*").alias("accepted"), F.count_distinct("video_id").alias("videos"))
 
 
-_OLD_VIDEOS = f"SELECT 'v' || user_id AS video_id, min(event_type) AS podcast, 'old' || min(event_id) AS title, CAST(CASE WHEN min(event_id) % 2 = 0 THEN 700 END AS INT) AS duration_seconds, CASE WHEN min(event_id) % 3 = 0 THEN 'c1' END AS channel_id, CASE WHEN min(event_id) % 4 > 0 THEN max(ts) END AS published_at, 'id' || min(event_id) AS id, {THEN} AS created_at, {THEN} AS updated_at FROM events WHERE event_id % 3 = 0 GROUP BY user_id"
-_NEW_VIDEOS = "SELECT 'v' || user_id AS video_id, event_type AS podcast, CASE WHEN event_id % 5 = 0 THEN '' ELSE 't' || event_id END AS title, CAST(CASE WHEN event_id % 4 = 0 THEN event_id % 1000 END AS INT) AS duration_seconds, CASE WHEN event_id % 2 = 0 THEN 'c' || event_id END AS channel_id, CASE WHEN event_id % 5 = 1 THEN ts END AS published_at, event_id AS seq FROM events WHERE event_id % 3 > 0"
+_OLD_VIDEOS = f"""SELECT 'v' || user_id AS video_id, min(event_type) AS podcast, 'old' || min(event_id) AS title,
+  CAST(CASE WHEN min(event_id) % 2 = 0 THEN 700 END AS INT) AS duration_seconds, CASE WHEN min(event_id) % 3 = 0 THEN 'c1' END AS channel_id,
+  CASE WHEN min(event_id) % 4 > 0 THEN max(ts) END AS published_at, 'id' || min(event_id) AS id, {THEN} AS created_at,
+  {THEN} AS updated_at FROM events WHERE event_id % 3 = 0 GROUP BY user_id"""
+_NEW_VIDEOS = """SELECT 'v' || user_id AS video_id, event_type AS podcast, CASE WHEN event_id % 5 = 0 THEN '' ELSE 't' || event_id END AS title,
+  CAST(CASE WHEN event_id % 4 = 0 THEN event_id % 1000 END AS INT) AS duration_seconds,
+  CASE WHEN event_id % 2 = 0 THEN 'c' || event_id END AS channel_id, CASE WHEN event_id % 5 = 1 THEN ts END AS published_at,
+  event_id AS seq FROM events WHERE event_id % 3 > 0"""
 
 
 def _videos(spark: SparkSession, d: str) -> DataFrame:
@@ -256,9 +282,12 @@ def _videos_out(v: DataFrame) -> DataFrame:
 
 
 @_query(f"""WITH o AS ({_OLD_VIDEOS}), n AS ({_NEW_VIDEOS}),
-a AS (SELECT video_id, podcast, title, duration_seconds, channel_id, published_at, id, -1 AS seq, true AS is_old FROM o UNION ALL SELECT video_id, podcast, title, duration_seconds, channel_id, published_at, NULL, seq, false FROM n)
-SELECT video_id, arg_max(podcast, seq) AS podcast, coalesce(arg_max(title, seq) FILTER (WHERE title <> '' AND NOT is_old), CASE WHEN bool_or(is_old) THEN max(title) FILTER (WHERE is_old) ELSE '' END) AS title,
-  CAST(arg_max(duration_seconds, seq) FILTER (WHERE duration_seconds IS NOT NULL) AS DOUBLE) AS seconds, arg_max(channel_id, seq) FILTER (WHERE channel_id IS NOT NULL) AS channel_id,
+a AS (SELECT video_id, podcast, title, duration_seconds, channel_id, published_at, id, -1 AS seq, true AS is_old FROM o UNION ALL SELECT video_id,
+  podcast, title, duration_seconds, channel_id, published_at, NULL, seq, false FROM n)
+SELECT video_id, arg_max(podcast, seq) AS podcast, coalesce(arg_max(title, seq) FILTER (WHERE title <> '' AND NOT is_old),
+  CASE WHEN bool_or(is_old) THEN max(title) FILTER (WHERE is_old) ELSE '' END) AS title,
+  CAST(arg_max(duration_seconds, seq) FILTER (WHERE duration_seconds IS NOT NULL) AS DOUBLE) AS seconds, arg_max(channel_id,
+  seq) FILTER (WHERE channel_id IS NOT NULL) AS channel_id,
   CAST(floor(epoch(arg_max(published_at, seq) FILTER (WHERE published_at IS NOT NULL))) AS DOUBLE) AS published, coalesce(max(id), sha256(video_id)) AS id,
   CASE WHEN bool_or(is_old) THEN '2023' ELSE '2024' END AS created, CASE WHEN bool_and(is_old) THEN '2023' ELSE '2024' END AS updated FROM a GROUP BY video_id""")
 def m2_upsert_videos(spark: SparkSession, d: str) -> DataFrame:
@@ -266,15 +295,20 @@ def m2_upsert_videos(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(f"""WITH o AS ({_OLD_VIDEOS}), n AS ({_OLD_LINKS.replace("event_id % 3 = 0", "event_id % 3 > 0")}),
-f AS (SELECT video_id, max(podcast) AS podcast, coalesce(arg_max(title, podcast) FILTER (WHERE title <> ''), '') AS title, arg_max(duration_seconds, podcast) FILTER (WHERE duration_seconds IS NOT NULL) AS duration_seconds FROM n GROUP BY video_id)
-SELECT coalesce(f.video_id, o.video_id) AS video_id, coalesce(f.podcast, o.podcast) AS podcast, coalesce(nullif(f.title, ''), o.title, '') AS title, CAST(coalesce(f.duration_seconds, o.duration_seconds) AS DOUBLE) AS seconds, o.channel_id,
-  CAST(floor(epoch(o.published_at)) AS DOUBLE) AS published, coalesce(o.id, sha256(f.video_id)) AS id, CASE WHEN o.id IS NULL THEN '2024' ELSE '2023' END AS created, CASE WHEN f.video_id IS NULL THEN '2023' ELSE '2024' END AS updated FROM f FULL JOIN o USING (video_id)""")
+f AS (SELECT video_id, max(podcast) AS podcast, coalesce(arg_max(title, podcast) FILTER (WHERE title <> ''), '') AS title, arg_max(duration_seconds,
+  podcast) FILTER (WHERE duration_seconds IS NOT NULL) AS duration_seconds FROM n GROUP BY video_id)
+SELECT coalesce(f.video_id, o.video_id) AS video_id, coalesce(f.podcast, o.podcast) AS podcast, coalesce(nullif(f.title, ''), o.title, '') AS title,
+  CAST(coalesce(f.duration_seconds, o.duration_seconds) AS DOUBLE) AS seconds, o.channel_id,
+  CAST(floor(epoch(o.published_at)) AS DOUBLE) AS published, coalesce(o.id, sha256(f.video_id)) AS id,
+  CASE WHEN o.id IS NULL THEN '2024' ELSE '2023' END AS created,
+  CASE WHEN f.video_id IS NULL THEN '2023' ELSE '2024' END AS updated FROM f FULL JOIN o USING (video_id)""")
 def m3_k3_videos_from_links(spark: SparkSession, d: str) -> DataFrame:
     links = _sql(spark, d, _OLD_LINKS.replace("event_id % 3 = 0", "event_id % 3 > 0"))
     return _videos_out(merge.videos_from_links(_videos(spark, d), links, F.expr(NOW)))
 
 
-@_query("""SELECT 'd' || doc_id AS video_id, source AS podcast, CAST(CASE WHEN doc_id % 5 > 0 THEN n_chars END AS DOUBLE) AS published, doc_id % 97 AS created FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)""")
+@_query("""SELECT 'd' || doc_id AS video_id, source AS podcast, CAST(CASE WHEN doc_id % 5 > 0 THEN n_chars END AS DOUBLE) AS published,
+  doc_id % 97 AS created FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)""")
 def k5_j1_o1_backlog(spark: SparkSession, d: str) -> DataFrame:
     """Documents without a label as videos without a transcription, newest first."""
     docs = _table(spark, d, "documents")
@@ -283,7 +317,8 @@ def k5_j1_o1_backlog(spark: SparkSession, d: str) -> DataFrame:
     return open_.select("video_id", "podcast", F.unix_seconds("published_at").cast("double").alias("published"), F.unix_seconds("created_at").alias("created"))
 
 
-@_query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, CAST(o_orderkey AS VARCHAR)) AS n FROM orders) WHERE n <= 5")
+@_query("""SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST,
+  CAST(o_orderkey AS VARCHAR)) AS n FROM orders) WHERE n <= 5""")
 def w2_latest_per_channel(spark: SparkSession, d: str) -> DataFrame:
     rows = _table(spark, d, "orders").select(F.col("o_custkey").alias("channel_id"), F.col("o_orderkey").cast("string").alias("video_id"), F.col("o_orderdate").alias("published_at"))
     return latest_per_channel(rows, 5).select(F.col("channel_id").alias("o_custkey"), F.col("video_id").cast("bigint").alias("o_orderkey"))
@@ -302,7 +337,9 @@ def _landed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
     return from_text(listing, schemas.LISTING), from_text(details, schemas.DETAILS), channels
 
 
-_LISTED = "SELECT CAST(o_orderkey AS VARCHAR) AS video_id, coalesce(CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority END, '') AS title, CAST(o_orderkey % 12 * 60 AS DOUBLE) AS seconds, 'c' || o_custkey AS channel_id, 'p' || c_nationkey AS podcast, o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 9 > 0 AND o_orderkey % 5 > 0"
+_LISTED = """SELECT CAST(o_orderkey AS VARCHAR) AS video_id, coalesce(CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority END, '') AS title,
+  CAST(o_orderkey % 12 * 60 AS DOUBLE) AS seconds, 'c' || o_custkey AS channel_id, 'p' || c_nationkey AS podcast,
+  o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 9 > 0 AND o_orderkey % 5 > 0"""
 
 
 @_query(f"SELECT video_id, title, seconds, channel_id, podcast, CAST(floor(epoch(o_orderdate)) AS DOUBLE) AS published FROM ({_LISTED})")
@@ -311,7 +348,8 @@ def s4_j2_channel_listings(spark: SparkSession, d: str) -> DataFrame:
     return listings.videos_of(listing, details).select("video_id", "title", F.col("duration_seconds").cast("double").alias("seconds"), "channel_id", "podcast", F.unix_seconds(F.col("published_at").cast("timestamp")).cast("double").alias("published"))
 
 
-_FETCHED = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY o_orderdate DESC NULLS LAST, video_id) AS n FROM ({_LISTED}) WHERE podcast <> 'p3') WHERE n <= 4"
+_FETCHED = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY o_orderdate DESC NULLS LAST,
+  video_id) AS n FROM ({_LISTED}) WHERE podcast <> 'p3') WHERE n <= 4"""
 
 
 @_query(f"SELECT podcast, count(*) AS fetched, count(*) FILTER (WHERE seconds >= 300) AS upserted FROM ({_FETCHED}) GROUP BY ROLLUP (podcast)")
@@ -358,19 +396,25 @@ def _responses(spark: SparkSession, d: str) -> DataFrame:
 
 
 _STRIP = r"regexp_replace(regexp_replace(text, '\n', ' ', 'g'), '^ +| +$', '', 'g')"
-_SPOKEN = f"""SELECT conv_id, turn, text, CASE WHEN turn % 7 <> 6 THEN turn * 754.5 END AS st, turn * 754.5 + 10 AS en, CASE WHEN role = 'user' THEN '' ELSE role END AS sp, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS said FROM conversations"""
-_RAW_TEXTS = f"SELECT conv_id, CASE WHEN conv_id % 9 = 8 THEN '' ELSE regexp_replace(string_agg({_STRIP}, ' ' ORDER BY turn), '^\\s+|\\s+$', '', 'g') END AS raw FROM conversations GROUP BY conv_id"
+_SPOKEN = f"""SELECT conv_id, turn, text, CASE WHEN turn % 7 <> 6 THEN turn * 754.5 END AS st, turn * 754.5 + 10 AS en,
+  CASE WHEN role = 'user' THEN '' ELSE role END AS sp, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS said FROM conversations"""
+_RAW_TEXTS = f"""SELECT conv_id, CASE WHEN conv_id % 9 = 8 THEN '' ELSE regexp_replace(string_agg({_STRIP}, ' ' ORDER BY turn), '^\\s+|\\s+$', '',
+  'g') END AS raw FROM conversations GROUP BY conv_id"""
 
 
 @_query(f"""WITH s AS ({_SPOKEN}), r AS ({_RAW_TEXTS}),
-t AS (SELECT conv_id, string_agg({_HMS_SQL.format(s="CAST(floor(st) AS BIGINT)")} || ' ' || CASE WHEN sp = '' THEN 'Speaker' ELSE sp END || ': ' || said, chr(10) ORDER BY turn) AS lines FROM s WHERE st IS NOT NULL AND said <> '' GROUP BY conv_id)
-SELECT 'v' || conv_id AS video_id, CAST(length(raw) AS BIGINT) AS n_chars, md5(raw) AS raw_md5, md5(CASE WHEN conv_id % 9 = 8 OR conv_id % 5 = 0 THEN raw ELSE coalesce(lines, '') END) AS timestamped_md5 FROM r LEFT JOIN t USING (conv_id)""")
+t AS (SELECT conv_id,
+  string_agg({_HMS_SQL.format(s="CAST(floor(st) AS BIGINT)")} || ' ' || CASE WHEN sp = '' THEN 'Speaker' ELSE sp END || ': ' || said,
+  chr(10) ORDER BY turn) AS lines FROM s WHERE st IS NOT NULL AND said <> '' GROUP BY conv_id)
+SELECT 'v' || conv_id AS video_id, CAST(length(raw) AS BIGINT) AS n_chars, md5(raw) AS raw_md5,
+  md5(CASE WHEN conv_id % 9 = 8 OR conv_id % 5 = 0 THEN raw ELSE coalesce(lines, '') END) AS timestamped_md5 FROM r LEFT JOIN t USING (conv_id)""")
 def s5_s6_a1_p4_transcripts(spark: SparkSession, d: str) -> DataFrame:
     parsed = parse_responses(_responses(spark, d))
     return parsed.select("video_id", F.length("raw_text").cast("bigint").alias("n_chars"), F.md5("raw_text").alias("raw_md5"), F.md5("timestamped").alias("timestamped_md5"))
 
 
-_SEGMENTS = f"""SELECT 'v' || conv_id AS video_id, CAST(st AS DOUBLE) AS st, CAST(en AS DOUBLE) AS en, said, sp FROM ({_SPOKEN}) JOIN ({_RAW_TEXTS}) USING (conv_id) WHERE st IS NOT NULL AND conv_id % 5 > 0 AND raw <> ''"""
+_SEGMENTS = f"""SELECT 'v' || conv_id AS video_id, CAST(st AS DOUBLE) AS st, CAST(en AS DOUBLE) AS en, said,
+  sp FROM ({_SPOKEN}) JOIN ({_RAW_TEXTS}) USING (conv_id) WHERE st IS NOT NULL AND conv_id % 5 > 0 AND raw <> ''"""
 
 
 @_query(f"SELECT sha256('transcription|' || video_id) AS transcription_id, st AS start_time, en AS end_time, md5(said) AS text_md5, sp AS speaker_label FROM ({_SEGMENTS})")
@@ -383,7 +427,8 @@ _OLD_TRANSCRIPTS = "SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 4
 
 
 @_query(f"""WITH r AS (SELECT * FROM ({_RAW_TEXTS}) WHERE raw <> ''), o AS ({_OLD_TRANSCRIPTS}), s AS ({_SEGMENTS})
-SELECT 'v' || coalesce(r.conv_id, o.conv_id) AS video_id, CASE WHEN r.conv_id IS NULL THEN 'old' ELSE md5(raw) END AS raw_md5, CAST(CASE WHEN r.conv_id IS NULL THEN 1 ELSE coalesce(n, 0) END AS BIGINT) AS segments
+SELECT 'v' || coalesce(r.conv_id, o.conv_id) AS video_id, CASE WHEN r.conv_id IS NULL THEN 'old' ELSE md5(raw) END AS raw_md5,
+  CAST(CASE WHEN r.conv_id IS NULL THEN 1 ELSE coalesce(n, 0) END AS BIGINT) AS segments
 FROM r FULL JOIN o ON r.conv_id = o.conv_id LEFT JOIN (SELECT video_id, count(*) AS n FROM s GROUP BY video_id) c ON c.video_id = 'v' || r.conv_id""")
 def m4_p5_replace_transcripts(spark: SparkSession, d: str) -> DataFrame:
     old = _sql(spark, d, _OLD_TRANSCRIPTS).select(F.concat(F.lit("v"), "conv_id").alias("video_id"))
@@ -398,7 +443,8 @@ def m4_p5_replace_transcripts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("""SELECT doc_id, CAST(i AS BIGINT) AS chunk_no, md5(substring(text, CAST(i * 5500 + 1 AS BIGINT), 6000)) AS chunk_md5
-FROM (SELECT doc_id, text, unnest(range(CASE WHEN length(text) = 0 THEN 0 ELSE 1 + CAST(ceil(greatest(0, length(text) - 6000) / 5500) AS BIGINT) END)) AS i FROM documents WHERE text IS NOT NULL)""")
+FROM (SELECT doc_id, text, unnest(range(CASE WHEN length(text) = 0 THEN 0 ELSE 1 + CAST(ceil(greatest(0,
+  length(text) - 6000) / 5500) AS BIGINT) END)) AS i FROM documents WHERE text IS NOT NULL)""")
 def g1_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunks(_table(spark, d, "documents"), "text", ["doc_id"]).select("doc_id", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.md5("chunk").alias("chunk_md5"))
 
@@ -406,7 +452,8 @@ def g1_chunks(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- model responses
 
 _ANSWER_LINE = """CASE WHEN turn % 4 = 2 AND conv_id % 3 > 0 THEN concat('Part ', turn, ':') WHEN turn % 4 = 3 THEN concat('* "', substr(h, 1, 8), '" – ', substr(h, 9, 6))
-  WHEN turn % 4 = 1 AND turn > 1 THEN concat('*', substr(h, 1, 10), ': ', substr(h, 11, 9), ': more') WHEN turn % 4 = 0 THEN concat(' * ', substr(h, 1, 12), ' ') ELSE concat('Note ', substr(h, 1, 5)) END"""
+  WHEN turn % 4 = 1 AND turn > 1 THEN concat('*', substr(h, 1, 10), ': ', substr(h, 11, 9), ': more') WHEN turn % 4 = 0 THEN concat(' * ', substr(h,
+  1, 12), ' ') ELSE concat('Note ', substr(h, 1, 5)) END"""
 _ANSWER = f"concat(CASE WHEN turn % 5 = 4 THEN '---\n' ELSE '' END, CASE WHEN conv_id % 11 = 0 AND turn = 3 THEN '*(None)*\n' ELSE '' END, {_ANSWER_LINE})"
 
 
@@ -416,19 +463,27 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("conv_id", F.concat(F.lit("---\n"), F.array_join("l.line", "\n"), F.lit("\n---")).alias("raw"))
 
 
-_PARSED = f"""WITH c AS (SELECT conv_id, turn, md5(text) AS h FROM conversations), r AS (SELECT conv_id, string_agg({_ANSWER}, chr(10) ORDER BY turn) AS raw FROM c GROUP BY conv_id),
-b0 AS (SELECT conv_id, string_split_regex(regexp_replace(raw, '^\\s*---+\\s*\\n?', ''), '\\n---+\\n') AS bl FROM r), b1 AS (SELECT conv_id, unnest(range(1, len(bl) + 1)) AS block_no, bl FROM b0),
-b AS (SELECT conv_id, block_no, string_split(trim(bl[block_no], E' \\n'), chr(10)) AS ls FROM b1 WHERE trim(bl[block_no], E' \\n') <> '' AND lower(bl[block_no]) NOT LIKE '%(none)%'),
-l0 AS (SELECT conv_id, block_no, unnest(range(1, len(ls) + 1)) AS line_no, ls FROM b), l AS (SELECT conv_id, block_no, line_no, trim(ls[line_no]) AS line, trim(ls[1]) AS first_line FROM l0),
+_PARSED = f"""WITH c AS (SELECT conv_id, turn, md5(text) AS h FROM conversations), r AS (SELECT conv_id, string_agg({_ANSWER},
+  chr(10) ORDER BY turn) AS raw FROM c GROUP BY conv_id),
+b0 AS (SELECT conv_id, string_split_regex(regexp_replace(raw, '^\\s*---+\\s*\\n?', ''), '\\n---+\\n') AS bl FROM r), b1 AS (SELECT conv_id,
+  unnest(range(1, len(bl) + 1)) AS block_no, bl FROM b0),
+b AS (SELECT conv_id, block_no, string_split(trim(bl[block_no], E' \\n'), chr(10)) AS ls FROM b1 WHERE trim(bl[block_no],
+  E' \\n') <> '' AND lower(bl[block_no]) NOT LIKE '%(none)%'),
+l0 AS (SELECT conv_id, block_no, unnest(range(1, len(ls) + 1)) AS line_no, ls FROM b), l AS (SELECT conv_id, block_no, line_no,
+  trim(ls[line_no]) AS line, trim(ls[1]) AS first_line FROM l0),
 h AS (SELECT *, line LIKE '*%' AS star, CASE WHEN line NOT LIKE '*%' AND line LIKE '%:' THEN trim(rtrim(line, ':')) END AS header FROM l),
 f AS (SELECT *, last_value(header IGNORE NULLS) OVER (PARTITION BY conv_id, block_no ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cat FROM h),
-s AS (SELECT conv_id, block_no, count(*) FILTER (WHERE star AND coalesce(cat, '') <> '') AS normal, max(header) IS NULL AS headless, any_value(first_line) AS first_line, count(*) FILTER (WHERE star AND line_no > 1) AS later FROM f GROUP BY conv_id, block_no),
+s AS (SELECT conv_id, block_no, count(*) FILTER (WHERE star AND coalesce(cat, '') <> '') AS normal, max(header) IS NULL AS headless,
+  any_value(first_line) AS first_line, count(*) FILTER (WHERE star AND line_no > 1) AS later FROM f GROUP BY conv_id, block_no),
 u AS (SELECT *, sum(normal) OVER (PARTITION BY conv_id ORDER BY block_no) AS before FROM s),
-g AS (SELECT conv_id, min(block_no) AS block_no, arg_min(first_line, block_no) AS first_line FROM u WHERE before = 0 AND headless AND first_line NOT LIKE '*%' AND later > 0 GROUP BY conv_id),
-o AS (SELECT f.conv_id, f.block_no, f.line_no, f.line, coalesce(nullif(cat, ''), trim(rtrim(g.first_line, ':'))) AS category FROM f LEFT JOIN g ON f.conv_id = g.conv_id AND f.block_no = g.block_no AND f.line_no > 1
+g AS (SELECT conv_id, min(block_no) AS block_no, arg_min(first_line,
+  block_no) AS first_line FROM u WHERE before = 0 AND headless AND first_line NOT LIKE '*%' AND later > 0 GROUP BY conv_id),
+o AS (SELECT f.conv_id, f.block_no, f.line_no, f.line, coalesce(nullif(cat, ''), trim(rtrim(g.first_line,
+  ':'))) AS category FROM f LEFT JOIN g ON f.conv_id = g.conv_id AND f.block_no = g.block_no AND f.line_no > 1
   WHERE star AND (coalesce(cat, '') <> '' OR g.conv_id IS NOT NULL)),
 t AS (SELECT *, trim(substr(line, 2)) AS body, row_number() OVER (PARTITION BY conv_id ORDER BY block_no, line_no) - 1 AS pos FROM o)
-SELECT conv_id, CAST(pos AS BIGINT) AS pos, category, CASE WHEN body LIKE '"%" – %' THEN regexp_extract(body, '" – (.*)$', 1) WHEN body LIKE '%: %' THEN split_part(body, ': ', 1) ELSE body END AS title,
+SELECT conv_id, CAST(pos AS BIGINT) AS pos, category, CASE WHEN body LIKE '"%" – %' THEN regexp_extract(body, '" – (.*)$',
+  1) WHEN body LIKE '%: %' THEN split_part(body, ': ', 1) ELSE body END AS title,
   CASE WHEN body LIKE '"%" – %' THEN regexp_extract(body, '^"([^"]*)"', 1) WHEN body LIKE '%: %' THEN substr(body, strpos(body, ': ') + 2) ELSE '' END AS description FROM t"""
 
 
@@ -463,7 +518,9 @@ def p6_p7_j4_j5_requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(f"""WITH f AS ({_FOUND_SQL})
-SELECT 'd' || doc_id AS video_id, CASE WHEN length(title) BETWEEN 3 AND 120 THEN title WHEN doc_id % 7 = 0 THEN '' ELSE 'New ' || doc_id END AS title, CAST(CASE WHEN doc_id % 2 = 0 THEN doc_id % 60 + 60 END AS DOUBLE) AS start_time, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'F' || doc_id END AS framework, md5(substr(chunk, 1, 8000)) AS chunk_md5 FROM f""")
+SELECT 'd' || doc_id AS video_id, CASE WHEN length(title) BETWEEN 3 AND 120 THEN title WHEN doc_id % 7 = 0 THEN '' ELSE 'New ' || doc_id END AS title,
+  CAST(CASE WHEN doc_id % 2 = 0 THEN doc_id % 60 + 60 END AS DOUBLE) AS start_time,
+  CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'F' || doc_id END AS framework, md5(substr(chunk, 1, 8000)) AS chunk_md5 FROM f""")
 def j6_f9_completed_insights(spark: SparkSession, d: str) -> DataFrame:
     """Answers from a table: some are missing."""
     found = _found(spark, d)
@@ -502,7 +559,8 @@ def k6_x1_m5_process(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@_query("""SELECT 'd' || doc_id AS video_id, CAST(CASE WHEN quality IS NULL THEN 3 ELSE quality END AS BIGINT) AS insights FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR quality > 0""")
+@_query("""SELECT 'd' || doc_id AS video_id,
+  CAST(CASE WHEN quality IS NULL THEN 3 ELSE quality END AS BIGINT) AS insights FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR quality > 0""")
 def m5_replace_insights(spark: SparkSession, d: str) -> DataFrame:
     """Three old insights per document; the labelled ones are processed and get as many as their label says."""
     docs = _table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("video_id"))
@@ -540,7 +598,8 @@ def j7_orphan_report(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("""WITH gone AS (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0)
 SELECT 'videos' AS relation, count(*) AS n FROM customer WHERE c_custkey % 5 > 0 UNION ALL SELECT 'transcriptions', count(*) FROM orders WHERE o_custkey % 5 > 0
-UNION ALL SELECT 'segments', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 5 > 0 UNION ALL SELECT 'insights', count(*) FROM orders WHERE o_custkey % 5 > 0""")
+UNION ALL SELECT 'segments', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 5 > 0 UNION ALL SELECT 'insights',
+  count(*) FROM orders WHERE o_custkey % 5 > 0""")
 def j8_cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     """Customers as videos, their orders as transcriptions and insights, the lines as segments."""
     videos = _table(spark, d, "customer").select(F.col("c_custkey").alias("video_id"))
@@ -572,7 +631,8 @@ _RANK = "CASE WHEN n0 > 0 THEN 0 WHEN n1 > 0 THEN 1 WHEN n2 > 0 THEN 2 ELSE 0 EN
 @_query(f"""WITH d AS (SELECT {_DOCUMENT.format(s="VARCHAR")} FROM documents WHERE text IS NOT NULL), h AS (SELECT *, {_HELD} FROM d WHERE category = 'en'),
 m AS (SELECT id, title, start_time_sec, {_counts("['the', 'of']")} FROM h WHERE list_has_all(list_concat(t0, t1, t2), ['the', 'of'])),
 r AS (SELECT id, {_RANK} AS attribute, n0 + n1 + n2 AS occurrences, start_time_sec, title, count(*) OVER () AS total FROM m)
-SELECT id, CAST(attribute AS BIGINT) AS attribute, CAST(occurrences AS BIGINT) AS occurrences, CAST(total AS BIGINT) AS total FROM r ORDER BY start_time_sec DESC NULLS LAST, title, attribute, occurrences DESC, id LIMIT 100""")
+SELECT id, CAST(attribute AS BIGINT) AS attribute, CAST(occurrences AS BIGINT) AS occurrences,
+  CAST(total AS BIGINT) AS total FROM r ORDER BY start_time_sec DESC NULLS LAST, title, attribute, occurrences DESC, id LIMIT 100""")
 def k9_p8_o2_o3_a4_search(spark: SparkSession, d: str) -> DataFrame:
     hits = search.search(_documents(spark, d), "The of, THE", {"category": "en", "podcast": ""}, "start_time_sec:desc, title:asc", 500)
     return hits.select("id", *[F.col(c).cast("bigint").alias(c) for c in ("attribute", "occurrences", "total")])
@@ -581,14 +641,16 @@ def k9_p8_o2_o3_a4_search(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"""WITH d AS (SELECT {_DOCUMENT.format(s="VARCHAR")} FROM documents WHERE text IS NOT NULL), h AS (SELECT id, {_HELD} FROM d),
 q AS (SELECT item_id AS query_id, list_distinct({_TERMS.format(c="text")}) AS asked FROM benchmark),
 m AS (SELECT query_id, id, {_counts("asked")} FROM h, q WHERE len(asked) > 0 AND list_has_all(list_concat(t0, t1, t2), asked)),
-r AS (SELECT query_id, id, {_RANK} AS attribute, n0 + n1 + n2 AS occurrences FROM m), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY attribute, occurrences DESC, id) AS place FROM r)
+r AS (SELECT query_id, id, {_RANK} AS attribute, n0 + n1 + n2 AS occurrences FROM m), p AS (SELECT *,
+  row_number() OVER (PARTITION BY query_id ORDER BY attribute, occurrences DESC, id) AS place FROM r)
 SELECT query_id, id, CAST(attribute AS BIGINT) AS attribute, CAST(occurrences AS BIGINT) AS occurrences, place FROM p WHERE place <= 20""")
 def k10_batch_search(spark: SparkSession, d: str) -> DataFrame:
     asked = _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
     return search.batch_search(_documents(spark, d), asked).select("query_id", "id", *[F.col(c).cast("bigint").alias(c) for c in ("attribute", "occurrences", "place")])
 
 
-@_query(f"SELECT id, video_id, podcast, category, md5(title) AS title_md5, md5(description) AS description_md5, start_time_sec, md5(nullif(framework_markdown, '')) AS framework_md5 FROM (SELECT {_DOCUMENT.format(s='VARCHAR')} FROM documents WHERE text IS NOT NULL)")
+@_query(f"""SELECT id, video_id, podcast, category, md5(title) AS title_md5, md5(description) AS description_md5, start_time_sec, md5(nullif(framework_markdown,
+  '')) AS framework_md5 FROM (SELECT {_DOCUMENT.format(s='VARCHAR')} FROM documents WHERE text IS NOT NULL)""")
 def s8_search_documents(spark: SparkSession, d: str) -> DataFrame:
     """The documents by way of the bulk sink."""
     rows = _documents(spark, d).withColumn("end_time_sec", F.lit(None).cast("decimal(10,2)"))
@@ -616,7 +678,9 @@ def s7_bucketed_upsert(spark: SparkSession, d: str) -> DataFrame:
     return S.read_table(spark, folder, schema)
 
 
-@_query("""SELECT n_name AS prompt_set, 'a' AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'own ' || n_nationkey ELSE 'default a' END AS template FROM nation UNION ALL SELECT n_name, 'b', CASE WHEN n_nationkey % 3 = 0 THEN 'b ' || n_nationkey ELSE '' END FROM nation""")
+@_query("""SELECT n_name AS prompt_set, 'a' AS name,
+  CASE WHEN n_nationkey % 2 = 0 THEN 'own ' || n_nationkey ELSE 'default a' END AS template FROM nation UNION ALL SELECT n_name, 'b',
+  CASE WHEN n_nationkey % 3 = 0 THEN 'b ' || n_nationkey ELSE '' END FROM nation""")
 def s9_prompt_templates(spark: SparkSession, d: str) -> DataFrame:
     n = _table(spark, d, "nation")
     own = n.filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("prompt_set"), F.lit("a").alias("name"), F.concat(F.lit("own "), "n_nationkey").alias("template"))
