@@ -385,7 +385,8 @@ def production_tagger(spark: SparkSession | None = None) -> Tagger:
     codes, gold, name = _windows()
     if spark is None:
         return train(codes, gold)
-    path = f"{checkpoint_root(spark)}/tagger-{name}"
+    # In the folder that all applications share, if there is one.
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or checkpoint_root(spark)}/tagger-{name}"
     try:
         return Tagger(*pickle.loads(spark.read.schema("weights binary").parquet(path).first()[0]))
     except (AnalysisException, TypeError):  # not there, or not written to the end
