@@ -15,7 +15,7 @@ empty table gives an empty result; other input columns are dropped.  Texts of an
 read whole.
 
 Every text with a letter gets the nearest language that was learnt.  Whether it is in that language
-at all is another question, which ``profile`` and ``in_language`` answer: the letter trigrams of all
+at all is another question, which ``profile`` and ``identify_known`` answer: the letter trigrams of all
 labelled rows are counted by language, and a text's mean log-probability under its language's counts
 must come nearer to that of the language's own texts than to that of the other languages' texts.
 """
@@ -303,22 +303,27 @@ def profile(docs: DataFrame, text: str = "text", lang: str = "lang") -> Profile
     return Profile(langs.tolist(), logs.astype(np.float32), mean + FAR * (others_mean - mean), spread, LETTERS * total / np.maximum(total + others, 1))
 
 
-def in_language(found: DataFrame, known: Profile | None, text: str = "text") -> DataFrame:
-    """The rows whose text is in the language ``lang_pred``."""
-    if known is None:
-        return found.limit(0)
-    shared = found.sparkSession.sparkContext.broadcast(known)
+def fits(known: Profile, langs: list[str], column: pa.Array) -> np.ndarray:
+    """Whether each text is in the language it is said to be in."""
+    place = {name: k for k, name in enumerate(known.langs)}
+    lang = np.array([place.get(x, -1) for x in langs], np.int64)
+    grams_, of, letters, others = letter_trigrams(*text_bytes(column))
+    mean = np.bincount(of, known.logs[lang[of], grams_], len(lang)) / np.maximum(letters, 1)
+    ok = (lang >= 0) & (letters > 0)
+    ok &= mean >= known.least[lang] - ERRORS * known.spread[lang] / np.sqrt(np.maximum(letters, 1))
+    return ok & (letters >= known.letters[lang] * (letters + others))
+
+
+def identify_known(docs: DataFrame, model: Model | None, known: Profile | None, text: str = "text") -> DataFrame:
+    """The rows whose text is in a language that was learnt, unchanged; one pass predicts and judges."""
+    if model is None or known is None:
+        return docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast((model, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
-        place = {name: k for k, name in enumerate(p.langs)}
+        model, known = shared.value
         for part in slices(batches, text, 1 << 20):
-            lang = np.array([place.get(x, -1) for x in part.column("lang_pred").to_pylist()], np.int64)
-            grams_, of, letters, others = letter_trigrams(*text_bytes(part.column(text)))
-            mean = np.bincount(of, p.logs[lang[of], grams_], len(lang)) / np.maximum(letters, 1)
-            fits = (lang >= 0) & (letters > 0)
-            fits &= mean >= p.least[lang] - ERRORS * p.spread[lang] / np.sqrt(np.maximum(letters, 1))
-            fits &= letters >= p.letters[lang] * (letters + others)
-            yield part.filter(pa.array(fits))
-
-    return found.mapInArrow(run, found.schema)
+            column = part.column(text)
+            yield part.filter(pa.array(fits(known, predict(model, column)[0], column)))
+
+    return docs.filter(F.col(text).rlike(r"\p{L}")).mapInArrow(run, docs.schema)

@@ -11,9 +11,10 @@ every set leave out one partition in which it has such a signature.
 
 Sets are classes of equal shingle sets, so copies never meet, and of the signatures that just the same classes
 share one stays.  Classes that share a signature are compared with its centre, the class that shares most
-signatures overall; links join components, and only members of different components go on, so a large group
+signatures overall, and with the next one; links join components, and only members of different components go on, so a large group
 of near copies costs about one comparison per member.  What is left of a signature is compared in one task if it has at most
-``BLOCK`` members.  The classes of larger ones sign again, with the domain hashed in another way: two similar
+``BLOCK`` members; if all but so many are in one component already, the others are compared with parts of that one.
+The classes of what is larger still sign again, with the domain hashed in another way: two similar
 classes share a signature then as well, while those that had met by chance are dealt out anew.  Only what
 is still too large after ``LEVELS`` such turns is compared block by block.
 
@@ -50,7 +51,7 @@ RATIO = 1.4
 MOST_SIGNATURES = 64
 MOST_EMPTY = 0.01
 #: Rounds with one centre per signature in a turn, members of a signature compared in one task, and turns of new signatures.
-ROUNDS = 1
+ROUNDS = 2
 BLOCK = 256
 LEVELS = 6
 #: Texts that have to be compared are picked by a broadcast of their keys only up to this number.
@@ -310,6 +311,19 @@ def possible_in_groups(open_: DataFrame, nodes: DataFrame, percent: int = PERCEN
     return rows.groupBy("sig").applyInArrow(_compare(percent), "a bigint, b bigint").distinct()
 
 
+def possible_with_major(left: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The same for larger signatures of which one component has all but at most ``BLOCK`` members.
+
+    ``left`` has the ``major`` component of each signature.  Its members are dealt out to parts, and the others go
+    to every part, so there are no more than twice as many rows as members.
+    """
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.array(F.pmod(F.xxhash64("node"), parts).cast("int"))
+    dealt = left.select("sig", "node", "root", F.explode(F.when(F.col("root") == F.col("major"), own).otherwise(F.sequence(F.lit(0), parts - 1))).alias("part"))
+    rows = dealt.join(nodes.select("node", "n", "sketch"), "node").select("sig", "part", "node", "root", "n", "sketch", F.lit(0).alias("block"))
+    return rows.groupBy("sig", "part").applyInArrow(_compare(percent), "a bigint, b bigint").distinct()
+
+
 def possible_in_blocks(open_: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The same for signatures of any size: members are cut into blocks, and two blocks meet in one group of at most twice ``BLOCK``."""
     by_sig = Window.partitionBy("sig")
@@ -424,9 +438,15 @@ def similar_classes(rows: DataFrame, nodes: DataFrame, words: int = WORDS, perce
             # A centre has met all others of its signature.
             open_ = _rooted(met.filter("centre.node <> node").select("sig", "node", "weight"), roots)
         open_ = written(open_, most)
-        left = written(open_.join(_unsettled(open_, F.count("*").alias("m")), "sig").select("sig", "node", "root", "m"), most)
+        # Per signature its members, and how many of them the component with most of them has.
+        sizes = _unsettled(open_.groupBy("sig", "root").agg(F.count("*").alias("k")), F.sum("k").alias("m"), F.max(F.struct("k", "root")).alias("top"))
+        left = written(open_.join(sizes, "sig").select("sig", "node", "root", "m", F.col("top.root").alias("major"), (F.col("m") - F.col("top.k")).alias("others")), most)
         compare(possible_in_groups(left.filter(F.col("m") <= BLOCK), nodes, percent), most)
-        hot = left.filter(F.col("m") > BLOCK).select("sig", "node")
+        large = left.filter(F.col("m") > BLOCK)
+        some = large.filter(F.col("others") <= BLOCK)
+        if not some.isEmpty():
+            compare(possible_with_major(some, nodes, percent), most)
+        hot = large.filter(F.col("others") > BLOCK).select("sig", "node")
         again = written(hot.select("node").distinct(), most)
         before, count = count, again.count()
         if not count:
