@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podspark.llm import decontaminate, html_extract, language_id, lm_score, mixing, near_join, pii, quality, substring_dedup, suffix_dedup
+from podspark.llm import decontaminate, html_extract, language_id, lm_score, mixing, near_join, pii, quality, sharding, substring_dedup, suffix_dedup
 from podspark.llm.common import table
 
 
@@ -70,6 +70,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs.filter("not held_out")), ["doc_id", "held_out"])
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_near_join": op9_near_join,
     "op10_language_id": op10_language_id,
+    "op12_sharding": op12_sharding,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -188,6 +193,46 @@ r AS (SELECT doc_id AS node, doc_id AS root FROM s UNION SELECT l.b, r.root FROM
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c.root AS component_id FROM s JOIN (SELECT node, min(root) AS root FROM r GROUP BY node) c ON c.node = s.doc_id
 """
 
+
+
+def _crc_steps(value: int, bits: int) -> int:
+    """The register of CRC-32 after that many zero bits."""
+    for _ in range(bits):
+        value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+    return value
+
+
+def _crc_list(shift: int, bits: int) -> str:
+    return "[" + ", ".join(f"{_crc_steps(n << shift, bits)}::BIGINT" for n in range(16)) + "]"
+
+
+def _crc_ctes(source: str) -> str:
+    """CTEs that end in ``crcs (id, crc)`` from ``source (id, t)``: checksums of the UTF-8 bytes of ``t``.
+
+    Texts are cut into pieces of 64 bytes; checksums of pieces are joined by shifting the earlier ones.
+    The four bytes in front bring the register from 0 to all ones, so zeros before them change nothing.
+    """
+    shifted = _crc_list(0, 512) + "[(c & 15) + 1]"
+    for k in range(4, 32, 4):
+        shifted = f"xor({shifted}, {_crc_list(k, 512)}[((c >> {k}) & 15) + 1])"
+    return f"""
+hexed AS (SELECT id, '62F52692' || hex(encode(t)) AS h FROM {source}),
+padded AS (SELECT id, repeat('0', (128 - length(h) % 128) % 128) || h AS h FROM hexed),
+numbered_pieces AS (SELECT id, h, unnest(range(length(h) // 128)) AS k FROM padded),
+pieces AS MATERIALIZED (SELECT id, k, substr(h, 1 + 128 * k, 128) AS g FROM numbered_pieces),
+digits AS (SELECT id, k, [instr('123456789ABCDEF', g[i - 1 + 2 * (i % 2)])::BIGINT FOR i IN range(1, 129)] AS d FROM pieces),
+piece_crcs AS (SELECT id, k, list_reduce(list_prepend(0::BIGINT, d), lambda c, x: xor(c >> 4, {_crc_list(0, 4)}[(xor(c, x) & 15) + 1])) AS r FROM digits),
+crcs AS (SELECT id, xor(list_reduce(list(r ORDER BY k), lambda c, x: xor(x, {shifted})), 4294967295) AS crc FROM piece_crcs GROUP BY id)"""
+
+
+_OP12 = f"""
+WITH texts AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents), {_crc_ctes("texts")},
+sized AS (SELECT doc_id, CAST(octet_length(encode(t)) + 1 AS BIGINT) AS size, crc FROM texts JOIN crcs USING (id)),
+placed AS (SELECT *, sum(size) OVER w AS upto, row_number() OVER w AS nth, sum(size) OVER () AS total FROM sized WINDOW w AS (ORDER BY doc_id NULLS FIRST, crc, size ROWS UNBOUNDED PRECEDING)),
+cut AS (SELECT *, CAST((2 * upto - size) * {sharding.SHARDS} // (2 * total) AS INT) AS shard FROM placed)
+SELECT doc_id, size, crc AS text_crc32, '{sharding.LAW}' AS law, shard, nth - min(nth) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard FROM cut
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_dedup": _OP1,
     "op4_decontamination": _OP4,
@@ -195,4 +240,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": _OP6,
     "op7_mixing": _OP7,
     "op9_near_join": _OP9,
+    "op12_sharding": _OP12,
 }
