@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podspark.llm import decontaminate, html_extract, language_id, lm_score, mixing, near_join, pii, quality, sharding, substring_dedup, suffix_dedup
+from podspark.llm import decontaminate, html_extract, language_id, lm_score, mixing, near_join, pii, quality, sharding, substring_dedup, suffix_dedup, whitening
 from podspark.llm.common import table
 
 
@@ -70,6 +70,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs.filter("not held_out")), ["doc_id", "held_out"])
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents")).withColumn("grown_shard", F.lit(None).cast("int"))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_near_join": op9_near_join,
     "op10_language_id": op10_language_id,
+    "op11_whitening": op11_whitening,
     "op12_sharding": op12_sharding,
 }
 
