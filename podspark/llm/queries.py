@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from podspark.llm import decontaminate, html_extract, language_id, lm_score, mixing, near_join, pii, quality, sharding, substring_dedup, suffix_dedup, whitening
-from podspark.llm.common import table
+from podspark.llm import decontaminate, html_extract, language_id, lm_score, mixing, near_join, periodic_runs, pii, quality, sharding, substring_dedup, suffix_dedup, whitening
+from podspark.llm.common import let, table, words_of
 
 
 def _held_out(parts: int, part: int):
@@ -78,6 +78,36 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with repeats planted into the words of those whose hashed id ends in 0."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+
+    def tail(w):
+        n, g = F.size(w), F.floor(h / 10)
+        start = (g % n).cast("int")
+        period = 1 + F.floor((n - start) / (3 + g % 8)).cast("int")
+        again = lambda s, p: F.transform(w, lambda x, i: F.when(i < s, x).otherwise(F.get(w, s + (i - s) % p)))
+        return F.when(n > 0, let(F.struct(start.alias("s"), period.alias("p")), lambda v: F.array_join(again(v["s"], v["p"]), " "))).otherwise("")
+
+    return docs.withColumn("text", F.when(h % 10 == 0, let(words_of(F.col("text")), tail)).otherwise(F.col("text")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(planted_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = found.withColumn("best", periodic_runs.strongest(F.col("runs")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 DIV best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -91,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_whitening": op11_whitening,
     "op12_sharding": op12_sharding,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -238,6 +269,24 @@ cut AS (SELECT *, CAST((2 * upto - size) * {sharding.SHARDS} // (2 * total) AS I
 SELECT doc_id, size, crc AS text_crc32, '{sharding.LAW}' AS law, shard, nth - min(nth) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard FROM cut
 """
 
+_OP13 = rf"""
+WITH texts AS (SELECT doc_id AS id, CAST(doc_id AS VARCHAR) AS t FROM documents WHERE doc_id IS NOT NULL), {_crc_ctes("texts")},
+plain AS (SELECT doc_id, {_WORDS} AS w, crc AS h, crc // 10 AS g FROM documents LEFT JOIN crcs ON id = doc_id),
+aimed AS (SELECT doc_id, w, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN g % len(w) END AS a, g FROM plain),
+docs AS (SELECT doc_id, w, coalesce(a, len(w)) AS a, coalesce(1 + (len(w) - a) // (3 + g % 8), 1) AS p FROM aimed),
+words AS (SELECT doc_id, n, i, CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END AS word FROM (SELECT doc_id, w, a, p, len(w) AS n, unnest(range(len(w))) AS i FROM docs)),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+streaks AS (SELECT doc_id, q, min(i) AS s, count(*) AS c FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pairs) GROUP BY doc_id, q, k),
+runs AS (SELECT doc_id, s, c + q AS len, min(q) AS q FROM streaks WHERE c + q >= greatest(6, 4 * q) GROUP BY doc_id, s, c + q),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM runs GROUP BY doc_id),
+best AS (SELECT doc_id, s, len, q FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs o WHERE o.doc_id = r.doc_id AND (o.len * r.q > r.len * o.q OR o.len * r.q = r.len * o.q AND (o.s, o.q) < (r.s, r.q)))),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs),
+left_over AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(s AS BIGINT) AS start, CAST(len AS BIGINT) AS length, CAST(q AS BIGINT) AS period,
+  CAST(1000 * len // q AS BIGINT) AS exponent_milli, sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(left_over.t, '')) AS collapsed_sha256
+FROM docs d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_dedup": _OP1,
     "op4_decontamination": _OP4,
@@ -246,4 +295,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_mixing": _OP7,
     "op9_near_join": _OP9,
     "op12_sharding": _OP12,
+    "op13_periodic_runs": _OP13,
 }
