@@ -21,7 +21,11 @@ def tables():
 
 
 def rows(frame):
-    frame = frame[sorted(frame.columns)]
+    frame = frame[sorted(frame.columns)].copy()
+    for c in frame.columns:
+        # Whole numbers with nulls among them come as floats.
+        if frame[c].dtype == "float64" and frame[c].isna().any() and (frame[c].dropna() % 1 == 0).all():
+            frame[c] = frame[c].astype("Int64")
     frame = frame.astype(object).where(frame.notna(), None)
     return sorted(tuple(repr(round(v, 9)) if isinstance(v, float) else str(v) for v in r) for r in frame.values.tolist())
 
