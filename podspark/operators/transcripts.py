@@ -18,6 +18,15 @@ def parse_responses(rows: DataFrame, response: str = "response") -> DataFrame:
     return rows.withColumn("_r", parsed).withColumns({"raw_text": T.strip(F.coalesce(first, F.lit(""))), "utterances": said.cast(kinds)}).drop("_r").withColumn("timestamped", timestamped(F.col("utterances"), F.col("raw_text")))
 
 
+def rejected(rows: DataFrame, response: str = "response") -> DataFrame:
+    """Rows whose response gives no text, with ``reason``: 'broken' if it is no JSON of the expected kind, else 'empty'."""
+    kind = f"{schemas.SPEECH}, _broken string"
+    read = rows.withColumn("_r", F.from_json(F.col(response), kind, {"columnNameOfCorruptRecord": "_broken"}))
+    first = F.get(F.get(F.col("_r.results.channels"), F.lit(0))["alternatives"], F.lit(0))["transcript"]
+    reason = F.when(F.col("_r._broken").isNotNull(), "broken").when(T.strip(F.coalesce(first, F.lit(""))) == "", "empty")
+    return read.withColumn("reason", reason).filter("reason is not null").drop("_r")
+
+
 def printable(u: Column) -> Column:
     return u["start"].isNotNull() & (F.length(u["text"]) > 0)
 

@@ -21,13 +21,21 @@ def channels_of(podcasts: DataFrame, overrides: DataFrame, defaults: DataFrame,
     return handles.join(channels, "handle").select("podcast", "channel_id")
 
 
-def videos_of(listings: DataFrame, details: DataFrame) -> DataFrame:
-    """Listed videos with details: video_id, title, duration_seconds, channel_id, podcast, published_at."""
-    listed = listings.select("channel_id", "podcast", F.explode("items").alias("i")).select("channel_id", "podcast", F.col("i.id.videoId").alias("video_id")).filter("video_id is not null and video_id <> ''")
-    known = details.select("channel_id", F.explode("items").alias("d")).select(
+def listed_of(listings: DataFrame) -> DataFrame:
+    """Listed videos: channel_id, podcast, video_id."""
+    return listings.select("channel_id", "podcast", F.explode("items").alias("i")).select("channel_id", "podcast", F.col("i.id.videoId").alias("video_id")).filter("video_id is not null and video_id <> ''")
+
+
+def described_of(details: DataFrame) -> DataFrame:
+    """Details of videos: channel_id, video_id, title, duration_seconds, published_at."""
+    return details.select("channel_id", F.explode("items").alias("d")).select(
         "channel_id", F.col("d.id").alias("video_id"), F.coalesce("d.snippet.title", F.lit("")).alias("title"), T.parse_iso8601_duration(F.col("d.contentDetails.duration")).alias("duration_seconds"), F.col("d.snippet.publishedAt").try_cast("timestamp").alias("published_at")
     )
-    return listed.join(known, ["channel_id", "video_id"]).select("video_id", "title", "duration_seconds", "channel_id", "podcast", "published_at")
+
+
+def videos_of(listings: DataFrame, details: DataFrame) -> DataFrame:
+    """Listed videos with details: video_id, title, duration_seconds, channel_id, podcast, published_at."""
+    return listed_of(listings).join(described_of(details), ["channel_id", "video_id"]).select("video_id", "title", "duration_seconds", "channel_id", "podcast", "published_at")
 
 
 def fetched(listings: DataFrame, details: DataFrame, n: int = schemas.LATEST) -> DataFrame:
