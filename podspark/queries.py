@@ -21,9 +21,10 @@ from podspark.operators.dedupe import first_occurrences, latest_per_channel
 from podspark.operators.parse import parse_insights
 from podspark.operators.transcripts import parse_responses, segments_of, transcriptions_of
 from podspark.plans import jobs
+from podspark.plans import stored as stored_jobs
 from podspark.sources import listings, prompts, seeds
 from podspark.sources import tables as S
-from podspark.streaming import sync
+from podspark.streaming import fetch, sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -766,6 +767,58 @@ def t1_k8_sync(spark: SparkSession, d: str) -> DataFrame:
     return I.insights_per_video(tables.transcriptions, tables.insights).join(stored, "video_id")
 
 
+_LANDED_SQL = """SELECT CAST(o_orderkey AS VARCHAR) AS video_id, 'p' || c_nationkey AS podcast, o_orderkey % 9 > 0 AND c_nationkey <> 3 AS listed,
+  o_orderkey % 5 > 0 AS described, o_orderkey % 12 * 60 >= 300 AS long, o_orderkey % 7 > 0 AS heard FROM orders JOIN customer ON o_custkey = c_custkey"""
+
+
+@_query(f"""WITH o AS ({_LANDED_SQL})
+SELECT podcast, count(*) FILTER (WHERE listed AND described) AS newest, count(*) FILTER (WHERE listed AND described AND long) AS videos,
+  count(*) FILTER (WHERE listed AND described AND long AND heard) AS transcriptions, 2 * count(*) FILTER (WHERE listed AND described AND long AND heard) AS insights,
+  count(*) FILTER (WHERE listed AND described AND long AND NOT heard) AS backlog FROM o GROUP BY podcast HAVING count(*) FILTER (WHERE listed AND described) > 0
+UNION ALL SELECT '(waiting)', count(*) FILTER (WHERE listed AND NOT described), count(*) FILTER (WHERE described AND NOT listed),
+  count(*) FILTER (WHERE heard AND NOT (listed AND described AND long)), 2, 1 FROM o""")
+def t1_s7_k8_fetch_sync(spark: SparkSession, d: str) -> DataFrame:
+    """Listings, details and responses land in two lots, most of them apart; each lot is one commit of all tables.
+
+    The row ``(waiting)`` has listings without details, details without listing, responses without video, commits and batches' last number.
+    """
+    folder = S.shared_folder(spark)
+    listing, details, channels = _landed(spark, d)
+    heard = _table(spark, d, "orders").filter("o_orderkey % 7 > 0").select(F.col("o_orderkey").cast("string").alias("video_id"), _said("concat('order ', o_orderkey)").alias("response"))
+    store = stored_jobs.open_store(spark, f"{folder}/tables", 8)
+    templates = {k: F.lit(v) for k, v in _TEMPLATES.items()}
+    lot = lambda key, n: F.crc32(F.concat(F.lit(n), key)) % 2 == 0
+    rows = {"listings": (listing, lot("channel_id", "l")), "details": (details, lot("channel_id", "d")), "responses": (heard, lot("video_id", "r"))}
+    for number in range(2):
+        for name, (df, first) in rows.items():
+            df.filter(first if number == 0 else ~first).write.mode("append").json(f"{folder}/landing/{name}")
+        fetch.sync(spark, f"{folder}/landing", store, f"{folder}/checkpoint", channels, templates, stub_answer, F.expr(NOW)).awaitTermination()
+    now = store.snapshot()
+    show = store.read("videos", now).select("video_id", "podcast")
+    counts = store.read("newest", now).groupBy("podcast").agg(F.count("*").alias("newest"))
+    for name in ("videos", "transcriptions", "insights", "backlog"):
+        keyed = store.read(name, now).select("video_id").join(show, "video_id")
+        counts = counts.join(keyed.groupBy("podcast").agg(F.count("*").alias(name)), "podcast", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    number = lambda name: store.read(name, now).agg(F.count("*").alias(name))
+    waiting = number("listed").crossJoin(number("described")).crossJoin(number("waiting"))  # one row each
+    return counts.union(waiting.select(F.lit("(waiting)"), "listed", "described", "waiting", F.lit(now.version).cast("bigint"), F.lit(now.batches[fetch.STREAM]).cast("bigint")))
+
+
+@_query(f"""WITH l AS (SELECT * FROM ({_M1}) WHERE podcast <> '')
+SELECT video_id, arg_max(podcast, updated || podcast) AS podcast, coalesce(arg_max(title, updated || podcast) FILTER (WHERE title <> ''), '') AS title,
+  arg_max(seconds, updated || podcast) FILTER (WHERE seconds IS NOT NULL) AS seconds, true AS in_backlog FROM l GROUP BY video_id""")
+def m3_k5_seed_by_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Links come in two lots; after each, videos are seeded from the links that changed, and the backlog is kept with them."""
+    store = stored_jobs.open_store(spark, f"{S.shared_folder(spark)}/tables", 8)
+    lots = ((_seed_links(spark, d).withColumn("seq", F.lit(0)), THEN), (_sql(spark, d, _NEW_LINKS), NOW))
+    for links, at in lots:
+        stored_jobs.seed_links(store, links, F.expr(at))
+        stored_jobs.seed_from_links(store, F.expr(at))
+    open_ = stored_jobs.backlog(store, ordered=False).select("video_id", F.lit(True).alias("open"))
+    rows = store.read("videos").join(open_, "video_id", "left")
+    return rows.select("video_id", "podcast", "title", F.col("duration_seconds").cast("double").alias("seconds"), F.coalesce("open", F.lit(False)).alias("in_backlog"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Insights by category out of model responses over chunked transcripts."""
     return QUERIES["a5_insights_by_category"](spark, d)
