@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +16,11 @@ VIDEO_ID = r"(?:v=|youtu\.be/|/embed/)([a-zA-Z0-9_-]{11})"
 WATCH = "https://www.youtube.com/watch?v="
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluates ``value`` once per row and uses it any number of times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(c, rf"(?U)^{BLANK}+|{BLANK}+\z", "")

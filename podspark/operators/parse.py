@@ -7,7 +7,7 @@ without a category has given anything, that block's first line serves as its cat
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from podspark.functions import text as T
@@ -30,37 +30,45 @@ def _header(line: Column) -> Column:
     return T.strip(F.regexp_replace(line, ":+$", ""))
 
 
+def _block(lines: Column) -> Column:
+    """What a block of stripped lines says: ``normal`` bullets under headers, ``later`` bullets after the first line, ``head`` and ``category``."""
+    numbered = F.transform(lines, lambda line, i: F.struct(i.alias("i"), line.alias("line")))
+    headers = F.transform(F.filter(numbered, lambda n: ~n["line"].startswith("*") & n["line"].endswith(":")), lambda n: F.struct(n["i"].alias("i"), _header(n["line"]).alias("category")))
+    starred = F.filter(numbered, lambda n: n["line"].startswith("*"))
+
+    def with_headers(h: Column) -> Column:
+        # The last header above a line; headers are few.
+        under = lambda n: F.coalesce(F.get(F.filter(h, lambda x: x["i"] < n["i"]), F.size(F.filter(h, lambda x: x["i"] < n["i"])) - 1)["category"], F.lit(""))
+        normal = F.filter(F.transform(starred, lambda n: F.struct(under(n).alias("category"), n["line"].alias("line"))), lambda b: b["category"] != "")
+        return F.struct(
+            normal.alias("normal"),
+            F.transform(F.filter(starred, lambda n: n["i"] > 0), lambda n: n["line"]).alias("later"),
+            F.get(lines, F.lit(0)).alias("head"),
+            F.coalesce(F.get(h, F.size(h) - 1)["category"], F.lit("")).alias("category"),
+        )
+
+    return T.let(headers, with_headers)
+
+
+def _said(blocks: Column) -> Column:
+    """Bullets (category, line) of all blocks, in order."""
+    headless = lambda b: (F.size(b["normal"]) == 0) & (b["category"] == "") & ~b["head"].startswith("*") & (F.size(b["later"]) > 0)
+    # The first line serves as the category of the first such block, if nothing was said up to it.
+    first = lambda rule: F.array_min(F.filter(F.transform(blocks, lambda b, i: F.when(rule(b), i)), lambda i: i.isNotNull()))
+    normal, headless_at = first(lambda b: F.size(b["normal"]) > 0), first(headless)
+    legacy = F.when(normal.isNull() | (headless_at < normal), headless_at)
+    unheaded = lambda b: F.transform(b["later"], lambda line: F.struct(_header(b["head"]).alias("category"), line.alias("line")))
+    return T.let(F.struct(legacy.alias("at")), lambda v: F.flatten(F.transform(blocks, lambda b, i: F.when(i == v["at"], unheaded(b)).otherwise(b["normal"]))))
+
+
 def parse_insights(responses: DataFrame, keep: list[str], raw: str = "raw") -> DataFrame:
     """``keep`` (which names a response), ``pos`` (order in the response), category, title, description.
 
-    One shuffle, on the response; all windows use its partitioning.
+    A response is parsed inside its row, over the arrays of its blocks and lines: nothing is shuffled.
     """
     body = F.regexp_replace(F.coalesce(F.col(raw), F.lit("")), rf"(?U)^{T.BLANK}*---+{T.BLANK}*\n?", "")
     body = F.regexp_replace(body, rf"(?U)\n?---+{T.BLANK}*\z", "")
-    blocks = responses.select(*keep, F.posexplode(F.split(body, r"\n---+\n", -1)).alias("block_no", "block")).withColumn("block", T.strip(F.col("block")))
-    blocks = blocks.filter((F.col("block") != "") & ~F.lower("block").contains("(none)"))
-    lines = blocks.select(*keep, "block_no", F.posexplode(F.split("block", T.LINE_END, -1)).alias("line_no", "line")).withColumn("line", T.strip(F.col("line")))
-    lines = lines.repartition(*keep) if keep else lines
-
-    in_block = Window.partitionBy(*keep, "block_no")
-    so_far = in_block.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starred = F.col("line").startswith("*")
-    header = F.when(~starred & F.col("line").endswith(":"), _header(F.col("line")))
-    seen = (
-        lines.withColumn("starred", starred)
-        .withColumn("header", header)
-        .withColumn("category", F.last("header", ignorenulls=True).over(so_far))
-        .withColumn("normal", F.col("starred") & (F.coalesce("category", F.lit("")) != ""))
-        .withColumn("block_normal", F.count_if("normal").over(in_block))
-        .withColumn("block_category", F.coalesce(F.max_by("header", F.when(F.col("header").isNotNull(), F.col("line_no"))).over(in_block), F.lit("")))
-        .withColumn("first_line", F.max(F.when(F.col("line_no") == 0, F.col("line"))).over(in_block))
-        .withColumn("later_bullets", F.count_if(F.col("starred") & (F.col("line_no") > 0)).over(in_block))
-    )
-    upto = Window.partitionBy(*keep).orderBy("block_no").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    headless = (F.col("before") == 0) & (F.col("block_category") == "") & ~F.col("first_line").startswith("*") & (F.col("later_bullets") > 0)
-    seen = seen.withColumn("before", F.count_if("normal").over(upto))
-    seen = seen.withColumn("legacy_block", F.min(F.when(headless, F.col("block_no"))).over(Window.partitionBy(*keep)))
-    legacy = F.coalesce(F.col("block_no") == F.col("legacy_block"), F.lit(False)) & F.col("starred") & (F.col("line_no") > 0)
-    found = seen.filter(F.col("normal") | legacy).withColumn("category", F.when(F.col("normal"), F.col("category")).otherwise(_header(F.col("first_line"))))
-    order = Window.partitionBy(*keep).orderBy("block_no", "line_no")
-    return found.withColumn("pos", F.row_number().over(order) - 1).withColumn("_b", bullet(F.col("line"))).select(*keep, "pos", "category", F.col("_b.title").alias("title"), F.col("_b.description").alias("description"))
+    blocks = F.filter(F.transform(F.split(body, r"\n---+\n", -1), T.strip), lambda b: (b != "") & ~F.lower(b).contains("(none)"))
+    blocks = F.transform(blocks, lambda b: T.let(F.transform(F.split(b, T.LINE_END, -1), T.strip), _block))
+    found = responses.select(*keep, F.posexplode(T.let(blocks, _said)).alias("pos", "_s"))
+    return found.withColumn("_b", bullet(F.col("_s.line"))).select(*keep, "pos", F.col("_s.category").alias("category"), F.col("_b.title").alias("title"), F.col("_b.description").alias("description"))

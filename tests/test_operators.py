@@ -145,6 +145,11 @@ def test_parsed_insights_equal_the_rules(spark):
         assert got.get(k, []) == plain_parse(text), repr(text)
 
 
+def test_responses_are_parsed_without_a_shuffle(spark):
+    plan = parse_insights(spark.range(9).select("id", F.lit("A:\n* b").alias("raw")), ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "ArrowEval" not in plan
+
+
 def test_model_steps(spark):
     template = {"extract_insights_system": F.lit("T {transcript}")}
     pieces = spark.createDataFrame([("v", 0, "c0"), ("v", 1, "c1")], "video_id string, chunk_no int, chunk string")
