@@ -176,6 +176,22 @@ def test_search_rules(spark):
     assert got == [("a", 1, "1"), ("a", 2, "2"), ("d", 1, "4")]
 
 
+def test_search_keeps_the_best_and_counts_in_one_pass(spark, monkeypatch):
+    rows = [(str(k), "v", "p", "c", f"word {'word ' * (k % 7)}", "other", float(k % 5), None, None) for k in range(300)]
+    docs = spark.createDataFrame(rows, "id string, video_id string, podcast string, category string, title string, description string, start_time_sec double, end_time_sec double, framework_markdown string").repartition(5)
+    kept = []
+    monkeypatch.setattr(search, "stored", lambda df, f=search.stored: kept.append(df) or f(df))
+    got = search.search(docs, "word", sort="start_time_sec:desc", limit=7).collect()
+    want = sorted(rows, key=lambda r: (-r[6], -len(r[4].split()), r[0]))[:7]
+    assert [r.id for r in got] == [r[0] for r in want] and {r.total for r in got} == {300}
+    plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert len(kept) == 1 and kept[0].count() == 7 and "TakeOrderedAndProject" in plan and plan.count("CollectMetrics") == 1 and plan.count("Scan") == 1
+    # Nothing found, nothing asked for, nothing there.
+    assert search.search(docs, "absent").collect() == [] == search.search(docs, "word", limit=0).collect()
+    assert search.search(docs.limit(0), "word").collect() == [] == search.search(docs.filter("1 = 0"), "").collect()
+    assert {r.total for r in search.search(docs, "", limit=500).collect()} == {300}
+
+
 def test_cascade_and_orphans(spark):
     v = spark.createDataFrame([("a",), ("b",)], "video_id string")
     t = spark.createDataFrame([("ta", "a"), ("tb", "b"), ("tz", "z")], "id string, video_id string")
