@@ -72,9 +72,11 @@ def backlog(videos: DataFrame, transcriptions: DataFrame, ordered: bool = True)
     return rows.orderBy(F.col("published_at").desc_nulls_last(), F.col("created_at").desc(), "video_id") if ordered else rows
 
 
-def process(tables: Tables, responses: DataFrame, templates: dict[str, Column], answer: Callable[[str, str], str], now: Column) -> tuple[Tables, DataFrame]:
+def process(tables: Tables, responses: DataFrame, templates: dict[str, Column], answer: Callable[[str, str], str], now: Column, ask: Callable[[DataFrame, Callable[[str, str], str]], DataFrame] = I.ask) -> tuple[Tables, DataFrame]:
     """Responses (video_id, podcast, response) of many videos at once; also the number of insights per video.
 
+    ``ask`` runs the model over requests; ``answers.ask_kept`` on a store asks only what has no answer yet.
+
     A video whose text is empty stays in the backlog: nothing of it is written but the video itself.
     Every model step runs once: its answers are stored in the shared folder before they are used.
     """
@@ -86,11 +88,11 @@ def process(tables: Tables, responses: DataFrame, templates: dict[str, Column],
     pieces = chunks(parsed, "raw_text", ["video_id"])
     # The answers are written before they are read by several steps.
     first = I.insight_requests(pieces, templates["extract_insights_system"])
-    found = stored(I.insights_of(first, stored(I.ask(first, answer)), pieces))
+    found = stored(I.insights_of(first, stored(ask(first, answer)), pieces))
     titles = I.title_requests(found, templates["title_generation"])
-    titled = stored(I.with_titles(found, titles, stored(I.ask(titles, answer))))
+    titled = stored(I.with_titles(found, titles, stored(ask(titles, answer))))
     more = I.timestamp_requests(titled, parsed, templates["timestamp_extraction"]).unionByName(I.framework_requests(titled, templates["make_framework_content"]))
-    done = I.completed(titled, more, stored(I.ask(more, answer)), responses.select("video_id", "podcast").distinct(), now)
+    done = I.completed(titled, more, stored(ask(more, answer)), responses.select("video_id", "podcast").distinct(), now)
     insights = merge.replace_insights(tables.insights, done, parsed)
     return Tables(videos, transcriptions, segments, insights, tables.seed_links), I.insights_per_video(parsed, done)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from podspark import schemas
 from podspark.functions import text as T
+from podspark.operators import insights as I
 from podspark.operators import merge
 from podspark.operators.dedupe import latest_per_channel
 from podspark.operators.transcripts import rejected
@@ -97,7 +98,7 @@ def _newest_of(old: DataFrame, new: DataFrame, columns: list[str], key: list[str
 
 def sync_batch(
     store: Store, listings: DataFrame, details: DataFrame, responses: DataFrame, channels: DataFrame, templates: dict[str, Column], answer: Callable[[str, str], str], now: Column,
-    batch: tuple[str, int] | None = None, least: int = schemas.MIN_DURATION, n: int = schemas.LATEST,
+    batch: tuple[str, int] | None = None, ask: Callable[[DataFrame, Callable[[str, str], str]], DataFrame] = I.ask, least: int = schemas.MIN_DURATION, n: int = schemas.LATEST,
 ) -> Snapshot:
     """What has landed (channel listings, details, responses) into all tables, in one commit.
 
@@ -146,7 +147,7 @@ def sync_batch(
     if not ready.isEmpty():
         segment_numbers = store.numbers(ready.select(T.deterministic_id(F.lit("transcription"), F.col("video_id")).alias("transcription_id")), "transcription_id")
         tables = jobs.Tables(videos, transcriptions, store.read("segments", was, segment_numbers), old["insights"], store.read("seed_links", was, []))
-        done, _ = jobs.process(tables, ready, templates, answer, now)
+        done, _ = jobs.process(tables, ready, templates, answer, now, ask)
         videos, transcriptions = stored(done.videos), stored(done.transcriptions)
         bad = rejected(ready).select("video_id", "reason", "response")
         changes |= {

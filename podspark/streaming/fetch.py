@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from podspark import schemas
+from podspark.operators import insights as I
 from podspark.plans import stored as jobs
 from podspark.sources import tables as S
 from podspark.sources.store import Store
@@ -33,21 +34,21 @@ def landed(spark: SparkSession, landing: str) -> DataFrame:
     return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
 
 
-def take_up(store: Store, rows: DataFrame, channels: DataFrame, templates: dict[str, Column], answer: Callable[[str, str], str], now: Column, number: int) -> None:
+def take_up(store: Store, rows: DataFrame, channels: DataFrame, templates: dict[str, Column], answer: Callable[[str, str], str], now: Column, number: int, ask: Callable = I.ask) -> None:
     """One micro-batch into the store."""
     if store.done(store.snapshot(), (STREAM, number)):
         return
     # Written once: the files that landed are read one time only.
     rows = S.stored(rows)
     kinds = [rows.filter(F.col("kind") == name).select(f"{name}.*") for name in LANDING]
-    jobs.sync_batch(store, *kinds, channels, templates, answer, now, (STREAM, number))
+    jobs.sync_batch(store, *kinds, channels, templates, answer, now, (STREAM, number), ask)
 
 
-def sync(spark: SparkSession, landing: str, store: Store, checkpoint: str, channels: DataFrame, templates: dict[str, Column], answer: Callable[[str, str], str], now: Column | None = None) -> StreamingQuery:
+def sync(spark: SparkSession, landing: str, store: Store, checkpoint: str, channels: DataFrame, templates: dict[str, Column], answer: Callable[[str, str], str], now: Column | None = None, ask: Callable = I.ask) -> StreamingQuery:
     """Takes up everything that has landed since the last run, then stops."""
     at = F.current_timestamp() if now is None else now
     return (
-        landed(spark, landing).writeStream.foreachBatch(lambda rows, number: take_up(store, rows, channels, templates, answer, at, number))
+        landed(spark, landing).writeStream.foreachBatch(lambda rows, number: take_up(store, rows, channels, templates, answer, at, number, ask))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

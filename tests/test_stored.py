@@ -2,12 +2,15 @@
 
 import itertools
 import json
+import os
+import uuid
 
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from podspark import schemas
-from podspark.plans import jobs, stored
+from podspark.plans import answers, jobs, stored
 from podspark.sources import prompts
 from podspark.sources.store import Change, Store
 from podspark.streaming import fetch
@@ -210,3 +213,54 @@ def test_stream_with_fetch(spark, tmp_path, whole):
             fetch.sync(spark, str(tmp_path / "in"), store, str(tmp_path / "checkpoint"), channels, templates(), answer, now()).awaitTermination()
     found = state(store)
     assert {name: found[name] for name in whole} == whole and store.snapshot().batches == {"sync": 1}
+
+
+def test_answers_are_kept_lot_by_lot(spark, tmp_path):
+    store = answers.open_answers(spark, str(tmp_path / "a"), 8)
+    log = str(tmp_path / "log")
+    (tmp_path / "log").mkdir()
+
+    def breaking(kind, prompt):
+        if prompt == "prompt 7":
+            raise RuntimeError("lost")
+        return f"{kind}:{prompt}"
+
+    def model(kind, prompt):
+        with open(f"{log}/{uuid.uuid4()}", "w"):
+            return f"{kind}:{prompt}"
+
+    rows = [(f"r{k}", "title" if k % 2 else "insights", f"prompt {k % 20}") for k in range(50)]
+    requests = spark.createDataFrame(rows, "request_id string, kind string, prompt string")
+    with pytest.raises(PythonException):
+        answers.ask_kept(store, requests, breaking, lots=4)
+    kept = store.read("answers").count()
+    got = answers.ask_kept(store, requests, model, lots=4)
+    assert rows_of(got) == sorted((r, f"{k}:{p}") for r, k, p in rows)
+    # Only the rest was asked after the break, equal prompts once, and nothing in a rerun.
+    assert len(os.listdir(log)) == 20 - kept and store.read("answers").count() == 20
+    assert rows_of(answers.ask_kept(store, requests, model)) == rows_of(got) and len(os.listdir(log)) == 20 - kept
+    assert rows_of(answers.ask_kept(store, requests.limit(0), model)) == []
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_sync_asks_the_model_once_per_prompt(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    log = str(tmp_path / "log")
+
+    def model(kind, prompt):
+        with open(f"{log}/{uuid.uuid4()}", "w"):
+            return "X:\n* some title: b" if kind == "insights" else ""
+
+    kept = answers.open_answers(spark, str(tmp_path / "a"), 2)
+    channels = spark.createDataFrame(CHANNELS, "podcast string, channel_id string")
+    counts = []
+    for attempt in range(2):
+        # The second time into new tables, as after a break before the commit.
+        store = stored.open_store(spark, str(tmp_path / f"s{attempt}"), 2)
+        batch = landing_batches(spark)[0]
+        stored.sync_batch(store, *batch, channels, templates(), model, now(), ask=lambda requests, answer: answers.ask_kept(kept, requests, answer, 1))
+        counts.append((len(os.listdir(log)), store.read("insights").count()))
+    assert counts[0] == counts[1] == (2, 1)
