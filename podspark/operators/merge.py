@@ -71,6 +71,30 @@ def upsert_videos(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     return merged.select(*old.columns)
 
 
+def upsert_stored_videos(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """As ``upsert_videos``, for an ``old`` that is stored in buckets of video_id: the new rows are folded and join it there, and ``old`` is not shuffled."""
+    known = ("duration_seconds", "channel_id", "published_at")
+    kinds = {f.name: f.dataType for f in old.schema}
+    folded = new.withColumn("title", F.coalesce("title", F.lit(""))).groupBy("video_id").agg(
+        F.max_by("podcast", "seq").alias("_podcast"),
+        F.max_by("title", F.when(F.col("title") != "", F.col("seq"))).alias("_title"),
+        *[_last_known(c).cast(kinds[c]).alias(f"_{c}") for c in known],
+        F.lit(True).alias("_new"),
+    )
+    is_old, is_new = F.col("id").isNotNull(), F.col("_new").isNotNull()
+    rows = old.join(folded, "video_id", "full")
+    return rows.withColumns(
+        {
+            "podcast": F.when(is_new, F.col("_podcast")).otherwise(F.col("podcast")),
+            "title": F.coalesce("_title", F.when(is_old, F.col("title")).otherwise(F.lit(""))),
+            **{c: F.coalesce(f"_{c}", c) for c in known},
+            "created_at": F.when(is_old, F.col("created_at")).otherwise(now),
+            "updated_at": F.when(is_new, now).otherwise(F.col("updated_at")),
+            "id": F.coalesce("id", T.deterministic_id(F.col("video_id"))),
+        }
+    ).select(*old.columns)
+
+
 def videos_from_links(videos: DataFrame, links: DataFrame, now: Column) -> DataFrame:
     """Seed links into videos; of two podcasts for one video the one touched last wins, then the greater name."""
     order = F.struct(F.col("updated_at"), F.col("podcast"))

@@ -7,6 +7,7 @@ and insights.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,10 +20,10 @@ from podspark.operators import integrity, merge, search
 from podspark.operators.chunks import chunks
 from podspark.operators.dedupe import first_occurrences, latest_per_channel
 from podspark.operators.parse import parse_insights
-from podspark.operators.transcripts import parse_responses, segments_of, transcriptions_of
+from podspark.operators.transcripts import parse_responses, rejected, segments_of, transcriptions_of
 from podspark.plans import jobs
 from podspark.plans import stored as stored_jobs
-from podspark.sources import listings, prompts, seeds
+from podspark.sources import colocated, listings, prompts, seeds
 from podspark.sources import tables as S
 from podspark.streaming import fetch, sync
 
@@ -804,6 +805,30 @@ def t1_s7_k8_fetch_sync(spark: SparkSession, d: str) -> DataFrame:
     return counts.union(waiting.select(F.lit("(waiting)"), "listed", "described", "waiting", F.lit(now.version).cast("bigint"), F.lit(now.batches[fetch.STREAM]).cast("bigint")))
 
 
+@_query(f"SELECT * FROM ({ORACLE_SQL['m2_upsert_videos']}) v WHERE video_id NOT IN (SELECT DISTINCT 'v' || user_id FROM events WHERE user_id % 4 = 0)")
+def k5_m2_s7_colocated(spark: SparkSession, d: str) -> DataFrame:
+    """Videos and transcriptions as tables in the same buckets; the upsert shuffles the new videos only, the backlog nothing."""
+    name = f"podspark_{uuid.uuid4().hex}"
+    old = colocated.save(_videos(spark, d), f"{name}_old", "video_id", 8)
+    merged = merge.upsert_stored_videos(old, _sql(spark, d, _NEW_VIDEOS), F.expr(NOW))
+    videos = colocated.save(merged, f"{name}_videos", "video_id", 8, placed=True)
+    heard = _table(spark, d, "events").filter("user_id % 4 = 0").select(F.concat(F.lit("v"), "user_id").alias("video_id")).distinct()
+    heard = colocated.save(heard, f"{name}_transcriptions", "video_id", 8)
+    ids = jobs.backlog(videos, heard, ordered=False).select("video_id")
+    return _videos_out(videos.join(ids, "video_id", "left_semi"))
+
+
+@_query(f"""SELECT 'v' || conv_id AS video_id, CASE conv_id % 3 WHEN 0 THEN 'broken' ELSE 'empty' END AS reason FROM (SELECT DISTINCT conv_id FROM conversations)
+WHERE conv_id % 3 = 0 OR conv_id % 3 = 1 AND conv_id % 5 < 2""")
+def s5_s6_rejected_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Responses cut off in the middle, with blanks for a transcript or without one, beside whole ones."""
+    said = F.expr("CASE WHEN conv_id % 5 = 0 THEN '' WHEN conv_id % 5 = 1 THEN ' \t\n' ELSE concat('said ', conv_id) END")
+    whole = _table(spark, d, "conversations").select("conv_id").distinct().withColumn("said", said).withColumn("response", _said("said"))
+    cut = F.when(F.col("conv_id") % 3 == 0, F.expr("substr(response, 1, length(response) - 3)")).otherwise(F.when((F.col("conv_id") % 3 == 1) & (F.col("conv_id") % 5 == 0), "{}").otherwise(F.col("response")))
+    rows = whole.filter("conv_id % 3 < 2").select(F.concat(F.lit("v"), "conv_id").alias("video_id"), cut.alias("response"))
+    return rejected(rows).select("video_id", "reason")
+
+
 @_query(f"""WITH l AS (SELECT * FROM ({_M1}) WHERE podcast <> '')
 SELECT video_id, arg_max(podcast, updated || podcast) AS podcast, coalesce(arg_max(title, updated || podcast) FILTER (WHERE title <> ''), '') AS title,
   arg_max(seconds, updated || podcast) FILTER (WHERE seconds IS NOT NULL) AS seconds, true AS in_backlog FROM l GROUP BY video_id""")

@@ -3,6 +3,7 @@
 import itertools
 import json
 import os
+import random
 import uuid
 
 import pytest
@@ -10,8 +11,9 @@ from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from podspark import schemas
+from podspark.operators import merge
 from podspark.plans import answers, jobs, stored
-from podspark.sources import prompts
+from podspark.sources import colocated, prompts
 from podspark.sources.store import Change, Store
 from podspark.streaming import fetch
 
@@ -264,3 +266,31 @@ def test_sync_asks_the_model_once_per_prompt(spark, tmp_path):
         stored.sync_batch(store, *batch, channels, templates(), model, now(), ask=lambda requests, answer: answers.ask_kept(kept, requests, answer, 1))
         counts.append((len(os.listdir(log)), store.read("insights").count()))
     assert counts[0] == counts[1] == (2, 1)
+
+
+def test_bucketed_tables_are_joined_where_they_lie(spark):
+    rng = random.Random(6)
+    name = f"t{uuid.uuid4().hex}"
+    key = lambda: f"v{rng.randrange(60)}"
+    old_rows = [(f"id{k}", f"v{k}", rng.choice(["", "t", None]), rng.choice([None, 5]), None, "p", None, None, None) for k in range(0, 60, 2)]
+    old = spark.createDataFrame(old_rows, schemas.VIDEOS)
+    new = spark.createDataFrame([(key(), rng.choice(["", None, f"n{k}"]), rng.choice([None, k]), rng.choice([None, f"c{k}"]), f"p{k % 3}", k) for k in range(200)], "video_id string, title string, duration_seconds int, channel_id string, podcast string, seq bigint")
+    new = new.withColumn("published_at", F.lit(None).cast("timestamp"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored_old = colocated.save(old, f"{name}_a", "video_id", 4)
+        merged = merge.upsert_stored_videos(stored_old, new, now())
+        assert rows(merged) == rows(merge.upsert_videos(old, new, now()))
+        plan = merged._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+        assert "SelectedBucketsCount: 4 out of 4" in plan and plan.count("Exchange hashpartitioning") == 1  # of the new rows
+        assert rows(merge.upsert_stored_videos(stored_old, merged.withColumn("seq", F.lit(0)), now()).drop("updated_at")) == rows(merged.drop("updated_at"))
+        videos = colocated.save(merged, f"{name}_b", "video_id", 4, placed=True)
+        heard = colocated.save(spark.createDataFrame([(f"v{k}",) for k in range(0, 90, 3)], "video_id string"), f"{name}_c", "video_id", 4)
+        backlog = jobs.backlog(videos, heard, ordered=False)
+        assert "Exchange" not in backlog._jdf.queryExecution().executedPlan().toString()
+        assert {r.video_id for r in backlog.collect()} == {r.video_id for r in merged.collect() if int(r.video_id[1:]) % 3}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+        for part in "abc":
+            spark.sql(f"DROP TABLE IF EXISTS {name}_{part}")
