@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from podspark.sources.tables import BUCKETS, bucket_of, remove
 
 VERSION = "_version"
+#: Tables of a commit that are written at the same time; each takes memory of the driver for its plans.
+WRITERS = 3
 
 
 class Snapshot(NamedTuple):
@@ -153,8 +155,8 @@ class Store:
         version = snapshot.version + 1
         folder = f"{version:020d}-{uuid.uuid4()}"
         some = {name: change for name, change in changes.items() if change.numbers}
-        # The tables are written side by side; Spark shares its executors among them.
-        with ThreadPoolExecutor(max(len(some), 1)) as pool:
+        # A few tables are written side by side; Spark shares its executors among them.
+        with ThreadPoolExecutor(WRITERS) as pool:
             staged = pool.map(lambda name: self._stage(snapshot, name, some[name], folder), some)
             folders = snapshot.folders | dict(zip(some, staged, strict=True))
         folders = {name: held for name, held in folders.items() if held}
