@@ -90,8 +90,8 @@ def format_hms(seconds: Column) -> Column:
 
 
 def _no_speaker(speaker: Column) -> Column:
-    """No speaker is given, or speaker number 0, which counts as none."""
-    return speaker.isNull() | (speaker == "") | F.coalesce(speaker.try_cast("double") == 0, F.lit(False))
+    """No speaker is given, or speaker number 0, which counts as none; other texts that begin with 0 are names."""
+    return speaker.isNull() | (speaker == "") | speaker.rlike(r"^-?0(\.0+)?$")
 
 
 def speaker_name(speaker: Column) -> Column:

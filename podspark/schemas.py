@@ -16,8 +16,9 @@ LISTING = "channel_id string, podcast string, items array<struct<id: struct<vide
 DETAILS = "channel_id string, items array<struct<id: string, snippet: struct<title: string, publishedAt: string>, contentDetails: struct<duration: string>>>"
 SPEECH = "results struct<channels: array<struct<alternatives: array<struct<transcript: string>>>>>, utterances array<struct<start: double, `end`: double, transcript: string, speaker: string>>"
 
-# The three shows and their default channel handles, the six categories asked for.
+# The three shows and their default channel handles.
 PODCASTS = ("9operators", "marketing_operator", "finance_operators")
+DEFAULT_HANDLES = {"9operators": "Operators9", "marketing_operator": "MarketingOperators", "finance_operators": "FinanceOperators"}
 # Where each show's list of links is looked for if no place is given.
 DEFAULT_FOLDER = os.path.join(os.environ.get("USERPROFILE", ""), "Downloads")
 DEFAULT_CSVS = {

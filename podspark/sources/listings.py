@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from podspark import schemas
@@ -10,11 +10,17 @@ from podspark.functions import text as T
 from podspark.operators.dedupe import latest_per_channel
 
 
-def channels_of(podcasts: DataFrame, overrides: DataFrame, defaults: DataFrame, channels: DataFrame) -> DataFrame:
+def default_handles(spark: SparkSession) -> DataFrame:
+    """podcast and handle of the shows known from the start."""
+    return spark.createDataFrame(list(schemas.DEFAULT_HANDLES.items()), "podcast string, handle string")
+
+
+def channels_of(podcasts: DataFrame, overrides: DataFrame, defaults: DataFrame | None, channels: DataFrame) -> DataFrame:
     """podcast and channel_id; shows without a handle, or whose handle no channel has, are left out.
 
-    All four tables are a few rows per show: overrides and defaults (podcast, handle), channels (handle, channel_id).
+    Without ``defaults`` those of ``default_handles`` hold.  All four tables are a few rows per show: overrides and defaults (podcast, handle), channels (handle, channel_id).
     """
+    defaults = default_handles(podcasts.sparkSession) if defaults is None else defaults
     named = podcasts.select("podcast").distinct()
     named = named.join(overrides.select("podcast", F.col("handle").alias("own")), "podcast", "left").join(defaults.select("podcast", F.col("handle").alias("usual")), "podcast", "left")
     handles = named.withColumn("handle", T.channel_handle(F.col("own"), F.col("usual"))).filter("handle <> ''")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from podspark import schemas
 from podspark.functions import text as T
+from podspark.sources import listings
 
 
 def value(spark, column):
@@ -40,7 +41,7 @@ def test_podcast_hms_and_speakers(spark):
         assert value(spark, T.infer_podcast(F.lit(path))) == podcast
     for seconds, hms in ((0.9, "00:00:00"), (3661.5, "01:01:01"), (360000.0, "100:00:00")):
         assert value(spark, T.format_hms(F.lit(seconds))) == hms
-    for speaker, name, label in ((None, "Speaker", ""), ("", "Speaker", ""), ("0", "Speaker", ""), ("1", "1", "1"), ("Ann", "Ann", "Ann")):
+    for speaker, name, label in ((None, "Speaker", ""), ("", "Speaker", ""), ("0", "Speaker", ""), ("0.0", "Speaker", ""), ("00", "00", "00"), ("0e5x", "0e5x", "0e5x"), ("1", "1", "1"), ("Ann", "Ann", "Ann")):
         c = F.lit(speaker).cast("string")
         assert (value(spark, T.speaker_name(c)), value(spark, T.speaker_label(c))) == (name, label)
     assert value(spark, T.utterance_line(F.lit(61.2), F.lit("A"), F.lit(" hi\n"))) == "00:01:01 A: hi"
@@ -64,3 +65,11 @@ def test_strip_render_and_handles(spark):
     for own, usual, want in (("@@me ", "d", "me"), (" ", "d", "d"), (None, "d", "d"), ("@", "d", ""), (None, None, None)):
         assert value(spark, T.channel_handle(F.lit(own).cast("string"), F.lit(usual).cast("string"))) == want
     assert value(spark, T.seconds(F.lit(1e12))) is None and schemas.MIN_DURATION == 300
+
+
+def test_default_channel_handles(spark):
+    shows = spark.createDataFrame([(p,) for p in (*schemas.PODCASTS, "other")], "podcast string")
+    own = spark.createDataFrame([("finance_operators", " @@mine "), ("marketing_operator", "  ")], "podcast string, handle string")
+    channels = spark.createDataFrame([(h, f"id {h}") for h in ("Operators9", "MarketingOperators", "mine")], "handle string, channel_id string")
+    got = {r.podcast: r.channel_id for r in listings.channels_of(shows, own, None, channels).collect()}
+    assert got == {"9operators": "id Operators9", "marketing_operator": "id MarketingOperators", "finance_operators": "id mine"}
