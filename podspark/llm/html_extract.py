@@ -10,18 +10,22 @@ An article itself is never a template.
 
 After the counts, elements go whose tag, role, class or id says that they are no content: menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments; and of a page
-that marks its article (``article`` or ``main``) what stands outside.
+that marks its article (``article`` or ``main``) what stands outside.  A name decides by itself if all its words
+are such words or words of layout (``ad-box``); if only some are (``social-science``), the links in the element
+decide.  A form that holds more than half of the text of its page is no form but the page.
 
 Defined results: null or empty html gives an empty text; broken markup is read as far as it goes
-(open elements end with the page); repeated pages get the same text; pages without a host share
+(open elements end with the page, a tag without its ``>`` is text); repeated pages get the same text; pages without a host share
 one; an empty table gives an empty result; other input columns are dropped; nothing is capped, and a
-page is read in time in proportion to its length however deep its elements are nested.
+page is read in time in proportion to its length however deep its elements are nested and however
+many of its tags are left open.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -41,8 +45,9 @@ TEXT_SHARE = 0.4
 #: Recurring subtrees are sent to all executors only up to this number (about 100 bytes each).
 BROADCAST_SUBTREES = 100_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
-_ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/><]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
+_OPENED = re.compile(r"</?[A-Za-z][^\s/><]*+")
+_ATTRIBUTE = re.compile(r"(?<![A-Za-z-])([A-Za-z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 # Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,6 +60,11 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search di
 DROPPED_NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer sidebar aside widget widgets ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus respond replies related recommended pagination pager".split()
 )
+#: Words of comments decide in any name; words of layout say nothing in a name.
+COMMENTS = frozenset("comment comments disqus respond replies".split())
+LAYOUT = frozenset("area bar block body bottom box button buttons col container content inner item items left link links list main outer page panel posts primary right row secondary section site slot text top unit wrap wrapper".split())
+#: A name of mixed words decides if links hold at least this share of the element's characters.
+LINK_SHARE = 1 / 3
 #: In an article a header holds its title, and these names say nothing about it.
 IN_ARTICLE = frozenset("header masthead banner".split())
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption".split())
@@ -71,25 +81,54 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(source)}
 
 
-def _dropped(tag: str, found: dict[str, str], source: str, inside: bool) -> bool:
+def _dropped(tag: str, found: dict[str, str], source: str, inside: bool) -> bool | None:
+    """Whether tag, role or name say that an element is no content; None if its links decide."""
     if tag in DROPPED or (tag == "header" and not inside):
         return True
     if not source or tag in ("html", "body") or tag in CONTENT and "comment" not in source.lower():
         return False
     if found.get("role", "").lower() in DROPPED_ROLES or found.get("aria-hidden") == "true" or re.search(r"\shidden(?=[\s/=]|$)", source) or re.search(r"display\s*:\s*none", found.get("style", "")):
         return True
-    names = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower())) & DROPPED_NAMES
-    return bool(names - IN_ARTICLE if inside else names)
+    listed = DROPPED_NAMES - IN_ARTICLE if inside else DROPPED_NAMES
+    verdict: bool | None = False
+    for name in f"{found.get('class', '')} {found.get('id', '')}".lower().split():
+        words = {w for w in re.split(r"[^a-z]+", name) if w}
+        if words & listed:
+            if words & COMMENTS or words <= listed | LAYOUT:
+                return True
+            verdict = None
+    return verdict
+
+
+class _Closing:
+    """Whether a tag is ever closed, that is, whether a ``>`` outside quotes follows its name.
+
+    Found for all places of a page in one pass from its end, so that tags left open need no scan each.
+    """
+
+    def __init__(self, page: str):
+        self.places = [m.start() for m in re.finditer(r"[>\"']", page)]
+        self.closed = [False] * (len(self.places) + 1)
+        later: dict[str, int] = {}
+        for i in range(len(self.places) - 1, -1, -1):
+            sign = page[self.places[i]]
+            self.closed[i] = sign == ">" or self.closed[later.get(sign, i) + 1]
+            later[sign] = i
+
+    def __call__(self, name_end: int) -> bool:
+        return self.closed[bisect_left(self.places, name_end)]
 
 
 class _Element:
-    __slots__ = ("block", "blocks", "bound", "content", "digest", "dropped", "from_hash", "from_piece", "inside", "tag", "under")
+    __slots__ = ("block", "blocks", "bound", "content", "digest", "dropped", "from_chars", "from_hash", "from_linked", "from_piece", "inside", "number", "tag", "under")
 
-    def __init__(self, tag: str, dropped: bool, from_piece: int, from_hash: int, parent: _Element | None, place: int, marks: bool, digest):
+    def __init__(self, tag: str, dropped: bool | None, from_piece: int, from_hash: int, parent: _Element | None, place: int, marks: bool, digest):
         self.tag, self.dropped, self.from_piece, self.from_hash, self.digest = tag, dropped, from_piece, from_hash, digest
+        self.from_chars = self.from_linked = 0
+        self.number = -1  # of a form
         self.content = marks and tag in CONTENT  # or holds such an element
         self.inside = parent is not None and (parent.inside or marks and parent.tag in CONTENT)
-        self.under = parent is not None and (parent.under or parent.dropped)
+        self.under = parent is not None and (parent.under or parent.dropped is True)
         # Of the stack up to here: elements that are not inline, the last of them, and the last that bounds a list or table.
         inline = tag in INLINE
         self.blocks = (parent.blocks if parent else 0) + (not inline)
@@ -105,12 +144,13 @@ class Subtrees(NamedTuple):
     texts: list[int]
 
 
-def read_page(page: str, doomed: frozenset[int] = frozenset(), marks: bool = True) -> tuple[list[Subtrees], str]:
+def read_page(page: str, doomed: frozenset[int] = frozenset(), marks: bool = True, spared: int = -1) -> tuple[list[Subtrees], str]:
     """The subtrees by which templates are found, and the text that is left without ``doomed`` subtrees.
 
     Pieces of text pile up as elements open; an element that is dropped or doomed takes its own
     pieces with it when it closes, so one pass does both.  Without ``marks`` no tag, role or name
     decides anything: of a page only what the counts doom is deleted (and what is never shown).
+    The form of number ``spared`` is an element like others: a page whose text is mostly in a form is read again so.
     """
     pieces: list[str | None] = []  # None ends a block
     article: list[str | None] = []
@@ -119,17 +159,24 @@ def read_page(page: str, doomed: frozenset[int] = frozenset(), marks: bool = Tru
     places: dict[str, list[int]] = {}
     hashes: list[tuple[int, bool]] = []
     articles: list[Subtrees] = []
+    chars = linked = forms = 0
+    largest, large_form = 0, -1
+    closing: _Closing | None = None
 
     def listed(unit: int, found: list[tuple[int, bool]]) -> Subtrees:
         return Subtrees(unit, [v for v, t in found if not t], [v for v, t in found if t])
 
     def close() -> None:
-        nonlocal has_article
+        nonlocal has_article, largest, large_form
         e = stack.pop()
         places[e.tag].pop()
+        if e.number >= 0 and chars - e.from_chars >= largest:
+            largest, large_form = chars - e.from_chars, e.number
         parent = stack[-1] if stack else None
         if e.content and parent:
             parent.content = True
+        if e.dropped is None:
+            e.dropped = not e.content and linked - e.from_linked >= LINK_SHARE * (chars - e.from_chars)
         value = e.digest.intdigest()
         if parent:
             parent.digest.update(value.to_bytes(8, "big"))
@@ -153,14 +200,27 @@ def read_page(page: str, doomed: frozenset[int] = frozenset(), marks: bool = Tru
             articles.append(listed(value, hashes[e.from_hash :]))
 
     def text(raw: str) -> None:
+        nonlocal chars, linked
         if raw:
+            if not (stack and stack[-1].tag in RAW):
+                size = len(raw) if not raw.isspace() else 0
+                chars += size
+                linked += size if places.get("a") else 0
             pieces.append(entities.unescape(raw))
             if stack:
                 stack[-1].digest.update(" ".join(raw.split()).encode("utf-8", "surrogatepass"))
 
     at, n = 0, len(page)
     while at < n:
-        m = _TOKEN.search(page, at)
+        m, start = None, page.find("<", at)
+        while start >= 0:
+            opened = _OPENED.match(page, start) if closing else None
+            m = None if opened and not closing(opened.end()) else _TOKEN.match(page, start)
+            if m:
+                break
+            if not closing and _OPENED.match(page, start):
+                closing = _Closing(page)
+            start = page.find("<", start + 1)
         if not m:
             text(page[at:])
             break
@@ -198,6 +258,11 @@ def read_page(page: str, doomed: frozenset[int] = frozenset(), marks: bool = Tru
         parent = stack[-1] if stack else None
         e = _Element(tag, False, len(pieces), len(hashes), parent, len(stack), marks, xxhash.xxh64(f"{tag}|{found.get('class', '')}|{found.get('id', '')}"))
         e.dropped = _dropped(tag, found, m[4], e.inside) if marks else tag in HIDDEN
+        e.from_chars, e.from_linked = chars, linked
+        if marks and tag == "form":
+            e.number, forms = forms, forms + 1
+            if e.number == spared:
+                e.dropped, e.number = False, -1
         places.setdefault(tag, []).append(len(stack))
         stack.append(e)
         if tag in RAW:
@@ -209,6 +274,8 @@ def read_page(page: str, doomed: frozenset[int] = frozenset(), marks: bool = Tru
             close()
     while stack:
         close()
+    if spared < 0 and 2 * largest > chars:
+        return read_page(page, doomed, marks, large_form)
 
     blocks, block = [], []
     for piece in [*(article if has_article else pieces), None]:

@@ -1,6 +1,8 @@
 """Quality rules, mixing, decontamination, page text and the pipeline on odd rows."""
 
+import random
 import re
+import time
 from collections import Counter
 
 from test_near_join import brute
@@ -163,6 +165,43 @@ def test_templates_are_found_and_removed(spark):
     assert html_extract.extract(pages.limit(0), ["page_id"]).collect() == []
 
 
+def test_unclosed_tags_cost_no_scan_each():
+    for start in ('<a href="', "<a ", "<a href='\"", "<abc", '<a ">"', "</b", "<div class=x"):
+        begun = time.perf_counter()
+        read_page(start * 40_000 + "end")
+        assert time.perf_counter() - begun < 5, start
+    read_page("<a " + "a" * 400_000 + ">x</a>")
+    # What is never closed is text; what is closed is a tag, whatever stands in its quotes.
+    assert read_page("a < b <i>c</i> <b")[1] == "a < b c <b"
+    assert read_page("<p title='a > b' id=\"<i>\">x</p> y")[1] == "x\ny"
+
+
+def test_tags_are_closed_as_by_a_plain_scan():
+    def plain(page, at):
+        while at < len(page):
+            if page[at] == ">":
+                return True
+            later = page.find(page[at], at + 1) if page[at] in "\"'" else -1
+            at = (later if later >= 0 else at) + 1
+        return False
+
+    rng = random.Random(3)
+    for _ in range(300):
+        page = "".join(rng.choice("<a>\"' ") for _ in range(rng.randrange(30)))
+        closing = html_extract._Closing(page)
+        assert [closing(k) for k in range(len(page) + 1)] == [plain(page, k) for k in range(len(page) + 1)]
+
+
+def test_forms_and_names_that_hold_the_page_stay():
+    assert read_page("<body><form><div><main><p>Long text here.</p></main><input></form></body>")[1] == "Long text here."
+    assert read_page("<body><form action=x><p>Long text here.</p></form><p>x</p></body>")[1] == "Long text here.\nx"
+    assert read_page("<body><p>The long story of the page.</p><form>Mail <input></form></body>")[1] == "The long story of the page."
+    parts = "<div class='social-science'><p>One two.</p></div><section id='notice-to-readers'>Kept.</section>"
+    gone = "<div class='ad-box'>no</div><div class='related-work x'><a>all</a> <a>links</a></div><div class='comment-on-this'>I say</div><div class='cookie_banner'>We</div>"
+    assert read_page(f"<article>{parts}{gone}</article>")[1] == "One two.\nKept."
+    assert read_page(f"<body>{parts}{gone}</body>")[1] == "One two.\nKept."
+
+
 def test_pages_of_the_tables_keep_their_articles(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     got = {r.page_id: r.text for r in html_extract.extract(pages, ["page_id"]).collect()}
