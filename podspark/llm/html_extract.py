@@ -94,7 +94,7 @@ def _dropped(tag: str, found: dict[str, str], source: str, inside: bool) -> bool
     for name in f"{found.get('class', '')} {found.get('id', '')}".lower().split():
         words = {w for w in re.split(r"[^a-z]+", name) if w}
         if words & listed:
-            if words & COMMENTS or words <= listed | LAYOUT:
+            if words & COMMENTS or words <= DROPPED_NAMES | LAYOUT:
                 return True
             verdict = None
     return verdict

@@ -50,9 +50,11 @@ def test_base_scores_with_and_without_rare_join(spark, monkeypatch):
     want = plain_base([(r.doc_id, r.text) for r in docs.collect()])
     marked = docs.withColumn("train", F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
     runs = []
-    for most, size in ((1 << 20, 50_000), (500, 50_000), (0, 100)):
+    for most, space, size, run_bytes in ((1 << 20, 96 << 20, 50_000, 1 << 18), (500, 96 << 20, 50_000, 1 << 18), (1 << 20, 20_000, 50_000, 900), (0, 96 << 20, 100, 1 << 18)):
         monkeypatch.setattr(lm_score, "BROADCAST_TOKENS", most)
+        monkeypatch.setattr(lm_score, "BROADCAST_BYTES", space)
         monkeypatch.setattr(lm_score, "RUN", size)
+        monkeypatch.setattr(lm_score, "RUN_BYTES", run_bytes)
         got = lm_score.score(marked).collect()
         runs.append(got)
         assert len(got) == len(want)
@@ -82,6 +84,23 @@ def test_model_is_below_the_word_counts(spark):
     assert sum(-r.score for r in held) / math.log10(2) / sum(r.n_bytes for r in held) < 2.3  # bits per byte
 
 
+def test_long_words_are_coded_in_runs_of_few_bytes(spark):
+    rng = np.random.default_rng(5)
+    words = lambda: " ".join("".join(map(chr, rng.integers(97, 123, 2000))) for _ in range(20))
+    docs = spark.createDataFrame([(k, words(), k % 5 != 1) for k in range(40)] + [(100, "x" * 300_000, True)], "doc_id int, text string, train boolean")
+    want = plain_counts([(r.text, r.train) for r in docs.collect()])
+    got = lm_score.score(docs).collect()
+    assert len(got) == 41 and all(r.score < 0 and (r.n_known == r.n_tokens) == r.train for r in got) and {r.train_tokens for r in got} == {want}
+    runs = lm_score._in_runs(lm_score.token_counts(docs.selectExpr("text", "train", "false AS fit"))).groupBy("run").agg({"word": "count", "pos": "max"}).collect()
+    sizes = lm_score._in_runs(lm_score.token_counts(docs.selectExpr("text", "train", "false AS fit"))).selectExpr("run", "octet_length(word) AS n").groupBy("run").agg({"n": "sum"}).collect()
+    assert all(r["count(word)"] == r["max(pos)"] + 1 for r in runs) and max(r["sum(n)"] for r in sizes) < lm_score.RUN_BYTES + 300_000
+    assert sum(r["sum(n)"] > lm_score.RUN_BYTES + 2000 for r in sizes) <= 1  # the run with the one word that is longer
+
+
+def plain_counts(rows):
+    return sum(len((t or "").split()) + 1 for t, train in rows if train)
+
+
 def test_no_training_rows_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "some text", False), (2, None, False)], "doc_id int, text string, train boolean")
     got = {r.doc_id: r for r in lm_score.score(docs).collect()}
