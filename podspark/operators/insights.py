@@ -16,6 +16,9 @@ from podspark import schemas
 from podspark.functions import text as T
 from podspark.operators.parse import parse_insights
 
+#: Chunks of a video whose requests go to the model in one row.
+CHUNKS_A_ROW = 32
+
 
 def needs_title(title: Column) -> Column:
     return (F.length(T.strip(title)) < 3) | (F.length(T.strip(title)) > 120)
@@ -71,6 +74,31 @@ def ask(requests: DataFrame, answer: Callable[[str, str], str]) -> DataFrame:
     return requests.select("request_id", "kind", "prompt").mapInPandas(run, "request_id string, raw string")
 
 
+def told_by_video(insights: DataFrame, parsed: DataFrame, template: Column) -> DataFrame:
+    """The timestamp requests of a video in one row: ``video_id``, ``template``, ``timestamped`` and ``asked``, an array of (request_id, insight).
+
+    A transcript is in one row, however many insights ask about it; of a very long video it is in one for every
+    ``CHUNKS_A_ROW`` chunks, so that several tasks ask about it.
+    """
+    request = _request("timestamps", F.lit(None), "chunk_no", "pos")[0]
+    asked = insights.select("video_id", F.floor(F.col("chunk_no") / CHUNKS_A_ROW).alias("stretch"), F.struct(request, _described(F.col("description"), F.col("title")).alias("insight")).alias("one"))
+    lists = asked.groupBy("video_id", "stretch").agg(F.collect_list("one").alias("asked"))
+    return lists.join(parsed.select("video_id", "timestamped"), "video_id").select("video_id", template.alias("template"), "timestamped", "asked").filter("template <> ''")
+
+
+def ask_by_video(told: DataFrame, answer: Callable[[str, str], str]) -> DataFrame:
+    """As ``ask`` on the timestamp requests: request_id and raw.  Prompts are filled where the model is asked, as by ``text.render``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for template, timestamped, asked in zip(frame["template"], frame["timestamped"], frame["asked"], strict=True):
+                begun = None if timestamped is None else template.replace("{transcript}", timestamped)
+                fill = lambda insight: None if begun is None or insight is None else begun.replace("{insight}", insight)  # noqa: B023, E731
+                yield pd.DataFrame({"request_id": [r["request_id"] for r in asked], "raw": [answer("timestamps", fill(r["insight"])) for r in asked]})
+
+    return told.select("template", "timestamped", "asked").mapInPandas(run, "request_id string, raw string")
+
+
 def answered(requests: DataFrame, answers: DataFrame) -> DataFrame:
     """Requests without their prompts, with ``raw``; empty where no answer came."""
     return requests.drop("prompt").join(answers.select("request_id", "raw"), "request_id", "left").withColumn("raw", F.coalesce("raw", F.lit("")))

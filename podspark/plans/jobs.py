@@ -91,8 +91,11 @@ def process(tables: Tables, responses: DataFrame, templates: dict[str, Column],
     found = stored(I.insights_of(first, stored(ask(first, answer)), pieces))
     titles = I.title_requests(found, templates["title_generation"])
     titled = stored(I.with_titles(found, titles, stored(ask(titles, answer))))
-    more = I.timestamp_requests(titled, parsed, templates["timestamp_extraction"]).unionByName(I.framework_requests(titled, templates["make_framework_content"]))
-    done = I.completed(titled, more, stored(ask(more, answer)), responses.select("video_id", "podcast").distinct(), now)
+    times, frameworks = I.timestamp_requests(titled, parsed, templates["timestamp_extraction"]), I.framework_requests(titled, templates["make_framework_content"])
+    more = times.unionByName(frameworks)
+    # Answers that are kept go by their whole prompts; else a transcript goes to the model's worker once for its video.
+    answers = ask(frameworks, answer).unionByName(I.ask_by_video(I.told_by_video(titled, parsed, templates["timestamp_extraction"]), answer)) if ask is I.ask else ask(more, answer)
+    done = I.completed(titled, more, stored(answers), responses.select("video_id", "podcast").distinct(), now)
     insights = merge.replace_insights(tables.insights, done, parsed)
     return Tables(videos, transcriptions, segments, insights, tables.seed_links), I.insights_per_video(parsed, done)
 

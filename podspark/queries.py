@@ -7,6 +7,7 @@ and insights.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from podspark import schemas
 from podspark.functions import text as T
 from podspark.operators import insights as I
-from podspark.operators import integrity, merge, search
+from podspark.operators import bloom, integrity, merge, search
 from podspark.operators.chunks import chunks
 from podspark.operators.dedupe import first_occurrences, latest_per_channel
 from podspark.operators.parse import parse_insights
@@ -574,9 +575,32 @@ def m5_replace_insights(spark: SparkSession, d: str) -> DataFrame:
     return merge.replace_insights(old, new, labels).groupBy("video_id").agg(F.count("*").alias("insights"))
 
 
+@_query("""SELECT 'd' || doc_id AS video_id, CAST(20 * k AS INT) AS chunk_no, md5('timestamps' || 'In ' || text || ' find D' || doc_id || '-' || k || '.') AS raw
+FROM documents, (VALUES (0), (1), (2)) AS n(k) WHERE text IS NOT NULL""")
+def j4_x1_asked_by_video(spark: SparkSession, d: str) -> DataFrame:
+    """Three insights of every document in two stretches; each stretch sends the document's text to the model once."""
+    docs = _table(spark, d, "documents").filter("text IS NOT NULL").withColumn("video_id", F.concat(F.lit("d"), "doc_id"))
+    found = docs.select("doc_id", "video_id", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    found = found.select("video_id", (F.col("k") * 20).alias("chunk_no"), F.lit(0).alias("pos"), F.lit("t").alias("title"), F.concat(F.lit("D"), "doc_id", F.lit("-"), "k").alias("description"))
+    told, template = docs.select("video_id", F.col("text").alias("timestamped")), F.lit("In {transcript} find {insight}.")
+    answers = I.ask_by_video(I.told_by_video(found, told, template), lambda kind, prompt: hashlib.md5((kind + prompt).encode()).hexdigest())
+    return I.answered(I.timestamp_requests(found, told, template), answers).select("video_id", "chunk_no", "raw")
+
+
 # ---------------------------------------------------------------- integrity
 
 
+@_query("""SELECT 'lineitem' AS relation, l_orderkey AS id, CAST(l_linenumber AS BIGINT) AS part FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderkey % 3 > 0)
+UNION ALL SELECT 'documents', doc_id, 0 FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)""")
+def j1_j7_missing_by_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Lines without an order and documents without a label, found through a filter of the parents' keys."""
+    lines = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    a = bloom.missing(lines, _table(spark, d, "orders").select("o_orderkey").filter("o_orderkey % 3 > 0"), "l_orderkey", "o_orderkey")
+    b = bloom.missing(_table(spark, d, "documents").select("doc_id"), _table(spark, d, "labels").select("doc_id"), "doc_id", "doc_id")
+    named = lambda df, relation, key, part: df.select(F.lit(relation).alias("relation"), F.col(key).alias("id"), part.cast("bigint").alias("part"))
+    return named(a, "lineitem", "l_orderkey", F.col("l_linenumber")).unionByName(named(b, "documents", "doc_id", F.lit(0)))
+
+
 @_query("""SELECT 'lineitem' AS relation, count(*) AS orphans FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderkey % 3 > 0)
 UNION ALL SELECT 'labels', count(*) FROM labels WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = labels.doc_id AND d.doc_id % 4 > 0)""")
 def j7_orphans(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from podspark import schemas
 from podspark.operators import insights as I
-from podspark.operators import integrity, merge, search
+from podspark.operators import bloom, integrity, merge, search
 from podspark.operators.chunks import chunks
 from podspark.operators.parse import parse_insights
 from podspark.operators.transcripts import parse_responses, segments_of
@@ -315,3 +315,45 @@ def test_prompts_are_not_shuffled(spark):
     ask = next(k for k, line in enumerate(plan) if "MapInPandas" in line)
     first = next(k for k, line in enumerate(plan) if "Exchange" in line)
     assert ask < first and any("replace(" in line for line in plan[ask:first])
+
+
+def test_a_transcript_crosses_once_per_stretch_of_its_video(spark):
+    found = spark.createDataFrame([(f"v{v}", c, p, "t", d) for v in range(3) for c in (0, 31, 32) for p, d in enumerate(["{insight}", "", None])], "video_id string, chunk_no int, pos int, title string, description string")
+    told = spark.createDataFrame([("v0", "long {insight} text {transcript}"), ("v1", None), ("v2", "")], "video_id string, timestamped string")
+    for template in ("{transcript} # {insight}{insight}", "{insight}", "none", ""):
+        say = lambda kind, prompt: f"{kind}: {prompt}"
+        by_video = I.told_by_video(found, told, F.lit(template))
+        rows = I.ask_by_video(by_video, say).collect()
+        want = {r.request_id: r.raw for r in I.ask(I.timestamp_requests(found, told, F.lit(template)), say).collect()}
+        assert {r.request_id: r.raw for r in rows} == want and len(rows) == len(want) == (27 if template else 0)
+        assert by_video.count() == (6 if template else 0)
+    assert I.ask_by_video(I.told_by_video(found.limit(0), told, F.lit("x")), say).collect() == []
+
+
+def test_missing_by_filter_equals_the_anti_join(spark):
+    rng = random.Random(1)
+    child = spark.createDataFrame([(rng.randrange(900) if k % 9 else None, str(k % 50), k % 3) for k in range(3000)] + [(7000, "x", 1)] * 3, "word bigint, bits string, _key int")
+    parent = spark.createDataFrame([(rng.randrange(900), "a") for _ in range(700)] + [(None, "b")], "word int, _parent string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(integrity.orphans(child, parent.select(F.col("word").alias("p")), "word", "p"))
+    assert len(want) > 500
+    # A filter of one word lets all pass, so wrong hits settle it; the last way shuffles them.
+    for most, keys in ((1 << 20, 1000), (1, 1000), (1, 0)):
+        assert rows(bloom.missing(child, parent, "word", "word", most, keys)) == want
+    assert rows(bloom.missing(child, parent.limit(0), "word", "word")) == rows(child.filter("word IS NOT NULL"))
+    assert rows(bloom.missing(child.limit(0), parent, "word", "word")) == []
+    texts = child.selectExpr("bits AS id")
+    assert rows(bloom.missing(texts, texts.filter("id < '3'"), "id", "id")) == rows(texts.filter("id >= '3'"))
+    with pytest.raises(ValueError):
+        bloom.missing(child.selectExpr("cast(word AS double) AS w"), parent, "w", "word")
+
+
+def test_filter_keeps_rows_of_the_child_in_place(spark):
+    child, parent = spark.range(20_000).selectExpr("id % 5000 AS k", "repeat('x', 50) AS wide"), spark.range(4000)
+    assert bloom.key_filter(parent, "id", bloom.words_for(4000)).count() <= bloom.words_for(4000) == 1024
+    out = bloom.missing(child, parent, "k", "id")
+    assert out.count() == 4000
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    # Wrong hits are few while the filter is not full.
+    found = bloom.key_filter(parent, "id", 1024).alias("_bloom")
+    assert spark.range(4000, 24_000).join(F.broadcast(found), bloom._hit(F.col("id"), 1024), "left_semi").count() < 2000
