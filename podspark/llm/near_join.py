@@ -14,7 +14,9 @@ share one stays.  Classes that share a signature are compared with its centre, t
 signatures overall, and with the next one; links join components, and only members of different components go on, so a large group
 of near copies costs about one comparison per member.  What is left of a signature is compared in one task if it has at most
 ``BLOCK`` members; if all but so many are in one component already, the others are compared with parts of that one.
-The classes of what is larger still sign again, with the domain hashed in another way: two similar
+Of what is larger still, members leave whose own shingles, which no other has, rule out every partner, and two sets with
+many of their own are not compared (``with_partners``).  If at most ``BLOCK`` members with few of their own are left, the
+others are compared with these.  The rest signs again, with the domain hashed in another way: two similar
 classes share a signature then as well, while those that had met by chance are dealt out anew.  Only what
 is still too large after ``LEVELS`` such turns is compared block by block.
 
@@ -324,12 +326,63 @@ def possible_with_major(left: DataFrame, nodes: DataFrame, percent: int = PERCEN
     return rows.groupBy("sig", "part").applyInArrow(_compare(percent), "a bigint, b bigint").distinct()
 
 
-def possible_in_blocks(open_: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The same for signatures of any size: members are cut into blocks, and two blocks meet in one group of at most twice ``BLOCK``."""
-    by_sig = Window.partitionBy("sig")
-    numbered = open_.withColumn("block", F.floor((F.row_number().over(by_sig.orderBy("node")) - 1) / BLOCK).cast("int")).withColumn("last", F.max("block").over(by_sig))
-    others = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
-    met = numbered.select("sig", "node", "root", "block", others).select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "root", "block")
+def own_shingles(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """``node`` and ``own``, the number of its shingles that no other class of ``texts`` (one row a class) holds; only classes with such."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", PART):
+            sets, at = shingles(*text_bytes(part.column("text")), words)
+            if not len(sets):
+                continue
+            node = np.repeat(part.column("node").to_numpy(), np.diff(at))
+            order = np.argsort(sets, kind="stable")
+            edge = np.flatnonzero(np.r_[True, np.diff(sets[order]) != 0])
+            times = np.diff(np.r_[edge, len(sets)])
+            for lo in range(0, len(edge), 200_000):
+                cut = order[edge[lo : lo + 200_000]]
+                yield pa.RecordBatch.from_arrays([pa.array(sets[cut].view(np.int64)), pa.array(node[cut]), pa.array(times[lo : lo + 200_000])], ["shingle", "node", "times"])
+
+    held = texts.select("node", "text").mapInArrow(run, "shingle bigint, node bigint, times bigint")
+    alone = held.groupBy("shingle").agg(F.sum("times").alias("times"), F.min("node").alias("node")).filter("times = 1")
+    return alone.groupBy("node").agg(F.count("*").alias("own"))
+
+
+def with_partners(hot: DataFrame, texts: DataFrame, nodes: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The members of large signatures that may have a partner there: ``sig``, ``node``, ``root``, ``low``, ``lows``, ``m``.
+
+    A set of n shingles, u of them its own, shares at most n - u with a set that has v of its own, and together they
+    have at least n + v; so 100 * (n - u) >= percent * (n + v) or they are no pair.  A member for which the least v of its
+    signature is too many leaves, and so does a signature in which all are. ``low`` are those with few enough of
+    their own to be a partner of their like: of two others none is one of the other.  As members leave,
+    more shingles are the own ones of who stays, so this goes on while a tenth leaves.
+    """
+    left, count = hot, hot.count()
+    while True:
+        mine = texts.join(left.select("node").distinct(), "node", "left_semi")
+        sized = left.join(nodes.select("node", "n"), "node").join(own_shingles(mine, words), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        sized = written(sized.withColumn("low", (100 + percent) * F.col("own") <= (100 - percent) * F.col("n")), count)
+        least = sized.groupBy("sig").agg(F.min("own").alias("least"), F.max("low").alias("some")).filter("some").drop("some")
+        stay = written(sized.join(least, "sig").filter(100 * (F.col("n") - F.col("own")) >= percent * (F.col("n") + F.col("least"))).select("sig", "node", "root", "low"), count)
+        again = _unsettled(stay, F.count("*").alias("m"), F.count_if("low").alias("lows"))
+        found = written(stay.join(again.filter("lows > 0"), "sig"), count)
+        before, count = count, found.count()
+        if not count or count > 0.9 * before:
+            return found
+        left = found.select("sig", "node", "root")
+
+
+def possible_in_blocks(left: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The same for signatures of any size, as ``with_partners`` leaves them.
+
+    Low members are dealt out to blocks, and so are the others; a block of low members meets every block, in one group of
+    about twice ``BLOCK``.  Two blocks of others do not meet.
+    """
+    lows = F.ceil(F.col("lows") / BLOCK).cast("int")
+    rest = F.ceil((F.col("m") - F.col("lows")) / BLOCK).cast("int")
+    deal = lambda blocks: F.pmod(F.xxhash64("node"), blocks).cast("int")
+    dealt = left.withColumn("block", F.when(F.col("low"), deal(lows)).otherwise(lows + deal(rest)))
+    others = F.explode(F.sequence(F.lit(0), F.when(F.col("low"), lows + rest).otherwise(lows) - 1)).alias("other")
+    met = dealt.select("sig", "node", "root", "block", others).select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "root", "block")
     rows = met.join(nodes.select("node", "n", "sketch"), "node").select("sig", "x", "y", "block", "node", "root", "n", "sketch")
     return rows.groupBy("sig", "x", "y").applyInArrow(_compare(percent), "a bigint, b bigint").distinct()
 
@@ -446,15 +499,19 @@ def similar_classes(rows: DataFrame, nodes: DataFrame, words: int = WORDS, perce
         some = large.filter(F.col("others") <= BLOCK)
         if not some.isEmpty():
             compare(possible_with_major(some, nodes, percent), most)
-        hot = large.filter(F.col("others") > BLOCK).select("sig", "node")
-        again = written(hot.select("node").distinct(), most)
-        before, count = count, again.count()
-        if not count:
+        hot = written(_rooted(large.filter(F.col("others") > BLOCK).select("sig", "node"), roots), most)
+        if hot.isEmpty():
             break
-        if level == LEVELS - 1 or before is not None and count > 0.8 * before:
-            compare(possible_in_blocks(_rooted(hot, roots), nodes, percent), most * BLOCK)
+        mine = hot.select("node").distinct()
+        texts = texts.join(mine, "node", "left_semi") if level else stored(texts_of(mine, rows, nodes))
+        hot = with_partners(hot, texts, nodes, words, percent)
+        again = written(hot.filter(F.col("lows") > BLOCK).select("node").distinct(), most)
+        before, count = count, again.count()
+        last = level == LEVELS - 1 or before is not None and count > 0.8 * before
+        compare(possible_in_blocks(hot if last else hot.filter(F.col("lows") <= BLOCK), nodes, percent), most)
+        if last or not count:
             break
-        texts = stored(texts_of(again, rows, nodes))
+        texts = texts.join(again, "node", "left_semi")
     return roots
 
 

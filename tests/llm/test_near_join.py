@@ -114,3 +114,38 @@ def test_sets_at_the_threshold_share_a_signature_for_80_percent():
             b = np.r_[a[drop:], rng.integers(1, 1 << 62, drop, dtype=np.uint64)]
             sig, of = near_join.signatures(np.r_[np.sort(a), np.sort(b)], np.array([0, size, 2 * size]), percent=80)
             assert size // 9 == 0 or set(sig[of == 0]) & set(sig[of == 1])
+
+
+def licences(n_alike, n_other, seed=5):
+    """One base with endings: ``n_other`` with eight words of their own (no links), ``n_alike`` with two (linked with each other)."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    base = [word() for _ in range(80)]
+    docs = [" ".join(base + [word() for _ in range(8)]) for _ in range(n_other)]
+    docs += [" ".join(base[:70] + [word() for _ in range(2)] + base[70:]) for _ in range(n_alike)]
+    return list(enumerate(docs))
+
+
+def test_members_with_many_shingles_of_their_own_are_not_paired(spark, monkeypatch):
+    monkeypatch.setattr(near_join, "BLOCK", 8)
+    monkeypatch.setattr(near_join, "ROUNDS", 0)
+    met = []
+    plain = near_join.possible_in_blocks
+    monkeypatch.setattr(near_join, "possible_in_blocks", lambda left, *more: met.append(left.count()) or plain(left, *more))
+    docs = licences(0, 120)
+    got = near_join.join(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i) for i, _ in docs]
+    assert sum(met) == 0
+    # Some that link with each other among many that do not.
+    docs = licences(5, 90)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_join.join(df).collect()) == brute(docs)
+
+
+def test_own_shingles_against_a_plain_count(spark):
+    texts = ["a b c d e f", "a b c d x y", "x y z", "", "q r s t", "b c d e f"]
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set() for w in map(str.split, texts)]
+    want = {k: n for k, s in enumerate(sets) if (n := sum(all(x not in o for j, o in enumerate(sets) if j != k) for x in s))}
+    for parts in (1, 4):
+        rows = near_join.own_shingles(spark.createDataFrame(list(enumerate(texts)), "node bigint, text string").repartition(parts)).collect()
+        assert {r.node: r.own for r in rows} == want
