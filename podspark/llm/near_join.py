@@ -56,6 +56,8 @@ MOST_EMPTY = 0.01
 ROUNDS = 2
 BLOCK = 256
 LEVELS = 6
+#: Of the shingles of a large signature's members one in so many is counted first.
+FIRST = 4
 #: Texts that have to be compared are picked by a broadcast of their keys only up to this number.
 BROADCAST_KEYS = 500_000
 #: Partners of one class that are compared with it in one task.
@@ -326,8 +328,11 @@ def possible_with_major(left: DataFrame, nodes: DataFrame, percent: int = PERCEN
     return rows.groupBy("sig", "part").applyInArrow(_compare(percent), "a bigint, b bigint").distinct()
 
 
-def own_shingles(texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """``node`` and ``own``, the number of its shingles that no other class of ``texts`` (one row a class) holds; only classes with such."""
+def own_shingles(texts: DataFrame, words: int = WORDS, every: int = 1) -> DataFrame:
+    """``node`` and ``own``, the number of its shingles that no other class of ``texts`` (one row a class) holds; only classes with such.
+
+    Only shingles whose hash is a multiple of ``every`` are counted, so ``own`` is then less than or equal to the true number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", PART):
@@ -335,6 +340,11 @@ def own_shingles(texts: DataFrame, words: int = WORDS) -> DataFrame:
             if not len(sets):
                 continue
             node = np.repeat(part.column("node").to_numpy(), np.diff(at))
+            if every > 1:
+                counted = sets % np.uint64(every) == 0
+                sets, node = sets[counted], node[counted]
+                if not len(sets):
+                    continue
             order = np.argsort(sets, kind="stable")
             edge = np.flatnonzero(np.r_[True, np.diff(sets[order]) != 0])
             times = np.diff(np.r_[edge, len(sets)])
@@ -354,20 +364,22 @@ def with_partners(hot: DataFrame, texts: DataFrame, nodes: DataFrame, words: int
     have at least n + v; so 100 * (n - u) >= percent * (n + v) or they are no pair.  A member for which the least v of its
     signature is too many leaves, and so does a signature in which all are. ``low`` are those with few enough of
     their own to be a partner of their like: of two others none is one of the other.  As members leave,
-    more shingles are the own ones of who stays, so this goes on while a tenth leaves.
+    more shingles are the own ones of who stays, so this goes on while a tenth leaves.  The first time one shingle in
+    ``FIRST`` is counted: most members have many more own ones than needed, and fewer than there are let none leave wrongly.
     """
-    left, count = hot, hot.count()
+    left, count, every = hot, hot.count(), FIRST
     while True:
         mine = texts.join(left.select("node").distinct(), "node", "left_semi")
-        sized = left.join(nodes.select("node", "n"), "node").join(own_shingles(mine, words), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        sized = left.join(nodes.select("node", "n"), "node").join(own_shingles(mine, words, every), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
         sized = written(sized.withColumn("low", (100 + percent) * F.col("own") <= (100 - percent) * F.col("n")), count)
         least = sized.groupBy("sig").agg(F.min("own").alias("least"), F.max("low").alias("some")).filter("some").drop("some")
         stay = written(sized.join(least, "sig").filter(100 * (F.col("n") - F.col("own")) >= percent * (F.col("n") + F.col("least"))).select("sig", "node", "root", "low"), count)
         again = _unsettled(stay, F.count("*").alias("m"), F.count_if("low").alias("lows"))
         found = written(stay.join(again.filter("lows > 0"), "sig"), count)
         before, count = count, found.count()
-        if not count or count > 0.9 * before:
+        if not count or every == 1 and count > 0.9 * before:
             return found
+        every = 1
         left = found.select("sig", "node", "root")
 
 

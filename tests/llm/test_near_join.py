@@ -149,3 +149,5 @@ def test_own_shingles_against_a_plain_count(spark):
     for parts in (1, 4):
         rows = near_join.own_shingles(spark.createDataFrame(list(enumerate(texts)), "node bigint, text string").repartition(parts)).collect()
         assert {r.node: r.own for r in rows} == want
+        some = near_join.own_shingles(spark.createDataFrame(list(enumerate(texts)), "node bigint, text string").repartition(parts), every=2).collect()
+        assert all(0 < r.own <= want[r.node] for r in some)
