@@ -21,11 +21,11 @@ text; input columns other than those asked for are dropped, and may have any nam
 from __future__ import annotations
 
 import hashlib
-import pickle
 import re
 from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
+from io import BytesIO
 from typing import NamedTuple
 
 import numpy as np
@@ -379,6 +379,19 @@ def _windows() -> tuple[np.ndarray, np.ndarray, str]:
     return codes, gold, hashlib.sha256(codes.tobytes() + gold.tobytes() + repr((train.__defaults__, TAGGED)).encode()).hexdigest()
 
 
+def packed(tagger: Tagger) -> bytes:
+    """The weights as plain arrays."""
+    out = BytesIO()
+    np.savez(out, **tagger._asdict())
+    return out.getvalue()
+
+
+def unpacked(raw: bytes) -> Tagger:
+    """The tagger of ``packed`` weights; what holds anything but arrays is refused."""
+    with np.load(BytesIO(raw), allow_pickle=False) as arrays:
+        return Tagger(**{name: arrays[name] for name in Tagger._fields})
+
+
 @lru_cache(maxsize=1)
 def production_tagger(spark: SparkSession | None = None) -> Tagger:
     """The tagger used in production: labelled lines from fixed seeds; read from the shared folder if it is there."""
@@ -386,12 +399,12 @@ def production_tagger(spark: SparkSession | None = None) -> Tagger:
     if spark is None:
         return train(codes, gold)
     # In the folder that all applications share, if there is one.
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or checkpoint_root(spark)}/tagger-{name}"
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or checkpoint_root(spark)}/tagger-arrays-{name}"
     try:
-        return Tagger(*pickle.loads(spark.read.schema("weights binary").parquet(path).first()[0]))
+        return unpacked(spark.read.schema("weights binary").parquet(path).first()[0])
     except (AnalysisException, TypeError):  # not there, or not written to the end
         tagger = train(codes, gold)
-        spark.createDataFrame([(pickle.dumps(tuple(tagger)),)], "weights binary").write.mode("overwrite").parquet(path)
+        spark.createDataFrame([(packed(tagger),)], "weights binary").write.mode("overwrite").parquet(path)
         return tagger
 
 

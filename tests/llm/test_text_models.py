@@ -347,3 +347,14 @@ def test_spans_do_not_depend_on_the_place_in_a_long_text(spark):
     assert [s.kind for s in got[1].spans] == ["email", "phone"] and text[got[1].spans[0].start : got[1].spans[0].end] == "jo.doe@mail.example.org"
     assert "<EMAIL> or <PHONE> now" in got[1].redacted and got[2].redacted is None and got[2].spans == [] and got[4].redacted == "no digits"
     assert pii.detect(docs.limit(0), ["doc_id"]).collect() == []
+
+
+def test_weights_are_plain_arrays():
+    import pickle
+
+    import pytest
+
+    m = pii.Tagger(*(np.arange(k + 2.0) for k in range(len(pii.Tagger._fields))))
+    assert all((a == b).all() for a, b in zip(pii.unpacked(pii.packed(m)), m, strict=True))
+    with pytest.raises(ValueError):
+        pii.unpacked(pickle.dumps(tuple(m)))
