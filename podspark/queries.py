@@ -584,7 +584,7 @@ def j4_x1_asked_by_video(spark: SparkSession, d: str) -> DataFrame:
     found = found.select("video_id", (F.col("k") * 20).alias("chunk_no"), F.lit(0).alias("pos"), F.lit("t").alias("title"), F.concat(F.lit("D"), "doc_id", F.lit("-"), "k").alias("description"))
     told, template = docs.select("video_id", F.col("text").alias("timestamped")), F.lit("In {transcript} find {insight}.")
     answers = I.ask_by_video(I.told_by_video(found, told, template), lambda kind, prompt: hashlib.md5((kind + prompt).encode()).hexdigest())
-    return I.answered(I.timestamp_requests(found, told, template), answers).select("video_id", "chunk_no", "raw")
+    return answers.select("video_id", "chunk_no", "raw")
 
 
 # ---------------------------------------------------------------- integrity

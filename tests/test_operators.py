@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -330,6 +331,18 @@ def test_a_transcript_crosses_once_per_stretch_of_its_video(spark):
     assert I.ask_by_video(I.told_by_video(found.limit(0), told, F.lit("x")), say).collect() == []
 
 
+def test_answers_of_many_videos_leave_the_worker_together(spark, monkeypatch):
+    found = spark.range(300).repartition(1).selectExpr("concat('v', id) AS video_id", "0 AS chunk_no", "cast(id % 7 AS int) AS pos", "'t' AS title", "concat('d', id) AS description")
+    told = found.select("video_id", F.lit("x").alias("timestamped"))
+    by_video = I.told_by_video(found, told, F.lit("{transcript}{insight}")).coalesce(1)
+    ask = lambda: I.ask_by_video(by_video, lambda kind, prompt: prompt)
+    batches = lambda df: df.mapInArrow(lambda parts: (pa.RecordBatch.from_arrays([pa.array([p.num_rows])], ["n"]) for p in parts), "n bigint").collect()
+    assert [r.n for r in batches(ask())] == [300]
+    assert sorted((r.video_id, r.chunk_no, r.pos, r.raw) for r in ask().collect()) == sorted((f"v{k}", 0, k % 7, f"xd{k}") for k in range(300))
+    monkeypatch.setattr(I, "ANSWERS", 128)
+    assert sorted(r.raw for r in ask().collect()) == sorted(f"xd{k}" for k in range(300))
+
+
 def test_missing_by_filter_equals_the_anti_join(spark):
     rng = random.Random(1)
     child = spark.createDataFrame([(rng.randrange(900) if k % 9 else None, str(k % 50), k % 3) for k in range(3000)] + [(7000, "x", 1)] * 3, "word bigint, bits string, _key int")
