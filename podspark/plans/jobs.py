@@ -72,6 +72,27 @@ def backlog(videos: DataFrame, transcriptions: DataFrame, ordered: bool = True)
     return rows.orderBy(F.col("published_at").desc_nulls_last(), F.col("created_at").desc(), "video_id") if ordered else rows
 
 
+def _asked_in_rows(parsed: DataFrame, templates: dict[str, Column], answer: Callable[[str, str], str], now: Column) -> tuple[DataFrame, DataFrame]:
+    """A row per insight, and those of the insights table; every answer stays with the row that asked, only the time ranges, which need the whole transcript, are joined."""
+    framed = stored(I.titled_and_framed(chunks(parsed, "raw_text", ["video_id", "podcast"]), templates, answer))
+    # A transcript goes to the model's worker once for its video.
+    times = I.ask_by_video(I.told_by_video(framed, parsed, templates["timestamp_extraction"]), answer)
+    times = stored(times.select("video_id", "chunk_no", "pos", F.col("raw").alias("timestamps_raw")))
+    return framed, I.insight_rows(framed.join(times, ["video_id", "chunk_no", "pos"], "left"), now)
+
+
+def _asked_by_requests(parsed: DataFrame, templates: dict[str, Column], answer: Callable[[str, str], str], now: Column, ask: Callable[[DataFrame, Callable[[str, str], str]], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The same by requests and answers, for an ``ask`` that works on tables of them, such as one that keeps answers by the hash of their prompts."""
+    pieces = chunks(parsed, "raw_text", ["video_id"])
+    # The answers are written before they are read by several steps.
+    first = I.insight_requests(pieces, templates["extract_insights_system"])
+    found = stored(I.insights_of(first, stored(ask(first, answer)), pieces))
+    titles = I.title_requests(found, templates["title_generation"])
+    titled = stored(I.with_titles(found, titles, stored(ask(titles, answer))))
+    more = I.timestamp_requests(titled, parsed, templates["timestamp_extraction"]).unionByName(I.framework_requests(titled, templates["make_framework_content"]))
+    return titled, I.completed(titled, more, stored(ask(more, answer)), parsed.select("video_id", "podcast").distinct(), now)
+
+
 def process(tables: Tables, responses: DataFrame, templates: dict[str, Column], answer: Callable[[str, str], str], now: Column, ask: Callable[[DataFrame, Callable[[str, str], str]], DataFrame] = I.ask) -> tuple[Tables, DataFrame]:
     """Responses (video_id, podcast, response) of many videos at once; also the number of insights per video.
 
@@ -85,19 +106,9 @@ def process(tables: Tables, responses: DataFrame, templates: dict[str, Column],
     parsed = stored(parse_responses(responses).filter(F.length("raw_text") > 0).select("video_id", "podcast", "raw_text", "utterances", "timestamped"))
     transcriptions, segments = merge.replace_transcripts(tables.transcriptions, tables.segments, transcriptions_of(parsed, now), segments_of(parsed, now))
 
-    pieces = chunks(parsed, "raw_text", ["video_id"])
-    # The answers are written before they are read by several steps.
-    first = I.insight_requests(pieces, templates["extract_insights_system"])
-    found = stored(I.insights_of(first, stored(ask(first, answer)), pieces))
-    titles = I.title_requests(found, templates["title_generation"])
-    titled = stored(I.with_titles(found, titles, stored(ask(titles, answer))))
-    times, frameworks = I.timestamp_requests(titled, parsed, templates["timestamp_extraction"]), I.framework_requests(titled, templates["make_framework_content"])
-    more = times.unionByName(frameworks)
-    # Answers that are kept go by their whole prompts; else a transcript goes to the model's worker once for its video.
-    answers = ask(frameworks, answer).unionByName(I.ask_by_video(I.told_by_video(titled, parsed, templates["timestamp_extraction"]), answer)) if ask is I.ask else ask(more, answer)
-    done = I.completed(titled, more, stored(answers), responses.select("video_id", "podcast").distinct(), now)
+    found, done = _asked_in_rows(parsed, templates, answer, now) if ask is I.ask else _asked_by_requests(parsed, templates, answer, now, ask)
     insights = merge.replace_insights(tables.insights, done, parsed)
-    return Tables(videos, transcriptions, segments, insights, tables.seed_links), I.insights_per_video(parsed, done)
+    return Tables(videos, transcriptions, segments, insights, tables.seed_links), I.insights_per_video(parsed, found)
 
 
 def process_new(tables: Tables, landed: DataFrame, templates: dict[str, Column], answer: Callable[[str, str], str], now: Column) -> tuple[Tables, DataFrame]:

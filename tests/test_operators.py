@@ -1,5 +1,6 @@
 """Operators on hand-made rows, and against row-by-row models."""
 
+import json
 import random
 import re
 
@@ -343,6 +344,23 @@ def test_answers_of_many_videos_leave_the_worker_together(spark, monkeypatch):
     assert sorted(r.raw for r in ask().collect()) == sorted(f"xd{k}" for k in range(300))
 
 
+def test_in_rows_and_by_requests_give_the_same_insights(spark):
+    said = {"insights": "Frameworks:\n* ab: one\n* a long title: two\nQuotes:\n* x: three\n* another title: four", "title": "<title>T</title>", "timestamps": "<start_time>1:00</start_time>", "framework": "<FrameWork>F</FrameWork>"}
+    answer = lambda kind, prompt: None if "none" in prompt and kind != "insights" else said[kind] if "silent" not in prompt else ""
+    responses = spark.createDataFrame([(f"v{k}", "p", json.dumps({"results": {"channels": [{"alternatives": [{"transcript": text}]}]}})) for k, text in enumerate(["short", "none", "silent", "", "x" * 12_000, "none " * 3000])], "video_id string, podcast string, response string")
+    full = {"extract_insights_system": "I {transcript}", "title_generation": "N {insight}", "timestamp_extraction": "W {insight} {transcript}", "make_framework_content": "M {topic} {raw_transcript}"}
+    empty = jobs.Tables(*(spark.createDataFrame([], s) for s in (schemas.VIDEOS, schemas.TRANSCRIPTIONS, schemas.SEGMENTS, schemas.INSIGHTS, schemas.SEED_LINKS)))
+    for blank in (None, *full):
+        templates = {k: F.lit("" if k == blank else v) for k, v in full.items()}
+        a, b = (jobs.process(empty, responses, templates, answer, now(), ask) for ask in (I.ask, lambda requests, answer: I.ask(requests, answer)))
+        rows = lambda df: sorted(map(str, df.collect()))
+        assert rows(a[0].insights) == rows(b[0].insights) and rows(a[1]) == rows(b[1]), blank
+        assert a[0].insights.count() == (0 if blank == "extract_insights_system" else 4 * 8)
+    # What is asked in rows is not shuffled.
+    plan = I.titled_and_framed(spark.createDataFrame([("v", "p", 0, "c")], "video_id string, podcast string, chunk_no int, chunk string"), templates, answer)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 3
+
+
 def test_missing_by_filter_equals_the_anti_join(spark):
     rng = random.Random(1)
     child = spark.createDataFrame([(rng.randrange(900) if k % 9 else None, str(k % 50), k % 3) for k in range(3000)] + [(7000, "x", 1)] * 3, "word bigint, bits string, _key int")
