@@ -383,7 +383,7 @@ def j3_f12_channels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _empty(spark: SparkSession) -> jobs.Tables:
-    return jobs.Tables(*(spark.createDataFrame([], s) for s in (schemas.VIDEOS, schemas.TRANSCRIPTIONS, schemas.SEGMENTS, schemas.INSIGHTS, schemas.SEED_LINKS)))
+    return jobs.Tables(*(S.empty(spark, s) for s in (schemas.VIDEOS, schemas.TRANSCRIPTIONS, schemas.SEGMENTS, schemas.INSIGHTS, schemas.SEED_LINKS)))
 
 
 def _responses(spark: SparkSession, d: str) -> DataFrame:

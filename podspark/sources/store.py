@@ -17,17 +17,14 @@ import json
 import re
 import uuid
 from collections.abc import Collection, Mapping
-from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from podspark.sources.tables import BUCKETS, bucket_of, remove
+from podspark.sources.tables import BUCKETS, bucket_of, empty, remove
 
 VERSION = "_version"
-#: Tables of a commit that are written at the same time; each takes memory of the driver for its plans.
-WRITERS = 3
 
 
 class Snapshot(NamedTuple):
@@ -98,7 +95,7 @@ class Store:
         held = snapshot.folders.get(name, {})
         paths = [f"{self.root}/{name}/{folder}/bucket={n}" for n, folder in held.items() if numbers is None or int(n) in numbers]
         schema = f"{schema}, {VERSION} bigint"
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths) if paths else empty(self.spark, schema)
 
     def read(self, name: str, snapshot: Snapshot | None = None, numbers: list[int] | None = None) -> DataFrame:
         return self._read(snapshot or self.snapshot(), name, numbers).drop(VERSION)
@@ -124,14 +121,17 @@ class Store:
         schema, key = self.tables[name]
         version = snapshot.version + 1
         held = dict(snapshot.folders.get(name, {}))
-        columns = self.spark.createDataFrame([], schema).columns
+        columns = empty(self.spark, schema).columns
         marked = lambda df, new: df.withColumns({"bucket": bucket_of(F.col(key), self.buckets), "_a": F.xxhash64(*columns), "_b": F.xxhash64(F.lit(1), *columns), "_new": F.lit(new)})
         old = marked(self._read(snapshot, name, change.numbers), False).select("bucket", "_a", "_b", "_new", VERSION)
         new = marked(change.rows.select(*columns), True).withColumn(VERSION, F.lit(version).cast("bigint"))
-        # One shuffle, by bucket: equal rows meet in it, and what was there before keeps its version.
-        same = Window.partitionBy("bucket", "_a", "_b")
-        both = new.unionByName(old, allowMissingColumns=True).repartition("bucket")
-        both = both.withColumn(VERSION, F.coalesce(F.max(F.when(~F.col("_new"), F.col(VERSION))).over(same), F.col(VERSION)))
+        if any(str(n) in held for n in change.numbers):
+            # One shuffle, by bucket: equal rows meet in it, and what was there before keeps its version.
+            same = Window.partitionBy("bucket", "_a", "_b")
+            both = new.unionByName(old, allowMissingColumns=True).repartition("bucket")
+            both = both.withColumn(VERSION, F.coalesce(F.max(F.when(~F.col("_new"), F.col(VERSION))).over(same), F.col(VERSION)))
+        else:
+            both = new.repartition("bucket")
         path = f"{self.root}/{name}/{folder}"
         both.filter("_new").select(*columns, VERSION, "_a", "bucket").write.partitionBy("bucket").parquet(path)
         written = self.spark.read.schema(f"_a bigint, {VERSION} bigint, bucket int").parquet(path).withColumn("_new", F.lit(True))
@@ -155,10 +155,8 @@ class Store:
         version = snapshot.version + 1
         folder = f"{version:020d}-{uuid.uuid4()}"
         some = {name: change for name, change in changes.items() if change.numbers}
-        # A few tables are written side by side; Spark shares its executors among them.
-        with ThreadPoolExecutor(WRITERS) as pool:
-            staged = pool.map(lambda name: self._stage(snapshot, name, some[name], folder), some)
-            folders = snapshot.folders | dict(zip(some, staged, strict=True))
+        # One table after the other: each is a job of all executors, and the driver holds the plans of one only.
+        folders = snapshot.folders | {name: self._stage(snapshot, name, change, folder) for name, change in some.items()}
         folders = {name: held for name, held in folders.items() if held}
         batches = snapshot.batches | ({batch[0]: batch[1]} if batch else {})
         if (folders, batches) == (snapshot.folders, snapshot.batches) and not marks:

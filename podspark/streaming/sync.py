@@ -43,7 +43,7 @@ def process_batch(spark: SparkSession, root: str, landed: DataFrame, templates:
     for name in _WRITTEN:
         schema, key = _TABLES[name]
         parts[name], numbers[name] = S.touched(spark, f"{root}/{name}", schema, keys[key], key, buckets)
-    old = jobs.Tables(**parts, seed_links=spark.createDataFrame([], schemas.SEED_LINKS))
+    old = jobs.Tables(**parts, seed_links=S.empty(spark, schemas.SEED_LINKS))
     open_ = one.join(old.transcriptions.select("video_id"), "video_id", "left_anti")
     new, _ = jobs.process(old, open_, templates, answer, now)
     for name in _WRITTEN:

@@ -294,3 +294,26 @@ def test_bucketed_tables_are_joined_where_they_lie(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
         for part in "abc":
             spark.sql(f"DROP TABLE IF EXISTS {name}_{part}")
+
+
+def test_a_commit_holds_the_plans_of_one_table_and_none_of_empty_ones(spark, tmp_path, monkeypatch):
+    many = Store(spark, str(tmp_path / "many"), {name: ("id string, n decimal(10,2)", "id") for name in "abcd"}, 4)
+    running, most, stage = [], [], Store._stage
+
+    def watched(self, snapshot, name, *rest):
+        running.append(name)
+        most.append(len(running))
+        try:
+            return stage(self, snapshot, name, *rest)
+        finally:
+            running.remove(name)
+
+    monkeypatch.setattr(Store, "_stage", watched)
+    rows = spark.createDataFrame([("x", None), ("x", None), ("y", None)], "id string, n decimal(10,2)")
+    for number in range(2):
+        many.commit(many.snapshot(), {name: Change(rows, many.numbers(rows, "id")) for name in "abc"})
+        assert most == [1] * 3 * (number + 1) and [many.read(name).count() for name in "abcd"] == [3, 3, 3, 0]
+    assert len(many.versions()) == 1
+    assert many.read("d").schema == spark.createDataFrame([], "id string, n decimal(10,2)").schema
+    plan = rows.join(many.read("d").select("id"), "id", "left_anti")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
