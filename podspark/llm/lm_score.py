@@ -18,8 +18,10 @@ runs.  So every word, however rare, has exact log-odds of its own.  The short co
 The most frequent words (at most ``BROADCAST_TOKENS``, with ``BROADCAST_BYTES`` of log-odds) go to all executors with their log-odds; those of all
 other words are joined to the texts that hold them.
 
-The few starting weights are fitted on at most ``FIT_ROWS`` training texts (and at most a tenth of them) of ``FIT_BYTES`` in all, by the
-log-odds that their words have without these texts, as a model has to learn what unseen words are like.
+The few starting weights are fitted on every event of all training texts, each by the log-odds that it has without
+itself, as a model has to learn what unseen words are like.  An event's inputs follow from the beginning of its word,
+and those of a word's first two symbols from the end of the word before as well, so events are summed up over the
+table of words and the counts of such symbols, by inputs rounded to halves, and Newton steps take gradients over these sums.
 
 The base score counts words: counts of all training tokens are summed by 64-bit token hash.
 
@@ -46,10 +48,7 @@ from podspark.llm.arrow_text import LOWER, SPACE, SpanHash, byte_codes, mix64, s
 from podspark.llm.common import stored
 
 BITS = 19
-FIT_ROWS = 200
 BROADCAST_TOKENS = 1 << 19
-#: Bytes of the texts on which the starting weights are fitted; a longer text is not taken for that.
-FIT_BYTES = 1 << 20
 #: Bytes of the log-odds that are broadcast.
 BROADCAST_BYTES = 96 << 20
 #: Sorted words in a run, and bytes of them, of which the last word may have more; coding takes about 800 bytes of memory a byte.
@@ -70,6 +69,8 @@ GATES = (len(SEEN) + 1) * (len(RUNS) + 1) + 1
 PRIOR = 0.25
 _END, _EMPTY = np.uint64(0x5EED), np.uint64(0xE331)
 _ENDS = 1 << 40
+#: Above it a pair of slot and class has the word's first byte between them.
+_SECOND = 1 << 29
 #: A step's code: log-odds in tenths, and above them its gate.
 _TENTHS = 10
 _MIDDLE = 128
@@ -145,17 +146,24 @@ def end_odds(code: Code, counts: np.ndarray) -> np.ndarray:
 
 def first_odds(code: Code, counts: np.ndarray) -> np.ndarray:
     """Log-odds per slot and node from counts per slot and class."""
-    below = np.c_[np.zeros(len(counts)), np.cumsum(counts, 1)]
     out = np.zeros((len(counts), int(code.node.max()) + 1), np.float32)
     _, step = np.unique(code.node, return_index=True)
     inner = np.zeros(len(code.node), bool)
     inner[_ranges(code.start, code.inner)] = True
+    below = _below(counts)
     for k in step[inner[step]]:
         ones, zeros = below[:, code.high[k]] - below[:, code.mid[k]], below[:, code.mid[k]] - below[:, code.low[k]]
         out[:, code.node[k]] = np.log((ones + PRIOR) / (zeros + PRIOR))
     return out
 
 
+def _below(counts: np.ndarray) -> np.ndarray:
+    """Per row the sums of the counts of all classes before each."""
+    out = np.zeros((len(counts), counts.shape[1] + 1))
+    np.cumsum(counts, 1, np.float64, out[:, 1:])
+    return out
+
+
 def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, ... of each stretch, end to end."""
     ends = np.cumsum(length)
@@ -182,10 +190,16 @@ def words_of(code: Code, data: np.ndarray, at: np.ndarray) -> Words:
     return Words(data, at, cls, place)
 
 
+def _symbol_of(code: Code) -> np.ndarray:
+    """A symbol of each class."""
+    symbol = np.zeros(int(code.cls.max()) + 1, np.int64)
+    symbol[code.cls[:256]] = np.arange(256)
+    return symbol
+
+
 def _steps(code: Code, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of each class's steps in the tree, flat, and how many each has."""
-    symbol = np.zeros(int(code.cls.max()) + 1, np.int64)
-    symbol[code.cls[:256]] = np.arange(256)  # for class 0 some end; its inner steps are the same for all
+    symbol = _symbol_of(code)  # for class 0 some end; its inner steps are the same for all
     length = code.inner[symbol[cls]]
     return _ranges(code.start[symbol[cls]], length), length
 
@@ -259,6 +273,12 @@ Spanning = dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]
 
 def word_codes(code: Code, w: Words, m: np.ndarray, spanning: Spanning) -> tuple[np.ndarray, np.ndarray]:
     """The code (see ``quantized``) of every step of every word of a sorted run, and n + 1 offsets."""
+    zeros, ones, at = step_counts(code, w, m, spanning)
+    return quantized(zeros, ones, at), at
+
+
+def step_counts(code: Code, w: Words, m: np.ndarray, spanning: Spanning) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often either way was taken at every step of every word of a sorted run, and n + 1 offsets."""
     n = len(m)
     size = np.diff(w.at)
     steps, length = _steps(code, w.cls)
@@ -303,7 +323,7 @@ def word_codes(code: Code, w: Words, m: np.ndarray, spanning: Spanning) -> tuple
         zeros[put], ones[put] = (mid - low)[take], (high - mid)[take]
         depth += 1
         active = active[reach[active] >= depth]
-    return quantized(zeros, ones, step_at[w.place]), step_at[w.place]
+    return zeros, ones, step_at[w.place]
 
 
 def word_slots(code: Code, w: Words, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -475,10 +495,11 @@ def tokens_of(column: pa.Array) -> Tokens:
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
-    """``token`` hash, ``word``, ``n`` (training count) and ``m`` (without the texts weights are fitted on) of all words of all texts.
+    """``token`` hash, ``word`` and ``n`` (training count) of all words of all texts; ``m`` counts what is no word.
 
     The end is a token without a word; the empty word counts ends that follow an end, in ``m`` only.  Rows without
-    a word and with a negative ``token`` count, in ``m``, kinds of ends, and first and second symbols behind the end of another word.
+    a word and with a negative ``token`` count, in ``m``, kinds of ends, and first and second symbols behind the end of another word,
+    the second ones by the first byte as well.
     """
     kinds = pa.schema([("token", pa.int64()), ("word", pa.binary()), ("n", pa.int64()), ("m", pa.int64())])
     cls = code_tree(np.zeros(257)).cls
@@ -493,10 +514,9 @@ def token_counts(rows: DataFrame) -> DataFrame:
 
         for part in slices(batches, "text", 1 << 20):
             t = tokens_of(part.column("text"))
-            train, fit = (np.array(part.column(c).to_pylist(), bool)[t.text] for c in ("train", "fit"))
-            n, m = np.bincount(t.word, train, len(t.names)), np.bincount(t.word, train & ~fit, len(t.names))
-            empty = t.names == _EMPTY
-            m[empty] = n[empty]
+            train = np.array(part.column("train").to_pylist(), bool)[t.text]
+            n, empty = np.bincount(t.word, train, len(t.names)), t.names == _EMPTY
+            m = np.where(empty, n, 0)
             n[empty] = 0
             words = pa.array(np.array([b""] * len(t.names), object)) if not len(t.data) else pa.Array.from_buffers(pa.large_binary(), len(t.names), [None, pa.py_buffer(t.data_at.astype(np.int64)), pa.py_buffer(t.data.tobytes())]).cast(pa.binary())
             held.append(pa.RecordBatch.from_arrays([pa.array(t.names.view(np.int64)), words, pa.array(n.astype(np.int64)), pa.array(m.astype(np.int64))], schema=kinds))
@@ -507,7 +527,8 @@ def token_counts(rows: DataFrame) -> DataFrame:
             held.append(pa.RecordBatch.from_arrays([pa.array(-1 - _ENDS - ends), pa.nulls(len(times), pa.binary()), pa.array(np.zeros(len(times), np.int64)), pa.array(times)], schema=kinds))
             # for a slot and the class of a word's first or second symbol.
             more = np.flatnonzero(train & (t.second >= 0))
-            pair = np.r_[(t.context.astype(np.int64) << 8 | cls[t.symbols[t.begin]])[train], t.second[more] << 8 | cls[t.symbols[t.begin[more] + 1]]]
+            seconds = t.second[more] << 16 | t.symbols[t.begin[more]] << 8 | cls[t.symbols[t.begin[more] + 1]]
+            pair = np.r_[(t.context.astype(np.int64) << 8 | cls[t.symbols[t.begin]])[train], seconds]
             pair, times = np.unique(pair, return_counts=True)
             held.append(pa.RecordBatch.from_arrays([pa.array(-1 - pair), pa.nulls(len(pair), pa.binary()), pa.array(np.zeros(len(pair), np.int64)), pa.array(times)], schema=kinds))
             count += len(t.names)
@@ -521,7 +542,7 @@ def token_counts(rows: DataFrame) -> DataFrame:
         if held:
             yield from summed().to_batches(max_chunksize=100_000)
 
-    counts = rows.select("text", "train", "fit").mapInArrow(run, "token bigint, word binary, n bigint, m bigint")
+    counts = rows.select("text", "train").mapInArrow(run, "token bigint, word binary, n bigint, m bigint")
     return counts.groupBy("token", "word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
@@ -578,51 +599,52 @@ def _in_runs(counts: DataFrame) -> DataFrame:
 
 
 def _counts(table: pa.Table | pa.RecordBatch) -> np.ndarray:
-    """The counts of a run's words with and without the texts that weights are fitted on; the empty word has one count."""
-    n, m = table.column("n").to_numpy(), table.column("m").to_numpy()
-    return np.stack([np.where(n == 0, np.where(table.column("token").to_numpy() == int(_EMPTY), m, 0), n), m])
+    """The counts of a run's words."""
+    return table.column("n").to_numpy() + table.column("m").to_numpy()
 
 
-def spanning_of(runs: DataFrame, code: Code) -> tuple[Spanning, Spanning]:
-    """Counts, of both kinds, of what follows those beginnings of words that stand in several runs; some rows per run."""
+def spanning_of(runs: DataFrame, code: Code) -> Spanning:
+    """Counts of what follows those beginnings of words that stand in several runs; some rows per run."""
     shared = runs.sparkSession.sparkContext.broadcast(code)
 
     def ends(table: pa.Table) -> pa.Table:
         table = table.sort_by("pos").combine_chunks()
-        h, d, c, s = edges(_run_words(shared.value, table.column("word").chunk(0)), _counts(table))
-        return pa.table({"h": h, "d": d, "c": c, "s": s[0], "t": s[1], "run": np.full(len(h), table.column("run")[0].as_py())})
+        h, d, c, s = edges(_run_words(shared.value, table.column("word").chunk(0)), _counts(table)[None])
+        return pa.table({"h": h, "d": d, "c": c, "s": s[0], "run": np.full(len(h), table.column("run")[0].as_py())})
 
-    found = stored(runs.groupBy("run").applyInArrow(ends, "h bigint, d bigint, c bigint, s double, t double, run bigint"))
+    found = stored(runs.groupBy("run").applyInArrow(ends, "h bigint, d bigint, c bigint, s double, run bigint"))
     across = found.groupBy("h", "d").agg(F.min("run").alias("a"), F.max("run").alias("b")).filter("a <> b").select("h", "d")
-    got = found.join(across, ["h", "d"]).groupBy("h", "d", "c").agg(F.sum("s").alias("s"), F.sum("t").alias("t")).orderBy("h", "d", "c").toArrow()
-    h, d, c, s, t = (got.column(k).to_numpy() for k in ("h", "d", "c", "s", "t"))
+    got = found.join(across, ["h", "d"]).groupBy("h", "d", "c").agg(F.sum("s").alias("s")).orderBy("h", "d", "c").toArrow()
+    h, d, c, s = (got.column(k).to_numpy() for k in ("h", "d", "c", "s"))
     if not len(h):
-        return {}, {}
+        return {}
     edge = np.flatnonzero(np.r_[True, (np.diff(h) != 0) | (np.diff(d) != 0)])
-    bounds = list(zip(edge, np.r_[edge[1:], len(h)], strict=True))
-    return tuple({(int(h[a]), int(d[a])): (c[a:b], x[a:b]) for a, b in bounds} for x in (s, t))
+    return {(int(h[a]), int(d[a])): (c[a:b], s[a:b]) for a, b in zip(edge, np.r_[edge[1:], len(h)], strict=True)}
+
 
+def coded_words(runs: DataFrame, code: Code, slots: np.ndarray) -> DataFrame:
+    """``token``, ``n`` and ``codes`` (see ``word_codes``) of all words; in rows without a token ``cell`` and ``times`` of training events.
 
-def coded_words(runs: DataFrame, code: Code, fit: np.ndarray) -> DataFrame:
-    """``token``, ``n`` and ``codes`` (see ``word_codes``) of all words; of the words ``fit`` also ``without``, the codes by the other counts."""
-    shared = runs.sparkSession.sparkContext.broadcast((code, *spanning_of(runs, code), np.sort(fit)))
+    The cells are those of the third and all further symbols of words; ``slots`` are the counts of the short contexts.
+    """
+    shared = runs.sparkSession.sparkContext.broadcast((code, spanning_of(runs, code), slots))
 
     def coded(table: pa.Table) -> pa.Table:
-        code, every, others, wanted = shared.value
+        code, spanning, slots = shared.value
         table = table.sort_by("pos").combine_chunks()
         words, counts = _run_words(code, table.column("word").chunk(0)), _counts(table)
-        token = table.column("token").to_numpy()
-        columns = []
-        for m, spanning, mine in ((counts[0], every, np.ones(len(token), bool)), (counts[1], others, np.isin(token, wanted))):
-            if not mine.any():
-                columns.append(pa.nulls(len(token), pa.binary()))
-                continue
-            codes, at = word_codes(code, words, m, spanning)
-            raw, at = codes.tobytes(), (2 * at).tolist()
-            columns.append(pa.array([raw[a:b] if ok else None for a, b, ok in zip(at[:-1], at[1:], mine.tolist(), strict=True)], pa.binary()))
-        return pa.table({"token": table.column("token"), "n": table.column("n"), "codes": columns[0], "without": columns[1]})
+        zeros, ones, at = step_counts(code, words, counts, spanning)
+        raw, ends = quantized(zeros, ones, at).tobytes(), (2 * at).tolist()
+        codes = pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+        cell, times = word_cells(code, words, counts, zeros, ones, at, slots)
+        both = lambda x, n, kind: pa.chunked_array([x, pa.nulls(n, kind)])
+        columns = {"token": table.column("token").chunk(0), "n": table.column("n").chunk(0), "codes": codes}
+        out = {name: both(x, len(cell), x.type) for name, x in columns.items()}
+        for name, x in (("cell", pa.array(cell)), ("times", pa.array(times))):
+            out[name] = pa.chunked_array([pa.nulls(table.num_rows, x.type), x])
+        return pa.table(out).combine_chunks()
 
-    return runs.groupBy("run").applyInArrow(coded, "token bigint, n bigint, codes binary, without binary")
+    return runs.groupBy("run").applyInArrow(coded, "token bigint, n bigint, codes binary, cell bigint, times double")
 
 
 def _cut(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -645,7 +667,7 @@ def slot_counts(runs: DataFrame, code: Code, bits: int) -> DataFrame:
                 w = _run_words(shared.value, part.column("word"))
                 slots, steps = word_slots(shared.value, w, bits)
                 _, length = _steps(shared.value, w.cls)
-                times = np.repeat(np.repeat(_counts(part)[0].astype(float), np.diff(w.place)), length)
+                times = np.repeat(np.repeat(_counts(part).astype(float), np.diff(w.place)), length)
                 for k, s in enumerate(slots):
                     sums[k] += np.bincount(s.astype(np.int64) << 1 | shared.value.bit[steps], times, 2 << bits)
         for k in range(len(ORDERS)):
@@ -706,56 +728,168 @@ def _by_length(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Reco
         yield batch.take(pa.array(np.argsort(np.diff(at), kind="stable")))
 
 
-def fitted(model: Model, column: pa.Array, known: list[Known], turns: int = 8, keep: float = 20.0) -> Model:
-    """Starting weights by Newton steps, for each gate those that predict its events best; ``keep`` holds them near the whole word's own odds."""
-    t = tokens_of(column)
-    _, codes, code_at, words = _gathered(t, model.code, known)
-    e = events_of(model, t, words, codes, code_at)
-    weights = model.weights.astype(np.float64)
-    for g in range(GATES):
-        rows = np.flatnonzero(e.gate == g)
-        x, bit = e.inputs[:, rows].astype(np.float64), e.bit[rows]
-        start = weights[g].copy()
-        for _ in range(turns):
-            p = 1 / (1 + np.exp(-np.clip(weights[g] @ x, -13, 13)))
-            slope = x @ (p - bit) + keep * (weights[g] - start)
-            curve = (x * (p * (1 - p))) @ x.T + keep * np.eye(INPUTS)
-            weights[g] -= np.clip(np.linalg.solve(curve, slope), -0.5, 0.5)
-    return model._replace(weights=weights.astype(np.float32))
+# ---------------------------------------------------------------- starting weights
+
+
+def cells_of(step: np.ndarray, others: list[np.ndarray], bit: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Events by gate, inputs rounded to halves, and outcome: a number for each such cell, and how many events it has.
+
+    ``step`` are codes (see ``quantized``), ``others`` the inputs but for the first; those that are not given are 0.
+    """
+    cell = step.astype(np.int64) >> 8
+    for x in ((step.astype(np.int64) & 255) - _MIDDLE) / _TENTHS, *others, *[np.zeros(1)] * (INPUTS - 1 - len(others)):
+        cell = cell << 6 | (np.clip(np.rint(2 * x), -31, 31).astype(np.int64) + 32)
+    cell, where = np.unique(cell << 1 | bit, return_inverse=True)
+    return cell, np.bincount(where, times, len(cell)).astype(float)
+
+
+def _without(zeros: np.ndarray, ones: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counts at steps without the event itself."""
+    return np.maximum(zeros - ~bit, 0), np.maximum(ones - bit, 0)
+
+
+def _odds_without(zeros: np.ndarray, ones: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    zeros, ones = _without(zeros, ones, bit)
+    return np.log((ones + PRIOR) / (zeros + PRIOR))
+
+
+def word_cells(code: Code, w: Words, m: np.ndarray, zeros: np.ndarray, ones: np.ndarray, at: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the training events of a run's words, from their third symbols on, with all that share a word counted at once."""
+    places, steps = word_slots(code, w, int(slots.shape[1]).bit_length() - 1)
+    bit = code.bit[steps]
+    _, length = _steps(code, w.cls)
+    depth = np.arange(len(w.cls)) - np.repeat(w.place[:-1], np.diff(w.place))
+    mine = np.flatnonzero(np.repeat((depth >= 2) & np.repeat(m > 0, np.diff(w.place)), length))
+    step = quantized(*_without(zeros, ones, bit), at)[mine]
+    bit = bit[mine]
+    others = [_odds_without(*counts[s[mine]].T, bit) for counts, s in zip(slots, places, strict=True)]
+    return cells_of(step, others, bit, np.repeat(m, np.diff(at))[mine])
+
+
+def begin_cells(code: Code, pair: np.ndarray, times: np.ndarray, slots: np.ndarray, firsts: np.ndarray, seconds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of first and second symbols of words.
+
+    ``pair`` says what they are, as in ``token_counts``; ``firsts`` has counts by slot and class, ``seconds`` by first byte and class.
+    """
+    late = pair >= _SECOND
+    cls, slot = pair & 255, np.where(late, pair >> 16, pair >> 8)
+    byte = np.where(late, pair >> 8 & 255, 0)
+    n = len(pair)
+    # The symbol in a word that begins so: its first byte, if it has to have one, and the byte of the class, if that is no end.
+    has = np.c_[late, cls > 0]
+    data = np.c_[byte, _symbol_of(code)[cls]][has].astype(np.uint8)
+    w = words_of(code, data, np.r_[0, np.cumsum(has.sum(1))])
+    places, steps = word_slots(code, w, int(slots.shape[1]).bit_length() - 1)
+    _, length = _steps(code, w.cls)
+    depth = np.arange(len(w.cls)) - np.repeat(w.place[:-1], np.diff(w.place))
+    word = np.repeat(np.arange(n), np.diff(w.place))
+    # Counts at the root, then those behind the first byte; what comes after the symbol is left out.
+    table = _below(np.concatenate([firsts[: 1 << FIRST_BITS].sum(0, dtype=np.float64)[None], seconds]))
+    row = np.where(depth == 0, 0, byte[word] + 1)
+    used = np.repeat(depth <= late[word], length)
+    own, row = np.repeat(depth == late[word], length)[used], np.repeat(row, length)[used]
+    steps = steps[used]
+    between = lambda t, r: (t[r, code.mid[steps]] - t[r, code.low[steps]], t[r, code.high[steps]] - t[r, code.mid[steps]])
+    bit = code.bit[steps]
+    at = np.r_[0, np.cumsum(np.bincount(np.repeat(word, length)[used], minlength=n))]
+    step = quantized(*_without(*between(table, row), bit), at)
+    names, where = np.unique(slot, return_inverse=True)
+    last = between(_below(firsts[names]), np.repeat(where, np.diff(at)))
+    others = [counts[s[used]].T for counts, s in zip(slots, places, strict=True)]
+    inputs = [_odds_without(zeros, ones, bit)[own] for zeros, ones in (*others, last)]
+    return cells_of(step[own], inputs, bit[own], np.repeat(times, np.diff(at))[own])
+
+
+def end_cells(code: Code, counts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of events among ends of words, from the counts of symbols and the log-odds of these steps."""
+    symbols = np.flatnonzero(code.cls == 0)
+    more = (code.length - code.inner)[symbols]
+    steps = _ranges((code.start + code.inner)[symbols], more)
+    x = np.clip(np.rint(_TENTHS * ends[code.node[steps]]) + _MIDDLE, 0, 255).astype(np.int64)
+    return cells_of((GATES - 1) << 8 | x, [], code.bit[steps], np.repeat(counts[symbols], more))
+
+
+_CURVE = np.triu_indices(INPUTS)
+
+
+def slopes(weights: np.ndarray, cell: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Per gate the gradient and the upper half of the curvature of the cost of the events in these cells."""
+    bit, rest = cell & 1, cell >> 1
+    x = np.stack([((rest >> 6 * (INPUTS - 1 - k)) & 63) - 32 for k in range(INPUTS)]) / 2
+    gate = rest >> 6 * INPUTS
+    p = 1 / (1 + np.exp(-np.clip((weights[gate].T * x).sum(0), -13, 13)))
+    error, curve = times * (p - bit), times * p * (1 - p)
+    return np.stack([*(np.bincount(gate, error * a, GATES) for a in x), *(np.bincount(gate, curve * x[a] * x[b], GATES) for a, b in zip(*_CURVE, strict=True))], 1)
+
+
+def fitted(weights: np.ndarray, cells: DataFrame, more: tuple[np.ndarray, np.ndarray], turns: int = 8, keep: float = 20.0) -> np.ndarray:
+    """Starting weights by Newton steps, for each gate those that predict the events of all cells best; ``keep`` holds them near the given ones."""
+    start = weights.astype(np.float64)
+    weights = start.copy()
+    for _ in range(turns):
+        now = weights.copy()
+
+        def run(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((GATES, INPUTS + len(_CURVE[0])))
+            for batch in batches:
+                total += slopes(now, batch.column("cell").to_numpy(), batch.column("times").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.reshape(-1))], ["k", "x"])
+
+        sums = slopes(now, *more)
+        for r in cells.mapInArrow(run, "k bigint, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():  # a few hundred numbers
+            sums.reshape(-1)[r.k] += r.x
+        for g in range(GATES):
+            curve = np.zeros((INPUTS, INPUTS))
+            curve[_CURVE] = curve.T[_CURVE] = sums[g, INPUTS:]
+            weights[g] -= np.clip(np.linalg.solve(curve + keep * np.eye(INPUTS), sums[g, :INPUTS] + keep * (now[g] - start[g])), -0.5, 0.5)
+        if np.abs(weights - now).max() < 0.002:
+            break
+    return weights.astype(np.float32)
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train_on: str = "train", bits: int = BITS) -> DataFrame:
     """Per row: key, ``train``, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities), n_bytes."""
     spark = docs.sparkSession
-    plain = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(train_on), F.lit(False)).alias("train"))
-    plain = plain.withColumn("hash", F.xxhash64("text"))
-    # The texts on which weights are fitted: those with the least hashes that fit into the bound.
-    ranked = stored(plain.filter("train and text <> ''").select("hash", F.octet_length("text").alias("size")).distinct())
-    number, room, fit = min(FIT_ROWS, ranked.count() // 10), FIT_BYTES, []
-    for r in ranked.filter(F.col("size") <= FIT_BYTES).orderBy("hash").limit(number).collect():
-        if r.size <= room:
-            fit.append(r.hash)
-            room -= r.size
-    rows = plain.withColumn("fit", F.col("hash").isin(fit) if fit else F.lit(False))
-
-    texts = [r.text for r in rows.filter("train and fit").select("hash", "text").dropDuplicates(["hash"]).collect()] if fit else []
-    column = pa.array(texts, pa.large_string())
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(train_on), F.lit(False)).alias("train"))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
 
     counts = stored(token_counts(rows))
     all_tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     symbols = symbol_counts(counts)
     code = code_tree(symbols)
     runs = _in_runs(counts)
-    coded = stored(coded_words(runs, code, tokens_of(column).names.view(np.int64)))
-    odds = np.zeros((len(ORDERS), 1 << bits), np.float32)
+    slots = np.zeros((len(ORDERS), 1 << bits, 2), np.float32)
     got = slot_counts(runs, code, bits).toArrow()  # at most so many rows, whatever the size of the corpus
-    slot, zeros, ones = (got.column(c).to_numpy() for c in ("slot", "zeros", "ones"))
-    odds.reshape(-1)[slot] = np.log((ones + PRIOR) / (zeros + PRIOR))
-
-    firsts = np.zeros((2 << FIRST_BITS, 256))
-    pairs = counts.filter("word is null and token < 0").filter(F.col("token") >= -_ENDS).select("token", "m").toArrow()  # at most slots times classes
-    pair = -1 - pairs.column("token").to_numpy()
-    firsts[pair >> 8, pair & 255] = pairs.column("m").to_numpy()
+    slots.reshape(-1, 2)[got.column("slot").to_numpy()] = np.c_[got.column("zeros").to_numpy(), got.column("ones").to_numpy()]
+    del got
+    coded = stored(coded_words(runs, code, slots))
+    cells, coded = coded.filter("cell is not null").select("cell", "times"), coded.filter("token is not null").select("token", "n", "codes")
+
+    firsts, seconds = np.zeros((2 << FIRST_BITS, 256), np.float32), np.zeros((256, 256))
+    begins = counts.filter("word is null and token < 0").filter(F.col("token") >= -_ENDS).select((-1 - F.col("token")).alias("pair"), F.col("m").alias("times"))
+    late = F.col("pair") >= _SECOND
+    slot = F.when(late, F.shiftleft(F.shiftright("pair", 16), 8).bitwiseOR(F.col("pair").bitwiseAND(255))).otherwise(F.col("pair"))
+    for table, some, at in ((firsts, begins, slot), (seconds, begins.filter(late), F.col("pair").bitwiseAND(65535))):
+        got = some.groupBy(at.alias("at")).agg(F.sum("times").alias("times")).toArrow()  # at most slots times classes
+        table.reshape(-1)[got.column("at").to_numpy()] = got.column("times").to_numpy()
+        del got
+    # Sums and log-odds of what is counted by slots, then all that the events of all training texts say on weights.
+    ends = end_odds(code, symbols)
+    weights = np.tile(np.eye(1, INPUTS, dtype=np.float32), (GATES, 1))
+    if all_tokens:
+        about = spark.sparkContext.broadcast((code, slots, firsts, seconds))
+
+        def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in begin_cells(about.value[0], batch.column("pair").to_numpy(), batch.column("times").to_numpy(), *about.value[1:])], ["cell", "times"])
+
+        every = cells.unionByName(begins.mapInArrow(begun, "cell bigint, times double"))
+        every = stored(every.groupBy("cell").agg(F.sum("times").alias("times")))
+        weights = fitted(weights, every, end_cells(code, symbols, ends))
+        about.destroy()
+    model = Model(code, bits, np.log((slots[..., 1] + PRIOR) / (slots[..., 0] + PRIOR)), ends, first_odds(code, firsts), weights)
+    del slots, firsts
 
     # The lowest count at which the words still fit: at most 64 bins per power of two come to the driver.
     sized = [F.count("*").alias("k"), F.coalesce(F.sum(F.octet_length("codes")), F.lit(0)).alias("size")]
@@ -768,18 +902,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train_on: st
         least = b.least
     unseen = coded.filter("n = 0").agg(*sized).first()
     few = min(room, space) >= 0 and unseen.k <= room and unseen.size <= space
-    excepted, coded = coded.filter("without is not null"), coded.drop("without")
     frequent = coded if few else coded.filter(F.col("n") >= least) if least is not None else coded.limit(0)
     table = frequent.toArrow().combine_chunks()
     none = pa.array([], pa.binary())
-    common = Known.of(table.column("token").to_numpy(), table.column("n").to_numpy(), table.column("codes").chunk(0) if table.num_rows else none)
+    common = [spark.sparkContext.broadcast(Known.of(table.column("token").to_numpy(), table.column("n").to_numpy(), table.column("codes").chunk(0) if table.num_rows else none))]
     rare = None if few else coded.filter(F.col("n") < least) if least is not None else coded
-
-    model = Model(code, bits, odds, end_odds(code, symbols), first_odds(code, firsts), np.tile(np.eye(1, INPUTS, dtype=np.float32), (GATES, 1)))
-    if texts:
-        some = excepted.select("token", "n", "without").toArrow().combine_chunks()  # words of so many texts
-        model = fitted(model, column, [Known.of(some.column("token").to_numpy(), some.column("n").to_numpy(), some.column("without").chunk(0))])
-    shared = spark.sparkContext.broadcast((common, model))
+    shared = spark.sparkContext.broadcast(model)
+    del model
 
     body = rows.select("key", "hash", "train", "text")
     if rare is None:
@@ -787,10 +916,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train_on: st
     else:
 
         def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, _ = shared.value
+            known = [b.value for b in common]
             for part in slices(batches, "text", 1 << 20):
                 t = tokens_of(part.column("text"))
-                _, there = known.find(t.names.view(np.int64))
+                there = np.zeros(len(t.names), bool)
+                for k in known:
+                    there |= k.find(t.names.view(np.int64))[1]
                 hashes = part.column("hash").to_numpy()[t.text]
                 pairs = pa.table({"hash": hashes[~there[t.word]], "token": t.names.view(np.int64)[t.word[~there[t.word]]]})
                 yield from pairs.group_by(["hash", "token"], use_threads=False).aggregate([]).select(["hash", "token"]).to_batches(max_chunksize=100_000)
@@ -802,10 +933,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train_on: st
     end_times = counts.filter(F.col("token") == int(_END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, m = shared.value
+        known, m = [b.value for b in common], shared.value
         for part in slices(_by_length(batches, "text"), "text", PART):
             t = tokens_of(part.column("text"))
-            here = [known]
+            here = [*known]
             lists = part.column("rare").combine_chunks() if isinstance(part.column("rare"), pa.ChunkedArray) else part.column("rare")
             if lists.null_count < len(lists):
                 found = lists.flatten()

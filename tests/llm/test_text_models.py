@@ -84,6 +84,65 @@ def test_model_is_below_the_word_counts(spark):
     assert sum(-r.score for r in held) / math.log10(2) / sum(r.n_bytes for r in held) < 2.3  # bits per byte
 
 
+def test_starting_weights_are_fitted_on_every_event_of_all_training_texts(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(["the", "then", "a", "of", "zebra", "x", "Ähre"], 12)) for _ in range(40)] + ["  two\n\nends ", "", "once"]
+    train = [k % 4 != 1 for k in range(len(texts))]
+    docs = spark.createDataFrame([*zip(range(len(texts)), texts, train, strict=True), (99, "w " * 30_000, False)], "doc_id int, text string, train boolean")
+    seen = {}
+
+    def spied(weights, cells, more, *args, fit=lm_score.fitted):
+        seen["cells"] = Counter({r["cell"]: r["times"] for r in cells.collect()}) + Counter(dict(zip(*(x.tolist() for x in more), strict=True)))
+        seen["weights"] = fit(weights, cells, more, *args)
+        return seen["weights"]
+
+    monkeypatch.setattr(lm_score, "fitted", spied)
+    monkeypatch.setattr(lm_score, "RUN", 3)
+    assert lm_score.score(docs, bits=12).count() == len(texts) + 1
+
+    # The same from the texts, event by event: counts by dictionaries, from which each event is taken away when it is its turn.
+    t = lm_score.tokens_of(pa.array([x for x, ok in zip(texts, train, strict=True) if ok]))
+    code = lm_score.code_tree(np.bincount(t.symbols, minlength=257))
+    words = lm_score.words_of(code, t.data, t.data_at)
+    (one, three), steps = lm_score.word_slots(code, words, 12)
+    _, length = lm_score._steps(code, words.cls)
+    at = np.r_[0, np.cumsum(length)][words.place]
+    ways, events = Counter(), []
+    for k, name in enumerate(t.word.tolist()):
+        data, place = t.data[t.data_at[name] : t.data_at[name + 1]].tobytes(), 0
+        for d in range(len(data) + 1):
+            for _ in range(length[words.place[name] + d]):
+                j = at[name] + place
+                s = steps[j]
+                last = [(3, t.context[k], code.node[s])] if d == 0 else [(3, t.second[k], code.node[s])] if d == 1 else []
+                keys = [(0, data[:d], code.node[s]), (1, one[j]), (2, three[j]), *last]
+                events.append((keys, int(code.bit[s]), k, d))
+                ways.update((x, events[-1][1]) for x in keys)
+                place += 1
+    odds = lambda x, bit: math.log((ways[x, 1] - bit + lm_score.PRIOR) / (ways[x, 0] - (not bit) + lm_score.PRIOR))
+    want, before, run, total = Counter(), None, 0, None
+    for keys, bit, k, _ in events:
+        n = ways[keys[0], 0] + ways[keys[0], 1] - 1
+        run = run + 1 if before == k and n == total else 0
+        before, total = k, n
+        gate = int(np.searchsorted(lm_score.SEEN, n, "right") * (len(lm_score.RUNS) + 1) + np.searchsorted(lm_score.RUNS, run, "right"))
+        x = [np.rint(10 * odds(keys[0], bit)) / 10, *(odds(key, bit) for key in keys[1:])]
+        cell = gate
+        for v in x + [0] * (lm_score.INPUTS - len(x)):
+            cell = cell << 6 | int(np.clip(np.rint(2 * v), -31, 31)) + 32
+        want[cell << 1 | bit] += 1
+    among = Counter({c: n for c, n in seen["cells"].items() if c >> 1 + 6 * lm_score.INPUTS == lm_score.GATES - 1})
+    got = seen["cells"] - among
+    assert sum(got.values()) + sum(among.values()) == int(code.length[t.symbols].sum())
+    assert sum((got - want).values()) + sum((want - got).values()) <= 0.01 * sum(want.values())  # inputs that lie just between two halves
+
+    # Newton steps end where the cost of all events is flat.
+    cell, times = (np.array(x) for x in zip(*sorted(seen["cells"].items()), strict=True))
+    start = np.tile(np.eye(1, lm_score.INPUTS), (lm_score.GATES, 1))
+    slope = lm_score.slopes(seen["weights"].astype(float), cell, times)[:, : lm_score.INPUTS] + 20 * (seen["weights"] - start)
+    assert np.abs(slope).max() < 1
+
+
 def test_long_words_are_coded_in_runs_of_few_bytes(spark):
     rng = np.random.default_rng(5)
     words = lambda: " ".join("".join(map(chr, rng.integers(97, 123, 2000))) for _ in range(20))
