@@ -51,6 +51,8 @@ BITS = 19
 BROADCAST_TOKENS = 1 << 19
 #: Bytes of the log-odds that are broadcast.
 BROADCAST_BYTES = 96 << 20
+#: They pass through the driver in so many parts, one after the other.
+BROADCAST_PARTS = 6
 #: Sorted words in a run, and bytes of them, of which the last word may have more; coding takes about 800 bytes of memory a byte.
 RUN, RUN_BYTES = 50_000, 1 << 18
 #: Bytes of text that a task works on at a time, bytes of text between two refinements, and their rates.
@@ -150,10 +152,11 @@ def first_odds(code: Code, counts: np.ndarray) -> np.ndarray:
     _, step = np.unique(code.node, return_index=True)
     inner = np.zeros(len(code.node), bool)
     inner[_ranges(code.start, code.inner)] = True
-    below = _below(counts)
-    for k in step[inner[step]]:
-        ones, zeros = below[:, code.high[k]] - below[:, code.mid[k]], below[:, code.mid[k]] - below[:, code.low[k]]
-        out[:, code.node[k]] = np.log((ones + PRIOR) / (zeros + PRIOR))
+    for lo in range(0, len(counts), 1024):  # few at a time, as sums take more memory than the result
+        below = _below(counts[lo : lo + 1024])
+        for k in step[inner[step]]:
+            ones, zeros = below[:, code.high[k]] - below[:, code.mid[k]], below[:, code.mid[k]] - below[:, code.low[k]]
+            out[lo : lo + 1024, code.node[k]] = np.log((ones + PRIOR) / (zeros + PRIOR))
     return out
 
 
@@ -902,10 +905,15 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train_on: st
         least = b.least
     unseen = coded.filter("n = 0").agg(*sized).first()
     few = min(room, space) >= 0 and unseen.k <= room and unseen.size <= space
-    frequent = coded if few else coded.filter(F.col("n") >= least) if least is not None else coded.limit(0)
-    table = frequent.toArrow().combine_chunks()
-    none = pa.array([], pa.binary())
-    common = [spark.sparkContext.broadcast(Known.of(table.column("token").to_numpy(), table.column("n").to_numpy(), table.column("codes").chunk(0) if table.num_rows else none))]
+    frequent = coded if few else coded.filter(F.col("n") >= least) if least is not None else None
+    common = []
+    for part in range(BROADCAST_PARTS if frequent is not None else 0):
+        table = frequent.filter(F.pmod("token", F.lit(BROADCAST_PARTS)) == part).toArrow().combine_chunks()
+        if table.num_rows:
+            known = Known.of(table.column("token").to_numpy(), table.column("n").to_numpy(), table.column("codes").chunk(0))
+            common.append(spark.sparkContext.broadcast(known))
+            del known
+        del table
     rare = None if few else coded.filter(F.col("n") < least) if least is not None else coded
     shared = spark.sparkContext.broadcast(model)
     del model

@@ -9,6 +9,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from podspark.llm import language_id, lm_score, pii
 
@@ -156,6 +157,19 @@ def test_long_words_are_coded_in_runs_of_few_bytes(spark):
     assert sum(r["sum(n)"] > lm_score.RUN_BYTES + 2000 for r in sizes) <= 1  # the run with the one word that is longer
 
 
+def test_broadcast_words_pass_through_the_driver_in_parts(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").limit(60).withColumn("train", F.col("doc_id") % 5 != 1)
+    sizes = []
+
+    def spied(names, n, codes, of=lm_score.Known.of):
+        sizes.append(len(names))
+        return of(names, n, codes)
+
+    monkeypatch.setattr(lm_score.Known, "of", spied)
+    lm_score.score(docs)
+    assert len(sizes) > 1 and max(sizes) < 0.5 * sum(sizes)
+
+
 def plain_counts(rows):
     return sum(len((t or "").split()) + 1 for t, train in rows if train)
 
