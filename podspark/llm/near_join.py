@@ -22,6 +22,8 @@ is still too large after ``LEVELS`` such turns is compared block by block.
 
 Before texts are compared, sketches are: the parities of the shingles' hash counts.  Sets that differ in d
 shingles differ in at most d parities, so a pair beyond the bound is none; the others are verified exactly.
+This holds for folded sketches as well: rows that meet carry a short one (``coarse``), and the long ones are read for
+the few pairs that it allows.
 
 Defined results: null, empty and wordless texts have size 0, no links and their own component; fewer words
 than a shingle has make one shingle; every row counts by its own text, so rows with the same key and different
@@ -41,6 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from podspark.llm.arrow_text import LOWER, SpanHash, byte_codes, mix64, slices, text_bytes, word_bounds
 from podspark.llm.common import stored, stored_small
@@ -215,6 +218,11 @@ def sketch_distance(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum())
 
 
+def coarse(sketch: bytes, n: int) -> bytes:
+    """The sketch of a set of ``n`` shingles folded to three bits or more for four of them: enough to tell sets apart that share little."""
+    return fold(sketch, max(64, 1 << (-(-3 * n // 4) - 1).bit_length() if n > 1 else 64) // 8).tobytes()
+
+
 def classes(rows: DataFrame, words: int = WORDS) -> DataFrame:
     """Per row: ``key``, ``hash`` of the text, ``n_shingles``, ``node`` (its class of equal sets; null for an empty set), ``sketch``."""
 
@@ -229,6 +237,17 @@ def classes(rows: DataFrame, words: int = WORDS) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def with_coarse(nodes: DataFrame) -> DataFrame:
+    """The classes with their ``coarse`` sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = [coarse(x, n) for x, n in zip(batch.column("sketch").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(short, pa.binary())], [*batch.schema.names, "coarse"])
+
+    return nodes.mapInArrow(run, StructType([*nodes.schema.fields, StructField("coarse", BinaryType())]))
+
+
 def members(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, level: int = 0) -> DataFrame:
     """Classes that share a signature with others: ``sig``, ``node``."""
 
@@ -272,7 +291,7 @@ def groups_of(shared: DataFrame) -> DataFrame:
     return shared.join(kept.select("sig", "times", "m"), "sig")
 
 
-def possible(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT, sketch: str = "sketch") -> DataFrame:
     """The pairs (a, b) that sizes and sketches allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +301,7 @@ def possible(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> Data
                 keep.append((100 + percent) * sketch_distance(x, y) <= (100 - percent) * (n + m))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col(sketch).alias(f"s_{c}"))
     sized = pairs.join(side("b"), "b").join(side("a"), "a").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     return sized.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
 
@@ -309,9 +328,15 @@ def _compare(percent: int):
     return compare
 
 
+def possible_by_sketch(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of pairs that coarse sketches allow those that the long ones do; few are left, so only sketches that are asked for are moved."""
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    return possible(pairs, nodes.join(stored_small(asked, BROADCAST_KEYS), "node"), percent)
+
+
 def possible_in_groups(open_: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) within signatures of at most ``BLOCK`` members and between components that sketches allow."""
-    rows = open_.join(nodes.select("node", "n", "sketch"), "node").select("sig", "node", "root", "n", "sketch", F.lit(0).alias("block"))
+    rows = open_.join(nodes.select("node", "n", F.col("coarse").alias("sketch")), "node").select("sig", "node", "root", "n", "sketch", F.lit(0).alias("block"))
     return rows.groupBy("sig").applyInArrow(_compare(percent), "a bigint, b bigint").distinct()
 
 
@@ -324,7 +349,7 @@ def possible_with_major(left: DataFrame, nodes: DataFrame, percent: int = PERCEN
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.array(F.pmod(F.xxhash64("node"), parts).cast("int"))
     dealt = left.select("sig", "node", "root", F.explode(F.when(F.col("root") == F.col("major"), own).otherwise(F.sequence(F.lit(0), parts - 1))).alias("part"))
-    rows = dealt.join(nodes.select("node", "n", "sketch"), "node").select("sig", "part", "node", "root", "n", "sketch", F.lit(0).alias("block"))
+    rows = dealt.join(nodes.select("node", "n", F.col("coarse").alias("sketch")), "node").select("sig", "part", "node", "root", "n", "sketch", F.lit(0).alias("block"))
     return rows.groupBy("sig", "part").applyInArrow(_compare(percent), "a bigint, b bigint").distinct()
 
 
@@ -347,13 +372,17 @@ def own_shingles(texts: DataFrame, words: int = WORDS, every: int = 1) -> DataFr
                     continue
             order = np.argsort(sets, kind="stable")
             edge = np.flatnonzero(np.r_[True, np.diff(sets[order]) != 0])
-            times = np.diff(np.r_[edge, len(sets)])
-            for lo in range(0, len(edge), 200_000):
-                cut = order[edge[lo : lo + 200_000]]
-                yield pa.RecordBatch.from_arrays([pa.array(sets[cut].view(np.int64)), pa.array(node[cut]), pa.array(times[lo : lo + 200_000])], ["shingle", "node", "times"])
-
-    held = texts.select("node", "text").mapInArrow(run, "shingle bigint, node bigint, times bigint")
-    alone = held.groupBy("shingle").agg(F.sum("times").alias("times"), F.min("node").alias("node")).filter("times = 1")
+            # A shingle of several has no node; those of one set stand together, which packs well.
+            several = np.diff(np.r_[edge, len(sets)]) > 1
+            by_set = np.argsort(order[edge], kind="stable")
+            cuts, several = order[edge][by_set], several[by_set]
+            for lo in range(0, len(cuts), 200_000):
+                cut = cuts[lo : lo + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(sets[cut].view(np.int64)), pa.array(node[cut], mask=several[lo : lo + 200_000])], ["shingle", "node"])
+
+    # A part of a task has a shingle once, so there is little to sum up before rows are dealt out.
+    held = texts.select("node", "text").mapInArrow(run, "shingle bigint, node bigint").repartition("shingle")
+    alone = held.groupBy("shingle").agg(F.count("*").alias("times"), F.min("node").alias("node")).filter("times = 1 and node is not null")
     return alone.groupBy("node").agg(F.count("*").alias("own"))
 
 
@@ -369,7 +398,7 @@ def with_partners(hot: DataFrame, texts: DataFrame, nodes: DataFrame, words: int
     """
     left, count, every = hot, hot.count(), FIRST
     while True:
-        mine = texts.join(left.select("node").distinct(), "node", "left_semi")
+        mine = texts.join(stored_small(left.select("node").distinct(), BROADCAST_KEYS), "node", "left_semi")
         sized = left.join(nodes.select("node", "n"), "node").join(own_shingles(mine, words, every), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
         sized = written(sized.withColumn("low", (100 + percent) * F.col("own") <= (100 - percent) * F.col("n")), count)
         least = sized.groupBy("sig").agg(F.min("own").alias("least"), F.max("low").alias("some")).filter("some").drop("some")
@@ -395,15 +424,21 @@ def possible_in_blocks(left: DataFrame, nodes: DataFrame, percent: int = PERCENT
     dealt = left.withColumn("block", F.when(F.col("low"), deal(lows)).otherwise(lows + deal(rest)))
     others = F.explode(F.sequence(F.lit(0), F.when(F.col("low"), lows + rest).otherwise(lows) - 1)).alias("other")
     met = dealt.select("sig", "node", "root", "block", others).select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "root", "block")
-    rows = met.join(nodes.select("node", "n", "sketch"), "node").select("sig", "x", "y", "block", "node", "root", "n", "sketch")
+    rows = met.join(nodes.select("node", "n", F.col("coarse").alias("sketch")), "node").select("sig", "x", "y", "block", "node", "root", "n", "sketch")
     return rows.groupBy("sig", "x", "y").applyInArrow(_compare(percent), "a bigint, b bigint").distinct()
 
 
-def texts_of(wanted: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node`` and the text of its representative, once, for the nodes in ``wanted``."""
-    keys = stored_small(wanted.join(nodes, "node").select("node", F.col("rep.key").alias("_key"), F.col("rep.hash").alias("hash")), BROADCAST_KEYS)
-    found = rows.join(keys, "hash").filter(F.col("key").eqNullSafe(F.col("_key"))).select("node", "text")
-    return found.groupBy("node").agg(F.first("text").alias("text"))
+def texts_of(wanted: DataFrame, rows: DataFrame, nodes: DataFrame, many: bool = False) -> DataFrame:
+    """``node`` and the text of its representative, once, for the nodes in ``wanted``.
+
+    With ``many`` the texts of classes of one row are not moved; rows are read twice for that.
+    """
+    keys = stored_small(wanted.join(nodes, "node").select("node", F.col("rep.key").alias("_key"), F.col("rep.hash").alias("hash"), "rows"), BROADCAST_KEYS)
+    found = rows.join(keys, "hash").filter(F.col("key").eqNullSafe(F.col("_key"))).select("node", "text", "rows")
+    once = lambda df: df.groupBy("node").agg(F.first("text").alias("text"))
+    if not many:
+        return once(found)
+    return found.filter("rows = 1").select("node", "text").unionByName(once(found.filter("rows > 1")))
 
 
 def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -484,7 +519,8 @@ def similar_classes(rows: DataFrame, nodes: DataFrame, words: int = WORDS, perce
 
     def compare(pairs: DataFrame, count: int) -> None:
         nonlocal roots
-        new = stored(verified(written(pairs, count), rows, nodes, words, percent))
+        likely = written(possible_by_sketch(written(pairs, count), nodes, percent), count)
+        new = stored(verified(likely, rows, nodes, words, percent))
         if not new.isEmpty():
             roots = joined(roots, new)
 
@@ -493,15 +529,16 @@ def similar_classes(rows: DataFrame, nodes: DataFrame, words: int = WORDS, perce
         groups = stored(groups_of(stored(members(texts, words, percent, level))))
         most = groups.count()
         # How much a class shares overall decides who is the centre of a signature.
-        weight = groups.groupBy("node").agg(F.sum(F.col("times") * (F.col("m") - 1)).alias("weight"))
+        weight = groups.groupBy("node").agg(F.sum(F.col("times") * (F.col("m") - 1)).alias("weight")).join(nodes.select("node", "n"), "node")
         open_ = _rooted(groups.select("sig", "node").join(weight, "node"), roots)
         for _ in range(ROUNDS):
             open_ = written(open_, most)
-            met = written(open_.join(_unsettled(open_, F.max(F.struct("weight", "node", "root")).alias("centre")), "sig"), most)
-            pairs = met.filter("centre.root <> root").select(F.least("centre.node", "node").alias("a"), F.greatest("centre.node", "node").alias("b")).distinct()
-            compare(possible(written(pairs, most), nodes, percent), most)
+            met = written(open_.join(_unsettled(open_, F.max(F.struct("weight", "node", "root", "n")).alias("centre")), "sig"), most)
+            sized = 100 * F.least("centre.n", "n") >= percent * F.greatest("centre.n", "n")
+            pairs = met.filter("centre.root <> root").filter(sized).select(F.least("centre.node", "node").alias("a"), F.greatest("centre.node", "node").alias("b")).distinct()
+            compare(possible(written(pairs, most), nodes, percent, "coarse"), most)
             # A centre has met all others of its signature.
-            open_ = _rooted(met.filter("centre.node <> node").select("sig", "node", "weight"), roots)
+            open_ = _rooted(met.filter("centre.node <> node").select("sig", "node", "weight", "n"), roots)
         open_ = written(open_, most)
         # Per signature its members, and how many of them the component with most of them has.
         sizes = _unsettled(open_.groupBy("sig", "root").agg(F.count("*").alias("k")), F.sum("k").alias("m"), F.max(F.struct("k", "root")).alias("top"))
@@ -515,7 +552,7 @@ def similar_classes(rows: DataFrame, nodes: DataFrame, words: int = WORDS, perce
         if hot.isEmpty():
             break
         mine = hot.select("node").distinct()
-        texts = texts.join(mine, "node", "left_semi") if level else stored(texts_of(mine, rows, nodes))
+        texts = texts.join(stored_small(mine, BROADCAST_KEYS), "node", "left_semi") if level else stored(texts_of(mine, rows, nodes, many=True))
         hot = with_partners(hot, texts, nodes, words, percent)
         again = written(hot.filter(F.col("lows") > BLOCK).select("node").distinct(), most)
         before, count = count, again.count()
@@ -523,7 +560,7 @@ def similar_classes(rows: DataFrame, nodes: DataFrame, words: int = WORDS, perce
         compare(possible_in_blocks(hot if last else hot.filter(F.col("lows") <= BLOCK), nodes, percent), most)
         if last or not count:
             break
-        texts = texts.join(again, "node", "left_semi")
+        texts = texts.join(stored_small(again, BROADCAST_KEYS), "node", "left_semi")
     return roots
 
 
@@ -532,8 +569,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     rows = _keyed(docs, key, text)
     own = stored(classes(rows, words))
     # A class has one representative.
-    nodes = own.filter("node is not null").groupBy("node").agg(F.min(F.struct("key", "hash", "sketch")).alias("rep"), F.min("key").alias("least"), F.first("n_shingles").alias("n"))
-    nodes = stored(nodes.select("node", F.struct("rep.key", "rep.hash").alias("rep"), "least", "n", F.col("rep.sketch").alias("sketch")))
+    nodes = own.filter("node is not null").groupBy("node").agg(F.min(F.struct("key", "hash", "sketch")).alias("rep"), F.min("key").alias("least"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"))
+    nodes = stored(with_coarse(nodes.select("node", F.struct("rep.key", "rep.hash").alias("rep"), "least", "n", "rows", F.col("rep.sketch").alias("sketch"))))
     ids = nodes.select("node", F.col("least").alias("component_id"))
     roots = similar_classes(rows, nodes, words, percent)
     if roots is not None:

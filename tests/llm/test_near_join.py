@@ -151,3 +151,28 @@ def test_own_shingles_against_a_plain_count(spark):
         assert {r.node: r.own for r in rows} == want
         some = near_join.own_shingles(spark.createDataFrame(list(enumerate(texts)), "node bigint, text string").repartition(parts), every=2).collect()
         assert all(0 < r.own <= want[r.node] for r in some)
+
+
+def test_short_sketches_lose_no_pair_and_rule_most_others_out():
+    rng = np.random.default_rng(6)
+    for size in [*range(1, 40), 100, 333, 1000, 30_000]:
+        for _ in range(3):
+            a = rng.integers(1, 1 << 62, size, dtype=np.uint64)
+            drop = size // 9  # the threshold for 80 %
+            b = np.r_[a[drop:], rng.integers(1, 1 << 62, drop, dtype=np.uint64)]
+            other = rng.integers(1, 1 << 62, size, dtype=np.uint64)
+            long = near_join.sketches(np.r_[a, b, other], np.array([0, size, 2 * size, 3 * size]))
+            x, y, z = (near_join.coarse(s, size) for s in long)
+            assert len(x) <= max(8, 3 * size / 16) and len(x) <= len(long[0])
+            assert 180 * near_join.sketch_distance(x, y) <= 20 * 2 * size
+            assert size < 30 or size > 20_000 or 180 * near_join.sketch_distance(x, z) > 20 * 2 * size
+
+
+def test_texts_of_classes_of_one_row_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "f g h i j"), (2, "f g h i j"), (3, "k l m n o")], "doc_id long, text string")
+    rows = near_join._keyed(docs, "doc_id", "text")
+    nodes = spark.createDataFrame([(10, 1, 1), (20, 2, 2)], "node long, key long, rows long").join(rows.dropDuplicates(["key"]), "key").selectExpr("node", "struct(key, hash) AS rep", "rows")
+    got = near_join.texts_of(nodes.select("node"), rows, nodes, many=True)
+    assert sorted(map(tuple, got.collect())) == [(10, "a b c d e"), (20, "f g h i j")]
+    single, several = got._jdf.queryExecution().optimizedPlan().toString().split("Union")[1].split("Aggregate")
+    assert "rows" in single and "first(text" in several
