@@ -684,6 +684,14 @@ def slot_counts(runs: DataFrame, code: Code, bits: int) -> DataFrame:
     return found.groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
 
 
+def found_in(known: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each name is among sorted ones, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(names), np.int64), np.zeros(len(names), bool)
+    place = np.minimum(np.searchsorted(known, names), len(known) - 1)
+    return place, known[place] == names
+
+
 class Known(NamedTuple):
     """Words with their training counts and codes, sorted by hash."""
 
@@ -703,10 +711,7 @@ class Known(NamedTuple):
 
     def find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each name is, and whether it is there."""
-        if not len(self.names):
-            return np.zeros(len(names), np.int64), np.zeros(len(names), bool)
-        place = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
-        return place, self.names[place] == names
+        return found_in(self.names, names)
 
 
 def _gathered(t: Tokens, code: Code, known: list[Known]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Words]:
@@ -906,12 +911,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train_on: st
     unseen = coded.filter("n = 0").agg(*sized).first()
     few = min(room, space) >= 0 and unseen.k <= room and unseen.size <= space
     frequent = coded if few else coded.filter(F.col("n") >= least) if least is not None else None
-    common = []
+    common, names = [], []
     for part in range(BROADCAST_PARTS if frequent is not None else 0):
         table = frequent.filter(F.pmod("token", F.lit(BROADCAST_PARTS)) == part).toArrow().combine_chunks()
         if table.num_rows:
             known = Known.of(table.column("token").to_numpy(), table.column("n").to_numpy(), table.column("codes").chunk(0))
             common.append(spark.sparkContext.broadcast(known))
+            names.append(known.names)
             del known
         del table
     rare = None if few else coded.filter(F.col("n") < least) if least is not None else coded
@@ -922,14 +928,15 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", train_on: st
     if rare is None:
         body = body.withColumn("rare", F.lit(None).cast("array<struct<token: bigint, n: bigint, codes: binary>>"))
     else:
+        # Who asks needs no log-odds: only names go to these tasks.
+        having = spark.sparkContext.broadcast(names)
 
         def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = [b.value for b in common]
             for part in slices(batches, "text", 1 << 20):
                 t = tokens_of(part.column("text"))
                 there = np.zeros(len(t.names), bool)
-                for k in known:
-                    there |= k.find(t.names.view(np.int64))[1]
+                for known in having.value:
+                    there |= found_in(known, t.names.view(np.int64))[1]
                 hashes = part.column("hash").to_numpy()[t.text]
                 pairs = pa.table({"hash": hashes[~there[t.word]], "token": t.names.view(np.int64)[t.word[~there[t.word]]]})
                 yield from pairs.group_by(["hash", "token"], use_threads=False).aggregate([]).select(["hash", "token"]).to_batches(max_chunksize=100_000)

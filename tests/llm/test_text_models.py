@@ -170,6 +170,18 @@ def test_broadcast_words_pass_through_the_driver_in_parts(spark, monkeypatch):
     assert len(sizes) > 1 and max(sizes) < 0.5 * sum(sizes)
 
 
+def test_tasks_that_ask_for_rare_words_get_names_alone(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").limit(40).withColumn("train", F.col("doc_id") % 5 != 1)
+    want = {r.doc_id: round(r.score, 6) for r in lm_score.score(docs).collect()}
+    sent, plain = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda context, value: sent.append(value) or plain(context, value))
+    monkeypatch.setattr(lm_score, "BROADCAST_TOKENS", 300)
+    assert {r.doc_id: round(r.score, 6) for r in lm_score.score(docs).collect()} == want
+    known = [x for x in sent if isinstance(x, lm_score.Known)]
+    names = [x for x in sent if isinstance(x, list)]
+    assert len(names) == 1 and [len(x) for x in names[0]] == [len(k.names) for k in known] and sum(map(len, names[0])) > 0
+
+
 def plain_counts(rows):
     return sum(len((t or "").split()) + 1 for t, train in rows if train)
 
