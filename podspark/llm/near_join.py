@@ -22,8 +22,8 @@ is still too large after ``LEVELS`` such turns is compared block by block.
 
 Before texts are compared, sketches are: the parities of the shingles' hash counts.  Sets that differ in d
 shingles differ in at most d parities, so a pair beyond the bound is none; the others are verified exactly.
-This holds for folded sketches as well: rows that meet carry a short one (``coarse``), and the long ones are read for
-the few pairs that it allows.
+This holds for folded sketches as well: rows that meet carry a short one (``coarse``, or ``clear`` where all members of
+a signature meet), and the long ones are read for the few pairs that it allows.
 
 Defined results: null, empty and wordless texts have size 0, no links and their own component; fewer words
 than a shingle has make one shingle; every row counts by its own text, so rows with the same key and different
@@ -70,6 +70,8 @@ ROWS = 50_000
 #: Bytes of text that a task works on at a time, and of a sketch at most.
 PART = 1 << 20
 SKETCH = 2048
+#: Bytes of a sketch that are kept where many are compared in one task.
+CLEAR = 64
 
 
 def shingles(data: np.ndarray, at: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -223,6 +225,12 @@ def coarse(sketch: bytes, n: int) -> bytes:
     return fold(sketch, max(64, 1 << (-(-3 * n // 4) - 1).bit_length() if n > 1 else 64) // 8).tobytes()
 
 
+def clear(sketch: bytes, n: int) -> bytes:
+    """The sketch folded to no less than ``CLEAR`` bytes: small sets that share two thirds are told apart as well."""
+    short = coarse(sketch, n)
+    return short if len(short) >= CLEAR else fold(sketch, CLEAR).tobytes()
+
+
 def classes(rows: DataFrame, words: int = WORDS) -> DataFrame:
     """Per row: ``key``, ``hash`` of the text, ``n_shingles``, ``node`` (its class of equal sets; null for an empty set), ``sketch``."""
 
@@ -238,14 +246,15 @@ def classes(rows: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def with_coarse(nodes: DataFrame) -> DataFrame:
-    """The classes with their ``coarse`` sketch."""
+    """The classes with their ``coarse`` sketch and their ``clear`` one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            short = [coarse(x, n) for x, n in zip(batch.column("sketch").to_pylist(), batch.column("n").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(short, pa.binary())], [*batch.schema.names, "coarse"])
+            long = list(zip(batch.column("sketch").to_pylist(), batch.column("n").to_pylist(), strict=True))
+            folded = [pa.array([f(x, n) for x, n in long], pa.binary()) for f in (coarse, clear)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *folded], [*batch.schema.names, "coarse", "clear"])
 
-    return nodes.mapInArrow(run, StructType([*nodes.schema.fields, StructField("coarse", BinaryType())]))
+    return nodes.mapInArrow(run, StructType([*nodes.schema.fields, StructField("coarse", BinaryType()), StructField("clear", BinaryType())]))
 
 
 def members(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, level: int = 0) -> DataFrame:
@@ -336,7 +345,7 @@ def possible_by_sketch(pairs: DataFrame, nodes: DataFrame, percent: int = PERCEN
 
 def possible_in_groups(open_: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) within signatures of at most ``BLOCK`` members and between components that sketches allow."""
-    rows = open_.join(nodes.select("node", "n", F.col("coarse").alias("sketch")), "node").select("sig", "node", "root", "n", "sketch", F.lit(0).alias("block"))
+    rows = open_.join(nodes.select("node", "n", F.col("clear").alias("sketch")), "node").select("sig", "node", "root", "n", "sketch", F.lit(0).alias("block"))
     return rows.groupBy("sig").applyInArrow(_compare(percent), "a bigint, b bigint").distinct()
 
 
@@ -349,7 +358,7 @@ def possible_with_major(left: DataFrame, nodes: DataFrame, percent: int = PERCEN
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.array(F.pmod(F.xxhash64("node"), parts).cast("int"))
     dealt = left.select("sig", "node", "root", F.explode(F.when(F.col("root") == F.col("major"), own).otherwise(F.sequence(F.lit(0), parts - 1))).alias("part"))
-    rows = dealt.join(nodes.select("node", "n", F.col("coarse").alias("sketch")), "node").select("sig", "part", "node", "root", "n", "sketch", F.lit(0).alias("block"))
+    rows = dealt.join(nodes.select("node", "n", F.col("clear").alias("sketch")), "node").select("sig", "part", "node", "root", "n", "sketch", F.lit(0).alias("block"))
     return rows.groupBy("sig", "part").applyInArrow(_compare(percent), "a bigint, b bigint").distinct()
 
 
@@ -424,7 +433,7 @@ def possible_in_blocks(left: DataFrame, nodes: DataFrame, percent: int = PERCENT
     dealt = left.withColumn("block", F.when(F.col("low"), deal(lows)).otherwise(lows + deal(rest)))
     others = F.explode(F.sequence(F.lit(0), F.when(F.col("low"), lows + rest).otherwise(lows) - 1)).alias("other")
     met = dealt.select("sig", "node", "root", "block", others).select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "root", "block")
-    rows = met.join(nodes.select("node", "n", F.col("coarse").alias("sketch")), "node").select("sig", "x", "y", "block", "node", "root", "n", "sketch")
+    rows = met.join(nodes.select("node", "n", F.col("clear").alias("sketch")), "node").select("sig", "x", "y", "block", "node", "root", "n", "sketch")
     return rows.groupBy("sig", "x", "y").applyInArrow(_compare(percent), "a bigint, b bigint").distinct()
 
 

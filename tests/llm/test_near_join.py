@@ -176,3 +176,23 @@ def test_texts_of_classes_of_one_row_are_not_shuffled(spark):
     assert sorted(map(tuple, got.collect())) == [(10, "a b c d e"), (20, "f g h i j")]
     single, several = got._jdf.queryExecution().optimizedPlan().toString().split("Union")[1].split("Aggregate")
     assert "rows" in single and "first(text" in several
+
+
+def test_members_that_share_two_thirds_make_few_pairs(spark):
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    docs = []
+    for k in range(60):
+        own = rng.sample(range(150), 3)
+        docs.append((k, " ".join(f"own{k}x{n}" if n in own else w for n, w in enumerate(base))))
+    rows = near_join._keyed(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text")
+    nodes = near_join.with_coarse(near_join.classes(rows, 5).withColumnRenamed("n_shingles", "n"))
+    met = nodes.selectExpr("1 AS sig", "node", "node AS root")
+    assert near_join.possible_in_groups(met, nodes, 80).count() < 20
+    # Of sets at the threshold none is lost.
+    for size in [*range(5, 300, 7), 1000, 30_000]:
+        a = np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        drop = size // 9
+        b = np.r_[a[drop:], (a + np.uint64(1))[:drop]]
+        x, y = (near_join.clear(s, size) for s in near_join.sketches(np.r_[a, b], np.array([0, size, 2 * size])))
+        assert 180 * near_join.sketch_distance(x, y) <= 20 * 2 * size and len(x) <= max(64, 3 * size / 16)
