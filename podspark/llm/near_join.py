@@ -25,6 +25,10 @@ shingles differ in at most d parities, so a pair beyond the bound is none; the o
 This holds for folded sketches as well: rows that meet carry a short one (``coarse``, or ``clear`` where all members of
 a signature meet), and the long ones are read for the few pairs that it allows.
 
+Which texts, sketches or classes a step needs is told by a filter of bounded size (``common.held``), not by a broadcast of
+their keys: the driver holds a few bytes a key and some MB at most.  What passes it wrongly is dropped by a join, or
+takes part without changing the result.
+
 Defined results: null, empty and wordless texts have size 0, no links and their own component; fewer words
 than a shingle has make one shingle; every row counts by its own text, so rows with the same key and different
 texts link as their texts do; a component is named after its least key that is not null, one of null keys alone
@@ -46,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from podspark.llm.arrow_text import LOWER, SpanHash, byte_codes, mix64, slices, text_bytes, word_bounds
-from podspark.llm.common import stored, stored_small
+from podspark.llm.common import held, key_filter, stored
 
 WORDS = 4
 PERCENT = 85
@@ -61,8 +65,8 @@ BLOCK = 256
 LEVELS = 6
 #: Of the shingles of a large signature's members one in so many is counted first.
 FIRST = 4
-#: Texts that have to be compared are picked by a broadcast of their keys only up to this number.
-BROADCAST_KEYS = 500_000
+#: Texts that have to be compared are picked by a broadcast of their keys only up to this number, else by a filter of them.
+BROADCAST_KEYS = 20_000
 #: Partners of one class that are compared with it in one task.
 PARTNERS = 512
 #: Rows of the small tables (members, pairs, components) that a task writes.
@@ -337,10 +341,14 @@ def _compare(percent: int):
     return compare
 
 
-def possible_by_sketch(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of pairs that coarse sketches allow those that the long ones do; few are left, so only sketches that are asked for are moved."""
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    return possible(pairs, nodes.join(stored_small(asked, BROADCAST_KEYS), "node"), percent)
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+
+
+def possible_by_sketch(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT, count: int | None = None) -> DataFrame:
+    """Of pairs (``count`` at most) that coarse sketches allow those that the long ones do; hardly more sketches than are asked for are moved."""
+    asked = key_filter(_ends(pairs), "node", 2 * (pairs.count() if count is None else count))
+    return possible(pairs, held(nodes, "node", asked), percent)
 
 
 def possible_in_groups(open_: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -363,7 +371,7 @@ def possible_with_major(left: DataFrame, nodes: DataFrame, percent: int = PERCEN
 
 
 def own_shingles(texts: DataFrame, words: int = WORDS, every: int = 1) -> DataFrame:
-    """``node`` and ``own``, the number of its shingles that no other class of ``texts`` (one row a class) holds; only classes with such.
+    """``node`` and ``own``, the number of its shingles that no other class of ``texts`` holds; only classes with such.
 
     Only shingles whose hash is a multiple of ``every`` are counted, so ``own`` is then less than or equal to the true number.
     """
@@ -373,7 +381,14 @@ def own_shingles(texts: DataFrame, words: int = WORDS, every: int = 1) -> DataFr
             sets, at = shingles(*text_bytes(part.column("text")), words)
             if not len(sets):
                 continue
-            node = np.repeat(part.column("node").to_numpy(), np.diff(at))
+            of, size = part.column("node").to_numpy(), np.diff(at)
+            node = np.repeat(of, size)
+            # A class that is here more than once counts once.
+            once = np.zeros(len(of), bool)
+            once[np.unique(of, return_index=True)[1]] = True
+            if not once.all():
+                once = np.repeat(once, size)
+                sets, node = sets[once], node[once]
             if every > 1:
                 counted = sets % np.uint64(every) == 0
                 sets, node = sets[counted], node[counted]
@@ -390,8 +405,8 @@ def own_shingles(texts: DataFrame, words: int = WORDS, every: int = 1) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(sets[cut].view(np.int64)), pa.array(node[cut], mask=several[lo : lo + 200_000])], ["shingle", "node"])
 
     # A part of a task has a shingle once, so there is little to sum up before rows are dealt out.
-    held = texts.select("node", "text").mapInArrow(run, "shingle bigint, node bigint").repartition("shingle")
-    alone = held.groupBy("shingle").agg(F.count("*").alias("times"), F.min("node").alias("node")).filter("times = 1 and node is not null")
+    dealt = texts.select("node", "text").mapInArrow(run, "shingle bigint, node bigint").repartition("shingle")
+    alone = dealt.groupBy("shingle").agg(F.count_if(F.col("node").isNull()).alias("shared"), F.min("node").alias("node"), F.max("node").alias("last")).filter("shared = 0 and node = last")
     return alone.groupBy("node").agg(F.count("*").alias("own"))
 
 
@@ -402,12 +417,13 @@ def with_partners(hot: DataFrame, texts: DataFrame, nodes: DataFrame, words: int
     have at least n + v; so 100 * (n - u) >= percent * (n + v) or they are no pair.  A member for which the least v of its
     signature is too many leaves, and so does a signature in which all are. ``low`` are those with few enough of
     their own to be a partner of their like: of two others none is one of the other.  As members leave,
-    more shingles are the own ones of who stays, so this goes on while a tenth leaves.  The first time one shingle in
+    more shingles are the own ones of who stays, so this goes on while a tenth leaves.  Texts that pass the filter wrongly make fewer
+    shingles their members' own, so none leaves for it.  The first time one shingle in
     ``FIRST`` is counted: most members have many more own ones than needed, and fewer than there are let none leave wrongly.
     """
     left, count, every = hot, hot.count(), FIRST
     while True:
-        mine = texts.join(stored_small(left.select("node").distinct(), BROADCAST_KEYS), "node", "left_semi")
+        mine = held(texts, "node", key_filter(left, "node", count))
         sized = left.join(nodes.select("node", "n"), "node").join(own_shingles(mine, words, every), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
         sized = written(sized.withColumn("low", (100 + percent) * F.col("own") <= (100 - percent) * F.col("n")), count)
         least = sized.groupBy("sig").agg(F.min("own").alias("least"), F.max("low").alias("some")).filter("some").drop("some")
@@ -437,30 +453,70 @@ def possible_in_blocks(left: DataFrame, nodes: DataFrame, percent: int = PERCENT
     return rows.groupBy("sig", "x", "y").applyInArrow(_compare(percent), "a bigint, b bigint").distinct()
 
 
-def texts_of(wanted: DataFrame, rows: DataFrame, nodes: DataFrame, many: bool = False) -> DataFrame:
+def named(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """``node`` and ``text`` of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", PART):
+            sets, at = shingles(*text_bytes(part.column("text")), words)
+            yield pa.RecordBatch.from_arrays([pa.array(_names(sets, at)), part.column("text")], ["node", "text"])
+
+    return texts.select("text").mapInArrow(run, "node bigint, text string")
+
+
+def _keys_of(wanted: DataFrame, nodes: DataFrame) -> tuple[DataFrame, int]:
+    """Key and hash of the representatives of the nodes in ``wanted``, and their number."""
+    keys = stored(wanted.join(nodes, "node").select("node", F.col("rep.key").alias("_key"), F.col("rep.hash").alias("hash"), "rows"))
+    return keys, keys.count()
+
+
+def _texts_of_few(keys: DataFrame, rows: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(keys), "hash").filter(F.col("key").eqNullSafe(F.col("_key"))).select("node", "text", "rows")
+
+
+def _once(texts: DataFrame, *by: str) -> DataFrame:
+    return texts.groupBy(*by).agg(F.first("text").alias("text"))
+
+
+def texts_of(wanted: DataFrame, rows: DataFrame, nodes: DataFrame, many: bool = False, words: int = WORDS) -> DataFrame:
     """``node`` and the text of its representative, once, for the nodes in ``wanted``.
 
-    With ``many`` the texts of classes of one row are not moved; rows are read twice for that.
+    With ``many`` the texts of classes of one row are not moved, rows are read twice for that, and if there are more than
+    ``BROADCAST_KEYS`` classes some others may be among them, and some twice.
     """
-    keys = stored_small(wanted.join(nodes, "node").select("node", F.col("rep.key").alias("_key"), F.col("rep.hash").alias("hash"), "rows"), BROADCAST_KEYS)
-    found = rows.join(keys, "hash").filter(F.col("key").eqNullSafe(F.col("_key"))).select("node", "text", "rows")
-    once = lambda df: df.groupBy("node").agg(F.first("text").alias("text"))
     if not many:
-        return once(found)
-    return found.filter("rows = 1").select("node", "text").unionByName(once(found.filter("rows > 1")))
+        return with_texts(wanted.select("node"), rows, nodes)
+    keys, count = _keys_of(wanted, nodes)
+    if count <= BROADCAST_KEYS:
+        found = _texts_of_few(keys, rows)
+        return found.filter("rows = 1").select("node", "text").unionByName(_once(found.filter("rows > 1"), "node"))
+    alone = held(rows, "hash", key_filter(keys.filter("rows = 1"), "hash", count)).select("text")
+    several = _once(held(rows, "hash", key_filter(keys.filter("rows > 1"), "hash", count)), "hash").select("text")
+    return named(alone.unionByName(several), words)
+
 
+def with_texts(asked: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``asked`` with the ``text`` of their ``node``; a text is moved once, and hardly one that is not asked for."""
+    keys, count = _keys_of(asked.select("node").distinct(), nodes)
+    if count <= BROADCAST_KEYS:
+        return asked.join(_once(_texts_of_few(keys, rows), "node"), "node")
+    picked = _once(held(rows, "hash", key_filter(keys, "hash", count)), "hash", "key").withColumnRenamed("hash", "_hash")
+    return asked.join(keys.drop("rows"), "node").join(picked, (F.col("hash") == F.col("_hash")) & F.col("key").eqNullSafe(F.col("_key"))).drop("hash", "_hash", "key", "_key")
 
-def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, by exact counts over whole texts.
+
+def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int = WORDS, percent: int = PERCENT, count: int | None = None) -> DataFrame:
+    """The pairs (a, b), ``count`` at most, whose sets reach the threshold, by exact counts over whole texts.
 
     A class and its partners come together in one stream, first the class itself; the partners of a class
     that has very many are dealt out to several such streams.
     """
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    many = stored_small(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("streams")).filter("streams > 1"), BROADCAST_KEYS)
-    dealt = pairs.join(many, "a", "left").select("a", "b", F.coalesce(F.pmod(F.col("b"), F.col("streams")), F.lit(0)).alias("part"))
+    dealt = pairs.select("a", "b", F.lit(0).cast("bigint").alias("part"))
+    if count is None or count > PARTNERS:
+        many = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("streams")).filter("streams > 1"))
+        if not many.isEmpty():
+            dealt = pairs.join(many, "a", "left").select("a", "b", F.coalesce(F.pmod(F.col("b"), F.col("streams")), F.lit(0)).alias("part"))
     heads = dealt.select("a", "part").distinct().select(F.col("a").alias("node"), "a", "part", F.lit(None).cast("bigint").alias("b"))
-    both = heads.unionByName(dealt.select(F.col("b").alias("node"), "a", "part", "b")).join(texts_of(asked, rows, nodes), "node")
+    both = with_texts(heads.unionByName(dealt.select(F.col("b").alias("node"), "a", "part", "b")), rows, nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.empty(0, np.uint64)
@@ -484,9 +540,9 @@ def written(df: DataFrame, rows: int) -> DataFrame:
     return stored(df.coalesce(max(1, -(-rows // ROWS))))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node`` and ``root`` (the least node reachable) for every node with a link."""
-    count = 2 * links.count()
+def components(links: DataFrame, count: int | None = None) -> DataFrame:
+    """``node`` and ``root`` (the least node reachable) for every node with a link; ``count`` links at most."""
+    count = 2 * (links.count() if count is None else count)
     edges = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), count)
     roots = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), count)
     while True:
@@ -500,14 +556,14 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
-    """The components after more links: only what the links join is worked on, by the roots known so far."""
+def joined(roots: DataFrame | None, links: DataFrame, count: int) -> DataFrame:
+    """The components after more links, ``count`` at most: only what the links join is worked on, by the roots known so far."""
     if roots is None:
-        return components(links)
+        return components(links, count)
     root_of = lambda df, c: df.join(roots.select(F.col("node").alias(c), F.col("root").alias("_root")), c, "left").withColumn(c, F.coalesce("_root", c)).drop("_root")
-    moved = components(written(root_of(root_of(links, "a"), "b").filter("a <> b").select("a", "b"), links.count()))
+    moved = components(written(root_of(root_of(links, "a"), "b").filter("a <> b").select("a", "b"), count), count)
     lifted = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
-    return written(lifted.unionByName(moved.join(roots, "node", "left_anti")), roots.count() + moved.count())
+    return written(lifted.unionByName(moved.join(roots, "node", "left_anti")), roots.count() + 2 * count)
 
 
 def _rooted(members_: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -528,12 +584,17 @@ def similar_classes(rows: DataFrame, nodes: DataFrame, words: int = WORDS, perce
 
     def compare(pairs: DataFrame, count: int) -> None:
         nonlocal roots
-        likely = written(possible_by_sketch(written(pairs, count), nodes, percent), count)
-        new = stored(verified(likely, rows, nodes, words, percent))
-        if not new.isEmpty():
-            roots = joined(roots, new)
-
-    texts, count = rows, None
+        pairs = written(pairs, count)
+        if not (met := pairs.count()):
+            return
+        likely = written(possible_by_sketch(pairs, nodes, percent, met), met)
+        if not (met := likely.count()):
+            return
+        new = stored(verified(likely, rows, nodes, words, percent, met))
+        if met := new.count():
+            roots = joined(roots, new, met)
+
+    texts, all_texts, count = rows, None, None
     for level in range(LEVELS):
         groups = stored(groups_of(stored(members(texts, words, percent, level))))
         most = groups.count()
@@ -552,24 +613,25 @@ def similar_classes(rows: DataFrame, nodes: DataFrame, words: int = WORDS, perce
         # Per signature its members, and how many of them the component with most of them has.
         sizes = _unsettled(open_.groupBy("sig", "root").agg(F.count("*").alias("k")), F.sum("k").alias("m"), F.max(F.struct("k", "root")).alias("top"))
         left = written(open_.join(sizes, "sig").select("sig", "node", "root", "m", F.col("top.root").alias("major"), (F.col("m") - F.col("top.k")).alias("others")), most)
-        compare(possible_in_groups(left.filter(F.col("m") <= BLOCK), nodes, percent), most)
-        large = left.filter(F.col("m") > BLOCK)
-        some = large.filter(F.col("others") <= BLOCK)
-        if not some.isEmpty():
-            compare(possible_with_major(some, nodes, percent), most)
-        hot = written(_rooted(large.filter(F.col("others") > BLOCK).select("sig", "node"), roots), most)
-        if hot.isEmpty():
+        small, mixed = F.col("m") <= BLOCK, F.col("others") <= BLOCK
+        n_small, n_mixed, n_hot = left.agg(F.count_if(small), F.count_if(~small & mixed), F.count_if(~small & ~mixed)).first()
+        if n_small:
+            compare(possible_in_groups(left.filter(small), nodes, percent), most)
+        if n_mixed:
+            compare(possible_with_major(left.filter(~small & mixed), nodes, percent), most)
+        if not n_hot:
             break
-        mine = hot.select("node").distinct()
-        texts = texts.join(stored_small(mine, BROADCAST_KEYS), "node", "left_semi") if level else stored(texts_of(mine, rows, nodes, many=True))
-        hot = with_partners(hot, texts, nodes, words, percent)
+        hot = written(_rooted(left.filter(~small & ~mixed).select("sig", "node"), roots), most)
+        if all_texts is None:
+            all_texts = stored(texts_of(hot.select("node").distinct(), rows, nodes, many=True, words=words))
+        hot = with_partners(hot, all_texts, nodes, words, percent)
         again = written(hot.filter(F.col("lows") > BLOCK).select("node").distinct(), most)
         before, count = count, again.count()
         last = level == LEVELS - 1 or before is not None and count > 0.8 * before
         compare(possible_in_blocks(hot if last else hot.filter(F.col("lows") <= BLOCK), nodes, percent), most)
         if last or not count:
             break
-        texts = texts.join(stored_small(again, BROADCAST_KEYS), "node", "left_semi")
+        texts = held(all_texts, "node", key_filter(again, "node", count))
     return roots
 
 

@@ -4,8 +4,10 @@ import random
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from podspark.llm import near_join
+from podspark.llm import common, near_join
 
 SCHEMA = "doc_id bigint, text string, node bigint, key string, hash string, sig int"
 
@@ -178,6 +180,33 @@ def test_texts_of_classes_of_one_row_are_not_shuffled(spark):
     assert "rows" in single and "first(text" in several
 
 
+def test_a_filter_of_keys_is_small_and_loses_none(spark):
+    keys = spark.range(40_000).selectExpr("xxhash64(id) AS hash", "id")
+    for most, wrong in ((common.FILTER_WORDS, 300), (1 << 12, 20_000)):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(common, "FILTER_WORDS", most)
+            found = common.key_filter(keys.filter("id < 20000"), "hash", 20_000)
+            sizes = [len(r.bits) for r in found[0].collect()]
+            assert sum(sizes) == found[1] <= min(most, 20_000) and max(sizes) <= common.FILTER_ROW
+            hit = [r.id for r in common.held(keys, "hash", found).collect()]
+            assert set(range(20_000)) <= set(hit) and len(hit) == len(set(hit)) <= 20_000 + wrong
+            assert {r.id for r in common.held(keys, "hash", found, "left_anti").collect()} == set(range(40_000)) - set(hit)
+
+
+def test_no_table_of_keys_is_broadcast(spark, monkeypatch):
+    """Beyond ``BROADCAST_KEYS`` only filters are, also when they let many others through."""
+    docs = made(3)
+    df = spark.createDataFrame([(i, t, 1, "k", "h", 2) for i, t in docs], SCHEMA).repartition(3)
+    for name, value in (("ROUNDS", 1), ("BLOCK", 2), ("LEVELS", 3), ("BROADCAST_KEYS", 0)):
+        monkeypatch.setattr(near_join, name, value)
+    monkeypatch.setattr(common, "FILTER_WORDS", 8)
+    sent = []
+    plain = F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda rows: sent.append(rows.columns) or plain(rows))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_join.join(df).collect()) == brute(docs)
+    assert sent and all(columns == ["place", "bits"] for columns in sent)
+
+
 def test_members_that_share_two_thirds_make_few_pairs(spark):
     rng = random.Random(8)
     base = [f"w{k}" for k in range(150)]

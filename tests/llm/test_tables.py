@@ -8,7 +8,7 @@ from collections import Counter
 from test_near_join import brute
 
 import corpus_pipeline
-from podspark.llm import decontaminate, html_extract, mixing, pii, quality
+from podspark.llm import common, decontaminate, html_extract, mixing, pii, quality
 from podspark.llm.html_extract import read_page
 
 DATA = "/root/testdata/sf0.001"
@@ -309,6 +309,16 @@ def test_one_row_of_each_group_stays(spark, monkeypatch):
     assert corpus_pipeline.join_near_copies(spark, docs.limit(0), DATA).collect() == []
 
 
+def test_rows_that_pass_the_filter_of_marked_rows_wrongly_stay(spark, monkeypatch):
+    text = lambda k: " ".join(f"w{k}x{n}" for n in range(30))
+    rows = [(k, text(k)) for k in range(60)] + [(100 + k, text(k)) for k in range(12)] + [(200, text(70))] * 3
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    for name, value in (("FILTER_WORDS", 1), ("KEY_BITS", 1)):
+        monkeypatch.setattr(common, name, value)
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_KEYS", 0)
+    assert sorted(r.doc_id for r in corpus_pipeline.join_near_copies(spark, docs, DATA).collect()) == [*range(60), 200]
+
+
 def test_stages_keep_columns_with_clashing_names(spark):
     rows = [(1, "the cat and the dog and the house of a friend", "en", "s", 9, 5, "x", 7, 1, 2), (2, "der Hund und die Katze und das Haus", "de", "s", 9, 6, "y", 8, 1, 2), (2, "der Hund und die Katze und das Haus", "de", "s", 9, 6, "y", 8, 1, 2)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, _hash int, _first string, _n int, _row int, `_Copies` int")
